@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,19 @@ def n_blocks(length: int, edge: int) -> int:
     return -(-length // edge)
 
 
+def square_edges(n_rows: int, n_cols: int, units: int, longest: int) -> tuple[int, int]:
+    """Edges of near-square blocks that cut a shape into about ``units`` blocks.
+
+    Square blocks need the fewest copies of the operands. No edge exceeds
+    ``longest``, so a block's size is bounded whatever the shape.
+    """
+    side = max(1, math.isqrt(max(1, n_rows * n_cols // max(1, units))))
+    col_edge = max(1, min(n_cols, side, longest))
+    row_cuts = n_blocks(max(1, units), n_blocks(n_cols, col_edge) or 1)
+    row_edge = max(1, min(n_blocks(n_rows, row_cuts), longest))
+    return row_edge, col_edge
+
+
 def block_of(index: Column, edge: int) -> Column:
     """Block number of a 0-based index: contiguous strips of ``edge``."""
     return F.call_function("div", index, F.lit(edge))

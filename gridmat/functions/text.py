@@ -15,7 +15,7 @@ _SPLIT = 134217729.0  # 2**27 + 1, splits a double into two halves of 26 bits
 
 def tokens(line: Column) -> Column:
     """Space-separated tokens of a line; trailing and doubled spaces give none."""
-    return F.filter(F.split(line, SEPARATOR), lambda t: t != "")
+    return F.array_remove(F.split(line, SEPARATOR), "")
 
 
 def parse_double(token: Column, mode: str = "strict") -> Column:
@@ -38,18 +38,35 @@ def plain_number(v: Column) -> Column:
 def ceil_thousandths(fraction: Column) -> Column:
     """Exact ``ceil(fraction * 1000)`` for ``|fraction| < 1``, as BIGINT.
 
-    The product is rounded to the nearest double, so ``e`` recovers what the
-    rounding lost (Dekker's two-product) and decides the case where the
-    rounded product is whole but the true one lies just above it.
+    The product is rounded to the nearest double. That can only mislead where
+    the rounded product is whole while the true one lies just above it; there
+    ``lost`` recovers what the rounding took away (Dekker's two-product).
     """
     p = fraction * F.lit(1000.0)
     t = fraction * F.lit(_SPLIT)
     hi = t - (t - fraction)
-    lo = fraction - hi
-    e = (hi * F.lit(1000.0) - p) + lo * F.lit(1000.0)
+    lost = (hi * F.lit(1000.0) - p) + (fraction - hi) * F.lit(1000.0)
     up = F.ceil(p)
-    bump = F.when((up.cast("double") == p) & (e > 0.0), F.lit(1)).otherwise(F.lit(0))
-    return up + bump
+    return F.when((up.cast("double") == p) & (lost > 0.0), up + 1).otherwise(up)
+
+
+def _split_parts(v: Column) -> Column:
+    """Whole part (toward zero, as BIGINT) and the fraction left, both exact."""
+    whole = v.cast("bigint")
+    return F.struct(whole.alias("whole"), (v - whole.cast("double")).alias("fraction"))
+
+
+def _join_parts(parts: Column) -> Column:
+    whole = parts["whole"].cast("decimal(20,0)")
+    thousandths = ceil_thousandths(parts["fraction"]).cast("decimal(4,0)")
+    step = F.lit("0.001").cast("decimal(4,3)")
+    return (whole + thousandths * step).cast(f"decimal(24,{DECIMALS})").cast("string")
+
+
+def _ceil3_decimal(v: Column) -> Column:
+    # Scale 17 keeps every digit that can matter; the decimal type has 38 in all.
+    scaled = F.ceil(v.cast("decimal(38,17)"), F.lit(DECIMALS))
+    return scaled.cast(f"decimal(30,{DECIMALS})").cast("string")
 
 
 def ceil3(v: Column, rounding: str = "exact") -> Column:
@@ -60,27 +77,21 @@ def ceil3(v: Column, rounding: str = "exact") -> Column:
     text (0.1 gives 0.100). The whole part is split off first, which is exact,
     so any double below 2**63 in magnitude is handled; beyond, the cast fails.
     """
-    if rounding == "decimal":
-        # 1e-7 and smaller steps vanish in a scale of 17; doubles carry 17 digits.
-        scaled = F.ceil(v.cast("decimal(38,17)"), F.lit(DECIMALS))
-        return scaled.cast(f"decimal(30,{DECIMALS})").cast("string")
-    if rounding != "exact":
+    _check_rounding(rounding)
+    return _join_parts(_split_parts(v)) if rounding == "exact" else _ceil3_decimal(v)
+
+
+def _check_rounding(rounding: str) -> None:
+    if rounding not in ("exact", "decimal"):
         raise ValueError(f"rounding must be 'exact' or 'decimal', not {rounding!r}")
-    whole = v.cast("bigint")  # toward zero
-    part = ceil_thousandths(v - whole.cast("double"))
-    carry = F.when(part == 1000, F.lit(1)).otherwise(F.lit(0))
-    units = F.abs(whole + carry)
-    thousandths = F.abs(part) % 1000
-    negative = (v < 0.0) & ((units > 0) | (thousandths > 0))
-    return F.concat(
-        F.when(negative, F.lit("-")).otherwise(F.lit("")),
-        units.cast("string"),
-        F.lit("."),
-        F.lpad(thousandths.cast("string"), DECIMALS, "0"),
-    )
 
 
 def dense_line(vec: Column, rounding: str = "exact") -> Column:
     """``v v v `` with three decimals each and a trailing space."""
-    texts = F.transform(vec, lambda x: ceil3(x, rounding))
+    _check_rounding(rounding)
+    if rounding == "exact":
+        # In two steps, so that the parts are computed once per number.
+        texts = F.transform(F.transform(vec, _split_parts), _join_parts)
+    else:
+        texts = F.transform(vec, _ceil3_decimal)
     return F.concat(F.array_join(texts, SEPARATOR), F.lit(SEPARATOR))

@@ -4,7 +4,8 @@ Three forms, all lazy, all 0-based:
 
 * ``CellMatrix``   one row per stored cell, ``(i BIGINT, j BIGINT, v DOUBLE)``
 * ``VectorMatrix`` one row per dense vector, ``(id BIGINT, vec ARRAY<DOUBLE>)``,
-  holding either the rows or the columns of the matrix
+  holding either the rows or the columns of the matrix; ``complete`` says that
+  every id of the shape is known to be there (a missing vector counts as zero)
 * ``BandMatrix``   dense rows cut into bands of equal width,
   ``(i BIGINT, band BIGINT, vec ARRAY<DOUBLE>)``; what the block products return
 """
@@ -38,6 +39,7 @@ class VectorMatrix:
     n_rows: int
     n_cols: int
     by: str = "row"
+    complete: bool = False
 
     def __post_init__(self):
         if self.by not in ("row", "col"):
@@ -46,17 +48,17 @@ class VectorMatrix:
     @property
     def T(self) -> VectorMatrix:
         """Transposing relabels the vectors; no data moves."""
-        return VectorMatrix(
-            self.df, self.n_cols, self.n_rows, "col" if self.by == "row" else "row"
-        )
+        other = "col" if self.by == "row" else "row"
+        return VectorMatrix(self.df, self.n_cols, self.n_rows, other, self.complete)
 
     def cells(self) -> CellMatrix:
-        spread = self.df.select("id", F.posexplode("vec").alias("pos", "v"))
+        # The outer form, because the plain one adds a filter on the vector's size
+        # below, which computes the vector a second time.
+        spread = self.df.select("id", F.posexplode_outer("vec").alias("pos", "v"))
         pos = F.col("pos").cast("bigint")
         i, j = (F.col("id"), pos) if self.by == "row" else (pos, F.col("id"))
-        return CellMatrix(
-            spread.select(i.alias("i"), j.alias("j"), "v"), self.n_rows, self.n_cols
-        )
+        cells = spread.filter(F.col("pos").isNotNull()).select(i.alias("i"), j.alias("j"), "v")
+        return CellMatrix(cells, self.n_rows, self.n_cols)
 
 
 @dataclass(frozen=True)
@@ -67,7 +69,7 @@ class BandMatrix:
     width: int
 
     def cells(self) -> CellMatrix:
-        spread = self.df.select("i", "band", F.posexplode("vec").alias("pos", "v"))
+        spread = self.df.select("i", "band", F.posexplode_outer("vec").alias("pos", "v"))
         j = F.col("band") * F.lit(self.width).cast("bigint") + F.col("pos")
         out = spread.select("i", j.alias("j"), "v").filter(F.col("j") < self.n_cols)
         return CellMatrix(out, self.n_rows, self.n_cols)
@@ -83,7 +85,8 @@ class BandMatrix:
                 F.flatten(F.transform(parts, lambda p: p["vec"])).alias("vec")
             )
         vec = F.slice("vec", 1, self.n_cols)
-        return VectorMatrix(whole.select("id", vec.alias("vec")), self.n_rows, self.n_cols)
+        rows = whole.select("id", vec.alias("vec"))
+        return VectorMatrix(rows, self.n_rows, self.n_cols, complete=True)
 
 
 Matrix = CellMatrix | VectorMatrix | BandMatrix

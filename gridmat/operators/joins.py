@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from gridmat.functions.coords import block_of, each_block, n_blocks
+from gridmat.functions.coords import block_of, each_block, n_blocks, square_edges
 from gridmat.matrix import Matrix, check_product_shape
+from gridmat.operators.ordering import slots
 
 # Products that one k may form before it is spread over several tasks.
 LIGHT_PRODUCTS = 4_000_000
@@ -17,6 +18,9 @@ LIGHT_PRODUCTS = 4_000_000
 MAX_HEAVY = 10_000
 # Cells that may be sent to every executor (about 24 bytes each as raw data).
 BROADCAST_CELLS = 500_000
+# Largest work unit of the grid: so many rows or columns, so many values of k.
+LONGEST_EDGE = 1024
+LONGEST_DEPTH = 65_536
 
 
 def _sides(a: Matrix, b: Matrix) -> tuple[DataFrame, DataFrame]:
@@ -140,15 +144,21 @@ def grid_cells(
     return left, right
 
 
+def grid_edges(a: Matrix, b: Matrix) -> tuple[int, int, int]:
+    """Default ``(row_edge, depth, col_edge)``: about two output blocks per slot."""
+    rows, cols = square_edges(a.n_rows, b.n_cols, 2 * slots(a.df), LONGEST_EDGE)
+    return rows, LONGEST_DEPTH, cols
+
+
 def row_col_join(
-    a: Matrix, b: Matrix, row_edge: int = 1024, depth: int = 65_536, col_edge: int = 1024
+    a: Matrix, b: Matrix, edges: tuple[int, int, int] | None = None
 ) -> DataFrame:
     """Rows of A against columns of B, output block by output block.
 
     Returns ``(bi, bj, bk, i, j, k, a, b)``, partitioned by ``(bi, bj, bk)``:
     whatever is grouped by those and more columns afterwards stays in place.
     """
-    left, right = grid_cells(a, b, row_edge, depth, col_edge)
+    left, right = grid_cells(a, b, *(edges or grid_edges(a, b)))
     unit = ["bi", "bj", "bk"]
     return left.repartition(*unit).join(right.repartition(*unit), [*unit, "k"])
 
@@ -201,6 +211,7 @@ __all__ = [
     "block_join_k",
     "block_sizes",
     "grid_cells",
+    "grid_edges",
     "heavy_keys",
     "k_join",
     "row_col_join",

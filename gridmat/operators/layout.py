@@ -137,7 +137,8 @@ def densify_rows(m: Matrix, all_rows: bool = False) -> VectorMatrix:
     )
     tail = F.greatest(F.lit(0), F.lit(m.n_cols) - F.size(filled))
     vec = F.concat(filled, F.array_repeat(F.lit(0.0), tail))
-    return VectorMatrix(rows.select("id", vec.alias("vec")), m.n_rows, m.n_cols)
+    dense = rows.select("id", vec.alias("vec"))
+    return VectorMatrix(dense, m.n_rows, m.n_cols, complete=all_rows)
 
 
 def row_lines(m: Matrix, all_rows: bool = False, span: int = LINE_SPAN) -> DataFrame:

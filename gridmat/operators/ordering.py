@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridmat.functions.coords import block_of
+from gridmat.functions.coords import block_of, n_blocks
 
 # Keys per counting band: what one task sorts to number its rows.
 BAND = 100_000
@@ -17,9 +17,20 @@ def sort_by_key(df: DataFrame, *keys: str) -> DataFrame:
     return df.orderBy(*keys)
 
 
-def sort_into_files(df: DataFrame, *keys: str) -> DataFrame:
-    """Range-partitioned and sorted: file n holds smaller keys than file n+1."""
-    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+def slots(df: DataFrame) -> int:
+    """Tasks that a shuffle of the session runs."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sort_into_files(df: DataFrame, key: str, n_keys: int, *then: str) -> DataFrame:
+    """Sorted, and cut so that file n holds smaller keys than file n+1.
+
+    The keys are known to be 0..n_keys-1, so each goes straight to its file.
+    A range partitioning would first run the whole input once more to sample it.
+    """
+    n_files = max(1, min(slots(df), n_keys))
+    file = block_of(F.col(key), n_blocks(max(1, n_keys), n_files)).cast("int")
+    return df.repartitionById(n_files, file).sortWithinPartitions(key, *then)
 
 
 def sort_rows(df: DataFrame, key: str = "i") -> DataFrame:

@@ -65,7 +65,7 @@ def matmul_opb_sparse_empty_k(t: Tables) -> DataFrame:
 @_query(_product_sql("R", "R", b_t=True))
 def matmul_opb_sparse_hot_k(t: Tables) -> DataFrame:
     r = t.flags()
-    return sparse_product.matmul_opb_sparse(r, r.T, light_products=1000).df
+    return sparse_product.matmul_opb_sparse(r, r.T, light_products=1000, max_heavy=20).df
 
 
 @_query(_product_sql("Q", "M"))
@@ -76,7 +76,7 @@ def matmul_ipb_sparse(t: Tables) -> DataFrame:
 @_query(_product_sql("H", "H", b_t=True))
 def matmul_ipb_sparse_blocks(t: Tables) -> DataFrame:
     h = t.high_quantities()
-    return sparse_product.matmul_ipb_sparse(h, h.T, row_edge=48, depth=700, col_edge=48).df
+    return sparse_product.matmul_ipb_sparse(h, h.T, edges=(64, 900, 64)).df
 
 
 @_query(_product_sql("Q", "M"))
@@ -260,7 +260,7 @@ def k_join(t: Tables) -> DataFrame:
 )
 def k_join_hot(t: Tables) -> DataFrame:
     r = t.flags()
-    return joins.k_join(r, r.T, light_products=500)
+    return joins.k_join(r, r.T, light_products=1000, max_heavy=20)
 
 
 @_query(
@@ -271,9 +271,7 @@ def k_join_hot(t: Tables) -> DataFrame:
     )
 )
 def row_col_join(t: Tables) -> DataFrame:
-    pairs = joins.row_col_join(
-        t.high_quantities(), t.months(), row_edge=32, depth=100_000, col_edge=5
-    )
+    pairs = joins.row_col_join(t.high_quantities(), t.months(), edges=(32, 10_000_000, 5))
     return pairs.groupBy("bi", "bj", "bk", "i", "j").agg(F.count(F.lit(1)).alias("shared")).drop("bk")
 
 

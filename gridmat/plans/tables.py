@@ -21,12 +21,15 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._extents: dict[str, int] = {}
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def _extent(self, table: str, key: str) -> int:
-        return self.read(table).agg(F.max(key)).first()[0] + 1
+        if key not in self._extents:
+            self._extents[key] = self.read(table).agg(F.max(key)).first()[0] + 1
+        return self._extents[key]
 
     def n_suppliers(self) -> int:
         return self._extent("supplier", "s_suppkey")

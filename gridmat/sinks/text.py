@@ -1,9 +1,9 @@
 """Writing matrices as text.
 
 Every writer replaces the output folder by default and takes ``compression``
-(such as ``"gzip"``). Lines are range-partitioned by id and sorted inside each
-file, so reading the part files in name order gives the ids in order, without
-one task ever holding the whole output.
+(such as ``"gzip"``). Every file holds one run of ids, sorted, so reading the
+part files in name order gives the ids in order, without one task ever holding
+the whole output.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmat.functions.text import SEPARATOR, dense_line
+from gridmat.functions.text import dense_line
 from gridmat.matrix import BandMatrix, Matrix, VectorMatrix
 from gridmat.operators.layout import densify_rows, row_lines, sparse_lines, to_csc, to_csr
 from gridmat.operators.ordering import sort_into_files
@@ -25,26 +25,25 @@ def _save(lines: DataFrame, path: str, compression: str | None, mode: str) -> No
 
 
 def as_rows(m: Matrix) -> VectorMatrix:
-    """The rows of any matrix as dense vectors."""
+    """All rows of the shape as dense vectors, rows without a value as zeros."""
     if isinstance(m, BandMatrix):
         return m.rows()
-    if isinstance(m, VectorMatrix) and m.by == "row":
+    if not isinstance(m, VectorMatrix) or m.by == "col":
+        return densify_rows(m, all_rows=True)
+    if m.complete:
         return m
-    return densify_rows(m)
+    # Every row once more without a vector; max() takes the vector where there is one.
+    kind = m.df.schema["vec"].dataType
+    blank = m.df.sparkSession.range(m.n_rows).select("id", F.lit(None).cast(kind).alias("vec"))
+    zeros = F.array_repeat(F.lit(0.0), m.n_cols)
+    rows = m.df.unionByName(blank).groupBy("id").agg(F.coalesce(F.max("vec"), zeros).alias("vec"))
+    return VectorMatrix(rows, m.n_rows, m.n_cols, complete=True)
 
 
 def dense_lines(m: Matrix, rounding: str = "exact") -> DataFrame:
-    """Result text of every row of the shape, in files by row number: ``(id, line)``.
-
-    Rows that are not stored get a line of zeros, because a line's position is
-    all that tells its row. They are merged in after the one shuffle.
-    """
-    rows = as_rows(m).df.select("id", dense_line(F.col("vec"), rounding).alias("line"))
-    every = rows.sparkSession.range(m.n_rows).select("id", F.lit(None).cast("string").alias("line"))
-    zeros = F.repeat(F.lit("0.000" + SEPARATOR), F.lit(m.n_cols))
-    in_files = rows.unionByName(every).repartitionByRange("id")
-    whole = in_files.groupBy("id").agg(F.coalesce(F.max("line"), zeros).alias("line"))
-    return whole.sortWithinPartitions("id")
+    """Result text of every row of the shape, in files by row number: ``(id, line)``."""
+    rows = sort_into_files(as_rows(m).df, "id", m.n_rows)
+    return rows.select("id", dense_line(F.col("vec"), rounding).alias("line"))
 
 
 def write_dense_text(
@@ -67,21 +66,21 @@ def write_row_text(
 ) -> None:
     """``rowId v v 0 v `` per row, values unrounded, missing cells as ``0``."""
     lines = row_lines(m, all_rows=all_rows)
-    _save(sort_into_files(lines, "id"), path, compression, mode)
+    _save(sort_into_files(lines, "id", m.n_rows), path, compression, mode)
 
 
 def write_csr(
     m: Matrix, path: str, compression: str | None = None, mode: str = "overwrite"
 ) -> None:
     lines = sparse_lines(to_csr(m))
-    _save(sort_into_files(lines, "id", "part"), path, compression, mode)
+    _save(sort_into_files(lines, "id", m.n_rows, "part"), path, compression, mode)
 
 
 def write_csc(
     m: Matrix, path: str, compression: str | None = None, mode: str = "overwrite"
 ) -> None:
     lines = sparse_lines(to_csc(m))
-    _save(sort_into_files(lines, "id", "part"), path, compression, mode)
+    _save(sort_into_files(lines, "id", m.n_cols, "part"), path, compression, mode)
 
 
 def write_sparse_pair(a: Matrix, b: Matrix, path: str, method: str, **options) -> tuple[str, str]:

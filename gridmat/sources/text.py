@@ -18,6 +18,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridmat.functions import arrays
 from gridmat.functions.text import MISSING, check_mode, parse_double, tokens
@@ -31,7 +32,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     ids of ``monotonically_increasing_id`` are consecutive, so a line's number
     is its id, minus the split's first id, plus the lines before the split.
     The lines themselves are never shuffled or sorted; only one row per split
-    is aggregated, prefix-summed within its file and joined back.
+    is aggregated, prefix-summed and joined back.
     """
     scan = spark.read.text(path).select(
         "value",
@@ -42,20 +43,9 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     splits = scan.groupBy("file", "start").agg(
         F.min("mid").alias("first_mid"), F.count(F.lit(1)).alias("n")
     )
-    in_file = (
-        "sum(n) over (partition by file order by start "
-        "rows between unbounded preceding and current row) - n"
-    )
-    # One row per file: the list of input files, which planning a scan holds too.
-    over_files = (
-        "sum(n) over (order by file rows between unbounded preceding and current row) - n"
-    )
-    files = splits.groupBy("file").agg(F.sum("n").alias("n"))
-    offsets = (
-        splits.select("file", "start", "first_mid", F.expr(in_file).alias("in_file"))
-        .join(files.select("file", F.expr(over_files).alias("before")), "file")
-        .select("file", "start", (F.col("before") + F.col("in_file") - F.col("first_mid")).alias("shift"))
-    )
+    # One row per input split meets here: the list that planning the scan holds too.
+    before = F.sum("n").over(Window.orderBy("file", "start")) - F.col("n")
+    offsets = splits.select("file", "start", (before - F.col("first_mid")).alias("shift"))
     return scan.join(offsets, ["file", "start"]).select(
         (F.col("mid") + F.col("shift")).alias("line_no"), F.col("value").alias("line")
     )

@@ -118,35 +118,36 @@ def small_enough(m: Matrix, max_cells: int = BROADCAST_CELLS) -> bool:
     return m.cells().df.count() <= max_cells
 
 
-def grid_cells(
+def grid_vectors(
     a: Matrix, b: Matrix, row_edge: int, depth: int, col_edge: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Cells of both operands, copied to every output block that needs them.
+    """Block columns of A and block rows of B, copied to the units that need them.
 
-    A work unit is ``(bi, bj, bk)``: one output block and one run of ``depth``
-    values of k. A unit never gets more than ``row_edge * depth`` cells of A
-    and ``depth * col_edge`` of B, however the cells are spread.
+    A unit ``(bi, bj, bk)`` is one output block and one run of ``depth``
+    values of k. ``xs`` are the cells of A in row block ``bi`` under one k,
+    ``ys`` those of B in column block ``bj``: at most ``row_edge`` and
+    ``col_edge`` cells, however they are spread. They are gathered before they
+    are copied, so the copies are few compact rows.
     """
     check_product_shape(a, b)
     left, right = _sides(a, b)
-    left = left.select(
-        block_of(F.col("i"), row_edge).alias("bi"),
-        block_of(F.col("k"), depth).alias("bk"),
-        "i", "k", "a",
-        each_block(n_blocks(b.n_cols, col_edge)).alias("bj"),
+    bk = block_of(F.col("k"), depth).alias("bk")
+    xs = left.groupBy(block_of(F.col("i"), row_edge).alias("bi"), "k").agg(
+        F.collect_list(F.struct("i", "a")).alias("xs")
     )
-    right = right.select(
-        each_block(n_blocks(a.n_rows, row_edge)).alias("bi"),
-        block_of(F.col("j"), col_edge).alias("bj"),
-        block_of(F.col("k"), depth).alias("bk"),
-        "k", "j", "b",
+    ys = right.groupBy(block_of(F.col("j"), col_edge).alias("bj"), "k").agg(
+        F.collect_list(F.struct("j", "b")).alias("ys")
+    )
+    n_bi, n_bj = n_blocks(a.n_rows, row_edge), n_blocks(b.n_cols, col_edge)
+    return (
+        xs.select("bi", each_block(n_bj).alias("bj"), bk, "k", "xs"),
+        ys.select(each_block(n_bi).alias("bi"), "bj", bk, "k", "ys"),
     )
-    return left, right
 
 
 def grid_edges(a: Matrix, b: Matrix) -> tuple[int, int, int]:
-    """Default ``(row_edge, depth, col_edge)``: about two output blocks per slot."""
-    rows, cols = square_edges(a.n_rows, b.n_cols, 2 * slots(a.df), LONGEST_EDGE)
+    """Default ``(row_edge, depth, col_edge)``: about one output block per slot."""
+    rows, cols = square_edges(a.n_rows, b.n_cols, slots(a.df), LONGEST_EDGE)
     return rows, LONGEST_DEPTH, cols
 
 
@@ -157,10 +158,22 @@ def row_col_join(
 
     Returns ``(bi, bj, bk, i, j, k, a, b)``, partitioned by ``(bi, bj, bk)``:
     whatever is grouped by those and more columns afterwards stays in place.
+
+    Both operands reach their unit in one shuffle and meet under their k there.
+    A join on unit and k would spread a unit over tasks by k and need another
+    shuffle to sum it.
     """
-    left, right = grid_cells(a, b, *(edges or grid_edges(a, b)))
+    left, right = grid_vectors(a, b, *(edges or grid_edges(a, b)))
     unit = ["bi", "bj", "bk"]
-    return left.repartition(*unit).join(right.repartition(*unit), [*unit, "k"])
+    both = left.unionByName(right, allowMissingColumns=True)
+    met = (
+        both.repartition(*unit)
+        .groupBy(*unit, "k")
+        .agg(F.any_value("xs", F.lit(True)).alias("xs"), F.any_value("ys", F.lit(True)).alias("ys"))
+    )
+    return met.select(*unit, "k", "ys", F.inline("xs")).select(
+        *unit, "i", "k", "a", F.inline("ys")
+    )
 
 
 def sparse_intersect(a: Matrix, b: Matrix) -> DataFrame:
@@ -210,8 +223,8 @@ __all__ = [
     "block_join_cross",
     "block_join_k",
     "block_sizes",
-    "grid_cells",
     "grid_edges",
+    "grid_vectors",
     "heavy_keys",
     "k_join",
     "row_col_join",

@@ -26,6 +26,20 @@ def square_edges(n_rows: int, n_cols: int, units: int, longest: int) -> tuple[in
     return row_edge, col_edge
 
 
+def cube_edges(
+    n_rows: int, inner: int, n_cols: int, units: int, longest: int, deepest: int
+) -> tuple[int, int, int]:
+    """Edges of near-cubic work units, about ``units`` of them.
+
+    Cubes move the least: a unit takes in two faces and gives out one, for a
+    volume of multiplications. Sides that are too short for that stay whole.
+    """
+    side = round((n_rows * inner * n_cols / max(1, units)) ** (1 / 3))
+    depth = max(1, min(inner, side, deepest))
+    rows, cols = square_edges(n_rows, n_cols, units // n_blocks(inner, depth), longest)
+    return rows, depth, cols
+
+
 def block_of(index: Column, edge: int) -> Column:
     """Block number of a 0-based index: contiguous strips of ``edge``."""
     return F.call_function("div", index, F.lit(edge))

@@ -37,11 +37,11 @@ def matmul(
         is_sparse = sparsity > 0
     if method == "auto":
         if not is_sparse:
-            return dense.matmul_ipb_dense(a, b, **options)
+            return dense.matmul_blocks(a, b, **options)
         full = a.n_rows * b.n_cols
         if product_count(a, b) <= BLOCK_FROM * full:
             return sparse.matmul_opb_sparse(a, b, **options)
-        return dense.matmul_ipb_dense(a, b, **options)
+        return dense.matmul_blocks(a, b, **options)
     if is_sparse:
         run = {
             "naive": sparse.matmul_naive_sparse,

@@ -43,11 +43,6 @@ def _product_sql(a: str, b: str, a_t: bool = False, b_t: bool = False) -> str:
     )
 
 
-# Edges of the dense work units in these queries: small enough that the test
-# tables give several units in every direction, with ragged last ones.
-_DENSE_EDGES = (48, 256, 48)
-_WIDE_EDGES = (256, 64, 256)
-
 # ---------------------------------------------------------------- products
 
 
@@ -105,7 +100,7 @@ def matmul_opb_dense(t: Tables) -> DataFrame:
 @_query(_product_sql("E", "E", b_t=True))
 def matmul_ipb_dense_wide(t: Tables) -> DataFrame:
     e = t.embeddings()
-    return dense_product.matmul_ipb_dense(e, e.T, _WIDE_EDGES).cells().df
+    return dense_product.matmul_ipb_dense(e, e.T).cells().df
 
 
 @_query(_product_sql("H", "M"))
@@ -116,7 +111,7 @@ def matmul_auto(t: Tables) -> DataFrame:
 @_query(_product_sql("E", "E", a_t=True))
 def matmul_auto_dense(t: Tables) -> DataFrame:
     e = t.embeddings()
-    return matmul(e.T, e, method="auto", edges=_DENSE_EDGES).cells().df
+    return matmul(e.T, e, method="auto").cells().df
 
 
 _LINES_OF_PRODUCT = with_matrices(

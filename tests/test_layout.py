@@ -99,6 +99,16 @@ def test_square_edges(n, m, units, longest):
     assert coords.n_blocks(n, r) * coords.n_blocks(m, c) >= min(units, n * m) / 2
 
 
+@pytest.mark.parametrize("n, k, m", [
+    (64, 2000, 64), (2000, 64, 2000), (1, 1, 1), (10**9, 10**9, 10**9), (10**9, 5, 7), (3, 10**9, 3),
+])
+def test_cube_edges(n, k, m):
+    r, d, c = coords.cube_edges(n, k, m, 16, 2000, 4000)
+    assert 1 <= r <= min(n, 2000) and 1 <= d <= min(k, 4000) and 1 <= c <= min(m, 2000)
+    units = coords.n_blocks(n, r) * coords.n_blocks(k, d) * coords.n_blocks(m, c)
+    assert units >= min(8, n * k * m)
+
+
 # -------------------------------------------------------------------- layouts
 
 

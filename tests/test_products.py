@@ -22,6 +22,7 @@ DENSE = {
     "ipb": dense.matmul_ipb_dense,
     "ipb blocks": lambda a, b: dense.matmul_ipb_dense(a, b, (3, 100, 4)),
     "ipb strips": lambda a, b: dense.matmul_ipb_dense(a, b, (2, 2, 5)),
+    "blocks": dense.matmul_blocks,
     "opb": dense.matmul_opb_dense,
     "opb strips": lambda a, b: dense.matmul_opb_dense(a, b, (4, 1, 9)),
     "naive": dense.matmul_naive_dense,
@@ -94,6 +95,15 @@ def test_many_strips_are_summed_once_per_block(spark):
     assert np.array_equal(array_of(c), a @ b)
 
 
+def test_sums_inside_tasks_come_first(spark):
+    """More strips than tasks: each task adds up its own parts before the shuffle."""
+    rng = np.random.default_rng(7)
+    a, b = rng.integers(0, 9, (4, 90)), rng.integers(0, 9, (90, 3))
+    c = dense.matmul_opb_dense(vectors_of(spark, a), vectors_of(spark, b), (3, 1, 2))
+    assert c.df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+    assert np.array_equal(array_of(c), a @ b)
+
+
 def test_partial_sums_over_small_batches(spark):
     """Parts of one sum arrive in several batches of the summing task."""
     rng = np.random.default_rng(6)

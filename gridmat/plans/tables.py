@@ -40,7 +40,8 @@ class Tables:
     def embeddings(self) -> VectorMatrix:
         """E: vectors by id, dense."""
         table = self.read("embeddings")
-        n, width = table.agg(F.max("vec_id") + 1, F.max(F.size("embedding"))).first()
+        # All vectors have one width; from_vectors fails on a longer one.
+        n, width = self._extent("embeddings", "vec_id"), table.select(F.size("embedding")).first()[0]
         scaled = F.transform(
             "embedding", lambda x: F.floor(x.cast("double") * F.lit(1000.0)).cast("double")
         )

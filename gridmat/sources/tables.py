@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridmat.functions import arrays
 from gridmat.matrix import CellMatrix, VectorMatrix
 
 
@@ -39,12 +40,17 @@ def from_vectors(
     shape: tuple[int, int],
     by: str = "row",
 ) -> VectorMatrix:
-    """Dense rows (or columns) that a table already holds as arrays."""
+    """Dense rows (or columns) that a table already holds as arrays.
+
+    A vector shorter than the shape counts as zero beyond its end; a longer
+    one fails the job.
+    """
     vectors = df.select(
         _column(id).cast("bigint").alias("id"),
         _column(vec).cast("array<double>").alias("vec"),
     )
-    return VectorMatrix(vectors, *shape, by=by)
+    fitted = arrays.fit(F.col("vec"), shape[1] if by == "row" else shape[0])
+    return VectorMatrix(vectors.select("id", fitted.alias("vec")), *shape, by=by)
 
 
 def shape_of(cells: DataFrame) -> tuple[int, int]:

@@ -30,34 +30,37 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
     Files count in path order, lines in file order. Within one input split the
     ids of ``monotonically_increasing_id`` are consecutive, so a line's number
-    is its id, minus the split's first id, plus the lines before the split.
-    The lines themselves are never shuffled or sorted; only one row per split
-    is aggregated, prefix-summed and joined back.
+    is its id plus a shift that its split determines. The lines themselves are
+    never shuffled or sorted: a first pass counts them by split, and the
+    shifts, a few bytes for every split that planning the scan lists anyway,
+    are sent to all tasks.
     """
-    scan = spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("mid"),
+    mid = F.monotonically_increasing_id().alias("mid")
+    text = spark.read.text(path)
+    splits = (
+        text.select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("start"),
+            mid,
+        )
+        .groupBy("file", "start")
+        .agg(F.min("mid").alias("first"), F.count(F.lit(1)).alias("n"))
     )
-    splits = scan.groupBy("file", "start").agg(
-        F.min("mid").alias("first_mid"), F.count(F.lit(1)).alias("n")
-    )
-    # One row per input split meets here: the list that planning the scan holds too.
     before = F.sum("n").over(Window.orderBy("file", "start")) - F.col("n")
-    offsets = splits.select("file", "start", (before - F.col("first_mid")).alias("shift"))
-    return scan.join(offsets, ["file", "start"]).select(
-        (F.col("mid") + F.col("shift")).alias("line_no"), F.col("value").alias("line")
+    shifts = splits.select("first", (before - F.col("first")).alias("shift"))
+    # The upper bits of an id are the number of the task, which may read several splits.
+    of_tasks = shifts.groupBy(_task_of("first").alias("task")).agg(
+        F.sort_array(F.collect_list(F.struct("first", "shift"))).alias("splits")
+    )
+    lines = text.select(F.col("value").alias("line"), mid)
+    own = F.element_at(F.filter("splits", lambda s: s["first"] <= F.col("mid")), -1)
+    return lines.join(F.broadcast(of_tasks), _task_of("mid") == F.col("task")).select(
+        (F.col("mid") + own["shift"]).alias("line_no"), "line"
     )
 
 
-def _fit(values: Column, width: int, mode: str) -> Column:
-    """Pad short rows with zeros; a row longer than the shape is an error."""
-    fitted = F.slice(arrays.pad_to(values, width), 1, width)
-    if mode == "permissive":
-        return fitted
-    too_long = F.raise_error(F.lit(f"row holds more than {width} values"))
-    return F.when(F.size(values) > width, too_long).otherwise(fitted)
+def _task_of(mid: str) -> Column:
+    return F.shiftright(mid, 33)
 
 
 def _numbers(texts: Column, mode: str) -> Column:
@@ -72,10 +75,9 @@ def read_dense(
     """Dense rows without an id; the line number is the row number."""
     check_mode(mode)
     values = _numbers(tokens(F.col("line")), mode)
-    rows = numbered_lines(spark, path).select(
-        F.col("line_no").alias("id"), _fit(values, shape[1], mode).alias("vec")
-    )
-    return VectorMatrix(rows, *shape)
+    rows = numbered_lines(spark, path).select(F.col("line_no").alias("id"), values.alias("vec"))
+    fitted = arrays.fit(F.col("vec"), shape[1], cut=mode == "permissive")
+    return VectorMatrix(rows.select("id", fitted.alias("vec")), *shape)
 
 
 def _id_and_rest(spark: SparkSession, path: str) -> DataFrame:

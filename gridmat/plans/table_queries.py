@@ -165,7 +165,7 @@ def matmul_text_dense(t: Tables) -> DataFrame:
     a, b = sources.read_pair(
         spark, f"{root}/A", f"{root}/B", (e.n_cols, e.n_rows), (e.n_rows, e.n_cols)
     )
-    c = matmul(a, b, method="OPB", sparsity=0, edges=(40, 300, 40))
+    c = matmul(a, b, method="OPB", sparsity=0)
     sinks.write_dense_text(c, f"{root}/C")
     return sources.numbered_lines(spark, f"{root}/C")
 

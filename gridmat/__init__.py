@@ -2,5 +2,6 @@
 
 from gridmat.matrix import BandMatrix, CellMatrix, VectorMatrix
 from gridmat.plans.matmul import matmul
+from gridmat.plans.scratch import keep
 
-__all__ = ["BandMatrix", "CellMatrix", "VectorMatrix", "matmul"]
+__all__ = ["BandMatrix", "CellMatrix", "VectorMatrix", "keep", "matmul"]

@@ -5,6 +5,8 @@ Every pairing is an equi-join; none is a cross join.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -29,20 +31,26 @@ def _sides(a: Matrix, b: Matrix) -> tuple[DataFrame, DataFrame]:
     return left, right
 
 
-def heavy_keys(
+@dataclass(frozen=True)
+class ProductCounts:
+    """How many scalar products a multiplication forms, and under which k."""
+
+    total: int
+    # (k, cells in column k of A, cells in row k of B), most products first
+    largest: list[tuple[int, int, int]]
+
+
+def count_products(
     a: Matrix,
     b: Matrix,
     light_products: int = LIGHT_PRODUCTS,
     max_heavy: int = MAX_HEAVY,
-) -> DataFrame | None:
-    """The k whose products are too many for one task, with their salts.
-
-    ``(k, cuts_a, cuts_b)``: column k of A is to be cut into ``cuts_a`` parts
-    and row k of B into ``cuts_b``. A k is heavy when it forms more than
-    ``light_products`` and more than a ``1/max_heavy`` share of all products,
-    so there are fewer than ``max_heavy`` of them, and the table is small
-    whatever the data. One aggregation job finds them and the total.
+) -> ProductCounts:
+    """Total of the products and the up to ``max_heavy`` largest k above ``light_products``.
+
+    One job over the cell counts by k; only the named k come to the driver.
     """
+    check_product_shape(a, b)
     left, right = _sides(a, b)
     per_k = (
         left.groupBy("k")
@@ -50,28 +58,40 @@ def heavy_keys(
         .join(right.groupBy("k").agg(F.count(F.lit(1)).alias("n_b")), "k")
         .select("k", "n_a", "n_b", (F.col("n_a") * F.col("n_b")).alias("products"))
     )
-    totals = Observation()
-    seen = per_k.observe(totals, F.sum("products").alias("total"))
-    # The largest max_heavy keys contain every key above a 1/max_heavy share.
+    seen = Observation()
     largest = (
-        seen.filter(F.col("products") > light_products)
+        per_k.observe(seen, F.sum("products").alias("total"), F.count(F.lit(1)).alias("keys"))
+        .filter(F.col("products") > light_products)
         .orderBy(F.desc("products"))
         .limit(max_heavy)
         .collect()
     )
-    if not largest:
-        return None
-    share = max(light_products, totals.get["total"] // max_heavy)
-    salts = []
-    for row in largest:
-        if row["products"] > share:
-            cuts = n_blocks(row["products"], share)
-            cuts_a = min(row["n_a"], max(1, round((cuts * row["n_a"] / row["n_b"]) ** 0.5)))
-            cuts_b = min(row["n_b"], n_blocks(cuts, cuts_a))
-            salts.append((row["k"], cuts_a, cuts_b))
-    if not salts:
-        return None
-    return left.sparkSession.createDataFrame(salts, "k bigint, cuts_a bigint, cuts_b bigint")
+    return ProductCounts(
+        seen.get.get("total") or 0, [(r["k"], r["n_a"], r["n_b"]) for r in largest]
+    )
+
+
+def heavy_cuts(
+    counts: ProductCounts,
+    light_products: int = LIGHT_PRODUCTS,
+    max_heavy: int = MAX_HEAVY,
+) -> list[tuple[int, int, int]]:
+    """The k whose products are too many for one task: ``(k, cuts_a, cuts_b)``.
+
+    Column k of A is to be cut into ``cuts_a`` parts and row k of B into
+    ``cuts_b``. A k is heavy when it forms more than ``light_products`` and
+    more than a ``1/max_heavy`` share of all products. Fewer than ``max_heavy``
+    keys can, so all of them are among the largest that were counted, and the
+    list is short whatever the data.
+    """
+    share = max(light_products, counts.total // max_heavy)
+    cuts = []
+    for k, n_a, n_b in counts.largest:
+        parts = n_blocks(n_a * n_b, share)
+        if parts > 1:
+            cuts_a = min(n_a, max(1, round((parts * n_a / n_b) ** 0.5)))
+            cuts.append((k, cuts_a, min(n_b, n_blocks(parts, cuts_a))))
+    return cuts
 
 
 def k_join(
@@ -79,6 +99,7 @@ def k_join(
     b: Matrix,
     light_products: int = LIGHT_PRODUCTS,
     max_heavy: int = MAX_HEAVY,
+    counts: ProductCounts | None = None,
 ) -> DataFrame:
     """Cells of A and B that share k: ``(i, k, j, a, b)``.
 
@@ -89,23 +110,25 @@ def k_join(
     """
     check_product_shape(a, b)
     left, right = _sides(a, b)
-    if a.n_rows * b.n_cols <= light_products:
+    cuts = []
+    if a.n_rows * b.n_cols > light_products:
+        counts = counts or count_products(a, b, light_products, max_heavy)
+        cuts = heavy_cuts(counts, light_products, max_heavy)
+    if not cuts:
         return left.join(right, "k").select("i", "k", "j", "a", "b")
-    salts = heavy_keys(a, b, light_products, max_heavy)
-    if salts is None:
-        return left.join(right, "k").select("i", "k", "j", "a", "b")
-    one = F.lit(1).cast("bigint")
-    cuts_a, cuts_b = F.coalesce("cuts_a", one), F.coalesce("cuts_b", one)
-    zero = F.lit(0).cast("bigint")
-    salted_left = left.join(F.broadcast(salts), "k", "left").select(
-        "i", "k", "a", F.pmod(F.xxhash64("i"), cuts_a).alias("p"),
-        F.explode(F.sequence(zero, cuts_b - 1)).alias("q"),
+    table = left.sparkSession.createDataFrame(cuts, "k bigint, cuts_a bigint, cuts_b bigint")
+    cuts_a, cuts_b = (F.coalesce(c, F.lit(1).cast("bigint")) for c in ("cuts_a", "cuts_b"))
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+
+    cut_left = left.join(F.broadcast(table), "k", "left").select(
+        "i", "k", "a", F.pmod(F.xxhash64("i"), cuts_a).alias("p"), every(cuts_b).alias("q")
     )
-    salted_right = right.join(F.broadcast(salts), "k", "left").select(
-        "k", "j", "b", F.explode(F.sequence(zero, cuts_a - 1)).alias("p"),
-        F.pmod(F.xxhash64("j"), cuts_b).alias("q"),
+    cut_right = right.join(F.broadcast(table), "k", "left").select(
+        "k", "j", "b", every(cuts_a).alias("p"), F.pmod(F.xxhash64("j"), cuts_b).alias("q")
     )
-    return salted_left.join(salted_right, ["k", "p", "q"]).select("i", "k", "j", "a", "b")
+    return cut_left.join(cut_right, ["k", "p", "q"]).select("i", "k", "j", "a", "b")
 
 
 def small_enough(m: Matrix, max_cells: int = BROADCAST_CELLS) -> bool:
@@ -220,12 +243,14 @@ def block_join_cross(a: Matrix, b: Matrix, row_edge: int, depth: int, col_edge:
 
 
 __all__ = [
+    "ProductCounts",
     "block_join_cross",
     "block_join_k",
     "block_sizes",
+    "count_products",
     "grid_edges",
     "grid_vectors",
-    "heavy_keys",
+    "heavy_cuts",
     "k_join",
     "row_col_join",
     "small_enough",

@@ -77,7 +77,9 @@ def block_load(
         left = F.lit(total).cast("bigint") - F.col(block) * F.lit(edge).cast("bigint")
         return F.least(F.lit(edge).cast("bigint"), left)
 
-    r, k, c = extent("bi", row_edge, a.n_rows), extent("bk", depth, a.n_cols), extent("bj", col_edge, b.n_cols)
+    r = extent("bi", row_edge, a.n_rows)
+    k = extent("bk", depth, a.n_cols)
+    c = extent("bj", col_edge, b.n_cols)
     strips = n_blocks(a.n_cols, depth)
     sized = units.select(
         "bi", "bk", "bj", "n_a", "n_b",
@@ -89,13 +91,3 @@ def block_load(
         F.col("reduce_cells") * BYTES_PER_CELL > budget
     )
     return sized.withColumn("over_budget", over)
-
-
-def product_count(a: Matrix, b: Matrix) -> int:
-    """Scalar products a multiplication forms: sum over k of column size times
-    row size. One job over two small-keyed aggregates."""
-    check_product_shape(a, b)
-    left = a.cells().df.groupBy(F.col("j").alias("k")).agg(F.count(F.lit(1)).alias("x"))
-    right = b.cells().df.groupBy(F.col("i").alias("k")).agg(F.count(F.lit(1)).alias("y"))
-    total = left.join(right, "k").agg(F.sum(F.col("x") * F.col("y"))).first()[0]
-    return total or 0

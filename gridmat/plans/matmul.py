@@ -5,7 +5,7 @@ from __future__ import annotations
 from gridmat.matrix import CellMatrix, Matrix, check_product_shape
 from gridmat.operators import dense_product as dense
 from gridmat.operators import sparse_product as sparse
-from gridmat.operators.profile import product_count
+from gridmat.operators.joins import count_products
 
 METHODS = ("naive", "IPB", "OPB", "auto")
 
@@ -38,9 +38,12 @@ def matmul(
     if method == "auto":
         if not is_sparse:
             return dense.matmul_blocks(a, b, **options)
-        full = a.n_rows * b.n_cols
-        if product_count(a, b) <= BLOCK_FROM * full:
+        if a.n_cols <= BLOCK_FROM:  # no cell can have more products than k has values
             return sparse.matmul_opb_sparse(a, b, **options)
+        limits = {k: options[k] for k in ("light_products", "max_heavy") if k in options}
+        counts = count_products(a, b, **limits)
+        if counts.total <= BLOCK_FROM * a.n_rows * b.n_cols:
+            return sparse.matmul_opb_sparse(a, b, counts=counts, **options)
         return dense.matmul_blocks(a, b, **options)
     if is_sparse:
         run = {

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from gridmat.matrix import Matrix
+
 _SETTING = "spark.checkpoint.dir"
 _local_root: str | None = None
 
@@ -26,3 +29,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             _local_root = tempfile.mkdtemp(prefix="run-")
         root = _local_root
     return f"{root.rstrip('/')}/gridmat/{label}-{uuid.uuid4().hex}"
+
+
+def keep(m: Matrix, label: str = "matrix") -> Matrix:
+    """The matrix written out as a table and read back.
+
+    Worth it before a matrix is used several times, as an operand that is
+    counted and then multiplied, or one of a chain of products: what led to it
+    is computed once, and a lost executor costs no more than a read.
+    """
+    spark = m.df.sparkSession
+    path = scratch_path(spark, label)
+    m.df.write.parquet(path)
+    return dataclasses.replace(m, df=spark.read.schema(m.df.schema).parquet(path))

@@ -521,9 +521,11 @@ def split_pairs(t: Tables) -> DataFrame:
 @_query(with_matrices("E", "select i as id, j // 24 as r, j % 24 as pos, v from E"))
 def slice_rows(t: Tables) -> DataFrame:
     """A vector seen as a row-major block of width 24, cut into rows."""
-    rows = t.embeddings().df.select("id", F.posexplode(arrays.rows_of_block(F.col("vec"), 24)).alias("r", "row"))
-    cells = rows.select("id", F.col("r").cast("bigint").alias("r"), F.posexplode("row").alias("pos", "v"))
-    return cells.withColumn("pos", F.col("pos").cast("bigint"))
+    block_rows = F.posexplode(arrays.rows_of_block(F.col("vec"), 24)).alias("r", "row")
+    spread = t.embeddings().df.select("id", block_rows).select(
+        "id", "r", F.posexplode("row").alias("pos", "v")
+    )
+    return spread.withColumns({c: F.col(c).cast("bigint") for c in ("r", "pos")})
 
 
 @_query(
@@ -675,15 +677,15 @@ def nnz(t: Tables) -> DataFrame:
 @_query(
     with_matrices(
         "H",
-        "select s.n_rows, p.n_cols, n.nnz, cast(n.nnz as double) / (cast(s.n_rows as double) * p.n_cols) as density, "
-        "r.used_rows, c.used_cols, r.max_row_nnz, c.max_col_nnz, r.avg_row_nnz, c.avg_col_nnz from "
+        "select s.n_rows, p.n_cols, n.nnz, "
+        "cast(n.nnz as double) / (cast(s.n_rows as double) * p.n_cols) as density, r.used_rows, c.used_cols, r.max_row_nnz, c.max_col_nnz, r.avg_row_nnz, c.avg_col_nnz from "
         "(select max(s_suppkey) + 1 as n_rows from supplier) s, "
         "(select max(p_partkey) + 1 as n_cols from part) p, "
         "(select count(*) as nnz from H) n, "
-        "(select count(*) as used_rows, max(x) as max_row_nnz, cast(sum(x) as double) / count(*) as avg_row_nnz "
-        " from (select count(*) as x from H group by i)) r, "
-        "(select count(*) as used_cols, max(x) as max_col_nnz, cast(sum(x) as double) / count(*) as avg_col_nnz "
-        " from (select count(*) as x from H group by j)) c",
+        "(select count(*) as used_rows, max(x) as max_row_nnz, "
+        "cast(sum(x) as double) / count(*) as avg_row_nnz from (select count(*) as x from H group by i)) r, "
+        "(select count(*) as used_cols, max(x) as max_col_nnz, "
+        "cast(sum(x) as double) / count(*) as avg_col_nnz from (select count(*) as x from H group by j)) c",
     )
 )
 def matrix_profile(t: Tables) -> DataFrame:
@@ -712,7 +714,9 @@ def block_load(t: Tables) -> DataFrame:
 @_query(
     with_matrices(
         "H",
-        "select row_number() over (order by id) - 1 as line_no, line from (" + _lines_sql("H", "j", "i") + ")",
+        "select row_number() over (order by id) - 1 as line_no, line from ("
+        + _lines_sql("H", "j", "i")
+        + ")",
     )
 )
 def sort_by_key(t: Tables) -> DataFrame:

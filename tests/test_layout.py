@@ -236,14 +236,6 @@ def test_count_as_a_by_product(spark):
     assert seen.get["nnz"] == (a != 0).sum()
 
 
-def test_product_count(spark):
-    a, b = random_pair(14)
-    want = int(((a != 0).sum(0) * (b != 0).sum(1)).sum())
-    assert profile.product_count(cells_of(spark, a), cells_of(spark, b)) == want
-    z = cells_of(spark, np.zeros((3, 3)))
-    assert profile.product_count(z, z) == 0
-
-
 def test_block_load(spark):
     a, b = np.ones((5, 7)), np.ones((7, 3))
     units = profile.block_load(cells_of(spark, a), cells_of(spark, b), 2, 4, 2, budget_bytes=160)

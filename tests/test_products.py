@@ -1,10 +1,15 @@
 """All multiplication strategies give the same answer."""
 
+import subprocess
+import sys
+
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 
-from gridmat import matmul
+from gridmat import keep, matmul
 from gridmat.operators import dense_product as dense
+from gridmat.operators import kernels
 from gridmat.operators import sparse_product as sparse
 from gridmat.operators.algebra import add
 from gridmat.sources import matrix_generate
@@ -158,3 +163,23 @@ def test_bad_arguments(spark):
             how(A, A)
     with pytest.raises(ValueError, match="shapes differ"):
         add(A, B)
+
+
+def test_kept_matrix(spark):
+    a, b = random_pair(15)
+    kept = keep(sparse.matmul_opb_sparse(cells_of(spark, a), cells_of(spark, b)))
+    plan = kept.df._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "Join" not in plan
+    assert np.array_equal(array_of(matmul(kept, kept.T, "OPB")), (a @ b) @ (a @ b).T)
+    bands = keep(dense.matmul_ipb_dense(vectors_of(spark, a), vectors_of(spark, b)))
+    assert np.array_equal(array_of(bands), a @ b)
+
+
+def test_kernels_need_no_package_on_executors():
+    """A process that cannot import the package can still load the kernels."""
+    code = cloudpickle.dumps((kernels.fill, kernels.block_multiply, kernels.add_runs))
+    load = "import pickle, sys; print(len(pickle.loads(sys.stdin.buffer.read())))"
+    done = subprocess.run(
+        [sys.executable, "-c", load], input=code, capture_output=True, cwd="/", check=True
+    )
+    assert done.stdout.strip() == b"3"

@@ -3,7 +3,13 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridmat.operators.joins import heavy_keys, k_join, row_col_join, small_enough
+from gridmat.operators.joins import (
+    count_products,
+    heavy_cuts,
+    k_join,
+    row_col_join,
+    small_enough,
+)
 from gridmat.operators.layout import from_entries, to_csc, to_csr
 from gridmat.operators.sparse_product import matmul_opb_sparse
 from helpers import array_of, cells_of
@@ -18,21 +24,38 @@ def hot_pair(n=60, k=40, m=50):
     return a, b
 
 
+def cuts_of(a, b, light, most=10_000):
+    return heavy_cuts(count_products(a, b, light, most), light, most)
+
+
 def test_hot_key_is_found_and_cut(spark):
     a, b = hot_pair()
-    salts = heavy_keys(cells_of(spark, a), cells_of(spark, b), light_products=100, max_heavy=30)
-    rows = {r["k"]: (r["cuts_a"], r["cuts_b"]) for r in salts.collect()}
-    assert 7 in rows
-    cuts_a, cuts_b = rows[7]
-    total = int(((a != 0).sum(0) * (b != 0).sum(1)).sum())
-    share = max(100, total // 30)
-    assert cuts_a * cuts_b >= 60 * 50 / share
+    counts = count_products(cells_of(spark, a), cells_of(spark, b), 100, 30)
+    assert counts.total == ((a != 0).sum(0) * (b != 0).sum(1)).sum()
+    assert counts.largest[0] == (7, 60, 50)
+    cuts = {k: (x, y) for k, x, y in heavy_cuts(counts, 100, 30)}
+    cuts_a, cuts_b = cuts[7]
+    assert cuts_a * cuts_b >= 60 * 50 / max(100, counts.total // 30)
     assert cuts_a > 1 and cuts_b > 1
 
 
 def test_no_heavy_key(spark):
     a, b = hot_pair()
-    assert heavy_keys(cells_of(spark, a), cells_of(spark, b), light_products=5000) is None
+    assert cuts_of(cells_of(spark, a), cells_of(spark, b), 5000) == []
+
+
+def test_every_heavy_key_is_among_the_largest(spark):
+    """More keys above the light limit than may be heavy: those left out are not heavy."""
+    a, b = np.ones((9, 40)), np.ones((40, 9))
+    counts = count_products(cells_of(spark, a), cells_of(spark, b), 10, 5)
+    assert counts.total == 9 * 9 * 40 and len(counts.largest) == 5
+    assert heavy_cuts(counts, 10, 5) == []
+
+
+def test_counts_of_nothing(spark):
+    z = cells_of(spark, np.zeros((3, 3)))
+    counts = count_products(z, z)
+    assert counts.total == 0 and heavy_cuts(counts) == []
 
 
 def test_cut_key_gives_every_pair_once(spark):
@@ -51,9 +74,8 @@ def test_one_sided_heat(spark):
     a, b = np.zeros((500, 3)), np.zeros((3, 2))
     a[:, 1], b[1, 0] = 2.0, 5.0
     A, B = cells_of(spark, a), cells_of(spark, b)
-    rows = heavy_keys(A, B, light_products=50, max_heavy=1000).collect()
-    assert [(r["k"], r["cuts_b"]) for r in rows] == [(1, 1)]
-    assert rows[0]["cuts_a"] >= 10
+    [(k, cuts_a, cuts_b)] = cuts_of(A, B, 50, 1000)
+    assert (k, cuts_b) == (1, 1) and cuts_a >= 10
     assert np.array_equal(array_of(matmul_opb_sparse(A, B, light_products=50)), a @ b)
 
 

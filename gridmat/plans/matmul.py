@@ -6,6 +6,7 @@ from gridmat.matrix import CellMatrix, Matrix, check_product_shape
 from gridmat.operators import dense_product as dense
 from gridmat.operators import sparse_product as sparse
 from gridmat.operators.joins import count_products
+from gridmat.operators.layout import drop_zeros
 
 METHODS = ("naive", "IPB", "OPB", "auto")
 
@@ -24,7 +25,8 @@ def matmul(
 
     ``sparsity`` is the declared percentage of zeros in A: above 0 the sparse
     form of the method runs, at 0 the dense one. Left out, cell matrices count
-    as sparse and matrices of dense vectors as dense. ``auto`` counts the
+    as sparse and matrices of dense vectors as dense. The zeros of dense vectors
+    are left out when they are multiplied as sparse ones. ``auto`` counts the
     products to be formed and takes the pairing of cells where they are few
     per output cell, dense blocks where they are many.
     """
@@ -35,6 +37,8 @@ def matmul(
         is_sparse = isinstance(a, CellMatrix)
     else:
         is_sparse = sparsity > 0
+    if is_sparse:
+        a, b = (m if isinstance(m, CellMatrix) else drop_zeros(m) for m in (a, b))
     if method == "auto":
         if not is_sparse:
             return dense.matmul_blocks(a, b, **options)

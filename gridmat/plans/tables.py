@@ -21,27 +21,33 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        self._extents: dict[str, int] = {}
+        self._suppliers_parts: tuple[int, int] | None = None
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def _extent(self, table: str, key: str) -> int:
-        if key not in self._extents:
-            self._extents[key] = self.read(table).agg(F.max(key)).first()[0] + 1
-        return self._extents[key]
-
-    def n_suppliers(self) -> int:
-        return self._extent("supplier", "s_suppkey")
+    def _shape(self) -> tuple[int, int]:
+        """Suppliers and parts, from one job over the two key columns."""
+        if self._suppliers_parts is None:
+            keys = [
+                self.read(table).select(F.lit(at).alias("at"), F.col(key).alias("key"))
+                for at, (table, key) in enumerate(
+                    [("supplier", "s_suppkey"), ("part", "p_partkey")]
+                )
+            ]
+            both = keys[0].unionByName(keys[1]).groupBy("at").agg(F.max("key") + 1)
+            self._suppliers_parts = tuple(n for _, n in sorted(both.collect()))
+        return self._suppliers_parts
 
     def n_parts(self) -> int:
-        return self._extent("part", "p_partkey")
+        return self._shape()[1]
 
     def embeddings(self) -> VectorMatrix:
         """E: vectors by id, dense."""
         table = self.read("embeddings")
         # All vectors have one width; from_vectors fails on a longer one.
-        n, width = self._extent("embeddings", "vec_id"), table.select(F.size("embedding")).first()[0]
+        n = table.agg(F.max("vec_id")).first()[0] + 1
+        width = table.select(F.size("embedding")).first()[0]
         scaled = F.transform(
             "embedding", lambda x: F.floor(x.cast("double") * F.lit(1000.0)).cast("double")
         )
@@ -49,14 +55,13 @@ class Tables:
 
     def quantities(self) -> CellMatrix:
         """Q: quantity by supplier and part."""
-        shape = (self.n_suppliers(), self.n_parts())
-        return from_table(self.read("lineitem"), "l_suppkey", "l_partkey", "l_quantity", shape)
+        lines = self.read("lineitem")
+        return from_table(lines, "l_suppkey", "l_partkey", "l_quantity", self._shape())
 
     def high_quantities(self) -> CellMatrix:
         """Qh: Q over large orders only; has empty columns."""
-        shape = (self.n_suppliers(), self.n_parts())
-        items = self.read("lineitem").filter(F.col("l_quantity") >= HIGH_QUANTITY)
-        return from_table(items, "l_suppkey", "l_partkey", "l_quantity", shape)
+        lines = self.read("lineitem").filter(F.col("l_quantity") >= HIGH_QUANTITY)
+        return from_table(lines, "l_suppkey", "l_partkey", "l_quantity", self._shape())
 
     def months(self) -> CellMatrix:
         """M: line count by part and month."""
@@ -66,16 +71,15 @@ class Tables:
 
     def flags(self) -> CellMatrix:
         """R: quantity by supplier and return flag; three hot columns."""
-        shape = (self.n_suppliers(), FLAG_CODES)
+        shape = (self._shape()[0], FLAG_CODES)
         return from_table(
             self.read("lineitem"), "l_suppkey", F.ascii("l_returnflag"), "l_quantity", shape
         )
 
     def discounts(self) -> CellMatrix:
         """D: discount in percent, less 5, by supplier and part; has zero cells."""
-        shape = (self.n_suppliers(), self.n_parts())
         percent = F.floor(F.col("l_discount") * F.lit(100.0) + F.lit(0.5)) - 5
-        return from_table(self.read("lineitem"), "l_suppkey", "l_partkey", percent, shape)
+        return from_table(self.read("lineitem"), "l_suppkey", "l_partkey", percent, self._shape())
 
 
 # The same matrices in SQL.

@@ -153,6 +153,22 @@ def test_auto_takes_blocks_when_products_pile_up(spark):
     assert np.array_equal(array_of(many), np.full((3, 3), 200.0))
 
 
+@pytest.mark.parametrize("method", ["naive", "IPB", "OPB", "auto"])
+def test_dense_vectors_as_sparse(spark, method):
+    a, b = random_pair(16)
+    c = matmul(vectors_of(spark, a), vectors_of(spark, b, "col"), method, sparsity=40)
+    assert np.array_equal(array_of(c), a @ b)
+    assert places_of(c) == structural(a, b)
+
+
+def test_product_of_products(spark):
+    a, b = random_pair(17)
+    c = dense.matmul_ipb_dense(vectors_of(spark, a), vectors_of(spark, b), (3, 5, 4))
+    d = dense.matmul_opb_dense(c, vectors_of(spark, b.T), (4, 3, 5))
+    assert np.array_equal(array_of(d), a @ b @ b.T)
+    assert np.array_equal(array_of(sparse.matmul_opb_sparse(c, cells_of(spark, b.T))), a @ b @ b.T)
+
+
 def test_bad_arguments(spark):
     a, b = random_pair(0)
     A, B = cells_of(spark, a), cells_of(spark, b)

@@ -1,10 +1,10 @@
-"""Column expressions that place a cell in a block grid."""
+"""Placing cells in a block grid."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -54,8 +54,21 @@ def cyclic_group(index: Column, n_groups: int) -> Column:
     return index % F.lit(n_groups).cast("bigint")
 
 
-def each_block(n: int) -> Column:
-    """One output row per block number 0..n-1."""
+def with_each(df: DataFrame, name: str, n: int, run: int = 10_000) -> DataFrame:
+    """Every row once for each number 0..n-1, which is put in column ``name``.
+
+    Long ranges are counted out in two steps, so that no task holds more than
+    ``run`` numbers at a time and none of them become part of the plan.
+    """
     if n < 1:
-        return F.explode(F.array().cast("array<bigint>"))
-    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+        return df.filter(F.lit(False)).withColumn(name, F.lit(0).cast("bigint"))
+    if n <= run:
+        return df.withColumn(name, F.explode(_numbers(F.lit(0), F.lit(n - 1))))
+    first = F.col("_run") * run
+    runs = df.withColumn("_run", F.explode(_numbers(F.lit(0), F.lit(n_blocks(n, run) - 1))))
+    in_run = F.explode(_numbers(first, F.least(first + run, F.lit(n).cast("bigint")) - 1))
+    return runs.withColumn(name, in_run).drop("_run")
+
+
+def _numbers(first: Column, last: Column) -> Column:
+    return F.sequence(first.cast("bigint"), last.cast("bigint"))

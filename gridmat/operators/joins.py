@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from gridmat.functions.coords import block_of, each_block, n_blocks, square_edges
+from gridmat.functions.coords import block_of, n_blocks, square_edges, with_each
 from gridmat.matrix import Matrix, check_product_shape
 from gridmat.operators.ordering import slots
 
@@ -161,11 +161,9 @@ def grid_vectors(
     ys = right.groupBy(block_of(F.col("j"), col_edge).alias("bj"), "k").agg(
         F.collect_list(F.struct("j", "b")).alias("ys")
     )
-    n_bi, n_bj = n_blocks(a.n_rows, row_edge), n_blocks(b.n_cols, col_edge)
-    return (
-        xs.select("bi", each_block(n_bj).alias("bj"), bk, "k", "xs"),
-        ys.select(each_block(n_bi).alias("bi"), "bj", bk, "k", "ys"),
-    )
+    xs = with_each(xs, "bj", n_blocks(b.n_cols, col_edge))
+    ys = with_each(ys, "bi", n_blocks(a.n_rows, row_edge))
+    return xs.select("bi", "bj", bk, "k", "xs"), ys.select("bi", "bj", bk, "k", "ys")
 
 
 def grid_edges(a: Matrix, b: Matrix) -> tuple[int, int, int]:

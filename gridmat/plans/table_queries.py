@@ -678,7 +678,8 @@ def nnz(t: Tables) -> DataFrame:
     with_matrices(
         "H",
         "select s.n_rows, p.n_cols, n.nnz, "
-        "cast(n.nnz as double) / (cast(s.n_rows as double) * p.n_cols) as density, r.used_rows, c.used_cols, r.max_row_nnz, c.max_col_nnz, r.avg_row_nnz, c.avg_col_nnz from "
+        "cast(n.nnz as double) / (cast(s.n_rows as double) * p.n_cols) as density, "
+        "r.used_rows, c.used_cols, r.max_row_nnz, c.max_col_nnz, r.avg_row_nnz, c.avg_col_nnz from "
         "(select max(s_suppkey) + 1 as n_rows from supplier) s, "
         "(select max(p_partkey) + 1 as n_cols from part) p, "
         "(select count(*) as nnz from H) n, "
@@ -755,7 +756,8 @@ def sort_blocks(t: Tables) -> DataFrame:
 
 @_query(
     "select cast(vec_id as varchar) as line, row_number() over (order by "
-    "list_transform(embedding, lambda x: floor(cast(x as double) * 1000)), vec_id) - 1 as line_no from embeddings"
+    "list_transform(embedding, lambda x: floor(cast(x as double) * 1000)), vec_id) - 1 "
+    "as line_no from embeddings"
 )
 def sort_vectors(t: Tables) -> DataFrame:
     """Vectors in lexicographic order; written sorted, numbered by position."""

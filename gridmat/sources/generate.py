@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmat.functions.coords import each_block
+from gridmat.functions.coords import with_each
 from gridmat.matrix import CellMatrix
 
 # Fixed values of the arithmetic hash: small primes, so that no product of
@@ -33,7 +33,7 @@ def generate_on(
     if not 0 <= sparsity <= 100:
         raise ValueError("sparsity is a percentage from 0 to 100")
     i, j = F.col("i"), F.col("j")
-    grid = ids.select(F.col("i").cast("bigint").alias("i"), each_block(n_cols).alias("j"))
+    grid = with_each(ids.select(F.col("i").cast("bigint").alias("i")), "j", n_cols)
     hashed = grid.select("i", "j", cell_hash(i, j, seed).alias("h"))
     kept = hashed.filter(F.col("h") % 100 >= sparsity)
     value = 1 + F.call_function("div", F.col("h"), F.lit(100)) % 9

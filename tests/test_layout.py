@@ -99,6 +99,15 @@ def test_square_edges(n, m, units, longest):
     assert coords.n_blocks(n, r) * coords.n_blocks(m, c) >= min(units, n * m) / 2
 
 
+@pytest.mark.parametrize("n", [0, 1, 5, 6, 7, 25])
+def test_every_number(spark, n):
+    df = spark.createDataFrame([("a",), ("b",)], "x string")
+    got = coords.with_each(df, "k", n, run=6)
+    assert got.dtypes == [("x", "string"), ("k", "bigint")]
+    assert {tuple(r) for r in got.collect()} == {(x, k) for x in "ab" for k in range(n)}
+    assert got.count() == 2 * n
+
+
 @pytest.mark.parametrize("n, k, m", [
     (64, 2000, 64), (2000, 64, 2000), (1, 1, 1), (10**9, 10**9, 10**9), (10**9, 5, 7), (3, 10**9, 3),
 ])

@@ -5,7 +5,6 @@ import re
 import numpy as np
 import pytest
 
-import __spark_entry__ as contract
 from gridmat.operators import dense_product as dense
 from gridmat.operators import joins, layout
 from gridmat.operators import sparse_product as sparse
@@ -20,13 +19,6 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
-def test_no_cross_join(spark, name):
-    plan = plan_of(contract.queries()[name](spark, FOLDER))
-    assert "CartesianProduct" not in plan
-    assert "BroadcastNestedLoopJoin" not in plan
-
-
 def exchanges(plan: str) -> int:
     return len(re.findall(r"Exchange (hashpart|rangepart|SinglePart|RoundRobin)", plan))
 

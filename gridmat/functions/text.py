@@ -11,6 +11,7 @@ SEPARATOR = " "
 MISSING = "0"
 
 _SPLIT = 134217729.0  # 2**27 + 1, splits a double into two halves of 26 bits
+_CHUNK = 4503599627370496.0  # 2**52, from where on every double is whole
 
 
 def tokens(line: Column) -> Column:
@@ -51,16 +52,29 @@ def ceil_thousandths(fraction: Column) -> Column:
 
 
 def _split_parts(v: Column) -> Column:
-    """Whole part (toward zero, as BIGINT) and the fraction left, both exact."""
-    whole = v.cast("bigint")
-    return F.struct(whole.alias("whole"), (v - whole.cast("double")).alias("fraction"))
+    """``v = high * 2**52 + whole + fraction``, every part exact.
+
+    From 2**52 on doubles are whole, so ``high`` and ``fraction`` are never
+    both needed. ``high`` leaves BIGINT, and the cast fails, from 2**115 on.
+    """
+    large = F.abs(v) >= _CHUNK
+    high = F.when(large, (v / _CHUNK).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    rest = F.when(large, v - high.cast("double") * _CHUNK).otherwise(v)
+    whole = rest.cast("bigint")
+    return F.struct(
+        high.alias("high"), whole.alias("whole"), (rest - whole.cast("double")).alias("fraction")
+    )
 
 
 def _join_parts(parts: Column) -> Column:
-    whole = parts["whole"].cast("decimal(20,0)")
     thousandths = ceil_thousandths(parts["fraction"]).cast("decimal(4,0)")
     step = F.lit("0.001").cast("decimal(4,3)")
-    return (whole + thousandths * step).cast(f"decimal(24,{DECIMALS})").cast("string")
+    near = parts["whole"].cast("decimal(16,0)") + thousandths * step
+    chunk = F.lit(str(int(_CHUNK))).cast("decimal(16,0)")
+    far = parts["high"].cast("decimal(19,0)") * chunk + parts["whole"].cast("decimal(16,0)")
+    return F.when(parts["high"] == 0, near.cast(f"decimal(20,{DECIMALS})").cast("string")).otherwise(
+        far.cast(f"decimal(38,{DECIMALS})").cast("string")
+    )
 
 
 def _ceil3_decimal(v: Column) -> Column:
@@ -75,7 +89,8 @@ def ceil3(v: Column, rounding: str = "exact") -> Column:
     ``exact`` rounds the binary value itself (0.1 gives 0.101, because the
     double lies above one tenth); ``decimal`` rounds its shortest decimal
     text (0.1 gives 0.100). The whole part is split off first, which is exact,
-    so any double below 2**63 in magnitude is handled; beyond, the cast fails.
+    so any double up to 2**115 (4e34) in magnitude is handled; beyond, the job
+    fails rather than print a number that is not exact.
     """
     _check_rounding(rounding)
     return _join_parts(_split_parts(v)) if rounding == "exact" else _ceil3_decimal(v)

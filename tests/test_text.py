@@ -69,7 +69,11 @@ CEILINGS = {
     -0.0004: "0.000", 2.5: "2.500", 0.0: "0.000", -0.0: "0.000", -1.0: "-1.000",
     0.9999: "1.000", -0.9999: "-0.999", 5e-324: "0.001", -5e-324: "0.000",
     1e15: "1000000000000000.000", 123456789012.3456: "123456789012.346",
-    float(2**62): f"{2**62}.000", -9007199254740991.0: "-9007199254740991.000",
+    float(2**62): f"{2**62}.000", float(2**63): f"{2**63}.000", -float(2**64): f"-{2**64}.000",
+    1e20: "100000000000000000000.000", -1.2345e25: f"{int(-1.2345e25)}.000",
+    float(2**114): f"{2**114}.000", 4503599627370496.0: "4503599627370496.000",
+    4503599627370495.5: "4503599627370495.500", -4503599627370495.5: "-4503599627370495.500",
+    2251799813685247.75: "2251799813685247.750", 9007199254740993.0: "9007199254740992.000", -9007199254740991.0: "-9007199254740991.000",
 }
 
 
@@ -84,7 +88,7 @@ def test_ceiling_table(spark):
 
 def test_ceiling_is_exact(spark):
     rng = np.random.default_rng(1)
-    values = [*rng.normal(0, 1, 1500), *rng.normal(0, 1e9, 1500), *(rng.integers(-9999, 9999, 1500) / 1000)]
+    values = [*rng.normal(0, 1, 1500), *rng.normal(0, 1e9, 1500), *rng.normal(0, 1e22, 500), *(rng.integers(-9999, 9999, 1500) / 1000)]
     exact = [Decimal(float(v)).quantize(Decimal("0.001"), ROUND_CEILING) for v in values]
     want = [str(abs(d)) if d == 0 else str(d) for d in exact]
     assert texts(spark, values) == want
@@ -103,6 +107,8 @@ def test_decimal_rounding_option(spark):
 def test_number_out_of_range_fails(spark):
     with pytest.raises(PySparkException):
         texts(spark, [1e300])
+    with pytest.raises(PySparkException):
+        texts(spark, [math.inf])
     with pytest.raises(PySparkException):
         texts(spark, [math.nan])
 
@@ -269,3 +275,19 @@ def test_tokens(spark):
 
 def test_scratch_path_is_new_each_time(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+class _Session:
+    """What scratch_path asks of a session."""
+
+    def __init__(self, master, folder):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = type("Context", (), {"master": master})
+
+
+def test_scratch_folder():
+    named = scratch_path(_Session("spark://host:7077", "hdfs:///shared/"), "x")
+    assert named.startswith("hdfs:///shared/gridmat/x-")
+    assert os.path.isabs(scratch_path(_Session("local[2]", None), "x"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_path(_Session("spark://host:7077", None), "x")

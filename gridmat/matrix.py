@@ -2,7 +2,8 @@
 
 Three forms, all lazy, all 0-based:
 
-* ``CellMatrix``   one row per stored cell, ``(i BIGINT, j BIGINT, v DOUBLE)``
+* ``CellMatrix``   one row per stored cell, ``(i BIGINT, j BIGINT, v DOUBLE)``;
+  at most one per place (``from_table`` and ``row_merge_sum`` add up several)
 * ``VectorMatrix`` one row per dense vector, ``(id BIGINT, vec ARRAY<DOUBLE>)``,
   holding either the rows or the columns of the matrix; ``complete`` says that
   every id of the shape is known to be there (a missing vector counts as zero)

@@ -1,6 +1,6 @@
 """The pairings a product is made of.
 
-Every pairing is an equi-join; none is a cross join.
+Every pairing is one on equal keys; none is a cross join.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ MAX_HEAVY = 10_000
 # Cells that may be sent to every executor (about 24 bytes each as raw data).
 BROADCAST_CELLS = 500_000
 # Largest work unit of the grid: so many rows or columns, so many values of k.
-LONGEST_EDGE = 1024
+# Units are sorted and summed in parts that can spill; only one block vector of
+# each operand, an edge long, is held whole. Longer edges mean fewer copies.
+LONGEST_EDGE = 8192
 LONGEST_DEPTH = 65_536
 
 
@@ -52,22 +54,24 @@ def count_products(
     """
     check_product_shape(a, b)
     left, right = _sides(a, b)
+    # As doubles: products of large counts leave BIGINT.
+    products = F.col("n_a").cast("double") * F.col("n_b")
     per_k = (
         left.groupBy("k")
         .agg(F.count(F.lit(1)).alias("n_a"))
         .join(right.groupBy("k").agg(F.count(F.lit(1)).alias("n_b")), "k")
-        .select("k", "n_a", "n_b", (F.col("n_a") * F.col("n_b")).alias("products"))
+        .select("k", "n_a", "n_b", products.alias("products"))
     )
     seen = Observation()
     largest = (
-        per_k.observe(seen, F.sum("products").alias("total"), F.count(F.lit(1)).alias("keys"))
+        per_k.observe(seen, F.sum("products").alias("total"))
         .filter(F.col("products") > light_products)
         .orderBy(F.desc("products"))
         .limit(max_heavy)
         .collect()
     )
     return ProductCounts(
-        seen.get.get("total") or 0, [(r["k"], r["n_a"], r["n_b"]) for r in largest]
+        int(seen.get.get("total") or 0), [(r["k"], r["n_a"], r["n_b"]) for r in largest]
     )
 
 

@@ -9,13 +9,13 @@ import pyarrow as pa
 
 
 def fill(block: np.ndarray, pieces: pa.Table) -> None:
-    """Write pieces into a zero block; what no piece covers stays zero."""
+    """Write pieces into a zero block; what no piece covers, and nulls, stay zero."""
     if pieces.num_rows == 0:
         return
     pieces = pieces.combine_chunks()
     vals = pieces.column("vals").chunk(0)
     sizes = vals.value_lengths().to_numpy()
-    flat = vals.flatten().to_numpy()
+    flat = vals.flatten().fill_null(0.0).to_numpy()
     at = pieces.column("at").to_numpy()
     idx = pieces.column("idx").chunk(0)
     if idx.null_count == 0:

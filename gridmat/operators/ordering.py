@@ -22,13 +22,16 @@ def slots(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def sort_into_files(df: DataFrame, key: str, n_keys: int, *then: str) -> DataFrame:
+def sort_into_files(
+    df: DataFrame, key: str, n_keys: int, *then: str, files: int | None = None
+) -> DataFrame:
     """Sorted, and cut so that file n holds smaller keys than file n+1.
 
     The keys are known to be 0..n_keys-1, so each goes straight to its file.
     A range partitioning would first run the whole input once more to sample it.
+    ``files`` is the number of files, one per slot when left out.
     """
-    n_files = max(1, min(slots(df), n_keys))
+    n_files = max(1, min(files or slots(df), n_keys))
     file = block_of(F.col(key), n_blocks(max(1, n_keys), n_files)).cast("int")
     return df.repartitionById(n_files, file).sortWithinPartitions(key, *then)
 

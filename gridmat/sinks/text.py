@@ -1,9 +1,9 @@
 """Writing matrices as text.
 
 Every writer replaces the output folder by default and takes ``compression``
-(such as ``"gzip"``). Every file holds one run of ids, sorted, so reading the
-part files in name order gives the ids in order, without one task ever holding
-the whole output.
+(such as ``"gzip"``) and a number of ``files``, one per slot when left out.
+Every file holds one run of ids, sorted, so reading the part files in name
+order gives the ids in order, without one task ever holding the whole output.
 """
 
 from __future__ import annotations
@@ -40,9 +40,9 @@ def as_rows(m: Matrix) -> VectorMatrix:
     return VectorMatrix(rows, m.n_rows, m.n_cols, complete=True)
 
 
-def dense_lines(m: Matrix, rounding: str = "exact") -> DataFrame:
+def dense_lines(m: Matrix, rounding: str = "exact", files: int | None = None) -> DataFrame:
     """Result text of every row of the shape, in files by row number: ``(id, line)``."""
-    rows = sort_into_files(as_rows(m).df, "id", m.n_rows)
+    rows = sort_into_files(as_rows(m).df, "id", m.n_rows, files=files)
     return rows.select("id", dense_line(F.col("vec"), rounding).alias("line"))
 
 
@@ -52,9 +52,10 @@ def write_dense_text(
     rounding: str = "exact",
     compression: str | None = None,
     mode: str = "overwrite",
+    files: int | None = None,
 ) -> None:
     """``v v v `` per row, three decimals rounded up, no row id."""
-    _save(dense_lines(m, rounding), path, compression, mode)
+    _save(dense_lines(m, rounding, files), path, compression, mode)
 
 
 def write_row_text(
@@ -63,24 +64,33 @@ def write_row_text(
     all_rows: bool = False,
     compression: str | None = None,
     mode: str = "overwrite",
+    files: int | None = None,
 ) -> None:
     """``rowId v v 0 v `` per row, values unrounded, missing cells as ``0``."""
     lines = row_lines(m, all_rows=all_rows)
-    _save(sort_into_files(lines, "id", m.n_rows), path, compression, mode)
+    _save(sort_into_files(lines, "id", m.n_rows, files=files), path, compression, mode)
 
 
 def write_csr(
-    m: Matrix, path: str, compression: str | None = None, mode: str = "overwrite"
+    m: Matrix,
+    path: str,
+    compression: str | None = None,
+    mode: str = "overwrite",
+    files: int | None = None,
 ) -> None:
     lines = sparse_lines(to_csr(m))
-    _save(sort_into_files(lines, "id", m.n_rows, "part"), path, compression, mode)
+    _save(sort_into_files(lines, "id", m.n_rows, "part", files=files), path, compression, mode)
 
 
 def write_csc(
-    m: Matrix, path: str, compression: str | None = None, mode: str = "overwrite"
+    m: Matrix,
+    path: str,
+    compression: str | None = None,
+    mode: str = "overwrite",
+    files: int | None = None,
 ) -> None:
     lines = sparse_lines(to_csc(m))
-    _save(sort_into_files(lines, "id", m.n_cols, "part"), path, compression, mode)
+    _save(sort_into_files(lines, "id", m.n_cols, "part", files=files), path, compression, mode)
 
 
 def write_sparse_pair(a: Matrix, b: Matrix, path: str, method: str, **options) -> tuple[str, str]:

@@ -69,11 +69,13 @@ CEILINGS = {
     -0.0004: "0.000", 2.5: "2.500", 0.0: "0.000", -0.0: "0.000", -1.0: "-1.000",
     0.9999: "1.000", -0.9999: "-0.999", 5e-324: "0.001", -5e-324: "0.000",
     1e15: "1000000000000000.000", 123456789012.3456: "123456789012.346",
-    float(2**62): f"{2**62}.000", float(2**63): f"{2**63}.000", -float(2**64): f"-{2**64}.000",
+    float(2**62): f"{2**62}.000", float(2**63): f"{2**63}.000",
+    -float(2**64): f"-{2**64}.000",
     1e20: "100000000000000000000.000", -1.2345e25: f"{int(-1.2345e25)}.000",
     float(2**114): f"{2**114}.000", 4503599627370496.0: "4503599627370496.000",
     4503599627370495.5: "4503599627370495.500", -4503599627370495.5: "-4503599627370495.500",
-    2251799813685247.75: "2251799813685247.750", 9007199254740993.0: "9007199254740992.000", -9007199254740991.0: "-9007199254740991.000",
+    2251799813685247.75: "2251799813685247.750", 9007199254740993.0: "9007199254740992.000",
+    -9007199254740991.0: "-9007199254740991.000",
 }
 
 
@@ -88,7 +90,8 @@ def test_ceiling_table(spark):
 
 def test_ceiling_is_exact(spark):
     rng = np.random.default_rng(1)
-    values = [*rng.normal(0, 1, 1500), *rng.normal(0, 1e9, 1500), *rng.normal(0, 1e22, 500), *(rng.integers(-9999, 9999, 1500) / 1000)]
+    values = [x for spread in (1, 1e9, 1e22) for x in rng.normal(0, spread, 1000)]
+    values += list(rng.integers(-9999, 9999, 1500) / 1000)
     exact = [Decimal(float(v)).quantize(Decimal("0.001"), ROUND_CEILING) for v in values]
     want = [str(abs(d)) if d == 0 else str(d) for d in exact]
     assert texts(spark, values) == want
@@ -175,6 +178,15 @@ def test_permissive_reading(spark, tmp_path):
         sources.read_csr(spark, "x", (1, 1), mode="other")
 
 
+@pytest.mark.parametrize("method", ["naive", "IPB", "OPB"])
+def test_unreadable_numbers_add_nothing(spark, tmp_path, method):
+    path = put(tmp_path, "d", "1 x 3\n4 5 6\n")
+    a = sources.read_dense(spark, path, (2, 3), mode="permissive")
+    want = np.array([[1, 0, 3], [4, 5, 6.0]])
+    b = vectors_of(spark, np.arange(6.0).reshape(3, 2))
+    assert np.array_equal(array_of(matmul(a, b, method)), want @ np.arange(6).reshape(3, 2))
+
+
 def test_line_numbers_over_many_splits(spark, tmp_path):
     """Splits inside a file, several files, and files packed into one task."""
     folder = tmp_path / "many"
@@ -222,6 +234,20 @@ def test_round_trips(spark, tmp_path, compression):
         assert ends == ({"gz"} if compression else {"txt"})
 
 
+def test_files_hold_runs_of_rows(spark, tmp_path):
+    m = cells_of(spark, np.eye(50))
+    for write in (sinks.write_csr, sinks.write_csc, sinks.write_row_text, sinks.write_dense_text):
+        for files in (1, 3, 20):
+            path = tmp_path / f"{write.__name__}-{files}"
+            write(m, str(path), files=files)
+            assert sum(p.startswith("part-") for p in os.listdir(path)) == -(-50 // -(-50 // files))
+            lines = lines_in(path)
+            if write is not sinks.write_dense_text:
+                assert [int(line.split(" ")[0]) for line in lines] == list(range(50))
+            else:
+                assert [line.split(" ").index("1.000") for line in lines] == list(range(50))
+
+
 def test_write_replaces_or_refuses(spark, tmp_path):
     path = str(tmp_path / "out")
     sinks.write_csr(cells_of(spark, np.ones((4, 4))), path)

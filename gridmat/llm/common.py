@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -73,7 +75,11 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def process_cache() -> dict:
+    """What a worker process keeps between tasks; functions are shipped by value, so their modules are not kept."""
+    return sys.modules.setdefault("llm_process_cache", types.ModuleType("llm_process_cache")).__dict__
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -88,13 +94,16 @@ _BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * _BASE)
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i for i < n (at least)."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, _INVERSE)):
+    kept = process_cache().get("powers")
+    if kept is None or len(kept[0]) < n:
+        size = 1 << max(n - 1, 1).bit_length()
+        kept = []
+        for base in (_BASE, _INVERSE):
             full = np.full(size, base, np.uint64)
             full[0] = 1
-            _powers[k] = np.cumprod(full, dtype=np.uint64)
-    return _powers[0], _powers[1]
+            kept.append(np.cumprod(full, dtype=np.uint64))
+        process_cache()["powers"] = kept
+    return kept[0], kept[1]
 
 
 def prefix_hash(values: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmat.llm import quality_rules, sharding, va_search
+from gridmat.llm import packing, quality_rules, sharding, va_search
 from gridmat.llm.common import table
 
 
@@ -24,10 +24,15 @@ def op7_va_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_search.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
 
 
+def op9_bm25_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_perplexity_rules": op5_perplexity_rules,
     "op6_shard_tree": op6_shard_tree,
     "op7_va_top_k": op7_va_top_k,
+    "op9_bm25_pack": op9_bm25_pack,
 }
 
 ORACLES: dict[str, str] = {

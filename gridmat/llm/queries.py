@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmat.llm import packing, quality_rules, sharding, va_search
+from gridmat.llm import jaccard_join, packing, quality_rules, sharding, va_search
 from gridmat.llm.common import table
 
 
+def op3_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def op9_bm25_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_jaccard_classes": op3_jaccard_classes,
     "op5_perplexity_rules": op5_perplexity_rules,
     "op6_shard_tree": op6_shard_tree,
     "op7_va_top_k": op7_va_top_k,

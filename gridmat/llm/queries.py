@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmat.llm import jaccard_join, packing, quality_rules, sharding, va_search
+from gridmat.llm import jaccard_join, packing, quality_rules, sharding, suffix_dedup, va_search
 from gridmat.llm.common import table
 
 
+def op2_induced_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"))
+
+
 def op3_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op9_bm25_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_induced_dedup": op2_induced_dedup,
     "op3_jaccard_classes": op3_jaccard_classes,
     "op5_perplexity_rules": op5_perplexity_rules,
     "op6_shard_tree": op6_shard_tree,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmat.llm import jaccard_join, packing, quality_rules, sharding, suffix_dedup, va_search
+from gridmat.llm import jaccard_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup, va_search
 from gridmat.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op9_bm25_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_induced_dedup": op2_induced_dedup,
     "op3_jaccard_classes": op3_jaccard_classes,
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_shard_tree": op6_shard_tree,
     "op7_va_top_k": op7_va_top_k,
     "op9_bm25_pack": op9_bm25_pack,
+    "op10_random_indexing": op10_random_indexing,
 }
 
 ORACLES: dict[str, str] = {

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmat.llm import jaccard_join, packing, quality_classifier, quality_rules, sharding, suffix_dedup, va_search
+from gridmat.llm import jaccard_join, mixing, packing, quality_classifier, quality_rules, sharding, suffix_dedup, va_search
 from gridmat.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op7_va_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_search.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
 
 
+def op8_soft_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_bm25_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_perplexity_rules": op5_perplexity_rules,
     "op6_shard_tree": op6_shard_tree,
     "op7_va_top_k": op7_va_top_k,
+    "op8_soft_mix": op8_soft_mix,
     "op9_bm25_pack": op9_bm25_pack,
     "op10_random_indexing": op10_random_indexing,
 }

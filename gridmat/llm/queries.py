@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmat.llm import jaccard_join, mixing, packing, quality_classifier, quality_rules, sharding, suffix_dedup, va_search
+from gridmat.llm import jaccard_join, language_id, mixing, packing, quality_classifier, quality_rules, sharding, suffix_dedup, va_search
 from gridmat.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op3_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
 
+def op4_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(table(spark, sf_dir, "documents"))
+
+
 def op5_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents"))
 
@@ -44,9 +48,17 @@ def op10_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": pipeline,
     "op2_induced_dedup": op2_induced_dedup,
     "op3_jaccard_classes": op3_jaccard_classes,
+    "op4_viterbi_language": op4_viterbi_language,
     "op5_perplexity_rules": op5_perplexity_rules,
     "op6_shard_tree": op6_shard_tree,
     "op7_va_top_k": op7_va_top_k,

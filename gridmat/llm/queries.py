@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmat.llm import jaccard_join, language_id, mixing, packing, quality_classifier, quality_rules, sharding, suffix_dedup, va_search
+from gridmat.llm import html_text, jaccard_join, language_id, mixing, packing, quality_classifier, quality_rules, sharding, suffix_dedup, va_search
 from gridmat.llm.common import table
 
 
+def op1_dom_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_induced_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
+    "op1_dom_trees": op1_dom_trees,
     "op2_induced_dedup": op2_induced_dedup,
     "op3_jaccard_classes": op3_jaccard_classes,
     "op4_viterbi_language": op4_viterbi_language,

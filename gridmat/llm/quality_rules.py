@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ BELOW, ABOVE, SHORT = 5.0, 5.0, 800.0
 LEAST_SPREAD = 0.01
 #: A language with fewer texts than this has no band of its own and takes the one of all texts.
 LEAST_TEXTS = 50
+#: So many languages have a band of their own, the most frequent first; the rest share the one of all texts.
+MOST_BANDS = 2_000
 
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -126,32 +129,48 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def bands(scored: DataFrame) -> DataFrame:
-    """(band_lang, mid, spread, n): by language, and with band_lang null over all texts."""
-    x = F.col("log_perplexity")
-    median = scored.where(x.isNotNull()).rollup("lang").agg(F.percentile_approx(x, 0.5, 10000).alias("mid"), F.count(F.lit(1)).alias("n"), F.grouping("lang").alias("all"))
-    middle = median.select(F.when(F.col("all") == 0, F.coalesce("lang", F.lit(""))).alias("band_lang"), "mid", "n").where((F.col("n") >= LEAST_TEXTS) | F.col("band_lang").isNull())
-    # The deviations are taken over the texts that the base rules let pass, so that junk does not widen a band.
-    each = scored.where(x.isNotNull() & ~base_failed()).select(F.coalesce("lang", F.lit("")).alias("l"), x.alias("x"))
-    own = each.join(middle, F.col("l") == F.col("band_lang")).groupBy("band_lang").agg(F.percentile_approx(F.abs(F.col("x") - F.col("mid")), 0.5, 10000).alias("mad"))
-    whole = middle.where(F.col("band_lang").isNull()).select(F.col("mid").alias("m"), F.lit(1).alias("one"))
-    overall = each.withColumn("one", F.lit(1)).join(whole, "one").agg(F.percentile_approx(F.abs(F.col("x") - F.col("m")), 0.5, 10000).alias("mad")).withColumn("band_lang", F.lit(None).cast("string"))
-    spread = F.greatest(F.coalesce(F.col("mad"), F.lit(0.0)) * 1.4826, F.lit(LEAST_SPREAD))
-    return (
-        middle.join(own.unionByName(overall).withColumnRenamed("band_lang", "_l"), F.col("band_lang").eqNullSafe(F.col("_l")), "left")
-        .select("band_lang", "mid", spread.alias("spread"), "n")
-    )
+class Bands(NamedTuple):
+    """Median log perplexity and scaled deviation over all texts, and by language."""
+
+    overall: tuple[float, float]
+    own: dict[str, tuple[float, float]]
+
 
+def _middle(rows: DataFrame, by: list[str], value: Column) -> DataFrame:
+    return rows.groupBy(*by).agg(F.percentile_approx(value, 0.5, 10000).alias("mid"), F.count(F.lit(1)).alias("n"))
 
-def judged(scored: DataFrame, limits: DataFrame) -> DataFrame:
-    """Add base_failed and kept. A language without a band of its own takes the one over all texts."""
-    every = limits.where(F.col("band_lang").isNull()).select(F.lit(1).alias("_one"), F.col("mid").alias("_mid"), F.col("spread").alias("_spread"))
-    own = limits.where(F.col("band_lang").isNotNull()).drop("n")
-    out = scored.withColumn("_one", F.lit(1)).join(every, "_one", "left").join(own, F.coalesce("lang", F.lit("")) == F.col("band_lang"), "left")
-    mid, spread = F.coalesce("mid", "_mid"), F.coalesce("spread", "_spread") * F.sqrt(1 + SHORT / F.greatest("word_chars", F.lit(1)))
-    out = out.withColumn("lower", mid - BELOW * spread).withColumn("upper", mid + ABOVE * spread)
+
+def _by_language(own: dict[str, float], otherwise: float) -> Column:
+    """A number for each language; a null language is the empty one."""
+    if not own:
+        return F.lit(otherwise)
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in own.items() for x in pair])[F.coalesce("lang", F.lit(""))], F.lit(otherwise))
+
+
+def bands(scored: DataFrame) -> Bands:
+    """The bands of the ``MOST_BANDS`` most frequent languages with ``LEAST_TEXTS`` texts or more; sketches of the medians are summed up before the shuffle."""
+    x, lang = F.col("log_perplexity"), F.coalesce("lang", F.lit("")).alias("lang")
+    rows = scored.where(x.isNotNull()).select(lang, x.alias("x"), (~base_failed()).alias("fine"))
+    mids = {r["lang"]: r["mid"] for r in _middle(rows, ["lang"], F.col("x")).where(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "lang").limit(MOST_BANDS).collect()}
+    mid = _middle(rows, [], F.col("x")).first()["mid"]
+    if mid is None:
+        return Bands((0.0, LEAST_SPREAD), {})
+    # The deviations are taken over the texts that the base rules let pass, so that junk does not widen a band.
+    fine = rows.where("fine")
+    scaled = lambda m: max(1.4826 * (m or 0.0), LEAST_SPREAD)
+    overall = _middle(fine, [], F.abs(F.col("x") - F.lit(mid))).first()["mid"]
+    away = fine.where(F.col("lang").isin(list(mids))) if mids else fine.limit(0)
+    mads = {r["lang"]: r["mid"] for r in _middle(away, ["lang"], F.abs(F.col("x") - _by_language(mids, mid))).collect()}
+    return Bands((mid, scaled(overall)), {k: (m, scaled(mads.get(k))) for k, m in mids.items()})
+
+
+def judged(scored: DataFrame, limits: Bands) -> DataFrame:
+    """Add lower, upper, base_failed and kept. A language without a band of its own takes the one over all texts."""
+    mid = _by_language({k: m for k, (m, _) in limits.own.items()}, limits.overall[0])
+    spread = _by_language({k: s for k, (_, s) in limits.own.items()}, limits.overall[1]) * F.sqrt(1 + SHORT / F.greatest("word_chars", F.lit(1)))
+    out = scored.withColumn("lower", mid - BELOW * spread).withColumn("upper", mid + ABOVE * spread)
     inside = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(False))
-    return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside).drop("_one", "_mid", "_spread", "mid", "spread", "band_lang")
+    return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside)
 
 
 def model_of(docs: DataFrame) -> Broadcast:
@@ -178,7 +197,7 @@ def passing(docs: DataFrame) -> DataFrame:
     rows instead of joining them back, so that no text is shuffled.
     """
     model = model_of(docs)
-    limits = stored(bands(stored(features(docs, model, ["lang"]), "quality")), "bands")
+    limits = bands(stored(features(docs, model, ["lang"]), "quality"))
     # Other columns travel under numbered names, so that none clashes with a count.
     names = [c if c in ("text", "lang") else f"_c{i}" for i, c in enumerate(docs.columns)]
     kept = judged(features(docs.toDF(*names), model, names), limits).where("kept")

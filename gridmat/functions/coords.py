@@ -36,7 +36,7 @@ def cube_edges(
     """
     side = round((n_rows * inner * n_cols / max(1, units)) ** (1 / 3))
     depth = max(1, min(inner, side, deepest))
-    rows, cols = square_edges(n_rows, n_cols, units // n_blocks(inner, depth), longest)
+    rows, cols = square_edges(n_rows, n_cols, units // max(1, n_blocks(inner, depth)), longest)
     return rows, depth, cols
 
 

@@ -5,21 +5,15 @@ Every pairing is one on equal keys; none is a cross join.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmat.functions.coords import block_of, n_blocks, square_edges, with_each
+from gridmat.functions.coords import block_of, square_edges
 from gridmat.matrix import Matrix, check_product_shape
 from gridmat.operators.ordering import slots
 
 # Products that one k may form before it is spread over several tasks.
 LIGHT_PRODUCTS = 4_000_000
-# At most this many k can hold more than 1/MAX_HEAVY of all products each.
-MAX_HEAVY = 10_000
-# Cells that may be sent to every executor (about 24 bytes each as raw data).
-BROADCAST_CELLS = 500_000
 # Largest work unit of the grid: so many rows or columns, so many values of k.
 # Units are sorted and summed in parts that can spill; only one block vector of
 # each operand, an edge long, is held whole. Longer edges mean fewer copies.
@@ -33,118 +27,57 @@ def _sides(a: Matrix, b: Matrix) -> tuple[DataFrame, DataFrame]:
     return left, right
 
 
-@dataclass(frozen=True)
-class ProductCounts:
-    """How many scalar products a multiplication forms, and under which k."""
-
-    total: int
-    # (k, cells in column k of A, cells in row k of B), most products first
-    largest: list[tuple[int, int, int]]
-
-
-def count_products(
-    a: Matrix,
-    b: Matrix,
-    light_products: int = LIGHT_PRODUCTS,
-    max_heavy: int = MAX_HEAVY,
-) -> ProductCounts:
-    """Total of the products and the up to ``max_heavy`` largest k above ``light_products``.
+def heavy_cuts(a: Matrix, b: Matrix, light_products: int = LIGHT_PRODUCTS) -> DataFrame:
+    """The k whose products are too many for one task: ``(k, cuts_a, cuts_b)``.
 
-    One job over the cell counts by k; only the named k come to the driver.
+    Column k of A is to be cut into ``cuts_a`` parts and row k of B into
+    ``cuts_b``, so that no part of the work forms many more than
+    ``light_products``, an absolute number. Lazy: counts by k, summed up before
+    the shuffle, that become part of the plan they are used in.
     """
     check_product_shape(a, b)
     left, right = _sides(a, b)
-    # As doubles: products of large counts leave BIGINT.
-    products = F.col("n_a").cast("double") * F.col("n_b")
-    per_k = (
+    n_a, n_b = F.col("n_a").cast("double"), F.col("n_b").cast("double")
+    parts = F.ceil(n_a * n_b / F.lit(light_products))
+    cuts_a = F.least(F.col("n_a"), F.greatest(F.lit(1), F.round(F.sqrt(parts * n_a / n_b)).cast("bigint")))
+    return (
         left.groupBy("k")
         .agg(F.count(F.lit(1)).alias("n_a"))
         .join(right.groupBy("k").agg(F.count(F.lit(1)).alias("n_b")), "k")
-        .select("k", "n_a", "n_b", products.alias("products"))
-    )
-    seen = Observation()
-    largest = (
-        per_k.observe(seen, F.sum("products").alias("total"))
-        .filter(F.col("products") > light_products)
-        .orderBy(F.desc("products"))
-        .limit(max_heavy)
-        .collect()
-    )
-    return ProductCounts(
-        int(seen.get.get("total") or 0), [(r["k"], r["n_a"], r["n_b"]) for r in largest]
+        .filter(n_a * n_b > F.lit(light_products))
+        .withColumn("cuts_a", cuts_a)
+        .select("k", "cuts_a", F.least(F.col("n_b"), F.ceil(parts / F.col("cuts_a"))).alias("cuts_b"))
     )
 
 
-def heavy_cuts(
-    counts: ProductCounts,
-    light_products: int = LIGHT_PRODUCTS,
-    max_heavy: int = MAX_HEAVY,
-) -> list[tuple[int, int, int]]:
-    """The k whose products are too many for one task: ``(k, cuts_a, cuts_b)``.
-
-    Column k of A is to be cut into ``cuts_a`` parts and row k of B into
-    ``cuts_b``. A k is heavy when it forms more than ``light_products`` and
-    more than a ``1/max_heavy`` share of all products. Fewer than ``max_heavy``
-    keys can, so all of them are among the largest that were counted, and the
-    list is short whatever the data.
-    """
-    share = max(light_products, counts.total // max_heavy)
-    cuts = []
-    for k, n_a, n_b in counts.largest:
-        parts = n_blocks(n_a * n_b, share)
-        if parts > 1:
-            cuts_a = min(n_a, max(1, round((parts * n_a / n_b) ** 0.5)))
-            cuts.append((k, cuts_a, min(n_b, n_blocks(parts, cuts_a))))
-    return cuts
-
-
-def k_join(
-    a: Matrix,
-    b: Matrix,
-    light_products: int = LIGHT_PRODUCTS,
-    max_heavy: int = MAX_HEAVY,
-    counts: ProductCounts | None = None,
-) -> DataFrame:
+def k_join(a: Matrix, b: Matrix, light_products: int = LIGHT_PRODUCTS) -> DataFrame:
     """Cells of A and B that share k: ``(i, k, j, a, b)``.
 
     Heavy k are cut on both sides: part p of A's column meets part q of B's
     row in the task for (k, p, q), with A's part repeated for every q and B's
-    for every p, so each pair is formed exactly once. No count is taken when
-    the shape alone rules heavy k out.
+    for every p, so each pair is formed exactly once. The cuts are joined like
+    any other table, without a hint and without a list on the driver. Nothing
+    is counted when the shape alone rules heavy k out.
     """
     check_product_shape(a, b)
     left, right = _sides(a, b)
-    cuts = []
-    if a.n_rows * b.n_cols > light_products:
-        counts = counts or count_products(a, b, light_products, max_heavy)
-        cuts = heavy_cuts(counts, light_products, max_heavy)
-    if not cuts:
+    if a.n_rows * b.n_cols <= light_products:
         return left.join(right, "k").select("i", "k", "j", "a", "b")
-    table = left.sparkSession.createDataFrame(cuts, "k bigint, cuts_a bigint, cuts_b bigint")
+    cuts = heavy_cuts(a, b, light_products)
     cuts_a, cuts_b = (F.coalesce(c, F.lit(1).cast("bigint")) for c in ("cuts_a", "cuts_b"))
 
     def every(n):
         return F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
 
-    cut_left = left.join(F.broadcast(table), "k", "left").select(
+    cut_left = left.join(cuts, "k", "left").select(
         "i", "k", "a", F.pmod(F.xxhash64("i"), cuts_a).alias("p"), every(cuts_b).alias("q")
     )
-    cut_right = right.join(F.broadcast(table), "k", "left").select(
+    cut_right = right.join(cuts, "k", "left").select(
         "k", "j", "b", every(cuts_a).alias("p"), F.pmod(F.xxhash64("j"), cuts_b).alias("q")
     )
     return cut_left.join(cut_right, ["k", "p", "q"]).select("i", "k", "j", "a", "b")
 
 
-def small_enough(m: Matrix, max_cells: int = BROADCAST_CELLS) -> bool:
-    """Whether a matrix has few enough cells to be sent to every executor.
-
-    The shape decides where it can; otherwise the cells are counted.
-    """
-    if m.n_rows * m.n_cols <= max_cells:
-        return True
-    return m.cells().df.count() <= max_cells
-
-
 def grid_vectors(
     a: Matrix, b: Matrix, row_edge: int, depth: int, col_edge: int
 ) -> tuple[DataFrame, DataFrame]:
@@ -154,7 +87,9 @@ def grid_vectors(
     values of k. ``xs`` are the cells of A in row block ``bi`` under one k,
     ``ys`` those of B in column block ``bj``: at most ``row_edge`` and
     ``col_edge`` cells, however they are spread. They are gathered before they
-    are copied, so the copies are few compact rows.
+    are copied, so the copies are few compact rows, and copied only to units
+    where the other operand has a piece under the same k; a set of blocks under
+    one k is as long as the grid has blocks.
     """
     check_product_shape(a, b)
     left, right = _sides(a, b)
@@ -165,9 +100,12 @@ def grid_vectors(
     ys = right.groupBy(block_of(F.col("j"), col_edge).alias("bj"), "k").agg(
         F.collect_list(F.struct("j", "b")).alias("ys")
     )
-    xs = with_each(xs, "bj", n_blocks(b.n_cols, col_edge))
-    ys = with_each(ys, "bi", n_blocks(a.n_rows, row_edge))
-    return xs.select("bi", "bj", bk, "k", "xs"), ys.select("bi", "bj", bk, "k", "ys")
+    # Under each k, a piece goes to the blocks that the other side has there, and to no others.
+    there = ys.groupBy("k").agg(F.collect_set("bj").alias("bjs"))
+    here = xs.groupBy("k").agg(F.collect_set("bi").alias("bis"))
+    xs = xs.join(there, "k").select("bi", F.explode("bjs").alias("bj"), bk, "k", "xs")
+    ys = ys.join(here, "k").select(F.explode("bis").alias("bi"), "bj", bk, "k", "ys")
+    return xs, ys
 
 
 def grid_edges(a: Matrix, b: Matrix) -> tuple[int, int, int]:
@@ -245,16 +183,13 @@ def block_join_cross(a: Matrix, b: Matrix, row_edge: int, depth: int, col_edge:
 
 
 __all__ = [
-    "ProductCounts",
     "block_join_cross",
     "block_join_k",
     "block_sizes",
-    "count_products",
     "grid_edges",
     "grid_vectors",
     "heavy_cuts",
     "k_join",
     "row_col_join",
-    "small_enough",
     "sparse_intersect",
 ]

@@ -5,15 +5,10 @@ from __future__ import annotations
 from gridmat.matrix import CellMatrix, Matrix, check_product_shape
 from gridmat.operators import dense_product as dense
 from gridmat.operators import sparse_product as sparse
-from gridmat.operators.joins import count_products
 from gridmat.operators.layout import drop_zeros
 
 METHODS = ("naive", "IPB", "OPB", "auto")
 
-# Products per output cell from which multiplying whole blocks pays.
-BLOCK_FROM = 32
-
-
 def matmul(
     a: Matrix,
     b: Matrix,
@@ -26,9 +21,11 @@ def matmul(
     ``sparsity`` is the declared percentage of zeros in A: above 0 the sparse
     form of the method runs, at 0 the dense one. Left out, cell matrices count
     as sparse and matrices of dense vectors as dense. The zeros of dense vectors
-    are left out when they are multiplied as sparse ones. ``auto`` counts the
-    products to be formed and takes the pairing of cells where they are few
-    per output cell, dense blocks where they are many.
+    are left out when they are multiplied as sparse ones. ``auto`` takes the
+    pairing on k for sparse operands and near-cubic blocks for dense ones. A
+    sparse product has the structural cells and a dense one every cell of the
+    shape, whatever the method and however much data there is; so are the
+    options those of the form alone.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}, expected one of {METHODS}")
@@ -39,26 +36,18 @@ def matmul(
         is_sparse = sparsity > 0
     if is_sparse:
         a, b = (m if isinstance(m, CellMatrix) else drop_zeros(m) for m in (a, b))
-    if method == "auto":
-        if not is_sparse:
-            return dense.matmul_blocks(a, b, **options)
-        if a.n_cols <= BLOCK_FROM:  # no cell can have more products than k has values
-            return sparse.matmul_opb_sparse(a, b, **options)
-        limits = {k: options[k] for k in ("light_products", "max_heavy") if k in options}
-        counts = count_products(a, b, **limits)
-        if counts.total <= BLOCK_FROM * a.n_rows * b.n_cols:
-            return sparse.matmul_opb_sparse(a, b, counts=counts, **options)
-        return dense.matmul_blocks(a, b, **options)
     if is_sparse:
         run = {
             "naive": sparse.matmul_naive_sparse,
             "IPB": sparse.matmul_ipb_sparse,
             "OPB": sparse.matmul_opb_sparse,
+            "auto": sparse.matmul_opb_sparse,
         }[method]
     else:
         run = {
             "naive": dense.matmul_naive_dense,
             "IPB": dense.matmul_ipb_dense,
             "OPB": dense.matmul_opb_dense,
+            "auto": dense.matmul_blocks,
         }[method]
     return run(a, b, **options)

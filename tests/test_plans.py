@@ -33,9 +33,10 @@ def no_auto_broadcast(spark):
 
 def test_inner_blocks_are_summed_in_place(spark, no_auto_broadcast):
     a = cells_of(spark, np.ones((6, 6)))
-    # one to gather each operand, one to bring them together, none to sum them
-    assert exchanges(plan_of(sparse.matmul_ipb_sparse(a, a, (2, 6, 2)).df)) == 3
-    assert exchanges(plan_of(sparse.matmul_ipb_sparse(a, a, (2, 3, 2)).df)) == 4
+    # for each operand one to gather its pieces, one to name the other's blocks under a k and one to bring
+    # both together by k; one to bring the operands to their unit, none to sum them
+    assert exchanges(plan_of(sparse.matmul_ipb_sparse(a, a, (2, 6, 2)).df)) == 7
+    assert exchanges(plan_of(sparse.matmul_ipb_sparse(a, a, (2, 3, 2)).df)) == 8
 
 
 def test_cell_products_are_summed_before_the_shuffle(spark, no_auto_broadcast):
@@ -52,11 +53,24 @@ def test_dense_vectors_are_cut_without_a_shuffle(spark):
     assert exchanges(plan_of(dense.matmul_opb_dense(a, a, (6, 2, 6)).df)) == 3
 
 
-def test_naive_leaves_rows_where_they_are(spark):
+def test_naive_leaves_rows_where_a_small_operand_can_be_sent(spark):
     a = cells_of(spark, np.ones((6, 6)))
-    plan = plan_of(sparse.matmul_naive_sparse(a, a).df)
-    assert "BroadcastHashJoin" in plan
-    assert exchanges(plan) == 1
+    df = sparse.matmul_naive_sparse(a, a).df
+    df.collect()
+    assert "BroadcastHashJoin" in plan_of(df)
+
+
+def test_operands_that_are_counted_are_computed_once(spark, no_auto_broadcast):
+    """The counts by k and the join read the same exchange of the operand."""
+    t = Tables(spark, FOLDER)
+    df = sparse.matmul_opb_sparse(t.quantities(), t.months(), light_products=10).df
+    df.collect()
+    assert "ReusedExchange" in plan_of(df)
+
+
+def test_no_row_for_every_scalar_product(spark):
+    plan = plan_of(dense.matmul_naive_dense(vectors_of(spark, np.ones((6, 6))), vectors_of(spark, np.ones((6, 6)))).df)
+    assert "Join" not in plan
 
 
 def test_scans_read_only_what_is_needed(spark):

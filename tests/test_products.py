@@ -21,7 +21,6 @@ SPARSE = {
     "ipb": sparse.matmul_ipb_sparse,
     "ipb blocks": lambda a, b: sparse.matmul_ipb_sparse(a, b, (3, 2, 4)),
     "naive": sparse.matmul_naive_sparse,
-    "naive, B too large to send": lambda a, b: sparse.matmul_naive_sparse(a, b, broadcast_cells=1),
 }
 DENSE = {
     "ipb": dense.matmul_ipb_dense,
@@ -31,7 +30,6 @@ DENSE = {
     "opb": dense.matmul_opb_dense,
     "opb strips": lambda a, b: dense.matmul_opb_dense(a, b, (4, 1, 9)),
     "naive": dense.matmul_naive_dense,
-    "naive, B too large to send": lambda a, b: dense.matmul_naive_dense(a, b, broadcast_cells=1),
 }
 
 
@@ -139,18 +137,30 @@ def test_generated_matrix_times_itself(spark):
     x = array_of(g)
     for method in ("naive", "IPB", "OPB", "auto"):
         for sparsity in (0, 80):
-            if method == "auto" and sparsity == 80:
-                continue
-            assert np.array_equal(array_of(matmul(g, g, method, sparsity)), x @ x)
-
-
-def test_auto_takes_blocks_when_products_pile_up(spark):
-    a = np.ones((3, 200))
-    many = matmul(cells_of(spark, a), cells_of(spark, a.T), "auto")
-    few = matmul(cells_of(spark, np.eye(6)), cells_of(spark, np.eye(6)), "auto")
-    assert type(many).__name__ == "BandMatrix"
-    assert type(few).__name__ == "CellMatrix"
-    assert np.array_equal(array_of(many), np.full((3, 3), 200.0))
+            c = matmul(g, g, method, sparsity)
+            assert np.array_equal(array_of(c), x @ x)
+            if sparsity:
+                assert places_of(c) == structural(x, x)
+
+
+@pytest.mark.parametrize("k", [3, 200])
+def test_auto_gives_structural_cells_however_many_products_pile_up(spark, k):
+    rng = np.random.default_rng(k)
+    a, b = rng.integers(1, 5, (4, k)).astype(float), rng.integers(1, 5, (k, 6)).astype(float)
+    a[2], b[:, 0], b[:, 3] = 0, 0, 0
+    A, B = cells_of(spark, a), cells_of(spark, b)
+    for method in ("auto", "OPB", "IPB", "naive"):
+        c = matmul(A, B, method)
+        assert np.array_equal(array_of(c), a @ b) and places_of(c) == structural(a, b)
+    assert np.array_equal(array_of(matmul(A, B, "auto", light_products=5)), a @ b)
+    with pytest.raises(TypeError):
+        matmul(A, B, "auto", edges=(2, 2, 2))
+
+
+def test_no_inner_dimension(spark):
+    A, B = vectors_of(spark, np.zeros((3, 0))), vectors_of(spark, np.zeros((0, 2)), "col")
+    for how in DENSE.values():
+        assert np.array_equal(array_of(how(A, B)), np.zeros((3, 2)))
 
 
 @pytest.mark.parametrize("method", ["naive", "IPB", "OPB", "auto"])

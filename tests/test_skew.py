@@ -3,15 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridmat.operators.joins import (
-    count_products,
-    heavy_cuts,
-    k_join,
-    row_col_join,
-    small_enough,
-)
+from gridmat.operators.joins import grid_vectors, heavy_cuts, k_join, row_col_join
 from gridmat.operators.layout import from_entries, to_csc, to_csr
-from gridmat.operators.sparse_product import matmul_opb_sparse
+from gridmat.operators.sparse_product import matmul_naive_sparse, matmul_opb_sparse
 from helpers import array_of, cells_of
 
 
@@ -24,48 +18,58 @@ def hot_pair(n=60, k=40, m=50):
     return a, b
 
 
-def cuts_of(a, b, light, most=10_000):
-    return heavy_cuts(count_products(a, b, light, most), light, most)
+def cuts_of(a, b, light):
+    return {k: (x, y) for k, x, y in heavy_cuts(a, b, light).collect()}
 
 
 def test_hot_key_is_found_and_cut(spark):
     a, b = hot_pair()
-    counts = count_products(cells_of(spark, a), cells_of(spark, b), 100, 30)
-    assert counts.total == ((a != 0).sum(0) * (b != 0).sum(1)).sum()
-    assert counts.largest[0] == (7, 60, 50)
-    cuts = {k: (x, y) for k, x, y in heavy_cuts(counts, 100, 30)}
+    cuts = cuts_of(cells_of(spark, a), cells_of(spark, b), 100)
     cuts_a, cuts_b = cuts[7]
-    assert cuts_a * cuts_b >= 60 * 50 / max(100, counts.total // 30)
+    assert cuts_a * cuts_b >= 60 * 50 / 100
     assert cuts_a > 1 and cuts_b > 1
 
 
 def test_no_heavy_key(spark):
     a, b = hot_pair()
-    assert cuts_of(cells_of(spark, a), cells_of(spark, b), 5000) == []
+    assert cuts_of(cells_of(spark, a), cells_of(spark, b), 5000) == {}
 
 
-def test_every_heavy_key_is_among_the_largest(spark):
-    """More keys above the light limit than may be heavy: those left out are not heavy."""
-    a, b = np.ones((9, 40)), np.ones((40, 9))
-    counts = count_products(cells_of(spark, a), cells_of(spark, b), 10, 5)
-    assert counts.total == 9 * 9 * 40 and len(counts.largest) == 5
-    assert heavy_cuts(counts, 10, 5) == []
+def test_many_keys_of_middle_weight_are_all_cut(spark):
+    """No share of the total lets a key through: the fullest part stays near the limit."""
+    A, B = cells_of(spark, np.ones((30, 40))), cells_of(spark, np.ones((40, 30)))
+    cuts = cuts_of(A, B, 100)
+    assert len(cuts) == 40
+    assert all((30 / x) * (30 / y) <= 1.5 * 100 for x, y in cuts.values())
 
 
-def test_counts_of_nothing(spark):
-    z = cells_of(spark, np.zeros((3, 3)))
-    counts = count_products(z, z)
-    assert counts.total == 0 and heavy_cuts(counts) == []
+def test_building_a_product_starts_no_job(spark):
+    a, b = hot_pair()
+    A, B = cells_of(spark, a), cells_of(spark, b)
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    k_join(A, B, 10)
+    matmul_opb_sparse(A, B, 10)
+    matmul_naive_sparse(A, B)
+    assert len(tracker.getJobIdsForGroup(None)) == before
+
+
+def test_copies_go_only_where_both_sides_meet(spark):
+    a, b = np.zeros((8, 6)), np.zeros((6, 8))
+    a[0, 1] = a[7, 1] = a[3, 2] = b[1, 0] = b[2, 7] = b[4, 4] = 1.0
+    xs, ys = grid_vectors(cells_of(spark, a), cells_of(spark, b), 2, 6, 2)
+    units = lambda df: {tuple(r) for r in df.select("bi", "bj", "k").collect()}
+    assert units(xs) == units(ys) == {(0, 0, 1), (3, 0, 1), (1, 3, 2)}
 
 
 def test_cut_key_gives_every_pair_once(spark):
     a, b = hot_pair()
     A, B = cells_of(spark, a), cells_of(spark, b)
     plain = {tuple(r) for r in k_join(A, B).collect()}
-    rows = [tuple(r) for r in k_join(A, B, light_products=50, max_heavy=100).collect()]
+    rows = [tuple(r) for r in k_join(A, B, light_products=50).collect()]
     assert len(rows) == len(set(rows)) == len(plain)
     assert set(rows) == plain
-    c = matmul_opb_sparse(A, B, light_products=50, max_heavy=100)
+    c = matmul_opb_sparse(A, B, light_products=50)
     assert np.array_equal(array_of(c), a @ b)
 
 
@@ -74,7 +78,7 @@ def test_one_sided_heat(spark):
     a, b = np.zeros((500, 3)), np.zeros((3, 2))
     a[:, 1], b[1, 0] = 2.0, 5.0
     A, B = cells_of(spark, a), cells_of(spark, b)
-    [(k, cuts_a, cuts_b)] = cuts_of(A, B, 50, 1000)
+    [(k, (cuts_a, cuts_b))] = cuts_of(A, B, 50).items()
     assert (k, cuts_b) == (1, 1) and cuts_a >= 10
     assert np.array_equal(array_of(matmul_opb_sparse(A, B, light_products=50)), a @ b)
 
@@ -98,12 +102,3 @@ def test_long_lines_are_cut_and_merge_back(spark):
         assert lines.agg(F.max(F.size("entries"))).first()[0] <= 16
         assert lines.agg(F.max("part")).first()[0] > 0
         assert np.array_equal(array_of(from_entries(lines, a.shape, by)), a)
-
-
-def test_size_check_before_sending(spark):
-    a, _ = hot_pair()
-    A = cells_of(spark, a)
-    n = int((a != 0).sum())
-    assert small_enough(A, a.size)  # by shape
-    assert small_enough(A, n)  # by count
-    assert not small_enough(A, n - 1)

@@ -12,18 +12,16 @@ def pad_to(vec: Column, width: int) -> Column:
     return F.concat(vec, F.array_repeat(F.lit(0.0), missing))
 
 
-def fit(vec: Column, width: int, cut: bool = False) -> Column:
+def fit(vec: Column, width: int) -> Column:
     """Bring a vector to the width of its matrix.
 
-    Short ones are padded. A longer one contradicts the shape and fails the
-    job, unless ``cut`` allows leaving its surplus out.
+    Short ones are padded. A longer one contradicts the shape and fails the job.
     """
     too_long = F.raise_error(F.lit(f"vector holds more than {width} values"))
-    surplus = F.slice(vec, 1, width) if cut else too_long.cast("array<double>")
     return (
         F.when(F.size(vec) == width, vec)
         .when(F.size(vec) < width, pad_to(vec, width))
-        .otherwise(surplus)
+        .otherwise(too_long.cast("array<double>"))
     )
 
 

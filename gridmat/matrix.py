@@ -15,16 +15,37 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def inside(value: Column, n_rows: int, n_cols: int | None = None, i: str = "i", j: str = "j") -> Column:
+    """A value whose indices lie inside the shape; others, null ones included, fail the job.
+
+    The check hangs on the value, so that conditions on an index still reach the source.
+    """
+    fits = F.col(i).between(0, n_rows - 1)
+    where = F.col(i).cast("string")
+    if n_cols is not None:
+        fits &= F.col(j).between(0, n_cols - 1)
+        where = F.concat_ws(", ", F.col(i).cast("string"), F.col(j).cast("string"))
+    shape = f"{n_rows}" if n_cols is None else f"{n_rows} x {n_cols}"
+    wrong = F.raise_error(F.concat(F.lit("index outside the shape: ("), where, F.lit(f") of {shape}")))
+    return F.when(fits, value).otherwise(wrong)
+
+
 @dataclass(frozen=True)
 class CellMatrix:
     df: DataFrame
     n_rows: int
     n_cols: int
 
+    @classmethod
+    def of(cls, df: DataFrame, n_rows: int, n_cols: int) -> CellMatrix:
+        """Cells from outside: a null value is no cell, an index outside the shape fails the job."""
+        cells = df.filter(F.col("v").isNotNull())
+        return cls(cells.select("i", "j", inside(F.col("v"), n_rows, n_cols).alias("v")), n_rows, n_cols)
+
     @property
     def T(self) -> CellMatrix:
         swapped = self.df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
@@ -58,7 +79,8 @@ class VectorMatrix:
         spread = self.df.select("id", F.posexplode_outer("vec").alias("pos", "v"))
         pos = F.col("pos").cast("bigint")
         i, j = (F.col("id"), pos) if self.by == "row" else (pos, F.col("id"))
-        cells = spread.filter(F.col("pos").isNotNull()).select(i.alias("i"), j.alias("j"), "v")
+        # An element without a value is no cell.
+        cells = spread.filter(F.col("pos").isNotNull() & F.col("v").isNotNull()).select(i.alias("i"), j.alias("j"), "v")
         return CellMatrix(cells, self.n_rows, self.n_cols)
 
 

@@ -9,9 +9,9 @@ from gridmat.functions.coords import block_of, cyclic_group, n_blocks, within_bl
 from gridmat.functions.text import MISSING, SEPARATOR, plain_number
 from gridmat.matrix import BandMatrix, CellMatrix, Matrix, VectorMatrix
 
-# A sparse line covers at most this many index positions, so the group that
-# builds it is bounded whatever the skew. A row or column with entries beyond
-# goes on in a further line with the same id; readers merge them.
+# A list of entries covers at most this many index positions, so the group that
+# builds it is bounded whatever the skew. Writers put the texts of the lists of
+# one row or column together to one line.
 LINE_SPAN = 1_000_000
 
 # Text of one dense line must stay below the 2 GiB limit of a string.
@@ -82,16 +82,39 @@ def to_csc(m: Matrix, span: int = LINE_SPAN) -> DataFrame:
     return _collect(m.cells().df, "j", "i", span, None)
 
 
-def sparse_lines(collected: DataFrame) -> DataFrame:
-    """Text of collected lines: ``(id, part, line)``."""
+def _entry_text() -> Column:
     texts = F.transform(
         "entries",
         lambda e: F.concat(e["idx"].cast("string"), F.lit(SEPARATOR), plain_number(e["v"]), F.lit(SEPARATOR)),
     )
-    line = F.concat(F.col("id").cast("string"), F.lit(SEPARATOR), F.array_join(texts, ""))
+    return F.array_join(texts, "")
+
+
+def sparse_lines(collected: DataFrame) -> DataFrame:
+    """Text of collected lists: ``(id, part, line)``."""
+    line = F.concat(F.col("id").cast("string"), F.lit(SEPARATOR), _entry_text())
     return collected.select("id", "part", line.alias("line"))
 
 
+def whole_lines(collected: DataFrame, n_along: int, span: int = LINE_SPAN) -> DataFrame:
+    """One line for every id, however long: ``(id, line)``.
+
+    The lists become text where they are; only finished texts of one id meet.
+    A line that does not fit into one string (2 GiB) fails the job.
+    """
+    if n_along <= span:
+        return sparse_lines(collected).select("id", "line")
+    texts = collected.select("id", "part", _entry_text().alias("text"))
+    parts = texts.groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("part", "text"))).alias("parts"),
+        F.sum(F.octet_length("text")).alias("bytes"),
+    )
+    too_long = F.raise_error(F.concat(F.lit("line too long for one string: id "), F.col("id").cast("string")))
+    joined = F.array_join(F.transform("parts", lambda p: p["text"]), "")
+    line = F.when(F.col("bytes") < _MAX_LINE_BYTES - 32, F.concat(F.col("id").cast("string"), F.lit(SEPARATOR), joined))
+    return parts.select("id", line.otherwise(too_long.cast("string")).alias("line"))
+
+
 def from_entries(collected: DataFrame, shape: tuple[int, int], by: str = "row") -> CellMatrix:
     """Cells of collected lines."""
     spread = collected.select("id", F.inline("entries"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridmat.functions.text import dense_line
 from gridmat.matrix import BandMatrix, Matrix, VectorMatrix
-from gridmat.operators.layout import densify_rows, row_lines, sparse_lines, to_csc, to_csr
+from gridmat.operators.layout import densify_rows, row_lines, to_csc, to_csr, whole_lines
 from gridmat.operators.ordering import sort_into_files
 
 
@@ -78,8 +78,8 @@ def write_csr(
     mode: str = "overwrite",
     files: int | None = None,
 ) -> None:
-    lines = sparse_lines(to_csr(m))
-    _save(sort_into_files(lines, "id", m.n_rows, "part", files=files), path, compression, mode)
+    lines = whole_lines(to_csr(m), m.n_cols)
+    _save(sort_into_files(lines, "id", m.n_rows, files=files), path, compression, mode)
 
 
 def write_csc(
@@ -89,8 +89,8 @@ def write_csc(
     mode: str = "overwrite",
     files: int | None = None,
 ) -> None:
-    lines = sparse_lines(to_csc(m))
-    _save(sort_into_files(lines, "id", m.n_cols, "part", files=files), path, compression, mode)
+    lines = whole_lines(to_csc(m), m.n_rows)
+    _save(sort_into_files(lines, "id", m.n_cols, files=files), path, compression, mode)
 
 
 def write_sparse_pair(a: Matrix, b: Matrix, path: str, method: str, **options) -> tuple[str, str]:

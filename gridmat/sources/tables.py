@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmat.functions import arrays
-from gridmat.matrix import CellMatrix, VectorMatrix
+from gridmat.matrix import CellMatrix, VectorMatrix, inside
 
 
 def _column(c: str | Column) -> Column:
@@ -20,13 +20,18 @@ def from_table(
     v: str | Column,
     shape: tuple[int, int],
 ) -> CellMatrix:
-    """Cells ``(i, j)`` of a table; values that share a cell are added."""
+    """Cells ``(i, j)`` of a table; values that share a cell are added.
+
+    A null value is no cell; an index outside the shape fails the job.
+    """
     cells = (
         df.select(
             _column(i).cast("bigint").alias("i"),
             _column(j).cast("bigint").alias("j"),
             _column(v).cast("double").alias("v"),
         )
+        .filter(F.col("v").isNotNull())
+        .select("i", "j", inside(F.col("v"), *shape).alias("v"))
         .groupBy("i", "j")
         .agg(F.sum("v").alias("v"))
     )
@@ -43,13 +48,14 @@ def from_vectors(
     """Dense rows (or columns) that a table already holds as arrays.
 
     A vector shorter than the shape counts as zero beyond its end; a longer
-    one fails the job.
+    one, or an id outside the shape, fails the job.
     """
     vectors = df.select(
         _column(id).cast("bigint").alias("id"),
         _column(vec).cast("array<double>").alias("vec"),
     )
-    fitted = arrays.fit(F.col("vec"), shape[1] if by == "row" else shape[0])
+    width, count = (shape[1], shape[0]) if by == "row" else shape
+    fitted = inside(arrays.fit(F.col("vec"), width), count, i="id")
     return VectorMatrix(vectors.select("id", fitted.alias("vec")), *shape, by=by)
 
 

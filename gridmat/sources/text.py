@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from gridmat.functions import arrays
 from gridmat.functions.text import MISSING, check_mode, parse_double, tokens
-from gridmat.matrix import CellMatrix, Matrix, VectorMatrix
+from gridmat.matrix import CellMatrix, Matrix, VectorMatrix, inside
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -72,11 +72,15 @@ def _numbers(texts: Column, mode: str) -> Column:
 def read_dense(
     spark: SparkSession, path: str, shape: tuple[int, int], mode: str = "strict"
 ) -> VectorMatrix:
-    """Dense rows without an id; the line number is the row number."""
+    """Dense rows without an id; the line number is the row number.
+
+    ``permissive`` reads an unreadable number as no value. A line that
+    contradicts the shape, too long or one too many, fails in both modes.
+    """
     check_mode(mode)
     values = _numbers(tokens(F.col("line")), mode)
     rows = numbered_lines(spark, path).select(F.col("line_no").alias("id"), values.alias("vec"))
-    fitted = arrays.fit(F.col("vec"), shape[1], cut=mode == "permissive")
+    fitted = inside(arrays.fit(F.col("vec"), shape[1]), shape[0], i="id")
     return VectorMatrix(rows.select("id", fitted.alias("vec")), *shape)
 
 
@@ -95,15 +99,16 @@ def read_dense_id(
     zero_test: str | None = None,
     mode: str = "strict",
 ) -> CellMatrix:
-    """Dense rows that start with their row id, as cells.
+    """Dense rows that start with their row id, as cells; an unreadable number of the ``permissive`` mode is no cell.
 
     ``zero_test`` drops zeros while reading: ``"value"`` drops every number
     equal to zero, ``"literal"`` only tokens that are exactly ``0``.
     """
     check_mode(mode)
-    cells = _id_and_rest(spark, path).select("id", F.posexplode("rest").alias("pos", "token"))
-    if zero_test == "literal":
-        cells = cells.filter(F.col("token") != MISSING)
+    numbered = F.transform("rest", lambda t, p: F.struct(p.alias("pos"), t.alias("token")))
+    if zero_test == "literal":  # before the line is spread into rows
+        numbered = F.filter(numbered, lambda e: e["token"] != MISSING)
+    cells = _id_and_rest(spark, path).select("id", F.inline(numbered))
     cells = cells.select(
         F.col("id").alias("i"),
         F.col("pos").cast("bigint").alias("j"),
@@ -113,16 +118,15 @@ def read_dense_id(
         cells = cells.filter(F.col("v") != 0.0)
     elif zero_test not in (None, "literal"):
         raise ValueError(f"zero_test must be 'value', 'literal' or None, not {zero_test!r}")
-    return CellMatrix(cells, *shape)
+    return CellMatrix.of(cells, *shape)
 
 
 def _read_pairs(spark: SparkSession, path: str, mode: str) -> DataFrame:
     check_mode(mode)
     n_pairs = F.floor(F.size("rest") / 2).cast("int")
     numbers = F.when(n_pairs > 0, F.sequence(F.lit(0), n_pairs - 1))
-    if mode == "strict":
-        unpaired = F.raise_error(F.lit("index without a value")).cast("array<int>")
-        numbers = F.when(F.size("rest") % 2 == 1, unpaired).otherwise(numbers)
+    unpaired = F.raise_error(F.lit("index without a value")).cast("array<int>")
+    numbers = F.when(F.size("rest") % 2 == 1, unpaired).otherwise(numbers)
     entries = _id_and_rest(spark, path).select("id", "rest", F.explode(numbers).alias("p"))
     return entries.select(
         "id",
@@ -136,7 +140,7 @@ def read_csr(
 ) -> CellMatrix:
     entries = _read_pairs(spark, path, mode)
     cells = entries.select(F.col("id").alias("i"), F.col("idx").alias("j"), "v")
-    return CellMatrix(cells, *shape)
+    return CellMatrix.of(cells, *shape)
 
 
 def read_csc(
@@ -144,7 +148,7 @@ def read_csc(
 ) -> CellMatrix:
     entries = _read_pairs(spark, path, mode)
     cells = entries.select(F.col("idx").alias("i"), F.col("id").alias("j"), "v")
-    return CellMatrix(cells, *shape)
+    return CellMatrix.of(cells, *shape)
 
 
 def read_pair(

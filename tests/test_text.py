@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridmat import matmul, sinks, sources
 from gridmat.functions.text import ceil3, dense_line, tokens
-from gridmat.matrix import VectorMatrix
+from gridmat.matrix import CellMatrix, VectorMatrix
 from gridmat.operators import layout
 from gridmat.plans.scratch import scratch_path
 from helpers import array_of, cells_of, random_pair, vectors_of
@@ -170,14 +170,42 @@ def test_malformed_text_fails(spark, tmp_path, reader, text):
 
 
 def test_permissive_reading(spark, tmp_path):
-    m = sources.read_dense(spark, put(tmp_path, "d", "1 x 3 4\n"), (1, 3), mode="permissive")
-    assert [r["v"] for r in m.cells().df.orderBy("j").collect()] == [1.0, None, 3.0]
-    m = sources.read_csr(spark, put(tmp_path, "s", "0 1 x 2 7 3\n"), (1, 4), mode="permissive")
-    assert [r["v"] for r in m.df.orderBy("j").collect()] == [None, 7.0]
+    """An unreadable number is no cell; what contradicts the shape still fails."""
+    m = sources.read_dense(spark, put(tmp_path, "d", "1 x 3\n"), (1, 3), mode="permissive")
+    assert [(r["j"], r["v"]) for r in m.cells().df.orderBy("j").collect()] == [(0, 1.0), (2, 3.0)]
+    m = sources.read_csr(spark, put(tmp_path, "s", "0 1 x 2 7\n"), (1, 4), mode="permissive")
+    assert [(r["j"], r["v"]) for r in m.df.collect()] == [(2, 7.0)]
+    for reader, text in ((sources.read_dense, "1 2 3 4\n"), (sources.read_dense, "1 2 3\n\n"), (sources.read_csr, "0 1 5 2\n")):
+        with pytest.raises(PySparkException):
+            reader(spark, put(tmp_path, "bad", text), (1, 3), mode="permissive").cells().df.collect()
     with pytest.raises(ValueError):
         sources.read_csr(spark, "x", (1, 1), mode="other")
 
 
+@pytest.mark.parametrize("method", ["naive", "IPB", "OPB", "auto"])
+@pytest.mark.parametrize("sparsity", [0, 50])
+def test_cells_outside_the_shape_fail_under_every_method(spark, tmp_path, method, sparsity):
+    a = vectors_of(spark, np.ones((2, 3)))
+    outside = (
+        sources.read_csr(spark, put(tmp_path, "s", "0 1 5 25 1\n"), (3, 3)),
+        sources.read_dense_id(spark, put(tmp_path, "i", "3 1 1 1\n"), (3, 3)),
+        sources.from_table(spark.createDataFrame([(0, 0, 1.0), (1, 7, 1.0)], "i long, j long, v double"), "i", "j", "v", (3, 3)),
+    )
+    for b in outside:
+        with pytest.raises(PySparkException, match="outside the shape"):
+            matmul(a, b, method, sparsity).cells().df.collect()
+
+
+def test_one_line_for_a_row_of_any_length(spark, tmp_path):
+    n = 1_500_000
+    cells = CellMatrix(spark.createDataFrame([(0, 5, 1.0), (0, n - 1, 2.0), (1, 7, 3.0)], "i long, j long, v double"), 2, n)
+    sinks.write_csr(cells, str(tmp_path / "wide"), files=1)
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "wide")).collect()]
+    assert lines == [f"0 5 1 {n - 1} 2 ", "1 7 3 "] or lines == [f"0 5 1.0 {n - 1} 2.0 ", "1 7 3.0 "]
+    back = sources.read_csr(spark, str(tmp_path / "wide"), (2, n))
+    assert sorted(map(tuple, back.df.collect())) == [(0, 5, 1.0), (0, n - 1, 2.0), (1, 7, 3.0)]
+
+
 @pytest.mark.parametrize("method", ["naive", "IPB", "OPB"])
 def test_unreadable_numbers_add_nothing(spark, tmp_path, method):
     path = put(tmp_path, "d", "1 x 3\n4 5 6\n")
@@ -306,14 +334,12 @@ def test_scratch_path_is_new_each_time(spark):
 class _Session:
     """What scratch_path asks of a session."""
 
-    def __init__(self, master, folder):
-        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
-        self.sparkContext = type("Context", (), {"master": master})
+    def __init__(self, folder):
+        self.conf = {"spark.sql.warehouse.dir": "hdfs:///warehouse"}
+        if folder:
+            self.conf["spark.checkpoint.dir"] = folder
 
 
 def test_scratch_folder():
-    named = scratch_path(_Session("spark://host:7077", "hdfs:///shared/"), "x")
-    assert named.startswith("hdfs:///shared/gridmat/x-")
-    assert os.path.isabs(scratch_path(_Session("local[2]", None), "x"))
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        scratch_path(_Session("spark://host:7077", None), "x")
+    assert scratch_path(_Session("hdfs:///shared/"), "x").startswith("hdfs:///shared/gridmat/x-")
+    assert scratch_path(_Session(None), "x").startswith("hdfs:///warehouse/gridmat/x-")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import dataclasses
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -11,23 +10,14 @@ from pyspark.sql import SparkSession
 from gridmat.matrix import Matrix
 
 _SETTING = "spark.checkpoint.dir"
-_local_root: str | None = None
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder the cluster names in ``spark.checkpoint.dir``.
+    """A new path in the shared folder the cluster names in ``spark.checkpoint.dir``, else below the session's warehouse.
 
-    Only a local session, where driver and tasks share one machine, may go
-    without the setting; it gets a temporary folder.
+    Both are resolved by Spark's file systems; nothing goes to a folder of one machine.
     """
-    root = spark.conf.get(_SETTING, None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {_SETTING} to a folder all executors can reach")
-        global _local_root
-        if _local_root is None:
-            _local_root = tempfile.mkdtemp(prefix="run-")
-        root = _local_root
+    root = spark.conf.get(_SETTING, None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/gridmat/{label}-{uuid.uuid4().hex}"
 
 
@@ -42,3 +32,18 @@ def keep(m: Matrix, label: str = "matrix") -> Matrix:
     path = scratch_path(spark, label)
     m.df.write.parquet(path)
     return dataclasses.replace(m, df=spark.read.schema(m.df.schema).parquet(path))
+
+
+def discard(m: Matrix) -> int:
+    """Remove the files of a kept matrix once nothing reads it any more; how many folders went.
+
+    Only folders that ``keep`` has made below its scratch folder are touched.
+    """
+    spark = m.df.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in m.df.inputFiles()}
+    gone = 0
+    for folder in folders:
+        if "/gridmat/" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone

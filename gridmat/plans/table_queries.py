@@ -60,7 +60,7 @@ def matmul_opb_sparse_empty_k(t: Tables) -> DataFrame:
 @_query(_product_sql("R", "R", b_t=True))
 def matmul_opb_sparse_hot_k(t: Tables) -> DataFrame:
     r = t.flags()
-    return sparse_product.matmul_opb_sparse(r, r.T, light_products=1000, max_heavy=20).df
+    return sparse_product.matmul_opb_sparse(r, r.T, light_products=1000).df
 
 
 @_query(_product_sql("Q", "M"))
@@ -68,10 +68,9 @@ def matmul_ipb_sparse(t: Tables) -> DataFrame:
     return sparse_product.matmul_ipb_sparse(t.quantities(), t.months()).df
 
 
-@_query(_product_sql("H", "H", b_t=True))
+@_query(_product_sql("Q", "M"))
 def matmul_ipb_sparse_blocks(t: Tables) -> DataFrame:
-    h = t.high_quantities()
-    return sparse_product.matmul_ipb_sparse(h, h.T, edges=(64, 900, 64)).df
+    return sparse_product.matmul_ipb_sparse(t.quantities(), t.months(), edges=(64, 900, 5)).df
 
 
 @_query(_product_sql("Q", "M"))
@@ -103,9 +102,10 @@ def matmul_ipb_dense_wide(t: Tables) -> DataFrame:
     return dense_product.matmul_ipb_dense(e, e.T).cells().df
 
 
-@_query(_product_sql("H", "M"))
+@_query(_product_sql("Q", "N"))
 def matmul_auto(t: Tables) -> DataFrame:
-    return matmul(t.high_quantities(), t.months(), method="auto").cells().df
+    """The result has a column without a cell, which no method may fill."""
+    return matmul(t.quantities(), t.months_from_one(), method="auto").cells().df
 
 
 @_query(_product_sql("E", "E", a_t=True))
@@ -115,11 +115,11 @@ def matmul_auto_dense(t: Tables) -> DataFrame:
 
 
 _LINES_OF_PRODUCT = with_matrices(
-    "HM",
+    "QM",
     "select c.i as line_id, concat(c.i, ' ', string_agg(coalesce(cast(p.v as varchar), '0'), ' ' "
     "order by c.j), ' ') as line from "
-    "(select distinct H.i, m.j from H, (select distinct j from M) m) c left join "
-    "(select a.i, b.j, sum(a.v * b.v) as v from H a join M b on a.j = b.i group by 1, 2) p "
+    "(select distinct Q.i, m.j from Q, (select distinct j from M) m) c left join "
+    "(select a.i, b.j, sum(a.v * b.v) as v from Q a join M b on a.j = b.i group by 1, 2) p "
     "on p.i = c.i and p.j = c.j group by c.i",
 )
 
@@ -128,16 +128,16 @@ _LINES_OF_PRODUCT = with_matrices(
 def matmul_text_sparse(t: Tables) -> DataFrame:
     """From dense text with row ids, over sparse text, to result text."""
     spark = t.spark
-    h, m = t.high_quantities(), t.months()
+    q, m = t.quantities(), t.months()
     root = scratch_path(spark, "matmul_text_sparse")
-    sinks.write_row_text(h, f"{root}/A")
+    sinks.write_row_text(q, f"{root}/A")
     sinks.write_row_text(m, f"{root}/B")
     a, b = sources.read_pair(
-        spark, f"{root}/A", f"{root}/B", (h.n_rows, h.n_cols), (m.n_rows, m.n_cols),
+        spark, f"{root}/A", f"{root}/B", (q.n_rows, q.n_cols), (m.n_rows, m.n_cols),
         sources.read_dense_id, zero_test="literal",
     )
     csc, csr = sinks.write_sparse_pair(a, b, f"{root}/sparse", "OPB")
-    a = sources.read_csc(spark, csc, (h.n_rows, h.n_cols))
+    a = sources.read_csc(spark, csc, (q.n_rows, q.n_cols))
     b = sources.read_csr(spark, csr, (m.n_rows, m.n_cols))
     c = matmul(a, b, method="OPB", sparsity=50)
     sinks.write_row_text(c, f"{root}/C")
@@ -175,12 +175,11 @@ def matmul_text_dense(t: Tables) -> DataFrame:
 
 @_query(
     with_matrices(
-        "H", "select a.j as k, a.i as i, b.i as j, a.v * b.v as v from H a join H b on a.j = b.j"
+        "QM", "select a.j as k, a.i as i, b.j as j, a.v * b.v as v from Q a join M b on a.j = b.i"
     )
 )
 def outer_product(t: Tables) -> DataFrame:
-    h = t.high_quantities()
-    return algebra.outer_product(h, h.T)
+    return algebra.outer_product(t.quantities(), t.months())
 
 
 @_query(with_matrices("Q", "select i, j, v * 2.5::double as v from Q"))
@@ -199,14 +198,14 @@ def add(t: Tables) -> DataFrame:
 
 @_query(
     with_matrices(
-        "HM",
-        "select sum(x.v * y.v) as v from (select j as k, sum(v) as v from H group by 1) x "
+        "QM",
+        "select sum(x.v * y.v) as v from (select j as k, sum(v) as v from Q group by 1) x "
         "join (select i as k, sum(v) as v from M group by 1) y on x.k = y.k",
     )
 )
 def dot(t: Tables) -> DataFrame:
     """Column sums of one matrix against row sums of another."""
-    x = t.high_quantities().df.groupBy(F.col("j").alias("k")).agg(F.sum("v").alias("v"))
+    x = t.quantities().df.groupBy(F.col("j").alias("k")).agg(F.sum("v").alias("v"))
     y = t.months().df.groupBy(F.col("i").alias("k")).agg(F.sum("v").alias("v"))
     return algebra.dot(x, y)
 
@@ -240,12 +239,11 @@ def row_merge_sum(t: Tables) -> DataFrame:
 
 @_query(
     with_matrices(
-        "H", "select a.i, a.j as k, b.i as j, a.v as a, b.v as b from H a join H b on a.j = b.j"
+        "QM", "select a.i, a.j as k, b.j, a.v as a, b.v as b from Q a join M b on a.j = b.i"
     )
 )
 def k_join(t: Tables) -> DataFrame:
-    h = t.high_quantities()
-    return joins.k_join(h, h.T)
+    return joins.k_join(t.quantities(), t.months())
 
 
 @_query(
@@ -255,28 +253,28 @@ def k_join(t: Tables) -> DataFrame:
 )
 def k_join_hot(t: Tables) -> DataFrame:
     r = t.flags()
-    return joins.k_join(r, r.T, light_products=1000, max_heavy=20)
+    return joins.k_join(r, r.T, light_products=1000)
 
 
 @_query(
     with_matrices(
-        "HM",
+        "QM",
         "select a.i // 32 as bi, b.j // 5 as bj, a.i, b.j, count(*) as shared "
-        "from H a join M b on a.j = b.i group by all",
+        "from Q a join M b on a.j = b.i group by all",
     )
 )
 def row_col_join(t: Tables) -> DataFrame:
-    pairs = joins.row_col_join(t.high_quantities(), t.months(), edges=(32, 10_000_000, 5))
+    pairs = joins.row_col_join(t.quantities(), t.months(), edges=(32, 10_000_000, 5))
     return pairs.groupBy("bi", "bj", "bk", "i", "j").agg(F.count(F.lit(1)).alias("shared")).drop("bk")
 
 
 @_query(
     with_matrices(
-        "HM", "select a.i, b.j, a.j as k, a.v as a, b.v as b from H a join M b on a.j = b.i"
+        "QM", "select a.i, b.j, a.j as k, a.v as a, b.v as b from Q a join M b on a.j = b.i"
     )
 )
 def sparse_intersect(t: Tables) -> DataFrame:
-    return joins.sparse_intersect(t.high_quantities(), t.months())
+    return joins.sparse_intersect(t.quantities(), t.months())
 
 
 _BLOCKS_OF_Q_AND_M = (
@@ -360,47 +358,47 @@ def _lines_sql(matrix: str, line: str, along: str) -> str:
 
 @_query(
     with_matrices(
-        "H",
-        "select l.id, 0::bigint as part, l.line from (" + _lines_sql("H", "i", "j") + ") l",
+        "Q",
+        "select l.id, 0::bigint as part, l.line from (" + _lines_sql("Q", "i", "j") + ") l",
     )
 )
 def to_csr(t: Tables) -> DataFrame:
-    return layout.sparse_lines(layout.to_csr(t.high_quantities(), empty_rows=False))
+    return layout.sparse_lines(layout.to_csr(t.quantities(), empty_rows=False))
 
 
 @_query(
     with_matrices(
-        "H",
-        "select l.id, 0::bigint as part, l.line from (" + _lines_sql("H", "j", "i") + ") l",
+        "Q",
+        "select l.id, 0::bigint as part, l.line from (" + _lines_sql("Q", "j", "i") + ") l",
     )
 )
 def to_csc(t: Tables) -> DataFrame:
-    return layout.sparse_lines(layout.to_csc(t.high_quantities()))
+    return layout.sparse_lines(layout.to_csc(t.quantities()))
 
 
 @_query(
     with_matrices(
-        "H",
+        "Q",
         "select i as id, j // 500 as part, concat(i, ' ', string_agg(concat(j, ' ', "
         + _NUMBER
-        + ", ' '), '' order by j)) as line from H group by 1, 2",
+        + ", ' '), '' order by j)) as line from Q group by 1, 2",
     )
 )
 def to_csr_parts(t: Tables) -> DataFrame:
     """Long rows cut into several lines."""
-    return layout.sparse_lines(layout.to_csr(t.high_quantities(), span=500, empty_rows=False))
+    return layout.sparse_lines(layout.to_csr(t.quantities(), span=500, empty_rows=False))
 
 
 @_query(
     with_matrices(
-        "HM",
-        "select 'A' as side, * from (" + _lines_sql("H", "j", "i") + ") union all "
+        "QM",
+        "select 'A' as side, * from (" + _lines_sql("Q", "j", "i") + ") union all "
         "select 'B' as side, * from (" + _lines_sql("M", "i", "j") + ")",
     )
 )
 def to_sparse_pair(t: Tables) -> DataFrame:
     """Columns of A and rows of B, the pair that outer products read."""
-    a, b = layout.to_sparse_pair(t.high_quantities(), t.months(), "OPB")
+    a, b = layout.to_sparse_pair(t.quantities(), t.months(), "OPB")
     lines = [
         layout.sparse_lines(side).select(F.lit(name).alias("side"), "id", "line")
         for name, side in (("A", a), ("B", b))
@@ -586,29 +584,29 @@ def compressed_round_trip(t: Tables) -> DataFrame:
     )
 
 
-@_query(with_matrices("H", "select i, j, v from H"))
+@_query(with_matrices("Q", "select i, j, v from Q"))
 def overwrite(t: Tables) -> DataFrame:
     """A second write to the same folder replaces the first."""
-    h = t.high_quantities()
+    q = t.quantities()
     path = scratch_path(t.spark, "overwrite")
-    sinks.write_csc(t.quantities(), path)
-    sinks.write_csc(h, path)
-    return sources.read_csc(t.spark, path, (h.n_rows, h.n_cols)).df
+    sinks.write_csc(t.discounts(), path)
+    sinks.write_csc(q, path)
+    return sources.read_csc(t.spark, path, (q.n_rows, q.n_cols)).df
 
 
 @_query(
     with_matrices(
-        "HM",
-        "select 'A' as side, i, j, v from H union all select 'B', i, j, v from M",
+        "QM",
+        "select 'A' as side, i, j, v from Q union all select 'B', i, j, v from M",
     )
 )
 def pair_inputs(t: Tables) -> DataFrame:
-    h, m = t.high_quantities(), t.months()
+    q, m = t.quantities(), t.months()
     root = scratch_path(t.spark, "pair_inputs")
-    sinks.write_csr(h, f"{root}/A")
+    sinks.write_csr(q, f"{root}/A")
     sinks.write_csr(m, f"{root}/B")
     a, b = sources.read_pair(
-        t.spark, f"{root}/A", f"{root}/B", (h.n_rows, h.n_cols), (m.n_rows, m.n_cols),
+        t.spark, f"{root}/A", f"{root}/B", (q.n_rows, q.n_cols), (m.n_rows, m.n_cols),
         sources.read_csr,
     )
     return a.df.select(F.lit("A").alias("side"), "*").unionByName(
@@ -676,21 +674,21 @@ def nnz(t: Tables) -> DataFrame:
 
 @_query(
     with_matrices(
-        "H",
+        "Q",
         "select s.n_rows, p.n_cols, n.nnz, "
         "cast(n.nnz as double) / (cast(s.n_rows as double) * p.n_cols) as density, "
         "r.used_rows, c.used_cols, r.max_row_nnz, c.max_col_nnz, r.avg_row_nnz, c.avg_col_nnz from "
         "(select max(s_suppkey) + 1 as n_rows from supplier) s, "
         "(select max(p_partkey) + 1 as n_cols from part) p, "
-        "(select count(*) as nnz from H) n, "
+        "(select count(*) as nnz from Q) n, "
         "(select count(*) as used_rows, max(x) as max_row_nnz, "
-        "cast(sum(x) as double) / count(*) as avg_row_nnz from (select count(*) as x from H group by i)) r, "
+        "cast(sum(x) as double) / count(*) as avg_row_nnz from (select count(*) as x from Q group by i)) r, "
         "(select count(*) as used_cols, max(x) as max_col_nnz, "
-        "cast(sum(x) as double) / count(*) as avg_col_nnz from (select count(*) as x from H group by j)) c",
+        "cast(sum(x) as double) / count(*) as avg_col_nnz from (select count(*) as x from Q group by j)) c",
     )
 )
 def matrix_profile(t: Tables) -> DataFrame:
-    return profile.matrix_profile(t.high_quantities())
+    return profile.matrix_profile(t.quantities())
 
 
 @_query(
@@ -714,16 +712,16 @@ def block_load(t: Tables) -> DataFrame:
 
 @_query(
     with_matrices(
-        "H",
+        "Q",
         "select row_number() over (order by id) - 1 as line_no, line from ("
-        + _lines_sql("H", "j", "i")
+        + _lines_sql("Q", "j", "i")
         + ")",
     )
 )
 def sort_by_key(t: Tables) -> DataFrame:
     """Column lines in the order of their ids, over all files."""
     path = scratch_path(t.spark, "sort_by_key")
-    sinks.write_csc(t.high_quantities(), path)
+    sinks.write_csc(t.quantities(), path)
     return sources.numbered_lines(t.spark, path)
 
 

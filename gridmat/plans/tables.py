@@ -45,9 +45,7 @@ class Tables:
     def embeddings(self) -> VectorMatrix:
         """E: vectors by id, dense."""
         table = self.read("embeddings")
-        # All vectors have one width; from_vectors fails on a longer one.
-        n = table.agg(F.max("vec_id")).first()[0] + 1
-        width = table.select(F.size("embedding")).first()[0]
+        n, width = table.agg(F.max("vec_id") + 1, F.max(F.size("embedding"))).first()
         scaled = F.transform(
             "embedding", lambda x: F.floor(x.cast("double") * F.lit(1000.0)).cast("double")
         )
@@ -69,6 +67,11 @@ class Tables:
         shape = (self.n_parts(), MONTHS)
         return from_table(self.read("lineitem"), "l_partkey", month, F.lit(1.0), shape)
 
+    def months_from_one(self) -> CellMatrix:
+        """N: M with the month's number as column; column 0 stays empty."""
+        shape = (self.n_parts(), MONTHS + 1)
+        return from_table(self.read("lineitem"), "l_partkey", F.month("l_shipdate"), F.lit(1.0), shape)
+
     def flags(self) -> CellMatrix:
         """R: quantity by supplier and return flag; three hot columns."""
         shape = (self._shape()[0], FLAG_CODES)
@@ -92,6 +95,8 @@ SQL = {
     f"where l_quantity >= {HIGH_QUANTITY} group by 1, 2",
     "M": "select l_partkey as i, cast(month(l_shipdate) - 1 as bigint) as j, "
     "cast(count(*) as double) as v from lineitem group by 1, 2",
+    "N": "select l_partkey as i, cast(month(l_shipdate) as bigint) as j, "
+    "cast(count(*) as double) as v from lineitem group by 1, 2",
     "R": "select l_suppkey as i, cast(ascii(l_returnflag) as bigint) as j, sum(l_quantity) as v "
     "from lineitem group by 1, 2",
     "D": "select l_suppkey as i, l_partkey as j, "

@@ -234,12 +234,15 @@ def _search(scores: np.ndarray, edges: np.ndarray, texts: np.ndarray, switch: fl
 def word_scores(model: Model, data: np.ndarray, edges: np.ndarray):
     """Scores of every word for every language (minus infinity would forbid one; a large loss narrows), and the words."""
     start, end, text, form, a, b, low = _distinct_words(data, edges)
-    owner, bucket = _grams(low, a, b) if len(a) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    own = np.stack([np.bincount(owner, weights=model.log[bucket, k], minlength=len(a)) for k in range(len(model.languages))], axis=1) * WEIGHT if len(a) else np.zeros((0, len(model.languages)))
-    if len(a):
+    kinds = len(model.languages)
+    own = np.zeros((len(a), kinds))
+    if len(a) and kinds:
+        owner, bucket = _grams(low, a, b)
+        for k in range(kinds):
+            own[:, k] = np.bincount(owner, weights=model.log[bucket, k], minlength=len(a)) * WEIGHT
         own -= own.max(axis=1, keepdims=True)
         own = np.where(model.writes[scripts_of(low, a)], own, np.minimum(own, -3 * SWITCH))
-    return start, end, text, own[form] if len(a) else own
+    return start, end, text, own[form]
 
 
 def _label(model: Broadcast, spans: bool):

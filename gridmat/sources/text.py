@@ -25,37 +25,48 @@ from gridmat.functions.text import MISSING, check_mode, parse_double, tokens
 from gridmat.matrix import CellMatrix, Matrix, VectorMatrix, inside
 
 
+# Tasks of a scan up to which the line numbers of its splits are sent to all of them.
+SENT_TASKS = 50_000
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a file or folder with their position: ``(line_no, line)``.
 
     Files count in path order, lines in file order. Within one input split the
     ids of ``monotonically_increasing_id`` are consecutive, so a line's number
     is its id plus a shift that its split determines. The lines themselves are
-    never shuffled or sorted: a first pass counts them by split, and the
-    shifts, a few bytes for every split that planning the scan lists anyway,
-    are sent to all tasks.
+    never shuffled or sorted: a first pass counts them by split, and the shifts,
+    a few bytes for every split, are sent to all tasks (joined by a shuffle
+    where the scan has more than ``SENT_TASKS`` tasks). Every line brings its
+    own file and block; if the second scan was cut otherwise than the first,
+    as after a change of settings or cluster size, the job fails.
     """
     mid = F.monotonically_increasing_id().alias("mid")
     text = spark.read.text(path)
+    place = [
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+    ]
     splits = (
-        text.select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("start"),
-            mid,
-        )
+        text.select(*place, mid)
         .groupBy("file", "start")
         .agg(F.min("mid").alias("first"), F.count(F.lit(1)).alias("n"))
     )
     before = F.sum("n").over(Window.orderBy("file", "start")) - F.col("n")
-    shifts = splits.select("first", (before - F.col("first")).alias("shift"))
     # The upper bits of an id are the number of the task, which may read several splits.
-    of_tasks = shifts.groupBy(_task_of("first").alias("task")).agg(
-        F.sort_array(F.collect_list(F.struct("first", "shift"))).alias("splits")
+    of_tasks = (
+        splits.withColumn("shift", before - F.col("first"))
+        .groupBy(_task_of("first").alias("task"))
+        .agg(F.sort_array(F.collect_list(F.struct("first", "shift", "n", "file", "start"))).alias("splits"))
     )
-    lines = text.select(F.col("value").alias("line"), mid)
-    own = F.element_at(F.filter("splits", lambda s: s["first"] <= F.col("mid")), -1)
-    return lines.join(F.broadcast(of_tasks), _task_of("mid") == F.col("task")).select(
-        (F.col("mid") + own["shift"]).alias("line_no"), "line"
+    if text.rdd.getNumPartitions() <= SENT_TASKS:
+        of_tasks = F.broadcast(of_tasks)
+    lines = text.select(F.col("value").alias("line"), *place, mid)
+    own = F.get(F.filter("splits", lambda s: (s["first"] <= F.col("mid")) & (F.col("mid") < s["first"] + s["n"])), F.lit(0))
+    known = (own["file"] == F.col("file")) & (own["start"] == F.col("start"))
+    moved = F.raise_error(F.lit("the input was split otherwise when its lines were counted")).cast("bigint")
+    return lines.join(of_tasks, _task_of("mid") == F.col("task"), "left").select(
+        F.when(known, F.col("mid") + own["shift"]).otherwise(moved).alias("line_no"), "line"
     )
 
 

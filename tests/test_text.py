@@ -215,6 +215,17 @@ def test_unreadable_numbers_add_nothing(spark, tmp_path, method):
     assert np.array_equal(array_of(matmul(a, b, method)), want @ np.arange(6).reshape(3, 2))
 
 
+def test_a_line_of_a_split_that_was_not_counted_fails(spark, tmp_path, monkeypatch):
+    """As if the second scan had been cut otherwise: its lines find no count, and none is lost in silence."""
+    from gridmat.sources import text
+
+    path = put(tmp_path, "lines", "".join(f"{k}\n" for k in range(50)))
+    real = text._task_of
+    monkeypatch.setattr(text, "_task_of", lambda c: real(c) + (1 if c == "mid" else 0))
+    with pytest.raises(PySparkException, match="split otherwise"):
+        sources.numbered_lines(spark, path).collect()
+
+
 def test_line_numbers_over_many_splits(spark, tmp_path):
     """Splits inside a file, several files, and files packed into one task."""
     folder = tmp_path / "many"

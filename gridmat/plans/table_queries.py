@@ -773,16 +773,18 @@ def sort_vectors(t: Tables) -> DataFrame:
     "as v from embeddings) select id, "
     "coalesce(nullif(list_position(v[4:], v[33]), 0) + 2, 64) as found, "
     "coalesce(nullif(list_position(v, 1e9::double), 0) - 1, 64) as missing, "
-    "list_sum(list_transform(v, lambda x: x * 3)) as tripled, "
-    "list_sum(v) - v[8] + 5 as replaced, "
-    "list_sum(v) + list_sum(v[1:32]) as added, "
+    "list_sum(list_transform(v, lambda x, i: x * 3 * i)) as tripled, "
+    "list_sum(list_transform(v, lambda x, i: case when i = 8 then 5 else x end * i)) as replaced, "
+    "list_sum(list_transform(v, lambda x, i: case when i <= 32 then 2 * x else x end * i)) as added, "
     "len(v) + 3 as appended from f"
 )
 def vector_functions(t: Tables) -> DataFrame:
     vec = F.col("vec")
 
     def total(x):
-        return F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
+        """A sum in which every place weighs differently, so that elements cannot change places."""
+        weighed = F.transform(x, lambda y, p: y * (p + 1))
+        return F.aggregate(weighed, F.lit(0.0), lambda s, y: s + y)
 
     return t.embeddings().df.select(
         "id",

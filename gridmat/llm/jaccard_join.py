@@ -43,6 +43,8 @@ REPORT_FROM = 4
 COUNT_AT_ONCE = 6_000_000
 #: Salts for entries of common shingles, whose lists may be long.
 SALTS = 64
+#: Words of the short bitmaps that entries carry into the last join.
+SHORT_WORDS = 4
 #: Set numbers up to this many are sent to every task; above, they are joined.
 BROADCAST_ROWS = 1_000_000
 
@@ -237,6 +239,19 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every bitmap folded to SHORT_WORDS words; null for a shorter one, which then refutes nothing."""
+    for batch in batches:
+        out = np.zeros((batch.num_rows, SHORT_WORDS), np.int64)
+        small = np.zeros(batch.num_rows, bool)
+        for i, bits in enumerate(batch.column("bits")):
+            x = np.frombuffer(bits.as_buffer(), np.int64)
+            small[i] = len(x) < SHORT_WORDS
+            if not small[i]:
+                out[i] = np.bitwise_xor.reduce(x.reshape(-1, SHORT_WORDS), axis=0)
+        yield pa.RecordBatch.from_arrays([batch.column("h"), *[pa.array(out[:, k], mask=small) for k in range(SHORT_WORDS)]], names=["h", *[f"s{k}" for k in range(SHORT_WORDS)]])
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column("a_bits").to_pylist(), batch.column("b_bits").to_pylist()
@@ -313,18 +328,25 @@ class SetJoin:
         first = self.verified(best, "leaders")
         grouped = components(first, "x", "y")
         own = stored(lists.join(grouped.withColumnRenamed("node", "h"), "h", "left").select("token", "h", "n", "pos", F.coalesce("root", "h").alias("c")), "grouped-lists")
+        met = own.groupBy("token", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("p"), F.count(F.lit(1)).alias("size"))
         # Only lists with entries of two components have pairs left.
-        met = own.groupBy("token", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("p"))
         mixed_lists = met.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
         met = stored(met.join(mixed_lists, "token", "left_semi"), "mixed-lists")
-        a, b = met.select("token", *[F.col(c).alias(c + "1") for c in ("c", "least", "most", "p")]), met.select("token", *[F.col(c).alias(c + "2") for c in ("c", "least", "most", "p")])
+        a, b = met.select("token", *[F.col(c).alias(c + "1") for c in ("c", "least", "most", "p", "size")]), met.select("token", *[F.col(c).alias(c + "2") for c in ("c", "least", "most", "p", "size")])
         room = (DEN * F.col("most1") >= NUM * F.col("least2")) & (DEN * F.col("most2") >= NUM * F.col("least1"))
         # The largest sizes and the least position bound what any two members could share.
         room &= F.least(F.col("most1") - F.col("p1"), F.col("most2") - F.col("p2")) >= F.ceil(F.lit(NUM) * (F.col("least1") + F.col("least2")) / F.lit(NUM + DEN))
-        triples = a.join(b, (a["token"] == b["token"]) & (F.col("c1") < F.col("c2")) & room).select(a["token"], "c1", "c2")
-        x = own.select("token", F.col("c").alias("c1"), F.col("h").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
-        y = own.select("token", F.col("c").alias("c2"), F.col("h").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
-        pairs = triples.join(x, ["token", "c1"]).join(y, ["token", "c2"]).where(_may_pair(F.col("nx"), F.col("px"), F.col("ny"), F.col("py"))).select("x", "nx", "y", "ny").distinct()
+        # The component with fewer sets in the list comes first: it is the one that is spread without a look at the other's sets.
+        first_is_smaller = (F.col("size1") < F.col("size2")) | ((F.col("size1") == F.col("size2")) & (F.col("c1") < F.col("c2")))
+        triples = a.join(b, (a["token"] == b["token"]) & first_is_smaller & room).select(a["token"], "c1", "c2")
+        # Entries of those lists carry a short parity bitmap, which refutes most pairs inside the join.
+        short = self.sets.select("h", "bits").mapInArrow(_short, "h long, " + ", ".join(f"s{i} long" for i in range(SHORT_WORDS)))
+        left = stored(own.join(mixed_lists, "token", "left_semi").join(short, "h"), "open-lists")
+        x = left.select("token", F.col("c").alias("c1"), F.col("h").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), *[F.col(f"s{i}").alias(f"sx{i}") for i in range(SHORT_WORDS)])
+        y = left.select("token", F.col("c").alias("c2"), F.col("h").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), *[F.col(f"s{i}").alias(f"sy{i}") for i in range(SHORT_WORDS)])
+        differ = sum((F.bit_count(F.col(f"sx{i}").bitwiseXOR(F.col(f"sy{i}"))) for i in range(1, SHORT_WORDS)), F.bit_count(F.col("sx0").bitwiseXOR(F.col("sy0"))))
+        most = F.col("nx") + F.col("ny") - 2 * F.ceil(F.lit(NUM) * (F.col("nx") + F.col("ny")) / F.lit(NUM + DEN))
+        pairs = triples.join(x, ["token", "c1"]).join(y, ["token", "c2"]).where(_may_pair(F.col("nx"), F.col("px"), F.col("ny"), F.col("py")) & F.coalesce(differ <= most, F.lit(True))).select("x", "nx", "y", "ny").distinct()
         return first.unionByName(self.verified(pairs, "others"))
 
     def documents(self) -> DataFrame:

@@ -29,7 +29,7 @@ RANGES = 16
 HIDDEN = 32
 #: Labelled documents that the network is fitted on, at most, taken by the hash of their id.
 SAMPLE = 12_000
-_SMALL = 1 << 19
+_SMALL, _LARGE = 1 << 19, 1 << 22
 
 
 def index_vectors(buckets: int = BUCKETS, dim: int = DIM, nonzero: int = NONZERO) -> tuple[np.ndarray, np.ndarray]:
@@ -41,13 +41,19 @@ def index_vectors(buckets: int = BUCKETS, dim: int = DIM, nonzero: int = NONZERO
 def _accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     place, sign = index_vectors()
     total = np.zeros(BUCKETS * DIM)
-    for _, data, edges in chunks(batches, "text"):
+    for _, data, edges in chunks(batches, "text", _LARGE):
         b, text = terms(data, edges, BUCKETS)
-        for step in (1, 2, 3):
+        pairs = []
+        for step in (1, 2):
             near = np.flatnonzero(text[step:] == text[:-step])
-            for at, other in ((b[near], b[near + step]), (b[near + step], b[near])):
-                for k in range(NONZERO):
-                    total += np.bincount(at * DIM + place[other, k], weights=sign[other, k], minlength=len(total))
+            pairs += [b[near] * BUCKETS + b[near + step], b[near + step] * BUCKETS + b[near]]
+        # Each distinct pair of neighbours once, with its count; in order, so that the sums run along the table.
+        key = np.sort(np.concatenate(pairs).astype(np.int32))
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(key)))
+        at, other = (key[first] // BUCKETS).astype(np.int64), key[first] % BUCKETS
+        for k in range(NONZERO):
+            total += np.bincount(at * DIM + place[other, k], weights=sign[other, k] * count, minlength=len(total))
     rows = total.reshape(RANGES, -1).astype(np.int32)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(RANGES, dtype=np.int32)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["part", "sums"])
 
@@ -74,16 +80,20 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(vectors: np.ndarray, data: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Mean term vector and the mean of its squares, by text; zeros for a text without words."""
+    """Mean term vector by text; zeros for a text without words."""
     texts = len(edges) - 1
     b, text = terms(data, edges, BUCKETS)
-    out = np.zeros((texts, 2 * DIM), np.float32)
+    out = np.zeros((texts, DIM), np.float32)
     if len(b):
+        # Each distinct term of a text once, with its count.
+        key = text * BUCKETS + b
+        key = np.sort(key.astype(np.int32) if texts * BUCKETS < 1 << 31 else key)
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        count = np.diff(np.append(at, len(key))).astype(np.float32)
+        text, b = key[at] // BUCKETS, key[at] % BUCKETS
         first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
-        size = np.diff(np.append(first, len(b)))[:, None]
-        own = vectors[b]
-        out[text[first], :DIM] = np.add.reduceat(own, first, axis=0) / size
-        out[text[first], DIM:] = np.add.reduceat(own * own, first, axis=0) / size
+        total = np.add.reduceat(vectors[b] * count[:, None], first, axis=0)
+        out[text[first]] = total / np.add.reduceat(count, first)[:, None]
     return out
 
 
@@ -142,7 +152,7 @@ class Network:
 def _score(net: Network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column("vec").to_pylist()), np.float32).reshape(-1, 2 * DIM)
+            x = np.frombuffer(b"".join(batch.column("vec").to_pylist()), np.float32).reshape(-1, DIM)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(net.probability(x.astype(np.float64)))], names=["doc_id", "score"])
 
     return run
@@ -164,9 +174,9 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     chosen = known.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     train = rows.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "vec").limit(sample).toPandas()
     y = (train["quality"].to_numpy() > 0).astype(np.float64)
-    net = Network(2 * DIM)
+    net = Network(DIM)
     if len(y) >= 20 and 0 < y.mean() < 1:
-        net.fit(np.frombuffer(b"".join(train["vec"]), np.float32).reshape(-1, 2 * DIM).astype(np.float64), y)
+        net.fit(np.frombuffer(b"".join(train["vec"]), np.float32).reshape(-1, DIM).astype(np.float64), y)
     else:
         share = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
         net.weights[2][:] = 0

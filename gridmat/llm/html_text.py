@@ -17,6 +17,7 @@ one has kept ancestors, so the choices never contradict each other.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log1p
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ ASIDE_WORDS = frozenset(
     "tracking warning widget".split()
 )
 MAIN_WORDS = frozenset("article articlebody body content entry main post story text".split())
-_PUNCTUATION = frozenset(".,;:!?")
+_PUNCTUATION = ".,;:!?"
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FEATURES = [
     "tag_aside", "tag_main", "tag_p", "tag_heading", "tag_item", "tag_table", "tag_generic", "words_aside", "words_main", "above_aside", "above_main", "above_words_aside", "above_words_main",
@@ -82,7 +83,7 @@ class Parsed:
             chars[k] += size
             words[k] += len(text.split())
             linked[k] += size if in_link[id(node)] else 0
-            marks[k] += sum(c in _PUNCTUATION for c in text)
+            marks[k] += sum(map(text.count, _PUNCTUATION))
         self.chars = chars
         self.features = self._features(chars, words, linked, marks) if n else np.zeros((0, len(FEATURES)))
 
@@ -109,23 +110,23 @@ class Parsed:
                 same[k] = seen[nodes[k].tag]
         self.kids = kids
         above = [(0, 0, 0, 0)] * n
-        out = np.zeros((n, len(FEATURES)))
+        rows = []
         for k, node in enumerate(nodes):
             tag = node.tag
             p = parent[k]
             up = above[p] if p >= 0 else (0, 0, 0, 0)
             # The header of an article holds its title; that of a page does not.
             title = tag == "header" and up[1]
-            own = (int(tag in ASIDE_TAGS and not title), int(tag in MAIN_TAGS), 0 if title else sum(w in ASIDE_WORDS for w in node.tokens), sum(w in MAIN_WORDS for w in node.tokens))
+            own = (int(tag in ASIDE_TAGS and not title), int(tag in MAIN_TAGS), 0 if title else len(ASIDE_WORDS.intersection(node.tokens)), len(MAIN_WORDS.intersection(node.tokens)))
             above[k] = tuple(int(bool(a or b)) for a, b in zip(up, own))
             siblings = len(kids[p]) if p >= 0 else 1
-            out[k] = (
+            rows.append((
                 own[0], own[1], tag == "p", tag in _HEADINGS, tag in ("li", "dt", "dd", "option"), tag in ("table", "tr", "td", "th"), tag in ("div", "section", "span"), own[2], own[3], *up[:2], *up[2:],
-                node.depth, np.log1p(chars[k]), np.log1p(words[k]), linked[k] / max(chars[k], 1), marks[k] / max(words[k], 1), np.log1p(all_chars[k]), np.log1p(all_words[k]), all_linked[k] / max(all_chars[k], 1),
+                node.depth, log1p(chars[k]), log1p(words[k]), linked[k] / max(chars[k], 1), marks[k] / max(words[k], 1), log1p(all_chars[k]), log1p(all_words[k]), all_linked[k] / max(all_chars[k], 1),
                 all_chars[k] / tags[k], len(kids[k]), place[k], siblings, same[k] / max(siblings, 1), all_chars[k] / max(all_chars[p] if p >= 0 else 1, 1), all_chars[k] / max(all_chars[0], 1),
-            )
+            ))
         self.all_chars = all_chars
-        return out
+        return np.array(rows, np.float64)
 
     def labels(self) -> np.ndarray:
         """1 main text, 0 not, -1 unsaid, by the marks of the page itself."""
@@ -147,12 +148,12 @@ class Parsed:
     def decode(self, margin: np.ndarray) -> list[bool]:
         """Which nodes are kept: the choice with the most evidence in which no kept node lies below a dropped one."""
         n = len(self.nodes)
-        margin = np.clip(margin, -6, 6)
-        weight = np.sqrt(np.array(self.chars))
+        margin = np.clip(margin, -6, 6).tolist()
+        weight = np.sqrt(np.array(self.chars)).tolist()
         best = [0.0] * n
         for k in range(n - 1, -1, -1):
-            own = float(margin[k])
-            text = own * float(weight[k])
+            own = margin[k]
+            text = own * weight[k]
             total = (own if self.chars[k] or own < 0 else 0.0) + max(text, 0.0)
             total += sum(max(best[c], 0.0) for c in self.kids[k])
             best[k] = total if k else 1.0

@@ -10,7 +10,8 @@ in the corpus.
     hashes of anchor and context are shuffled. This loses nothing: windows that
     are equal stand in contexts with the same anchor.
 2.  Equal contexts are repeats in full, told from their hashes. A task sums up
-    the contexts that it has seen more than once before anything is shuffled.
+    the contexts that it has seen more than once before anything is shuffled,
+    and deals the contexts of an anchor that it sees often out by context.
 3.  Contexts that share an anchor but differ go to the shard of the anchor, one
     copy of each. A shard orders all suffixes of its contexts with their common
     prefixes by external induced sorting (``induced_sort``); neighbours that
@@ -41,11 +42,13 @@ K = 80
 ANCHORS_AT_ONCE = 2_000_000
 #: Text of contexts that a task sorts at once (whole anchors; a larger one alone).
 SHARD_BYTES = 3 << 20
+#: A task that sees so many different contexts of an anchor deals them out by context instead of by anchor.
+OFTEN = 16
 #: An anchor with more different contexts than this is counted by windows.
 MANY_CONTEXTS = 4_000
 BROADCAST_ROWS = 300_000
 _LOW = np.uint64((1 << 24) - 1)
-_ROW = "h long, ctx long, th long, nb long, lo long, n long, whole boolean, one boolean"
+_ROW = "h long, ctx long, th long, nb long, lo long, n long, whole boolean, one boolean, often boolean"
 _NAMES = [c.split()[0] for c in _ROW.split(", ")]
 
 
@@ -105,8 +108,17 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole[order[:-1]] |= same
         one = np.zeros(len(h), bool)
         one[order] = np.append(True, ~same)
+        first = np.append(True, h[order][1:] != h[order][:-1])
+        group = np.cumsum(first) - 1
+        many = np.bincount(group, weights=one[order]) >= OFTEN
+        often = np.zeros(len(h), bool)
+        often[order] = many[group]
         for at in range(0, len(h), 1 << 16):
-            yield _batch([c[at : at + (1 << 16)] for c in (h.view(np.int64), ctx.view(np.int64), th, nb, lo, n, whole, one)], _NAMES)
+            yield _batch([c[at : at + (1 << 16)] for c in (h.view(np.int64), ctx.view(np.int64), th, nb, lo, n, whole, one, often)], _NAMES)
+        # A mark for each of these anchors, so that a single context of another task knows that it is not alone.
+        marks = h[order][first][many].view(np.int64)
+        zero, yes = np.zeros(len(marks), np.int64), np.ones(len(marks), bool)
+        yield _batch([marks, zero, zero, zero, zero, zero, ~yes, yes, ~yes], _NAMES)
 
     # A single text beyond 2**24 bytes would not fit the place bits; it is cut into overlapping parts.
     for _, data, edges in chunks(batches, "text"):
@@ -158,12 +170,12 @@ def _judged(batch: pa.RecordBatch) -> pa.RecordBatch:
     whole = batch.column("whole").to_numpy(zero_copy_only=False).copy()
     whole[1:] |= same
     whole[:-1] |= same
-    # Anchors with more than one context.
+    # Anchors with more than one context, here or known to have them elsewhere.
     group = np.cumsum(np.append(True, ~same_h)) - 1
     kinds = np.bincount(group, weights=np.append(True, ~same))[group]
-    one = np.append(True, ~same) & (kinds > 1)
-    keep = whole | one
-    out = [batch.column(c) for c in _NAMES[:6]] + [pa.array(whole), pa.array(one)]
+    one = np.append(True, ~same) & ((kinds > 1) | batch.column("often").to_numpy(zero_copy_only=False))
+    keep = (whole | one) & (batch.column("n").to_numpy() > 0)
+    out = [batch.column(c) for c in _NAMES[:6]] + [pa.array(whole), pa.array(one), batch.column("often")]
     return pa.RecordBatch.from_arrays(out, names=_NAMES).filter(pa.array(keep))
 
 
@@ -280,11 +292,17 @@ class Repeats:
     def stretches(self) -> DataFrame:
         """(th, nb, lo, hi): bytes lo..hi of the text are repeated; stretches may overlap."""
         rows = self.docs.select("text").mapInArrow(_anchor_rows, _ROW)
-        # What a task has already found repeated need not meet the others, but for one row.
-        dealt = rows.repartition(partitions(self.spark), F.when(F.col("one"), F.col("h")).otherwise(F.col("th")))
+        # What a task has already found repeated need not meet the others, but for one row. Contexts of a frequent anchor are spread.
+        key = F.when(F.col("one") & F.col("often"), F.xxhash64("h", "ctx")).when(F.col("one"), F.col("h")).otherwise(F.col("th"))
+        dealt = rows.repartition(partitions(self.spark), key)
         met = stored(dealt.sortWithinPartitions("h", "ctx").mapInArrow(_met, _ROW), "contexts")
-        whole = met.where("whole").select("th", "nb", "lo", (F.col("lo") + F.col("n") + LENGTH - 1).alias("hi"))
-        compare = met.where("one").select("h", "ctx", "th", "nb", "lo", "n").dropDuplicates(["h", "ctx"])
+        covered = ["th", "nb", "lo", (F.col("lo") + F.col("n") + LENGTH - 1).alias("hi")]
+        # A context may have been dealt both ways: equal ones that have not met yet meet here, summed up before the shuffle.
+        ones = met.where("one")
+        kept = stored(ones.groupBy("h", "ctx").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("th", "nb", "lo", "n")).alias("first")), "kept-contexts")
+        again = ones.join(self._small(kept.where("k > 1").select("h", "ctx")), ["h", "ctx"])
+        whole = met.where("whole").select(*covered).unionByName(again.select(*covered))
+        compare = kept.select("h", "first.*")
         wanted = stored(compare.groupBy("th", "nb").agg(F.collect_list(F.struct("h", "lo", "n")).alias("wanted")), "wanted")
         texts = self.keyed(["text"]).join(self._small(wanted), (F.col("_th") == F.col("th")) & (F.col("_nb") == F.col("nb")))
         pieces = stored(texts.select("text", "th", "nb", "wanted").mapInArrow(_cut_contexts, "h long, th long, nb long, lo long, bytes binary"), "pieces")

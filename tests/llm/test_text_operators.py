@@ -119,6 +119,11 @@ def test_many_contexts_are_counted_by_windows(spark, monkeypatch):
     texts = [noise(300) + shared + noise(300) for _ in range(40)] + [noise(500)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     want = Counter((i, *c) for i, c in enumerate(cut(texts)))
+    # Frequent anchors are dealt out by context; equal contexts of tasks that differ in this must still meet.
+    twice = spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts[:3])], "doc_id long, text string").coalesce(1)
+    both = Counter((i, *c) for i, c in zip([*range(41), 100, 101, 102], cut(texts + texts[:3])))
+    monkeypatch.setattr(suffix_dedup, "OFTEN", 5)
+    assert rows_of(suffix_dedup.removed(docs.unionByName(twice)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == both
     monkeypatch.setattr(suffix_dedup, "MANY_CONTEXTS", 3)
     assert rows_of(suffix_dedup.removed(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
     monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", 0)

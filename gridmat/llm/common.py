@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -60,6 +61,15 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[edges[0] : edges[-1]], edges - edges[0]
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker process lives on after its task, beside the executor's other one."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES):
     """Slices of the batches with at most ``limit`` bytes of text (a longer text comes alone): (slice, bytes, offsets)."""
     for batch in batches:
@@ -69,6 +79,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + limit, side="right")) - 1)
             yield batch.slice(lo, hi - lo), data[edges[lo] : edges[hi]], edges[lo : hi + 1] - edges[lo]
             lo = hi
+    release_memory()
 
 
 # ---------------------------------------------------------------- hashes modulo 2**64

@@ -77,7 +77,7 @@ def ngram_codes(data: np.ndarray, edges: np.ndarray, order: int = ORDER) -> tupl
 def _count(column: str, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES**order, np.int64)
-        for _, data, edges in chunks(batches, column):
+        for _, data, edges in chunks(batches, column, 1 << 21):
             codes, _ = ngram_codes(data, edges, order)
             total += np.bincount(codes, minlength=len(total))
         seen = np.flatnonzero(total)
@@ -123,15 +123,15 @@ def fit(docs: DataFrame, column: str = "text", order: int = ORDER) -> list[dict[
 
 def log_table(model: list[dict[str, np.ndarray]]) -> np.ndarray:
     """Log probability of every n-gram of the highest order, seen or not, by interpolation from order 1 up."""
-    p = np.full(1, 1.0 / CLASSES)
-    p = np.repeat(p, CLASSES)
+    p = np.full(CLASSES, 1.0 / CLASSES, np.float32)
     for n, level in enumerate(model, 1):
-        rest = np.ones(CLASSES ** (n - 1))
+        rest = np.ones(CLASSES ** (n - 1), np.float32)
         rest[level["context"]] = level["rest"]
-        lower = p if n == 1 else np.tile(p.reshape(-1), CLASSES)
-        p = lower * np.repeat(rest, CLASSES)
-        p[level["code"]] += level["own"]
-    return np.log(np.maximum(p, 1e-12)).astype(np.float32)
+        p = p if n == 1 else np.tile(p, CLASSES)
+        p = (p.reshape(-1, CLASSES) * rest[:, None]).ravel()
+        p[level["code"]] += level["own"].astype(np.float32)
+    np.maximum(p, np.float32(1e-12), out=p)
+    return np.log(p, out=p)
 
 
 def mean_log(data: np.ndarray, edges: np.ndarray, table: np.ndarray, order: int = ORDER) -> np.ndarray:

@@ -24,7 +24,7 @@ from gridmat.llm.common import chunks
 
 WINDOW = 4096
 END_ID = 2
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 QUERY_TERMS = 24
 NEIGHBOURS = 64
 K1, B = 1.2, 0.75

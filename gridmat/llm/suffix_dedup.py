@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmat.llm.common import byte_prefix, chunks, partitions, stored, stretch_hash
+from gridmat.llm.common import byte_prefix, chunks, partitions, release_memory, stored, stretch_hash
 from gridmat.llm.induced_sort import suffix_order
 
 LENGTH = 200
@@ -41,7 +41,7 @@ K = 80
 #: Anchors that a task sums up at once.
 ANCHORS_AT_ONCE = 2_000_000
 #: Text of contexts that a task sorts at once (whole anchors; a larger one alone).
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
 #: A task that sees so many different contexts of an anchor deals them out by context instead of by anchor.
 OFTEN = 16
 #: An anchor with more different contexts than this is counted by windows.
@@ -249,6 +249,7 @@ def _sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size = held[0].column("bytes").nbytes
     if held:
         yield solve(pa.concat_batches(held))
+    release_memory()
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -94,8 +94,11 @@ def counts(docs: DataFrame, column: str = "text", order: int = ORDER) -> DataFra
 
 
 def _discounts(n: np.ndarray) -> np.ndarray:
-    """Modified discounts for counts 1, 2 and 3 or more, kept within (0, count)."""
-    t = [float((n == k).sum()) for k in (1, 2, 3, 4)]
+    return discounts([float((n == k).sum()) for k in (1, 2, 3, 4)])
+
+
+def discounts(t: list[float]) -> np.ndarray:
+    """Modified discounts for counts 1, 2 and 3 or more, kept within (0, count), from how many n-grams have count 1, 2, 3 and 4."""
     if not t[0] or not t[1]:
         return np.array([0.5, 0.75, 0.9])
     y = t[0] / (t[0] + 2 * t[1])

@@ -7,12 +7,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridmat.llm import kneser_ney
-from gridmat.llm.common import SPACE, byte_prefix, chunks, owner_of, process_cache, stored, stretch_hash, word_edges
+from gridmat.llm import word_model
+from gridmat.llm.common import SPACE, byte_prefix, chunks, owner_of, stored, stretch_hash, word_edges
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -25,10 +24,12 @@ LEAST_SPREAD = 0.01
 LEAST_TEXTS = 50
 #: So many languages have a band of their own, the most frequent first; the rest share the one of all texts.
 MOST_BANDS = 2_000
+#: Kept texts up to this many are sent to every task; above, they are joined.
+BROADCAST_ROWS = 1_000_000
 
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
+FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_key long"
 
 
 def _per_text(flags: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -98,31 +99,34 @@ def _per_word_lines(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.
     return run[end] > run[start]
 
 
-def _features(model: Broadcast, keep: list[str], text_index: int, names: list[str]):
+def _features(keep: list[str], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = process_cache()
-        if cache.get("log table of") is not model.value:
-            cache["log table"] = kneser_ney.log_table(model.value)
-            cache["log table of"] = model.value
-        table = cache["log table"]
-        for part, data, edges in chunks(batches, names[text_index]):
+        for part, data, edges in chunks(batches, "text"):
             got = base_counts(data, edges)
-            perplexity = -kneser_ney.mean_log(data, edges, table)
             new = [pa.array(got[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-            new.append(pa.array(perplexity, from_pandas=True))
+            new.append(word_model.text_keys(data, edges))
             yield pa.RecordBatch.from_arrays([part.column(names.index(c)) for c in keep] + new, names=keep + [f.split()[0] for f in FEATURES.split(", ")])
 
     return run
 
 
+def _keyed(names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, edges in chunks(batches, "text"):
+            yield pa.RecordBatch.from_arrays([*part.columns, word_model.text_keys(data, edges)], names=[*names, "text_key"])
+
+    return run
+
+
 def _ddl(df: DataFrame, columns: list[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
-def features(docs: DataFrame, model: Broadcast, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of each document with its counts and log perplexity (null for an empty or null text)."""
+def features(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of each document with its counts and log perplexity (null for a text without words)."""
     names = list(dict.fromkeys([*keep, "text"]))
-    return docs.select(*names).mapInArrow(_features(model, keep, names.index("text"), names), f"{_ddl(docs, keep)}, {FEATURES}")
+    counted = docs.select(*names).mapInArrow(_features(keep, names), f"{_ddl(docs, keep)}, {FEATURES}")
+    return counted.join(word_model.mean_logs(docs), "text_key", "left").withColumn("log_perplexity", -F.col("mean_log")).drop("mean_log")
 
 
 def base_failed() -> Column:
@@ -173,10 +177,6 @@ def judged(scored: DataFrame, limits: Bands) -> DataFrame:
     return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside)
 
 
-def model_of(docs: DataFrame) -> Broadcast:
-    return docs.sparkSession.sparkContext.broadcast(kneser_ney.fit(docs))
-
-
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, the five counts, perplexity, band, base_failed and kept for every document.
 
@@ -184,7 +184,7 @@ def score(docs: DataFrame) -> DataFrame:
     language forms a group of its own. Repeated rows are judged alike. An empty
     table gives no rows.
     """
-    scored = stored(features(docs, model_of(docs), ["doc_id", "lang"]), "quality")
+    scored = stored(features(docs, ["doc_id", "lang"]), "quality")
     return judged(scored, bands(scored)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.exp("log_perplexity").alias("perplexity"), F.exp("lower").alias("lower"), F.exp("upper").alias("upper")
     )
@@ -193,12 +193,14 @@ def score(docs: DataFrame) -> DataFrame:
 def passing(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their columns.
 
-    The bands come from a first pass; the second scores again beside the whole
-    rows instead of joining them back, so that no text is shuffled.
+    The verdict depends on text and language alone; the rows meet it by the
+    hash of the text, in place while the kept texts are few.
     """
-    model = model_of(docs)
-    limits = bands(stored(features(docs, model, ["lang"]), "quality"))
-    # Other columns travel under numbered names, so that none clashes with a count.
+    scored = stored(features(docs, ["lang"]), "quality")
+    fine = stored(judged(scored, bands(scored)).where("kept").select("text_key", F.coalesce("lang", F.lit("")).alias("_lang")).distinct(), "kept")
+    # Other columns travel under numbered names, so that none clashes with the key.
     names = [c if c in ("text", "lang") else f"_c{i}" for i, c in enumerate(docs.columns)]
-    kept = judged(features(docs.toDF(*names), model, names), limits).where("kept")
+    plain = docs.toDF(*names)
+    keyed = plain.mapInArrow(_keyed(names), f"{_ddl(plain, names)}, text_key long").withColumn("_lang", F.coalesce("lang", F.lit("")))
+    kept = keyed.join(F.broadcast(fine) if fine.count() <= BROADCAST_ROWS else fine, ["text_key", "_lang"], "left_semi")
     return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

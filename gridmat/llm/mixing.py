@@ -4,7 +4,9 @@ A softmax classifier, fitted on the labelled table, gives every document a
 posterior over domains. Nonnegative document rates are then fitted so that the
 expected token total of each domain, the sum of rate x tokens x posterior,
 meets its target: a least-squares problem in as many unknowns as documents,
-solved by projected gradient steps. A step needs only the domain totals, which
+solved by projected gradient steps. Where these have not met every target, one
+proximal step, exact by Newton's method in as many unknowns as domains, ends the
+way; targets that no rates can meet are reported. A step needs only the domain totals, which
 Spark sums; the rates themselves follow from the totals of all steps so far
 and are recomputed beside the posteriors, so that nothing of the size of the
 corpus is kept between steps or reaches the driver.
@@ -12,6 +14,7 @@ corpus is kept between steps or reaches the driver.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +35,10 @@ LEAST_DOCS = 4
 LEAST_Z = 5.0
 STEPS = 25
 CLOSE = 1e-4
+#: A target is met within this share of itself.
+MET = 0.01
+#: Weight of staying near the rates so far in the last step, its Newton steps at most, and their shortest length, 2 ** -HALVINGS.
+STAY, NEWTON, HALVINGS = 1e-8, 100, 20
 _SMALL = 1 << 20
 
 
@@ -216,6 +223,78 @@ def fit_rates(rows: DataFrame, weights: list[float], steps: int = STEPS, close:
     return gradients, total, target
 
 
+def _along(gradients: list[np.ndarray], points: np.ndarray):
+    domains = points.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((len(points), domains + 1 + domains * domains))
+        for batch in batches:
+            p = _matrix(batch.column("posterior"), domains)
+            n = batch.column("n_tokens").to_numpy()
+            base = rates_after(p, gradients)
+            for i, g in enumerate(points):
+                r = np.maximum(0.0, base - p @ g)
+                out[i, :domains] += (n * r) @ p
+                out[i, domains] += 0.5 * (n * r) @ r
+                out[i, domains + 1 :] += ((p * (n * (r > 0))[:, None]).T @ p).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size, dtype=np.int32)), pa.array(out.ravel())], names=["cell", "value"])
+
+    return run
+
+
+def _at_points(rows: DataFrame, gradients: list[np.ndarray], points: np.ndarray) -> np.ndarray:
+    """For a further step by each point: domain totals, half the squared rates by token, and the products of posteriors where the rate is above 0."""
+    domains = points.shape[1]
+    got = rows.select("n_tokens", "posterior").mapInArrow(_along(gradients, points), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
+    out = np.zeros(len(points) * (domains + 1 + domains * domains))
+    for cell, value in got:
+        out[cell] = value
+    return out.reshape(len(points), -1)
+
+
+def exact_step(rows: DataFrame, gradients: list[np.ndarray], present: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The step after which the squares that ``fit_rates`` minimises, plus STAY x the squared change of the rates, are least, and the totals it reaches.
+
+    The step g leaves the rates max(0, r - posterior . g); it is the least point of a
+    convex function of g alone, piecewise quadratic, which damped Newton steps find.
+    """
+    domains = len(target)
+    stay = STAY * np.maximum(present, 1e-9)
+    lengths = 0.5 ** np.arange(HALVINGS + 1)
+
+    def read(row: np.ndarray, g: np.ndarray):
+        total = row[:domains]
+        return row[domains] + g @ target + 0.5 * g @ (stay * g), target - total + stay * g, row[domains + 1 :].reshape(domains, domains) + np.diag(stay), total
+
+    g = np.zeros(domains)
+    value, slope, bend, total = read(_at_points(rows, gradients, g[None])[0], g)
+    for _ in range(NEWTON):
+        if (np.abs(slope) <= 1e-4 * MET * np.maximum(target, 1e-9)).all():
+            break
+        tried = g - lengths[:, None] * np.linalg.solve(bend, slope)
+        states = [read(row, at) for row, at in zip(_at_points(rows, gradients, tried), tried)]
+        best = min(range(len(tried)), key=lambda i: states[i][0])
+        if states[best][0] >= value and np.abs(states[best][1]).max() >= np.abs(slope).max():
+            break
+        g, (value, slope, bend, total) = tried[best], states[best]
+    return g, total
+
+
+def met(total: np.ndarray, target: np.ndarray) -> np.ndarray:
+    return np.abs(total - target) <= MET * np.maximum(target, 1e-9)
+
+
+def meet_targets(rows: DataFrame, weights: list[float]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """As ``fit_rates``, with an exact last step where a target is not met; warns of targets that no rates meet."""
+    gradients, total, target = fit_rates(rows, weights)
+    if not met(total, target).all():
+        step, total = exact_step(rows, gradients, domain_totals(rows, [], len(weights)), target)
+        gradients = [*gradients, step]
+    if not met(total, target).all():
+        warnings.warn("no rates meet the target of every domain: " + ", ".join(f"domain {i} has {a:.6g} of {b:.6g} tokens" for i, (a, b) in enumerate(zip(total, target))), stacklevel=2)
+    return gradients, total, target
+
+
 def _rated(gradients: list[np.ndarray], domains: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,7 +333,7 @@ def mixture(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEI
     """
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     rows = stored(posteriors(plain, classifier(plain, labels), ["doc_id"]), "posteriors")
-    gradients, _, _ = fit_rates(rows, list(weights))
+    gradients, _, _ = meet_targets(rows, list(weights))
     rated = with_rates(rows, gradients, len(weights))
     return rated.select("doc_id", "n_tokens", *[F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
@@ -268,7 +347,7 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGH
     """
     model = classifier(docs, labels)
     rows = stored(posteriors(docs, model, ["doc_id"]), "posteriors")
-    gradients, _, _ = fit_rates(rows, list(weights))
+    gradients, _, _ = meet_targets(rows, list(weights))
     names = [c if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)]
     rated = with_rates(posteriors(docs.toDF(*names), model, names), gradients, len(weights))
     key = names[docs.columns.index("doc_id")]

@@ -125,7 +125,7 @@ def apart_at_least(a: bytes, b: bytes) -> int:
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """kind 0: a document's set; kind 1: a shingle seen in several sets of this task."""
-    names = ["kind", "doc_id", "h", "n", "bits"]
+    names = ["kind", "doc_id", "row_key", "h", "n", "bits"]
     seen, held = [], 0
 
     def report():
@@ -133,11 +133,11 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = count >= REPORT_FROM
         token, count = token[often], count[often]
         m = len(token)
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(token.astype(np.int64)), pa.array(count), pa.nulls(m, pa.binary())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(token.astype(np.int64)), pa.array(count), pa.nulls(m, pa.binary())], names=names)
 
     for part, data, edges in chunks(batches, "text"):
         flat, counts = shingle_sets(data, edges)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(counts), np.int32)), part.column("doc_id"), pa.array(set_hash(flat, counts)), pa.array(counts), bitmaps(flat, counts)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(counts), np.int32)), part.column("doc_id"), part.column("row_key"), pa.array(set_hash(flat, counts)), pa.array(counts), bitmaps(flat, counts)], names=names)
         seen.append(flat)
         held += len(flat)
         if held > COUNT_AT_ONCE:
@@ -279,16 +279,22 @@ def _may_pair(n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
     return (DEN * F.least(n1, n2) >= NUM * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) >= need)
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A hash of a row's id and text; nulls are told from anything else."""
+    return F.xxhash64(doc_id.isNull(), doc_id, text.isNull(), text)
+
+
 class SetJoin:
     """The steps of the join over one table of documents (doc_id, text)."""
 
     def __init__(self, docs: DataFrame):
-        self.docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+        doc_id = docs["doc_id"].cast("long")
+        self.docs = docs.select(doc_id.alias("doc_id"), docs["text"], row_key(doc_id, docs["text"]).alias("row_key"))
         self.spark = docs.sparkSession
-        first = stored(self.docs.mapInArrow(_first_pass, "kind int, doc_id long, h long, n long, bits binary"), "sets")
-        self.members = first.where("kind = 0").select("doc_id", "h", "n")
+        first = stored(self.docs.mapInArrow(_first_pass, "kind int, doc_id long, row_key long, h long, n long, bits binary"), "sets")
+        self.members = first.where("kind = 0").select("doc_id", "row_key", "h", "n")
         some = first.where("kind = 0 and n > 0")
-        self.sets = stored(some.groupBy("h").agg(F.max("n").cast("int").alias("n"), F.min("doc_id").alias("rep"), F.min("bits").alias("bits")), "distinct-sets")
+        self.sets = stored(some.groupBy("h").agg(F.max("n").cast("int").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first"), F.min("bits").alias("bits")), "distinct-sets")
         often = first.where("kind = 1").groupBy("h").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "h").limit(COMMON).toPandas()
         token = often["h"].to_numpy(np.int64).astype(np.uint64)
         rank = np.lexsort((token, often["c"].to_numpy(np.int64))).argsort()
@@ -303,11 +309,11 @@ class SetJoin:
         return stored(dealt.sortWithinPartitions("token", "h").mapInArrow(_lists_of_two, "token long, h long, n int, pos int, often boolean").select("token", "h", "n", "pos"), "lists")
 
     def _with_text(self, wanted: DataFrame) -> DataFrame:
-        """Payload of the sets in ``wanted`` (h), from the text of one document of each."""
-        ids = stored(wanted.join(self.sets.select("h", "rep"), "h").select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-        if ids.count() <= BROADCAST_ROWS:
-            ids = F.broadcast(ids)
-        return self.docs.join(ids, "doc_id", "left_semi").mapInArrow(_payload, "h long, six binary").dropDuplicates(["h"])
+        """Payload of the sets in ``wanted`` (h), from the text of the first row of each."""
+        keys = stored(wanted.join(self.sets.select("h", "first"), "h").select("first.row_key").distinct(), "wanted")
+        if keys.count() <= BROADCAST_ROWS:
+            keys = F.broadcast(keys)
+        return self.docs.join(keys, "row_key", "left_semi").mapInArrow(_payload, "h long, six binary").dropDuplicates(["h"])
 
     def verified(self, pairs: DataFrame, label: str) -> DataFrame:
         """The pairs (x, nx, y, ny) that are links, as (x, y)."""
@@ -349,16 +355,27 @@ class SetJoin:
         pairs = triples.join(x, ["token", "c1"]).join(y, ["token", "c2"]).where(_may_pair(F.col("nx"), F.col("px"), F.col("ny"), F.col("py")) & F.coalesce(differ <= most, F.lit(True))).select("x", "nx", "y", "ny").distinct()
         return first.unionByName(self.verified(pairs, "others"))
 
+    def _rooted(self) -> DataFrame:
+        """h, first and the root of its component for every set."""
+        roots = components(self.links(), "x", "y").withColumnRenamed("node", "h")
+        return self.sets.select("h", "first").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+
     def documents(self) -> DataFrame:
         """doc_id, n_shingles, h and component_id of every document."""
-        roots = components(self.links(), "x", "y").withColumnRenamed("node", "h")
-        sets = self.sets.select("h", "rep").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
-        least = sets.groupBy("root").agg(F.min("rep").alias("component_id"))
+        sets = self._rooted()
+        least = sets.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
         of_set = stored(sets.join(least, "root").select("h", "component_id"), "components")
         filled = self.members.where("n > 0").join(of_set, "h", "left")
         empty = self.members.where("n = 0").withColumn("component_id", F.col("doc_id"))
         return filled.select("doc_id", "n", "h", "component_id").unionByName(empty.select("doc_id", "n", "h", "component_id"))
 
+    def kept_rows(self) -> DataFrame:
+        """row_key of the first row of each component and of every row without shingles, and whether the table holds it several times."""
+        first = self._rooted().groupBy("root").agg(F.min("first").alias("first")).select("first.row_key")
+        kept = first.unionByName(self.members.where("n = 0").select("row_key")).distinct()
+        several = self.members.groupBy("row_key").agg((F.count(F.lit(1)) > 1).alias("several"))
+        return kept.join(several, "row_key")
+
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document.
@@ -372,8 +389,17 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without those that are linked, directly or by others, to one with a smaller doc_id; repeated rows once."""
-    found = classes(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    ids = stored(found, "kept")
-    kept = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
-    return kept.select(*docs.columns)
+    """One row of each component: the one with the smallest doc_id, or any where all ids are null.
+
+    A text without shingles stands alone. A row that is repeated (same doc_id and text) is given once.
+    """
+    kept = stored(SetJoin(docs).kept_rows(), "kept")
+    # Columns travel under numbered names, so that none clashes with the key.
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    key = row_key(F.col(names[docs.columns.index("doc_id")]).cast("long"), F.col(names[docs.columns.index("text")]))
+    found = docs.toDF(*names).withColumn("row_key", key).join(F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept, "row_key")
+    # Only repeated rows are shuffled.
+    rows = found.where("not several")
+    if not kept.where("several").isEmpty():
+        rows = rows.unionByName(found.where("several").dropDuplicates(["row_key"]))
+    return rows.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

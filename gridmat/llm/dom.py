@@ -30,8 +30,10 @@ CLOSES = {
 _ENDS_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "summary", "html", "head", "body"} | {"hr", "table"}
 _P_SCOPE = frozenset("table td th caption button object html body".split())
 
-_TOKEN = re.compile(r"""<!--(?:.*?(?:-->|--!>)|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*?)(/?)>|<(?=[a-zA-Z/]).*""", re.S)
-_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+# As in HTML, a quote opens a value only right after "="; anywhere else, or without its second quote, it is a character like others.
+_ATTRIBUTES = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+"""
+_TOKEN = re.compile(rf"""<!--(?:.*?(?:-->|--!>)|.*)|<(?:[!?]|/(?![a-zA-Z]))[^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})>|<(?=[a-zA-Z]|/[a-zA-Z]).*""", re.S)
+_ATTR = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 

@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmat.llm.common import LOWER, byte_prefix, chunks, owner_of, remainder, stretch_hash
+from gridmat.llm.common import LOWER, byte_prefix, chunks, owner_of, process_cache, remainder, stretch_hash
 
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3, 4)
@@ -55,17 +55,35 @@ def lower_bytes(data: np.ndarray) -> np.ndarray:
     return low
 
 
+def letter_table() -> np.ndarray:
+    """Whether each code point is a letter."""
+    cache = process_cache()
+    if "letters" not in cache:
+        cache["letters"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    return cache["letters"]
+
+
+def points_of(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Code point of the character at each start."""
+    a = data[start].astype(np.int64)
+    point = a.copy()
+    take = lambda k: data[np.minimum(start + k, len(data) - 1)].astype(np.int64) & 0x3F
+    two, three, four = (a >= 0xC0) & (a < 0xE0), (a >= 0xE0) & (a < 0xF0), a >= 0xF0
+    point[two] = ((a & 0x1F) << 6 | take(1))[two]
+    point[three] = ((a & 0x0F) << 12 | take(1) << 6 | take(2))[three]
+    point[four] = ((a & 0x07) << 18 | take(1) << 12 | take(2) << 6 | take(3))[four]
+    return point
+
+
 def letter_words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of letters. Bytes of characters beyond ASCII count as letters, except where the character is none."""
+    """Starts and ends of the runs of letters; what is a letter is looked up by code point beyond ASCII."""
     inside = _LETTER[data]
     wide = np.flatnonzero(data >= 0xC2)
     if len(wide):
-        # Only C2, E2, E3, EF and F0 lead characters that are often no letters; these are looked up.
-        doubt = wide[np.isin(data[wide], (0xC2, 0xE2, 0xE3, 0xEF, 0xF0)) | ((data[wide] == 0xC3) & np.isin(data[np.minimum(wide + 1, len(data) - 1)], (0x97, 0xB7)))]
-        for at in doubt:
-            size = 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
-            if not data[at : at + size].tobytes().decode("utf-8", errors="ignore").isalpha():
-                inside[at : at + size] = False
+        none = wide[~letter_table()[np.minimum(points_of(data, wide), 0x10FFFF)]]
+        size = 2 + (data[none] >= 0xE0) + (data[none] >= 0xF0)
+        for k in range(4):
+            inside[none[size > k] + k] = False
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -78,14 +96,7 @@ def letter_words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def scripts_of(data: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Script number of the character at each start."""
-    a = data[start].astype(np.int64)
-    point = a.copy()
-    take = lambda k: data[np.minimum(start + k, len(data) - 1)].astype(np.int64) & 0x3F
-    two, three, four = (a >= 0xC0) & (a < 0xE0), (a >= 0xE0) & (a < 0xF0), a >= 0xF0
-    point[two] = ((a & 0x1F) << 6 | take(1))[two]
-    point[three] = ((a & 0x0F) << 12 | take(1) << 6 | take(2))[three]
-    point[four] = ((a & 0x07) << 18 | take(1) << 12 | take(2) << 6 | take(3))[four]
-    return _NUMBER[np.searchsorted(_FIRST, point, side="right") - 1]
+    return _NUMBER[np.searchsorted(_FIRST, points_of(data, start), side="right") - 1]
 
 
 def _grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -4,9 +4,9 @@ A softmax classifier, fitted on the labelled table, gives every document a
 posterior over domains. Nonnegative document rates are then fitted so that the
 expected token total of each domain, the sum of rate x tokens x posterior,
 meets its target: a least-squares problem in as many unknowns as documents,
-solved by projected gradient steps. Where these have not met every target, one
-proximal step, exact by Newton's method in as many unknowns as domains, ends the
-way; targets that no rates can meet are reported. A step needs only the domain totals, which
+solved by projected gradient steps; targets that these leave unmet are reported.
+On request one proximal step, exact by Newton's method in as many unknowns as
+domains, ends the way. A step needs only the domain totals, which
 Spark sums; the rates themselves follow from the totals of all steps so far
 and are recomputed beside the posteriors, so that nothing of the size of the
 corpus is kept between steps or reaches the driver.
@@ -284,14 +284,18 @@ def met(total: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.abs(total - target) <= MET * np.maximum(target, 1e-9)
 
 
-def meet_targets(rows: DataFrame, weights: list[float]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """As ``fit_rates``, with an exact last step where a target is not met; warns of targets that no rates meet."""
+def meet_targets(rows: DataFrame, weights: list[float], exact: bool = False) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """As ``fit_rates``, with a warning of targets that are not met; ``exact`` first adds an exact last step for them.
+
+    Where the posteriors of nearly all documents leave something to a domain that
+    is to go, the exact rates are 0 for most documents and high for a few.
+    """
     gradients, total, target = fit_rates(rows, weights)
-    if not met(total, target).all():
+    if exact and not met(total, target).all():
         step, total = exact_step(rows, gradients, domain_totals(rows, [], len(weights)), target)
         gradients = [*gradients, step]
     if not met(total, target).all():
-        warnings.warn("no rates meet the target of every domain: " + ", ".join(f"domain {i} has {a:.6g} of {b:.6g} tokens" for i, (a, b) in enumerate(zip(total, target))), stacklevel=2)
+        warnings.warn("the rates miss targets: " + ", ".join(f"domain {i} has {a:.6g} of {b:.6g} tokens" for i, (a, b) in enumerate(zip(total, target))), stacklevel=2)
     return gradients, total, target
 
 
@@ -324,7 +328,7 @@ def classifier(docs: DataFrame, labels: DataFrame) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast(fit_classifier(docs, labelled, len(DOMAINS)))
 
 
-def mixture(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+def mixture(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, exact: bool = False) -> DataFrame:
     """doc_id, n_tokens, the posterior of each domain, rate and copies of every document.
 
     A null or empty text has no tokens; its posterior comes from the bias alone.
@@ -333,12 +337,12 @@ def mixture(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEI
     """
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     rows = stored(posteriors(plain, classifier(plain, labels), ["doc_id"]), "posteriors")
-    gradients, _, _ = meet_targets(rows, list(weights))
+    gradients, _, _ = meet_targets(rows, list(weights), exact)
     rated = with_rates(rows, gradients, len(weights))
     return rated.select("doc_id", "n_tokens", *[F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, exact: bool = False) -> DataFrame:
     """The documents drawn by their rates, each once at most, with their columns.
 
     A rate of 1 or more keeps a document for sure. The rates are fitted on a
@@ -347,7 +351,7 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGH
     """
     model = classifier(docs, labels)
     rows = stored(posteriors(docs, model, ["doc_id"]), "posteriors")
-    gradients, _, _ = meet_targets(rows, list(weights))
+    gradients, _, _ = meet_targets(rows, list(weights), exact)
     names = [c if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)]
     rated = with_rates(posteriors(docs.toDF(*names), model, names), gradients, len(weights))
     key = names[docs.columns.index("doc_id")]

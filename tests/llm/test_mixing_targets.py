@@ -22,7 +22,7 @@ def test_soft_posteriors_meet_the_targets(spark, kind):
     rows = _rows(spark, p, tokens)
     with warnings.catch_warnings():
         warnings.simplefilter("error", UserWarning)
-        gradients, total, target = mixing.meet_targets(rows, list(mixing.WEIGHTS))
+        gradients, total, target = mixing.meet_targets(rows, list(mixing.WEIGHTS), exact=True)
     rate = {r.doc_id: r.rate for r in mixing.with_rates(rows, gradients, 3).collect()}
     r = np.array([rate[i] for i in range(docs)])
     assert r.min() >= 0
@@ -30,9 +30,16 @@ def test_soft_posteriors_meet_the_targets(spark, kind):
     assert np.allclose(total, (tokens * r) @ p) and np.allclose(target, tokens @ p * np.array(mixing.WEIGHTS))
 
 
+def test_a_miss_of_the_production_steps_is_reported(spark):
+    p = np.random.default_rng(5).dirichlet([0.3, 0.3, 0.3], 1000)
+    rows = _rows(spark, p, np.full(1000, 100))
+    with pytest.warns(UserWarning, match="the rates miss targets"):
+        mixing.meet_targets(rows, list(mixing.WEIGHTS))
+
+
 def test_targets_out_of_reach_are_reported_and_least_squares_kept(spark):
     tokens = np.arange(1, 51)
     rows = _rows(spark, np.full((50, 3), 1 / 3), tokens)
-    with pytest.warns(UserWarning, match="no rates meet"):
-        _, total, target = mixing.meet_targets(rows, list(mixing.WEIGHTS))
+    with pytest.warns(UserWarning, match="the rates miss targets"):
+        _, total, target = mixing.meet_targets(rows, list(mixing.WEIGHTS), exact=True)
     assert np.allclose(total, target.mean(), rtol=1e-3)

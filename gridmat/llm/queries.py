@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmat.llm import html_text, jaccard_join, language_id, mixing, packing, quality_classifier, quality_rules, sharding, suffix_dedup, va_search
+from gridmat.llm import html_text, jaccard_join, language_id, mixing, packing, quality_classifier, quality_rules, sharding, suffix_dedup, va_search, word_runs
 from gridmat.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.run_digests(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_soft_mix": op8_soft_mix,
     "op9_bm25_pack": op9_bm25_pack,
     "op10_random_indexing": op10_random_indexing,
+    "op12_lyndon_runs": op12_lyndon_runs,
 }
 
 ORACLES: dict[str, str] = {

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmat.llm import html_text, jaccard_join, language_id, mixing, packing, quality_classifier, quality_rules, sharding, suffix_dedup, va_search, word_runs
+from gridmat.llm import html_text, jaccard_join, language_id, merkle, mixing, packing, quality_classifier, quality_rules, sharding, suffix_dedup, va_search, word_runs
 from gridmat.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op12_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_runs.run_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_window_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,9 +79,53 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bm25_pack": op9_bm25_pack,
     "op10_random_indexing": op10_random_indexing,
     "op12_lyndon_runs": op12_lyndon_runs,
+    "op13_window_merkle": op13_window_merkle,
 }
 
+#: crc32 of the decimal id, bit by bit; its table of bits is one list.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar, ''),
+            lambda c: list_transform(range(8), lambda k: (ascii(c) >> k::integer)::bigint & 1)))),
+            lambda c, b: xor(c >> 1, case when c & 1 <> b then 3988292384::bigint else 0::bigint end)))"""
+
+
+def _hashed(*values: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}::varchar) || ':' || {v}::varchar, '-')" for v in values) + ")"
+
+
 ORACLES: dict[str, str] = {
+    "op13_window_merkle": f"""
+        with recursive hashed as (
+            select doc_id, lang, {_hashed("doc_id", "source", "lang", "n_chars", "text")} as leaf,
+                case when doc_id is not null and {_CRC32} % 7 = 0 then {_hashed("doc_id", "source", "lang", "(n_chars + 1)", "text")} end as other
+            from documents),
+        leaves as (
+            select *, row_number() over () as rid, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos,
+                count(*) over (partition by lang) as n from hashed),
+        nodes as (
+            select lang, 0 as level, pos, n, leaf as h from leaves
+            union all
+            select lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from nodes where n > 1 group by lang, level, pos // 2, n),
+        subroots as (
+            select lang, h, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n from nodes where n = 1),
+        tops as (
+            select 0 as level, pos, n, h from subroots
+            union all
+            select level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from tops where n > 1 group by level, pos // 2, n),
+        steps as (
+            select l.rid, x.level, case when s.h is null then '=' when s.pos < x.pos then '<' || s.h else '>' || s.h end as step
+            from leaves l join nodes x on x.lang is not distinct from l.lang and x.pos = l.pos >> x.level and x.n > 1
+            left join nodes s on s.lang is not distinct from l.lang and s.level = x.level and s.pos = xor(x.pos, 1::bigint)
+            union all
+            select l.rid, 1000 + x.level, case when s.h is null then '=' when s.pos < x.pos then '<' || s.h else '>' || s.h end
+            from leaves l join subroots r on r.lang is not distinct from l.lang join tops x on x.pos = r.pos >> x.level and x.n > 1
+            left join tops s on s.level = x.level and s.pos = xor(x.pos, 1::bigint)),
+        paths as (select rid, list(step order by level) as path from steps group by rid),
+        folds as (
+            select l.doc_id, l.leaf, r.h as subroot, t.h as root, sha256(coalesce(array_to_string(list_transform(p.path, lambda s: s[2:]), ''), '')) as proof_sha256,
+                list_reduce(list_prepend(coalesce(other, leaf), coalesce(p.path, [])),
+                    lambda h, s: sha256(case s[1] when '<' then s[2:] || h when '>' then h || s[2:] else h end)) as folded_root
+            from leaves l join subroots r on r.lang is not distinct from l.lang join tops t on t.n = 1 left join paths p using (rid))
+        select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified from folds""",
     "op7_va_top_k": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v

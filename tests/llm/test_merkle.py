@@ -1,0 +1,85 @@
+"""Merkle trees against lists of digests, and against SQL."""
+
+import hashlib
+import zlib
+
+import pytest
+from oracle import compare, open_tables
+from pyspark.sql import functions as F
+
+from gridmat.llm import merkle, queries
+
+
+def _hash(*x):
+    return hashlib.sha256("".join(x).encode()).hexdigest()
+
+
+def _leaf(r, more=0):
+    value = lambda x: "-" if x is None else f"{len(str(x).encode())}:{x}"
+    return _hash(*map(value, (r.doc_id, r.source, r.lang, None if r.n_chars is None else r.n_chars + more, r.text)))
+
+
+def _levels(leaves, arity):
+    out = [leaves]
+    while len(out[-1]) > 1:
+        out.append([_hash(*out[-1][i : i + arity]) for i in range(0, len(out[-1]), arity)])
+    return out
+
+
+def _siblings(levels, place, arity):
+    for level in levels[:-1]:
+        first = place // arity * arity
+        yield level[first:place], level[place + 1 : first + arity]
+        place //= arity
+
+
+def _plain(rows, arity):
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.lang, []).append(r)
+    langs = sorted(groups, key=lambda x: (x is not None, (x or "").encode()))
+    for rs in groups.values():
+        rs.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, _leaf(r)))
+    trees = {x: _levels([_leaf(r) for r in groups[x]], arity) for x in langs}
+    over = _levels([trees[x][-1][0] for x in langs], arity)
+    out = []
+    for k, lang in enumerate(langs):
+        for place, r in enumerate(groups[lang]):
+            path = [*_siblings(trees[lang], place, arity), *_siblings(over, k, arity)]
+            tampered = r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 0
+            h = _leaf(r, 1 if tampered else 0)
+            for left, right in path:
+                h = _hash(*left, h, *right)
+            root = over[-1][0]
+            out.append((r.doc_id, _leaf(r), trees[lang][-1][0], root, _hash(*[x for a, b in path for x in a + b]), h, h == root))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("arity, steps", [(2, 2), (2, 8), (3, 1)])
+def test_manifest_matches_lists(spark, edge_docs, arity, steps):
+    many = edge_docs.unionByName(edge_docs.where("doc_id = 9008")).withColumn("pos", F.lit(3)).withColumn("grp", F.lit("x"))
+    many = many.withColumn("n_chars", F.when(F.col("doc_id") != 9004, F.col("n_chars")))
+    got = sorted(map(tuple, merkle.manifest(many, arity, steps).collect()), key=repr)
+    assert got == _plain(many.select("doc_id", "source", "lang", "n_chars", "text").collect(), arity)
+    assert {r[-1] for r in got} == {True, False}
+
+
+def test_small_and_empty_tables(spark, edge_docs, no_docs):
+    assert merkle.manifest(no_docs).collect() == []
+    for n in (1, 2, 3):
+        rows = edge_docs.where("lang = 'en' and doc_id is not null").orderBy("doc_id").limit(n)
+        assert sorted(map(tuple, merkle.manifest(rows).collect()), key=repr) == _plain(rows.collect(), 2)
+
+
+def test_one_language_is_spread(spark):
+    """A window covers at most arity ** steps rows, however large the group."""
+    rows = merkle.numbered(spark.range(1000).select(F.lit("").alias("grp"), F.col("id"), F.sha2(F.col("id").cast("string"), 256).alias("h")), "grp", ["id"])
+    assert [r.pos for r in rows.orderBy("id").collect()] == list(range(1000))
+    made = merkle.tree(rows, 2, 3)
+    assert [t.count() for t in made.tables] == [1000, 125, 16, 2]
+    assert made.roots.first().root == _levels([_hash(str(i)) for i in range(1000)], 2)[-1][0]
+
+
+def test_query_equals_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    assert compare(queries.op13_window_merkle(spark, folder), open_tables(folder), queries.ORACLES["op13_window_merkle"]) is None

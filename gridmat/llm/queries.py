@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmat.llm import html_text, jaccard_join, language_id, merkle, mixing, packing, quality_classifier, quality_rules, sharding, suffix_dedup, va_search, word_runs
+from gridmat.llm import html_text, jaccard_join, language_id, merkle, mixing, packing, quality_classifier, quality_rules, sharding, suffix_dedup, va_search, warc, word_runs
 from gridmat.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_index_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op12_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_runs.run_digests(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_soft_mix": op8_soft_mix,
     "op9_bm25_pack": op9_bm25_pack,
     "op10_random_indexing": op10_random_indexing,
+    "op11_index_warc": op11_index_warc,
     "op12_lyndon_runs": op12_lyndon_runs,
     "op13_window_merkle": op13_window_merkle,
 }
@@ -93,6 +98,14 @@ def _hashed(*values: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op11_index_warc": """
+        with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+        r as (
+            select *, row_number() over w as rank, first_value(page_id) over w as first from p
+            window w as (partition by payload_digest order by page_id desc nulls last))
+        select page_id, payload_bytes, payload_digest, case when payload_bytes < 1000 or rank = 1 then 'response' else 'revisit' end as record_type,
+            case when payload_bytes >= 1000 and rank > 1 then first end as refers_to
+        from r""",
     "op13_window_merkle": f"""
         with recursive hashed as (
             select doc_id, lang, {_hashed("doc_id", "source", "lang", "n_chars", "text")} as leaf,

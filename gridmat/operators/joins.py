@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmat.functions.coords import block_of, square_edges
-from gridmat.matrix import Matrix, check_product_shape
+from gridmat.functions.coords import block_of, n_blocks, square_edges
+from gridmat.matrix import CellMatrix, Matrix, check_product_shape
 from gridmat.operators.ordering import slots
 
 # Products that one k may form before it is spread over several tasks.
@@ -155,36 +155,24 @@ def block_sizes(m: Matrix, row_edge: int, col_edge: int) -> DataFrame:
     )
 
 
-def block_join_k(a: Matrix, b: Matrix, row_edge: int, depth: int, col_edge: int) -> DataFrame:
-    """Column strip of A with row strip of B, every row block with every column
-    block inside: ``(bi, bk, bj, n_a, n_b)``."""
+def block_counts(a: Matrix, b: Matrix, row_edge: int, depth: int, col_edge: int) -> DataFrame:
+    """Blocks that meet and their cells, without the blocks: ``(bi, bk, bj, n_a, n_b)``.
+
+    The counts are matrices of blocks, paired on k like any others, so a strip
+    with very many blocks on both sides is cut too.
+    """
     check_product_shape(a, b)
-    left = block_sizes(a, row_edge, depth).select(
-        F.col("br").alias("bi"), F.col("bc").alias("bk"), F.col("n").alias("n_a")
-    )
-    right = block_sizes(b, depth, col_edge).select(
-        F.col("br").alias("bk"), F.col("bc").alias("bj"), F.col("n").alias("n_b")
-    )
-    return left.join(right, "bk").select("bi", "bk", "bj", "n_a", "n_b")
 
+    def counted(m: Matrix, rows: int, cols: int) -> CellMatrix:
+        sizes = block_sizes(m, rows, cols).select(F.col("br").alias("i"), F.col("bc").alias("j"), F.col("n").alias("v"))
+        return CellMatrix(sizes, n_blocks(m.n_rows, rows), n_blocks(m.n_cols, cols))
 
-def block_join_cross(a: Matrix, b: Matrix, row_edge: int, depth: int, col_edge: int) -> DataFrame:
-    """Row band of A with column band of B and the number of k chunks both have:
-    ``(bi, bj, n_chunks, n_a, n_b)``."""
-    return (
-        block_join_k(a, b, row_edge, depth, col_edge)
-        .groupBy("bi", "bj")
-        .agg(
-            F.count(F.lit(1)).alias("n_chunks"),
-            F.sum("n_a").alias("n_a"),
-            F.sum("n_b").alias("n_b"),
-        )
-    )
+    pairs = k_join(counted(a, row_edge, depth), counted(b, depth, col_edge))
+    return pairs.select(F.col("i").alias("bi"), F.col("k").alias("bk"), F.col("j").alias("bj"), F.col("a").alias("n_a"), F.col("b").alias("n_b"))
 
 
 __all__ = [
-    "block_join_cross",
-    "block_join_k",
+    "block_counts",
     "block_sizes",
     "grid_edges",
     "grid_vectors",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridmat.functions.coords import n_blocks
 from gridmat.matrix import Matrix, check_product_shape
-from gridmat.operators.joins import block_join_k
+from gridmat.operators.joins import block_counts
 
 # Bytes a number takes while a block is worked on.
 BYTES_PER_CELL = 10
@@ -71,7 +71,7 @@ def block_load(
     cells really stored.
     """
     check_product_shape(a, b)
-    units = block_join_k(a, b, row_edge, depth, col_edge)
+    units = block_counts(a, b, row_edge, depth, col_edge)
 
     def extent(block: str, edge: int, total: int):
         left = F.lit(total).cast("bigint") - F.col(block) * F.lit(edge).cast("bigint")

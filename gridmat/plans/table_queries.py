@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridmat import sinks, sources
 from gridmat.functions import arrays, maps, text
-from gridmat.operators import algebra, dense_product, joins, layout, ordering, profile
+from gridmat.operators import algebra, blocks, dense_product, joins, layout, ordering, profile
 from gridmat.operators import sparse_product
 from gridmat.plans.matmul import matmul
 from gridmat.plans.scratch import scratch_path
@@ -277,30 +277,46 @@ def sparse_intersect(t: Tables) -> DataFrame:
     return joins.sparse_intersect(t.quantities(), t.months())
 
 
+def _checksum_sql(rows: int, cols: int) -> str:
+    return f"sum(v * (i % {rows} + 1) * (j % {cols} + 1))"
+
+
 _BLOCKS_OF_Q_AND_M = (
-    "ab as (select i // 16 as bi, j // 150 as bk, count(*) as n_a from Q group by 1, 2), "
-    "bb as (select i // 150 as bk, j // 5 as bj, count(*) as n_b from M group by 1, 2)"
+    f"ab as (select i // 16 as bi, j // 150 as bk, count(*) as n_a, {_checksum_sql(16, 150)} as sum_a from Q group by 1, 2), "
+    f"bb as (select i // 150 as bk, j // 5 as bj, count(*) as n_b, {_checksum_sql(150, 5)} as sum_b from M group by 1, 2)"
 )
 
 
 @_query(
     with_matrices(
-        "QM", "select bi, ab.bk, bj, n_a, n_b from ab join bb on ab.bk = bb.bk"
+        "QM", "select bi, ab.bk, bj, n_a, n_b, sum_a, sum_b from ab join bb on ab.bk = bb.bk"
     ).replace(" select bi", f", {_BLOCKS_OF_Q_AND_M} select bi", 1)
 )
 def block_join_k(t: Tables) -> DataFrame:
-    return joins.block_join_k(t.quantities(), t.months(), 16, 150, 5)
+    """Every pair of blocks with a checksum over the values and places of both."""
+    pairs = blocks.block_join_k(t.quantities(), t.months(), 16, 150, 5)
+    return pairs.select("bi", "bk", "bj", "n_a", "n_b", blocks.block_checksum("a").alias("sum_a"), blocks.block_checksum("b").alias("sum_b"))
 
 
 @_query(
     with_matrices(
         "QM",
-        "select bi, bj, count(*) as n_chunks, cast(sum(n_a) as bigint) as n_a, "
-        "cast(sum(n_b) as bigint) as n_b from ab join bb on ab.bk = bb.bk group by 1, 2",
+        "select bi, bj, count(*) as n_chunks, cast(sum(n_a) as bigint) as n_a, cast(sum(n_b) as bigint) as n_b, "
+        "sum(sum_a * (ab.bk + 1)) as sum_a, sum(sum_b * (ab.bk + 1)) as sum_b from ab join bb on ab.bk = bb.bk group by 1, 2",
     ).replace(" select bi", f", {_BLOCKS_OF_Q_AND_M} select bi", 1)
 )
 def block_join_cross(t: Tables) -> DataFrame:
-    return joins.block_join_cross(t.quantities(), t.months(), 16, 150, 5)
+    """Output blocks, summed up where their chunks lie."""
+    pairs = blocks.block_join_cross(t.quantities(), t.months(), 16, 150, 5)
+    sums = [F.sum(blocks.block_checksum(x) * (F.col("bk") + 1)).alias(f"sum_{x}") for x in "ab"]
+    counts = [F.count(F.lit(1)).alias("n_chunks"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b")]
+    return pairs.groupBy("unit", "bi", "bj").agg(*counts, *sums).drop("unit")
+
+
+@_query(with_matrices("QM", "select Q.i // 16 as bi, bj, Q.j // 150 as bk, cast(Q.i % 16 as integer) as at, cast(Q.j % 150 as integer) as pos, Q.v from Q join (select distinct i // 150 as bk, j // 5 as bj from M) m on Q.j // 150 = m.bk"))
+def block_join_cells(t: Tables) -> DataFrame:
+    """The cells of A's block in every pair it is part of."""
+    return blocks.block_cells(blocks.block_join_k(t.quantities(), t.months(), 16, 150, 5), "a")
 
 
 # -------------------------------------------------------------- dense blocks

@@ -20,7 +20,7 @@ def plan_of(df) -> str:
 
 
 def exchanges(plan: str) -> int:
-    return len(re.findall(r"Exchange (hashpart|rangepart|SinglePart|RoundRobin)", plan))
+    return len(re.findall(r"Exchange (hashpart|rangepart|shufflepart|SinglePart|RoundRobin)", plan))
 
 
 @pytest.fixture()

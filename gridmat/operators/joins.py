@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 
 from gridmat.functions.coords import block_of, n_blocks, square_edges
 from gridmat.matrix import CellMatrix, Matrix, check_product_shape
-from gridmat.operators.ordering import slots
+from gridmat.operators.ordering import TASKS_PER_SLOT, slots
 
 # Products that one k may form before it is spread over several tasks.
 LIGHT_PRODUCTS = 4_000_000
 # Largest work unit of the grid: so many rows or columns, so many values of k.
-# Units are sorted and summed in parts that can spill; only one block vector of
-# each operand, an edge long, is held whole. Longer edges mean fewer copies.
-LONGEST_EDGE = 8192
+# One k of a unit forms at most LONGEST_EDGE**2 products, no more than LIGHT_PRODUCTS.
+LONGEST_EDGE = 2000
 LONGEST_DEPTH = 65_536
+# Units per slot up to which shape alone may bound them.
+SHORT_RUNS = 16
+# Cut units are a table that is sent to every task: at most so many rows.
+MOST_CUT_UNITS = 100_000
 
 
 def _sides(a: Matrix, b: Matrix) -> tuple[DataFrame, DataFrame]:
@@ -50,6 +53,25 @@ def heavy_cuts(a: Matrix, b: Matrix, light_products: int = LIGHT_PRODUCTS) -> Da
     )
 
 
+def _cut_sides(left: DataFrame, right: DataFrame, cuts: DataFrame | None, i: str, j: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the part ``(k, p, q)`` of the work they belong to, copied where a k is cut.
+
+    Part p of A's column meets part q of B's row: A's part is repeated for every
+    q and B's for every p. ``i`` and ``j`` decide the part of a row.
+    """
+    if cuts is None:
+        zero = {"p": F.lit(0).cast("bigint"), "q": F.lit(0).cast("bigint")}
+        return left.withColumns(zero), right.withColumns(zero)
+    cuts_a, cuts_b = (F.coalesce(c, F.lit(1).cast("bigint")) for c in ("cuts_a", "cuts_b"))
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+
+    cut_left = left.join(cuts, "k", "left").select(*left.columns, F.pmod(F.xxhash64(i), cuts_a).alias("p"), every(cuts_b).alias("q"))
+    cut_right = right.join(cuts, "k", "left").select(*right.columns, every(cuts_a).alias("p"), F.pmod(F.xxhash64(j), cuts_b).alias("q"))
+    return cut_left, cut_right
+
+
 def k_join(a: Matrix, b: Matrix, light_products: int = LIGHT_PRODUCTS) -> DataFrame:
     """Cells of A and B that share k: ``(i, k, j, a, b)``.
 
@@ -63,80 +85,95 @@ def k_join(a: Matrix, b: Matrix, light_products: int = LIGHT_PRODUCTS) -> DataFr
     left, right = _sides(a, b)
     if a.n_rows * b.n_cols <= light_products:
         return left.join(right, "k").select("i", "k", "j", "a", "b")
-    cuts = heavy_cuts(a, b, light_products)
-    cuts_a, cuts_b = (F.coalesce(c, F.lit(1).cast("bigint")) for c in ("cuts_a", "cuts_b"))
+    left, right = _cut_sides(left, right, heavy_cuts(a, b, light_products), "i", "j")
+    return left.join(right, ["k", "p", "q"]).select("i", "k", "j", "a", "b")
 
-    def every(n):
-        return F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
 
-    cut_left = left.join(cuts, "k", "left").select(
-        "i", "k", "a", F.pmod(F.xxhash64("i"), cuts_a).alias("p"), every(cuts_b).alias("q")
-    )
-    cut_right = right.join(cuts, "k", "left").select(
-        "k", "j", "b", every(cuts_a).alias("p"), F.pmod(F.xxhash64("j"), cuts_b).alias("q")
-    )
-    return cut_left.join(cut_right, ["k", "p", "q"]).select("i", "k", "j", "a", "b")
-
-
-def grid_vectors(
-    a: Matrix, b: Matrix, row_edge: int, depth: int, col_edge: int
-) -> tuple[DataFrame, DataFrame]:
-    """Block columns of A and block rows of B, copied to the units that need them.
+def grid_pairs(a: Matrix, b: Matrix, row_edge: int, depth: int, col_edge: int, light_products: int = LIGHT_PRODUCTS) -> DataFrame:
+    """What meets in each unit of a grid, k by k: ``(bi, bj, bk, k, xs, ys)``.
 
-    A unit ``(bi, bj, bk)`` is one output block and one run of ``depth``
-    values of k. ``xs`` are the cells of A in row block ``bi`` under one k,
-    ``ys`` those of B in column block ``bj``: at most ``row_edge`` and
-    ``col_edge`` cells, however they are spread. They are gathered before they
-    are copied, so the copies are few compact rows, and copied only to units
-    where the other operand has a piece under the same k; a set of blocks under
-    one k is as long as the grid has blocks.
+    A unit ``(bi, bj, bk)`` is one output block and one run of ``depth`` values
+    of k. ``xs`` are the cells of A in row block ``bi`` under one k, ``ys`` those
+    of B in column block ``bj``: at most ``row_edge`` and ``col_edge`` cells,
+    however they are spread. Cells of one k come together once; there they are
+    gathered and paired in place, so only pieces that meet are ever copied. A k
+    with many cells is dealt out by blocks, as ``k_join`` does by cells.
     """
     check_product_shape(a, b)
     left, right = _sides(a, b)
-    bk = block_of(F.col("k"), depth).alias("bk")
-    xs = left.groupBy(block_of(F.col("i"), row_edge).alias("bi"), "k").agg(
-        F.collect_list(F.struct("i", "a")).alias("xs")
-    )
-    ys = right.groupBy(block_of(F.col("j"), col_edge).alias("bj"), "k").agg(
-        F.collect_list(F.struct("j", "b")).alias("ys")
-    )
-    # Under each k, a piece goes to the blocks that the other side has there, and to no others.
-    there = ys.groupBy("k").agg(F.collect_set("bj").alias("bjs"))
-    here = xs.groupBy("k").agg(F.collect_set("bi").alias("bis"))
-    xs = xs.join(there, "k").select("bi", F.explode("bjs").alias("bj"), bk, "k", "xs")
-    ys = ys.join(here, "k").select(F.explode("bis").alias("bi"), "bj", bk, "k", "ys")
-    return xs, ys
+    left = left.withColumn("bi", block_of(F.col("i"), row_edge))
+    right = right.withColumn("bj", block_of(F.col("j"), col_edge))
+    light = a.n_rows * b.n_cols <= light_products
+    left, right = _cut_sides(left, right, None if light else heavy_cuts(a, b, light_products), "bi", "bj")
+    part = ["k"] if light else ["k", "p", "q"]
+    # By number of partitions, so that light cells are not merged into few tasks: pairing them is the work.
+    n = slots(a.df)
+    xs = left.repartition(n, *part).groupBy(*part, "bi").agg(F.collect_list(F.struct("i", "a")).alias("xs"))
+    ys = right.repartition(n, *part).groupBy(*part, "bj").agg(F.collect_list(F.struct("j", "b")).alias("ys"))
+    return xs.join(ys, part).select("bi", "bj", block_of(F.col("k"), depth).alias("bk"), "k", "xs", "ys")
+
+
+def unit_cuts(pairs: DataFrame, n_units: int, light_products: int = LIGHT_PRODUCTS) -> DataFrame:
+    """Units with too many products for one task and the parts they are cut into: ``(bi, bj, bk, cuts)``.
+
+    A part is to form about ``light_products``, an absolute number. The table
+    has at most MOST_CUT_UNITS rows: a grid with more units than that cuts only
+    those above one in MOST_CUT_UNITS of all products. Lazy: it becomes part of
+    the plan it is used in.
+    """
+    units = pairs.groupBy("bi", "bj", "bk").agg(F.sum(F.size("xs").cast("bigint") * F.size("ys")).cast("double").alias("n"))
+    most = F.lit(float(light_products))
+    if n_units > MOST_CUT_UNITS:
+        most = F.greatest(most, units.agg(F.sum("n") / MOST_CUT_UNITS).scalar())
+    return units.select("bi", "bj", "bk", F.ceil(F.col("n") / most).alias("cuts")).where(F.col("cuts") > 1)
 
 
-def grid_edges(a: Matrix, b: Matrix) -> tuple[int, int, int]:
-    """Default ``(row_edge, depth, col_edge)``: about one output block per slot."""
-    rows, cols = square_edges(a.n_rows, b.n_cols, slots(a.df), LONGEST_EDGE)
-    return rows, LONGEST_DEPTH, cols
+def grid_edges(a: Matrix, b: Matrix, light_products: int = LIGHT_PRODUCTS) -> tuple[int, int, int]:
+    """Default ``(row_edge, depth, col_edge)``: about one output block per slot.
+
+    Where a few runs of k for each block are enough to bound a unit by its shape
+    alone, k is cut that way and nothing need be counted; else runs are long.
+    """
+    n = slots(a.df)
+    rows, cols = square_edges(a.n_rows, b.n_cols, n, LONGEST_EDGE)
+    short = max(1, light_products // (rows * cols))
+    units = n_blocks(a.n_rows, rows) * n_blocks(b.n_cols, cols) * n_blocks(a.n_cols, short)
+    return rows, short if units <= SHORT_RUNS * n else LONGEST_DEPTH, cols
+
+
+def may_be_cut(a: Matrix, b: Matrix, edges: tuple[int, int, int], light_products: int = LIGHT_PRODUCTS) -> bool:
+    """Whether the shape lets a unit have more products than one task is to form."""
+    rows, depth, cols = edges
+    return min(rows, a.n_rows) * min(depth, a.n_cols) * min(cols, b.n_cols) > light_products
 
 
 def row_col_join(
-    a: Matrix, b: Matrix, edges: tuple[int, int, int] | None = None
+    a: Matrix, b: Matrix, edges: tuple[int, int, int] | None = None, light_products: int = LIGHT_PRODUCTS
 ) -> DataFrame:
     """Rows of A against columns of B, output block by output block.
 
-    Returns ``(bi, bj, bk, i, j, k, a, b)``, partitioned by ``(bi, bj, bk)``:
-    whatever is grouped by those and more columns afterwards stays in place.
+    Returns ``(task, bi, bj, bk, part, i, j, k, a, b)``, partitioned by ``task``:
+    whatever is grouped by that and more columns afterwards stays in place.
 
-    Both operands reach their unit in one shuffle and meet under their k there.
-    A join on unit and k would spread a unit over tasks by k and need another
-    shuffle to sum it.
+    Pairs of pieces go to the task of their unit's number. A unit with more
+    than ``light_products`` products is cut: its k are dealt into parts, which
+    go to the tasks that follow. A part is thus bounded, whether a corner of the
+    matrix is full, or one row, or one column; no other unit is cut with it.
     """
-    left, right = grid_vectors(a, b, *(edges or grid_edges(a, b)))
-    unit = ["bi", "bj", "bk"]
-    both = left.unionByName(right, allowMissingColumns=True)
-    met = (
-        both.repartition(*unit)
-        .groupBy(*unit, "k")
-        .agg(F.any_value("xs", F.lit(True)).alias("xs"), F.any_value("ys", F.lit(True)).alias("ys"))
-    )
-    return met.select(*unit, "k", "ys", F.inline("xs")).select(
-        *unit, "i", "k", "a", F.inline("ys")
-    )
+    edges = edges or grid_edges(a, b, light_products)
+    n_bi, n_bj, n_bk = n_blocks(a.n_rows, edges[0]), n_blocks(b.n_cols, edges[2]), n_blocks(a.n_cols, edges[1])
+    pairs = grid_pairs(a, b, *edges, light_products)
+    part = F.lit(0).cast("bigint")
+    if may_be_cut(a, b, edges, light_products):
+        cuts = unit_cuts(pairs, n_bi * n_bj * n_bk, light_products)
+        pairs = pairs.join(F.broadcast(cuts), ["bi", "bj", "bk"], "left")
+        part = F.pmod(F.xxhash64("k"), F.coalesce("cuts", F.lit(1)))
+    tasks = TASKS_PER_SLOT * slots(a.df)
+    number = (F.col("bi") * F.lit(n_bj) + F.col("bj")) * F.lit(n_bk) + F.col("bk")
+    unit = ["task", "bi", "bj", "bk", "part"]
+    placed = pairs.withColumn("part", part).withColumn("task", F.pmod(number + F.col("part"), F.lit(tasks)).cast("int"))
+    met = placed.select(*unit, "k", "xs", "ys").repartitionById(tasks, "task")
+    return met.select(*unit, "k", "ys", F.inline("xs")).select(*unit, "i", "k", "a", F.inline("ys"))
 
 
 def sparse_intersect(a: Matrix, b: Matrix) -> DataFrame:
@@ -175,9 +212,11 @@ __all__ = [
     "block_counts",
     "block_sizes",
     "grid_edges",
-    "grid_vectors",
+    "grid_pairs",
     "heavy_cuts",
     "k_join",
+    "may_be_cut",
     "row_col_join",
     "sparse_intersect",
+    "unit_cuts",
 ]

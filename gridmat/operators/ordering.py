@@ -10,6 +10,8 @@ from gridmat.functions.coords import block_of, n_blocks
 
 # Keys per counting band: what one task sorts to number its rows.
 BAND = 100_000
+# Tasks per slot where work units are placed by number.
+TASKS_PER_SLOT = 4
 
 
 def sort_by_key(df: DataFrame, *keys: str) -> DataFrame:

@@ -265,7 +265,8 @@ def k_join_hot(t: Tables) -> DataFrame:
 )
 def row_col_join(t: Tables) -> DataFrame:
     pairs = joins.row_col_join(t.quantities(), t.months(), edges=(32, 10_000_000, 5))
-    return pairs.groupBy("bi", "bj", "bk", "i", "j").agg(F.count(F.lit(1)).alias("shared")).drop("bk")
+    parts = pairs.groupBy("task", "bi", "bj", "part", "i", "j").agg(F.count(F.lit(1)).alias("n"))
+    return parts.groupBy("bi", "bj", "i", "j").agg(F.sum("n").alias("shared"))
 
 
 @_query(

@@ -33,10 +33,9 @@ def no_auto_broadcast(spark):
 
 def test_inner_blocks_are_summed_in_place(spark, no_auto_broadcast):
     a = cells_of(spark, np.ones((6, 6)))
-    # for each operand one to gather its pieces, one to name the other's blocks under a k and one to bring
-    # both together by k; one to bring the operands to their unit, none to sum them
-    assert exchanges(plan_of(sparse.matmul_ipb_sparse(a, a, (2, 6, 2)).df)) == 7
-    assert exchanges(plan_of(sparse.matmul_ipb_sparse(a, a, (2, 3, 2)).df)) == 8
+    # one for each operand brings its cells together by k; one brings the pairs to their unit, none sums them
+    assert exchanges(plan_of(sparse.matmul_ipb_sparse(a, a, (2, 6, 2)).df)) == 3
+    assert exchanges(plan_of(sparse.matmul_ipb_sparse(a, a, (2, 3, 2)).df)) == 4
 
 
 def test_cell_products_are_summed_before_the_shuffle(spark, no_auto_broadcast):

@@ -3,9 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridmat.operators.joins import grid_vectors, heavy_cuts, k_join, row_col_join
+from gridmat.operators.joins import grid_edges, grid_pairs, heavy_cuts, k_join, row_col_join, unit_cuts
 from gridmat.operators.layout import from_entries, to_csc, to_csr
-from gridmat.operators.sparse_product import matmul_naive_sparse, matmul_opb_sparse
+from gridmat.operators.sparse_product import matmul_ipb_sparse, matmul_naive_sparse, matmul_opb_sparse
 from helpers import array_of, cells_of
 
 
@@ -57,9 +57,8 @@ def test_building_a_product_starts_no_job(spark):
 def test_copies_go_only_where_both_sides_meet(spark):
     a, b = np.zeros((8, 6)), np.zeros((6, 8))
     a[0, 1] = a[7, 1] = a[3, 2] = b[1, 0] = b[2, 7] = b[4, 4] = 1.0
-    xs, ys = grid_vectors(cells_of(spark, a), cells_of(spark, b), 2, 6, 2)
-    units = lambda df: {tuple(r) for r in df.select("bi", "bj", "k").collect()}
-    assert units(xs) == units(ys) == {(0, 0, 1), (3, 0, 1), (1, 3, 2)}
+    pairs = grid_pairs(cells_of(spark, a), cells_of(spark, b), 2, 6, 2)
+    assert {tuple(r) for r in pairs.select("bi", "bj", "k").collect()} == {(0, 0, 1), (3, 0, 1), (1, 3, 2)}
 
 
 def test_cut_key_gives_every_pair_once(spark):
@@ -102,3 +101,63 @@ def test_long_lines_are_cut_and_merge_back(spark):
         assert lines.agg(F.max(F.size("entries"))).first()[0] <= 16
         assert lines.agg(F.max("part")).first()[0] > 0
         assert np.array_equal(array_of(from_entries(lines, a.shape, by)), a)
+
+
+def _corner(n, full):
+    """A matrix with a full corner and one loose cell; as cells, without a dense array."""
+    a = np.zeros((n, n))
+    a[:full, :full] = 1.0
+    a[n - 1, n - 1] = 1.0
+    return a
+
+
+def test_a_full_corner_is_spread(spark):
+    """All products lie in one unit of the grid, and no task gets many more than the limit."""
+    a = cells_of(spark, _corner(400, 60))
+    edges, limit = (100, 400, 100), 20_000
+    assert [tuple(r) for r in unit_cuts(grid_pairs(a, a, *edges), 16, limit).collect()] == [(0, 0, 0, 11)]
+    pairs = row_col_join(a, a, edges, limit)
+    of_parts = pairs.groupBy("task", "bi", "bj", "bk", "part").count()
+    assert of_parts.agg(F.sum("count")).first()[0] == 60**3 + 1
+    # 11 parts of 216,000 products; every k gives 3,600 to one of them.
+    assert of_parts.count() == 12 and of_parts.agg(F.max("count")).first()[0] <= 2 * limit
+    by_task = pairs.groupBy("task").count().agg(F.max("count"), F.count("task")).first()
+    assert by_task[0] <= 2 * limit and by_task[1] >= 10
+    assert np.array_equal(array_of(matmul_ipb_sparse(a, a, edges, limit)), _corner(400, 60) @ _corner(400, 60))
+
+
+def test_a_full_row_against_full_columns_is_spread(spark):
+    a, b = np.zeros((50, 3000)), np.zeros((3000, 40))
+    a[7, :], b[:, :10] = 1.0, 2.0
+    A, B = cells_of(spark, a), cells_of(spark, b)
+    pairs = row_col_join(A, B, (50, 3000, 40), 2000)
+    assert pairs.groupBy("part").count().agg(F.max("count")).first()[0] <= 2 * 2000
+    assert np.array_equal(array_of(matmul_ipb_sparse(A, B, (50, 3000, 40), 2000)), a @ b)
+
+
+def test_a_key_with_most_cells_is_dealt_out_by_blocks(spark):
+    a, b = hot_pair(n=200, m=160)
+    A, B = cells_of(spark, a), cells_of(spark, b)
+    pairs = grid_pairs(A, B, 10, 40, 10, light_products=500)
+    rows = pairs.withColumn("at", F.spark_partition_id()).where("k = 7")
+    assert rows.count() == 20 * 16
+    assert rows.select("at").distinct().count() > 2
+    assert np.array_equal(array_of(matmul_ipb_sparse(A, B, (10, 40, 10), 500)), a @ b)
+
+
+def test_a_grid_with_very_many_units_sends_a_bounded_table(spark, monkeypatch):
+    from gridmat.operators import joins
+
+    monkeypatch.setattr(joins, "MOST_CUT_UNITS", 5)
+    a = cells_of(spark, np.ones((30, 30)))
+    cuts = unit_cuts(grid_pairs(a, a, 5, 30, 5), 36, 10)
+    assert cuts.count() <= 5
+    assert np.array_equal(array_of(matmul_ipb_sparse(a, a, (5, 30, 5), 10)), np.full((30, 30), 30.0))
+
+
+def test_short_runs_need_no_counts(spark):
+    a = cells_of(spark, np.ones((6, 6)))
+    rows, depth, cols = grid_edges(a, a)
+    assert rows * depth * cols <= 4_000_000
+    plan = matmul_ipb_sparse(a, a).df._jdf.queryExecution().optimizedPlan().toString()
+    assert "ceil" not in plan.lower()

@@ -30,7 +30,9 @@ def _sides(a: Matrix, b: Matrix) -> tuple[DataFrame, DataFrame]:
     return left, right
 
 
-def heavy_cuts(a: Matrix, b: Matrix, light_products: int = LIGHT_PRODUCTS) -> DataFrame:
+def heavy_cuts(
+    a: Matrix, b: Matrix, light_products: int = LIGHT_PRODUCTS, rows_only: bool = False
+) -> DataFrame:
     """The k whose products are too many for one task: ``(k, cuts_a, cuts_b)``.
 
     Column k of A is to be cut into ``cuts_a`` parts and row k of B into
@@ -42,14 +44,15 @@ def heavy_cuts(a: Matrix, b: Matrix, light_products: int = LIGHT_PRODUCTS) -> Da
     left, right = _sides(a, b)
     n_a, n_b = F.col("n_a").cast("double"), F.col("n_b").cast("double")
     parts = F.ceil(n_a * n_b / F.lit(light_products))
-    cuts_a = F.least(F.col("n_a"), F.greatest(F.lit(1), F.round(F.sqrt(parts * n_a / n_b)).cast("bigint")))
+    cuts_a = parts if rows_only else F.greatest(F.lit(1), F.round(F.sqrt(parts * n_a / n_b)).cast("bigint"))
+    cuts_b = F.lit(1).cast("bigint") if rows_only else F.least(F.col("n_b"), F.ceil(parts / F.col("cuts_a")))
     return (
         left.groupBy("k")
         .agg(F.count(F.lit(1)).alias("n_a"))
         .join(right.groupBy("k").agg(F.count(F.lit(1)).alias("n_b")), "k")
         .filter(n_a * n_b > F.lit(light_products))
-        .withColumn("cuts_a", cuts_a)
-        .select("k", "cuts_a", F.least(F.col("n_b"), F.ceil(parts / F.col("cuts_a"))).alias("cuts_b"))
+        .withColumn("cuts_a", F.least(F.col("n_a"), cuts_a))
+        .select("k", "cuts_a", cuts_b.alias("cuts_b"))
     )
 
 
@@ -72,20 +75,21 @@ def _cut_sides(left: DataFrame, right: DataFrame, cuts: DataFrame | None, i: str
     return cut_left, cut_right
 
 
-def k_join(a: Matrix, b: Matrix, light_products: int = LIGHT_PRODUCTS) -> DataFrame:
+def k_join(a: Matrix, b: Matrix, light_products: int = LIGHT_PRODUCTS, rows_only: bool = False) -> DataFrame:
     """Cells of A and B that share k: ``(i, k, j, a, b)``.
 
     Heavy k are cut on both sides: part p of A's column meets part q of B's
     row in the task for (k, p, q), with A's part repeated for every q and B's
     for every p, so each pair is formed exactly once. The cuts are joined like
     any other table, without a hint and without a list on the driver. Nothing
-    is counted when the shape alone rules heavy k out.
+    is counted when the shape alone rules heavy k out. With ``rows_only`` A's
+    columns alone are cut and only B's rows are copied.
     """
     check_product_shape(a, b)
     left, right = _sides(a, b)
     if a.n_rows * b.n_cols <= light_products:
         return left.join(right, "k").select("i", "k", "j", "a", "b")
-    left, right = _cut_sides(left, right, heavy_cuts(a, b, light_products), "i", "j")
+    left, right = _cut_sides(left, right, heavy_cuts(a, b, light_products, rows_only), "i", "j")
     return left.join(right, ["k", "p", "q"]).select("i", "k", "j", "a", "b")
 
 

@@ -1,9 +1,10 @@
 """Writing matrices as text.
 
 Every writer replaces the output folder by default and takes ``compression``
-(such as ``"gzip"``) and a number of ``files``, one per slot when left out.
-Every file holds one run of ids, sorted, so reading the part files in name
-order gives the ids in order, without one task ever holding the whole output.
+(such as ``"gzip"``) and a number of ``files``. Every file holds one run of ids,
+sorted, so reading the part files in name order gives the ids in order, without
+one task ever holding the whole output. Sparse lines are cut into files by their
+bytes: files are about equally long however full single rows are.
 """
 
 from __future__ import annotations
@@ -24,6 +25,11 @@ def _save(lines: DataFrame, path: str, compression: str | None, mode: str) -> No
     writer.text(path)
 
 
+def _in_files(lines: DataFrame, n_ids: int, files: int | None) -> DataFrame:
+    """Lines ``(id, line)`` in files of about equal length, whatever the lengths of lines and the gaps between ids."""
+    return sort_into_files(lines, "id", n_ids, files=files, weight=F.octet_length("line"))
+
+
 def as_rows(m: Matrix) -> VectorMatrix:
     """All rows of the shape as dense vectors, rows without a value as zeros."""
     if isinstance(m, BandMatrix):
@@ -67,8 +73,7 @@ def write_row_text(
     files: int | None = None,
 ) -> None:
     """``rowId v v 0 v `` per row, values unrounded, missing cells as ``0``."""
-    lines = row_lines(m, all_rows=all_rows)
-    _save(sort_into_files(lines, "id", m.n_rows, files=files), path, compression, mode)
+    _save(_in_files(row_lines(m, all_rows=all_rows), m.n_rows, files), path, compression, mode)
 
 
 def write_csr(
@@ -78,8 +83,7 @@ def write_csr(
     mode: str = "overwrite",
     files: int | None = None,
 ) -> None:
-    lines = whole_lines(to_csr(m), m.n_cols)
-    _save(sort_into_files(lines, "id", m.n_rows, files=files), path, compression, mode)
+    _save(_in_files(whole_lines(to_csr(m), m.n_cols), m.n_rows, files), path, compression, mode)
 
 
 def write_csc(
@@ -89,8 +93,7 @@ def write_csc(
     mode: str = "overwrite",
     files: int | None = None,
 ) -> None:
-    lines = whole_lines(to_csc(m), m.n_rows)
-    _save(sort_into_files(lines, "id", m.n_cols, files=files), path, compression, mode)
+    _save(_in_files(whole_lines(to_csc(m), m.n_rows), m.n_cols, files), path, compression, mode)
 
 
 def write_sparse_pair(a: Matrix, b: Matrix, path: str, method: str, **options) -> tuple[str, str]:

@@ -161,3 +161,11 @@ def test_short_runs_need_no_counts(spark):
     assert rows * depth * cols <= 4_000_000
     plan = matmul_ipb_sparse(a, a).df._jdf.queryExecution().optimizedPlan().toString()
     assert "ceil" not in plan.lower()
+
+
+def test_naive_cuts_rows_and_copies_only_b(spark):
+    a, b = hot_pair()
+    A, B = cells_of(spark, a), cells_of(spark, b)
+    cuts = {k: (x, y) for k, x, y in heavy_cuts(A, B, 100, rows_only=True).collect()}
+    assert cuts[7] == (30, 1)
+    assert np.array_equal(array_of(matmul_naive_sparse(A, B, 100)), a @ b)

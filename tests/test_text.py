@@ -279,7 +279,9 @@ def test_files_hold_runs_of_rows(spark, tmp_path):
         for files in (1, 3, 20):
             path = tmp_path / f"{write.__name__}-{files}"
             write(m, str(path), files=files)
-            assert sum(p.startswith("part-") for p in os.listdir(path)) == -(-50 // -(-50 // files))
+            written = sum(p.startswith("part-") for p in os.listdir(path))
+            # Dense rows are alike; sparse lines are cut by a sketch of their bytes, so a few cuts may meet.
+            assert written == -(-50 // -(-50 // files)) if write is sinks.write_dense_text else files / 2 < written <= files
             lines = lines_in(path)
             if write is not sinks.write_dense_text:
                 assert [int(line.split(" ")[0]) for line in lines] == list(range(50))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import pickle
 import sys
 import types
 import uuid
@@ -10,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shipped(spark: SparkSession, value: object) -> Broadcast:
+    """An object of the library for every task. A broadcast names classes by their module, which executors need not have; this one carries them along."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(value: Broadcast) -> object:
+    """In a task, the object that was ``shipped``."""
+    return pickle.loads(value.value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

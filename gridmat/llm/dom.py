@@ -7,12 +7,20 @@ from html import unescape
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math".split())
+RAW = frozenset("script style textarea title noscript iframe".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 HIDDEN = frozenset("head script style noscript template iframe svg math textarea select object audio video canvas button".split())
+FOREIGN = frozenset("svg math".split())
+#: Children of foreign elements whose content is HTML again.
+_HTML_INSIDE = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext template".split())
+#: HTML start tags that end an open foreign element.
+_LEAVES_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby "
+    "s small span strong strike sub sup table tt u ul var".split()
+)
 #: Start tags that close an open element of these names, up to a boundary.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -28,12 +36,14 @@ CLOSES = {
 }
 #: Blocks whose start tag closes an open paragraph.
 _ENDS_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "summary", "html", "head", "body"} | {"hr", "table"}
-_P_SCOPE = frozenset("table td th caption button object html body".split())
+_P_SCOPE = frozenset("table td th caption button object html body template svg math foreignobject desc".split())
 
 # As in HTML, a quote opens a value only right after "="; anywhere else, or without its second quote, it is a character like others.
 _ATTRIBUTES = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+"""
-_TOKEN = re.compile(rf"""<!--(?:.*?(?:-->|--!>)|.*)|<(?:[!?]|/(?![a-zA-Z]))[^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})>|<(?=[a-zA-Z]|/[a-zA-Z]).*""", re.S)
+_TOKEN = re.compile(rf"""<!--(?:-?>|.*?(?:-->|--!>)|.*)|<(?:[!?]|/(?![a-zA-Z]))[^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})>|<(?=[a-zA-Z]|/[a-zA-Z]).*""", re.S)
 _ATTR = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+#: A slash before the end of the tag that is not part of an unquoted value.
+_SELF_CLOSED = re.compile(r"""(?:^|[\s"'/]|(?:^|\s)[^\s=]+)/\s*$""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 
@@ -83,7 +93,7 @@ class Page:
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
                 at = i
-            elif stack[i].tag in limits:
+            elif stack[i].tag in limits or stack[i].tag == "template":
                 break
         if at is not None:
             del stack[at:]
@@ -91,6 +101,7 @@ class Page:
 
     def _read(self, html: str) -> None:
         stack, at, n = [self.nodes[0]], 0, len(html)
+        foreign = False  # whether a drawing, a formula or a template has begun anywhere
         while at < n:
             found = _TOKEN.search(html, at)
             end = found.start() if found else n
@@ -103,15 +114,28 @@ class Page:
             if tag is None:
                 continue
             tag = tag.lower()
+            if not found.group(1) and (tag in FOREIGN or foreign):
+                # Icons and formulas: "/>" ends an element, and text tags of HTML end the drawing that someone left open.
+                top = self._foreign_top(stack)
+                if top is not None and tag in _LEAVES_FOREIGN:
+                    del stack[top:]
+                elif top is not None or tag in FOREIGN:
+                    foreign = True
+                    self._open(stack, tag, found.group(3))
+                    if _SELF_CLOSED.search(found.group(3)):
+                        stack.pop()
+                    continue
+            foreign = foreign or tag == "template"
+            apart = foreign and any(x.tag in FOREIGN or x.tag == "template" for x in stack)
             if found.group(1):
-                if tag in BLOCK:
+                if tag in BLOCK and not apart:
                     self.pieces.append((None, ""))
                 if tag == "p" and not any(x.tag == "p" for x in stack):
                     continue
                 if tag not in ("body", "html"):
                     self._end(stack, tag)
                 continue
-            if tag in BLOCK or tag in ("hr", "table"):
+            if not apart and (tag in BLOCK or tag in ("hr", "table")):
                 self.pieces.append((None, ""))
             if tag == "br":
                 self._text(stack[-1], " ")
@@ -125,12 +149,24 @@ class Page:
                 at = close.end() if close else n
                 stack.pop()
 
+    @staticmethod
+    def _foreign_top(stack: list[Node]) -> int | None:
+        """Place of the open drawing or formula that the next tag would lie in."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in FOREIGN:
+                return i
+            if stack[i].tag in _HTML_INSIDE:
+                return None
+        return None
+
     @staticmethod
     def _end(stack: list[Node], tag: str) -> None:
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag == tag:
                 del stack[i:]
                 return
+            if stack[i].tag == "template":  # what a template holds does not end what it stands in
+                return
             if stack[i].tag in ("table", "td", "th", "body") and tag not in BLOCK:
                 return
 

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridmat.llm.boosting import Trees
+from gridmat.llm.common import received, shipped
 from gridmat.llm.dom import BLOCK, Node, Page, join_blocks
 
 #: Pages that the trees are fitted on, at most, taken by the hash of their id, and nodes of them.
@@ -215,11 +216,12 @@ def _rules_of_thumb() -> tuple[np.ndarray, np.ndarray]:
 
 def _extract(trees: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = received(trees)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 pages = [Parsed(h.as_py()) for h in part.column("html")]
-                margins = trees.value.margin(np.concatenate([p.features for p in pages]))
+                margins = model.margin(np.concatenate([p.features for p in pages]))
                 at = np.concatenate([[0], np.cumsum([len(p.nodes) for p in pages])])
                 texts = [p.text(margins[a:b]) for p, a, b in zip(pages, at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
@@ -229,6 +231,6 @@ def _extract(trees: Broadcast):
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page; the text is empty where there is none, and for null html. Other columns are not looked at; repeated rows give equal rows."""
-    trees = pages.sparkSession.sparkContext.broadcast(fit(pages))
+    trees = shipped(pages.sparkSession, fit(pages))
     plain = pages.select(pages["page_id"].cast("long").alias("page_id"), "url", "html")
     return plain.mapInArrow(_extract(trees), "page_id long, url string, text string, n_chars long")

@@ -1,100 +1,8 @@
-"""Modified Kneser-Ney model over character classes, counted by Spark.
-
-Characters fall into 48 classes, so an n-gram of order 4 is a whole number
-below 48**4: its own, collision-free hash. Counts come from every text; each
-task counts its texts in one dense array and Spark adds the rows of the tasks.
-Continuation counts and discounts follow from the count table by Spark
-aggregations. The finished model, at most 48 + 48**2 + 48**3 + 48**4 entries
-whatever the corpus, is kept as sorted hash arrays with their values and
-broadcast; that bound is what allows the broadcast.
-"""
+"""Discounts of modified Kneser-Ney smoothing."""
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from gridmat.llm.common import chunks, process_cache, stored
-
-CLASSES = 48
-ORDER = 4
-_EDGE, _SPACE, _LINE, _DIGIT, _STOP, _QUOTE, _SYMBOL, _OTHER = 0, 42, 43, 41, 44, 45, 46, 47
-
-
-def _class_of(c: str) -> int:
-    """1..26 plain letters, 27..36 letters with marks, 37..40 letters of other scripts, then digits, spaces and signs."""
-    if c == "\n":
-        return _LINE
-    if c.isspace():
-        return _SPACE
-    if c.isdigit():
-        return _DIGIT
-    if c in ".,;:!?":
-        return _STOP
-    if c in "#*$%&|<>=+~^@_/\\{}[]":
-        return _SYMBOL
-    if c.isalpha():
-        base = unicodedata.normalize("NFD", c.lower())[0]
-        if "a" <= base <= "z":
-            at = ord(base) - ord("a")
-            return 1 + at if len(unicodedata.normalize("NFD", c.lower())) == 1 else 27 + at % 10
-        return 37 + (ord(c) >> 8) % 4
-    return _QUOTE if ord(c) < 0x2070 else _OTHER
-
-
-def class_table() -> np.ndarray:
-    cache = process_cache()
-    if "classes" not in cache:
-        cache["classes"] = np.array([_class_of(chr(i)) for i in range(0x10000)], np.uint8)
-    return cache["classes"]
-
-
-def ngram_codes(data: np.ndarray, edges: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram ending at each character, as a number, and n + 1 offsets by text; each text starts after edges."""
-    table = class_table()
-    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    lead = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
-    at = lead[edges]
-    n, texts = len(points), len(edges) - 1
-    classes = np.where(points < 0x10000, table[np.minimum(points, 0xFFFF)], _OTHER).astype(np.uint32)
-    pads = order - 1
-    spread = np.zeros(n + pads * texts, np.uint32)
-    place = np.arange(n) + pads * (np.repeat(np.arange(texts), np.diff(at)) + 1)
-    spread[place] = classes
-    code = np.zeros(n, np.uint32)
-    for back in range(pads, -1, -1):
-        code *= CLASSES
-        code += spread[place - back]
-    return code, at
-
-
-def _count(column: str, order: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES**order, np.int64)
-        for _, data, edges in chunks(batches, column, 1 << 21):
-            codes, _ = ngram_codes(data, edges, order)
-            total += np.bincount(codes, minlength=len(total))
-        seen = np.flatnonzero(total)
-        for at in range(0, len(seen), 1 << 16):
-            part = seen[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["code", "n"])
-
-    return run
-
-
-def counts(docs: DataFrame, column: str = "text", order: int = ORDER) -> DataFrame:
-    """(code, n) of every n-gram in every text."""
-    return docs.select(column).mapInArrow(_count(column, order), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def _discounts(n: np.ndarray) -> np.ndarray:
-    return discounts([float((n == k).sum()) for k in (1, 2, 3, 4)])
 
 
 def discounts(t: list[float]) -> np.ndarray:
@@ -104,44 +12,3 @@ def discounts(t: list[float]) -> np.ndarray:
     y = t[0] / (t[0] + 2 * t[1])
     d = [k - (k + 1) * y * t[k] / t[k - 1] if t[k - 1] else 0.5 * k for k in (1, 2, 3)]
     return np.clip(d, 0.05, [0.95, 1.9, 2.8])
-
-
-def fit(docs: DataFrame, column: str = "text", order: int = ORDER) -> list[dict[str, np.ndarray]]:
-    """One dictionary per order, 1 first: sorted ``code`` with ``own`` (discounted share), sorted ``context`` with ``rest`` (weight of the lower order)."""
-    level = stored(counts(docs, column, order), "ngrams")
-    model = []
-    for n in range(order, 0, -1):
-        rows = level.toPandas().sort_values("code")
-        codes, c = rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.float64)
-        d = _discounts(c)[np.minimum(c, 3).astype(int) - 1] if len(c) else c
-        context, start = np.unique(codes // CLASSES, return_index=True)
-        total = np.add.reduceat(c, start) if len(c) else c
-        taken = np.add.reduceat(d, start) if len(c) else c
-        share = (c - d) / np.repeat(total, np.diff(np.append(start, len(c)))) if len(c) else c
-        model.append({"code": codes.astype(np.uint32), "own": share, "context": context.astype(np.uint32), "rest": taken / total if len(c) else c})
-        # A shorter n-gram counts the different characters that stand before it.
-        level = level.groupBy((F.col("code") % (CLASSES ** (n - 1))).alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    return model[::-1]
-
-
-def log_table(model: list[dict[str, np.ndarray]]) -> np.ndarray:
-    """Log probability of every n-gram of the highest order, seen or not, by interpolation from order 1 up."""
-    p = np.full(CLASSES, 1.0 / CLASSES, np.float32)
-    for n, level in enumerate(model, 1):
-        rest = np.ones(CLASSES ** (n - 1), np.float32)
-        rest[level["context"]] = level["rest"]
-        p = p if n == 1 else np.tile(p, CLASSES)
-        p = (p.reshape(-1, CLASSES) * rest[:, None]).ravel()
-        p[level["code"]] += level["own"].astype(np.float32)
-    np.maximum(p, np.float32(1e-12), out=p)
-    return np.log(p, out=p)
-
-
-def mean_log(data: np.ndarray, edges: np.ndarray, table: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """Mean log probability of the characters of each text; NaN for an empty one."""
-    codes, at = ngram_codes(data, edges, order)
-    run = np.zeros(len(codes) + 1)
-    np.cumsum(table[codes], dtype=np.float64, out=run[1:])
-    size = np.diff(at)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(size > 0, (run[at[1:]] - run[at[:-1]]) / size, np.nan)

@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmat.llm.common import LOWER, byte_prefix, chunks, owner_of, process_cache, remainder, stretch_hash
+from gridmat.llm.common import LOWER, byte_prefix, chunks, owner_of, process_cache, received, remainder, shipped, stretch_hash
 
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3, 4)
@@ -258,7 +258,7 @@ def word_scores(model: Model, data: np.ndarray, edges: np.ndarray):
 
 def _label(model: Broadcast, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        m = received(model)
         names = np.array([*m.languages, "und"], dtype=object)
         for part, data, edges in chunks(batches, "text", _SMALL):
             texts = part.num_rows
@@ -299,7 +299,7 @@ def label(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
     A null text, or one without letters, is ``und`` with score 0, and so is
     every text if nothing was learned. Only doc_id and text are looked at.
     """
-    value = docs.sparkSession.sparkContext.broadcast(model)
+    value = shipped(docs.sparkSession, model)
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     return plain.mapInArrow(_label(value, spans), "doc_id long, lang_pred string, score double" + (", spans array<struct<from_byte: bigint, to_byte: bigint, lang: string>>" if spans else ""))
 

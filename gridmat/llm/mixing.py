@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridmat.llm.common import chunks, owner_of, stored, word_edges
+from gridmat.llm.common import chunks, owner_of, received, shipped, stored, word_edges
 from gridmat.llm.tokens import terms
 
 BUCKETS = 1 << 15
@@ -147,10 +147,11 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: int, sample: i
 
 def _posteriors(model: Broadcast, keep: list[str], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        softmax = received(model)
         for part, data, edges in chunks(batches, "text", _SMALL):
             text, bucket, count = _terms_once(data, edges)
             texts = part.num_rows
-            p = model.value.posterior(text, bucket, share_of(text, count, texts), texts)
+            p = softmax.posterior(text, bucket, share_of(text, count, texts), texts)
             words = _words(data, edges)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), p.shape[1]).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([part.column(names.index(c)) for c in keep] + [pa.array(words), lists], names=[*keep, "n_tokens", "posterior"])
@@ -325,7 +326,7 @@ WEIGHTS = (1.25, 0.05, 0.02)
 
 def classifier(docs: DataFrame, labels: DataFrame) -> Broadcast:
     labelled = labels.select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain"))
-    return docs.sparkSession.sparkContext.broadcast(fit_classifier(docs, labelled, len(DOMAINS)))
+    return shipped(docs.sparkSession, fit_classifier(docs, labelled, len(DOMAINS)))
 
 
 def mixture(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, exact: bool = False) -> DataFrame:
@@ -345,7 +346,8 @@ def mixture(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEI
 def mixed(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, exact: bool = False) -> DataFrame:
     """The documents drawn by their rates, each once at most, with their columns.
 
-    A rate of 1 or more keeps a document for sure. The rates are fitted on a
+    A rate of 1 or more keeps a document for sure; the others are drawn by a hash
+    of id and text, so rows without an id are drawn one by one. The rates are fitted on a
     table of posteriors; the documents are then scored again beside their
     columns, so that no text is shuffled.
     """
@@ -355,4 +357,4 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGH
     names = [c if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)]
     rated = with_rates(posteriors(docs.toDF(*names), model, names), gradients, len(weights))
     key = names[docs.columns.index("doc_id")]
-    return rated.where(copies(F.col("rate"), F.col(key)) > 0).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    return rated.where(copies(F.col("rate"), F.col(key), F.col("text")) > 0).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

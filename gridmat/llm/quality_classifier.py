@@ -54,7 +54,7 @@ def _accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, other = (key[first] // BUCKETS).astype(np.int64), key[first] % BUCKETS
         for k in range(NONZERO):
             total += np.bincount(at * DIM + place[other, k], weights=sign[other, k] * count, minlength=len(total))
-    rows = total.reshape(RANGES, -1).astype(np.int32)
+    rows = total.reshape(RANGES, -1).astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(RANGES, dtype=np.int32)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["part", "sums"])
 
 
@@ -62,7 +62,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, sums in zip(batch.column("part").to_pylist(), batch.column("sums")):
-            got = np.frombuffer(sums.as_buffer(), np.int32).astype(np.float64)
+            got = np.frombuffer(sums.as_buffer(), np.int64).astype(np.float64)
             total[part] = total[part] + got if part in total else got
     for part, sums in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["part", "sums"])

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from gridmat.llm import bpe, induced_sort, jaccard_join, kneser_ney, packing, quality_rules, suffix_dedup
+from gridmat.llm import bpe, induced_sort, jaccard_join, packing, quality_rules, suffix_dedup
 from gridmat.llm.common import text_buffers
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -52,39 +52,6 @@ def test_base_counts_and_verdict(edge_docs, no_docs):
     assert quality_rules.score(no_docs).count() == 0 and quality_rules.passing(no_docs).count() == 0
 
 
-def test_ngram_model_is_a_distribution_and_matches_a_plain_one(spark):
-    texts = ["the cat sat on the mat", "a cat and a dog", "the dog sat"]
-    model = kneser_ney.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
-    table = np.exp(kneser_ney.log_table(model).astype(np.float64)).reshape(-1, kneser_ney.CLASSES)
-    assert np.allclose(table.sum(axis=1), 1, atol=1e-4)
-    # Modified Kneser-Ney by dictionaries, for every n-gram that was seen.
-    cls = kneser_ney.class_table()
-    rows = [[0] * 3 + [int(cls[ord(c)]) for c in t] for t in texts]
-    level = Counter(tuple(r[i - 3 : i + 1]) for r in rows for i in range(3, len(r)))
-    levels = [level]
-    for _ in range(3):
-        level = Counter(g[1:] for g in level)
-        levels.append(level)
-
-    def prob(gram):
-        if not gram:
-            return 1 / kneser_ney.CLASSES
-        counts = levels[4 - len(gram)]
-        t = [sum(v == k for v in counts.values()) for k in (1, 2, 3, 4)]
-        d = kneser_ney._discounts(np.array(list(counts.values()), float))
-        same = [v for g, v in counts.items() if g[:-1] == gram[:-1]]
-        if not same:
-            return prob(gram[1:])
-        rest = sum(d[min(v, 3) - 1] for v in same) / sum(same)
-        own = counts.get(gram, 0)
-        assert t
-        return (own - d[min(own, 3) - 1] if own else 0) / sum(same) + rest * prob(gram[1:])
-
-    for gram in levels[0]:
-        code = ((gram[0] * 48 + gram[1]) * 48 + gram[2]) * 48 + gram[3]
-        assert table.ravel()[code] == pytest.approx(prob(gram), rel=1e-5)
-
-
 # ------------------------------------------------------------ repeated passages
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridmat.matrix import CellMatrix, Matrix, check_product_shape, check_same_shape
+from gridmat.operators.exact_sum import exact_sum
 
 
 def scale(m: Matrix, factor: float) -> CellMatrix:
@@ -13,12 +14,15 @@ def scale(m: Matrix, factor: float) -> CellMatrix:
     return CellMatrix(cells, m.n_rows, m.n_cols)
 
 
-def row_merge_sum(partial: DataFrame) -> DataFrame:
+def row_merge_sum(partial: DataFrame, exact: bool = False) -> DataFrame:
     """Partial rows merged: values of the same cell are added.
 
     The sum is taken inside each task before the shuffle and again after it,
-    so a cell with very many parts arrives as one row per task.
+    so a cell with very many parts arrives as one row per task. ``exact`` gives
+    the double next to the true sum, whatever the order and partitioning.
     """
+    if exact:
+        return exact_sum(partial, ["i", "j"])
     return partial.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
@@ -29,9 +33,11 @@ def add(a: Matrix, b: Matrix) -> CellMatrix:
     return CellMatrix(row_merge_sum(both), a.n_rows, a.n_cols)
 
 
-def dot(x: DataFrame, y: DataFrame) -> DataFrame:
-    """Dot product of two sparse vectors ``(k, v)`` as a one-row table."""
+def dot(x: DataFrame, y: DataFrame, exact: bool = False) -> DataFrame:
+    """Dot product of two sparse vectors ``(k, v)`` as a one-row table; ``exact`` as in ``row_merge_sum``, over the rounded products."""
     pairs = x.select("k", F.col("v").alias("x")).join(y.select("k", F.col("v").alias("y")), "k")
+    if exact:
+        return exact_sum(pairs.select((F.col("x") * F.col("y")).alias("v")), []).select(F.coalesce("v", F.lit(0.0)).alias("v"))
     total = F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0.0))
     return pairs.agg(total.alias("v"))
 

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from gridmat import sinks, sources
 from gridmat.functions import arrays, maps, text
 from gridmat.operators import algebra, blocks, dense_product, joins, layout, ordering, profile
-from gridmat.operators import sparse_product
+from gridmat.operators import row_product, sparse_product
+from gridmat.operators.exact_sum import exact_sum
 from gridmat.plans.matmul import matmul
 from gridmat.plans.scratch import scratch_path
-from gridmat.plans.tables import Tables, with_matrices
+from gridmat.plans.tables import Tables, exact_sql, with_matrices
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -234,6 +235,56 @@ def row_merge_sum(t: Tables) -> DataFrame:
     return algebra.row_merge_sum(partial)
 
 
+@_query(with_matrices("V", "select i, j, v from V"))
+def row_merge_sum_exact(t: Tables) -> DataFrame:
+    """Revenue by supplier and part: the double next to the true sum of each cell."""
+    return algebra.row_merge_sum(t.revenue_lines(), exact=True)
+
+
+@_query(
+    with_matrices(
+        "VM", f"select a.i, b.j, {exact_sql('(a.v * b.v)')} as v from V a join M b on a.j = b.i group by 1, 2"
+    )
+)
+def matmul_opb_sparse_exact(t: Tables) -> DataFrame:
+    return sparse_product.matmul_opb_sparse(t.revenues(), t.months(), exact=True).df
+
+
+@_query(
+    with_matrices(
+        "V",
+        f"select {exact_sql('(x.v * y.v)')} as v from "
+        f"(select j as k, {exact_sql('v')} as v from V group by 1) x join "
+        "(select p_partkey as k, p_retailprice as v from part) y on x.k = y.k",
+    )
+)
+def dot_exact(t: Tables) -> DataFrame:
+    """Revenue by part against the price of the part."""
+    x = exact_sum(t.revenues().df.select(F.col("j").alias("k"), "v"), ["k"])
+    y = t.read("part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("v"))
+    return algebra.dot(x, y, exact=True)
+
+
+@_query(_product_sql("Q", "M"))
+def matmul_opb_sparse_rows(t: Tables) -> DataFrame:
+    """The product by records of whole rows."""
+    return row_product.row_product(t.quantities(), t.months()).df
+
+
+@_query(
+    with_matrices(
+        "QM",
+        "select i, list(j order by j) as js, list(v order by j) as vs from "
+        "(select a.i, b.j, sum(a.v * b.v) as v from Q a join M b on a.j = b.i group by 1, 2) group by 1",
+    )
+)
+def row_records(t: Tables) -> DataFrame:
+    """Partial rows of a product, merged record by record and listed again."""
+    cells = row_product.merge_records(row_product.row_records(t.quantities(), t.months(), 1000))
+    lists = F.sort_array(F.collect_list(F.struct("j", "v")))
+    return cells.groupBy("i").agg(lists.alias("l")).select("i", F.col("l.j").alias("js"), F.col("l.v").alias("vs"))
+
+
 # ------------------------------------------------------------------ pairings
 
 

@@ -1,6 +1,7 @@
 """The matrices that the registered queries build from the driver's tables.
 
-All values are whole numbers held as doubles, so sums are exact in any order.
+All values but the revenues are whole numbers held as doubles, so sums are exact
+in any order; revenues are for the sums that are exact for any numbers.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmat.matrix import CellMatrix, VectorMatrix
+from gridmat.operators.exact_sum import exact_sum
 from gridmat.sources import from_table, from_vectors
 
 HIGH_QUANTITY = 46
@@ -85,6 +87,22 @@ class Tables:
         return from_table(self.read("lineitem"), "l_suppkey", "l_partkey", percent, self._shape())
 
 
+    def revenue_lines(self) -> DataFrame:
+        """Revenue of each line by supplier and part, ``(i, j, v)``; cells may come several times."""
+        revenue = F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))
+        lines = self.read("lineitem")
+        return lines.select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j"), revenue.alias("v"))
+
+    def revenues(self) -> CellMatrix:
+        """V: revenue by supplier and part, added exactly."""
+        return CellMatrix.of(exact_sum(self.revenue_lines(), ["i", "j"]), *self._shape())
+
+
+def exact_sql(value: str) -> str:
+    """The double next to the true sum of values below 2**50 that are multiples of 2**-70, through whole numbers of 128 bits."""
+    return f"cast(cast(sum(cast({value} * {2.0**70!r}::double as hugeint)) as varchar) as double) / {2.0**70!r}::double"
+
+
 # The same matrices in SQL.
 SQL = {
     "E": "select vec_id as i, cast(p - 1 as bigint) as j, floor(cast(x as double) * 1000) as v "
@@ -99,6 +117,8 @@ SQL = {
     "cast(count(*) as double) as v from lineitem group by 1, 2",
     "R": "select l_suppkey as i, cast(ascii(l_returnflag) as bigint) as j, sum(l_quantity) as v "
     "from lineitem group by 1, 2",
+    "V": f"select l_suppkey as i, l_partkey as j, {exact_sql('l_extendedprice * (1::double - l_discount)')} as v "
+    "from lineitem group by 1, 2",
     "D": "select l_suppkey as i, l_partkey as j, "
     "sum(floor(l_discount * 100::double + 0.5::double) - 5) as v from lineitem group by 1, 2",
 }

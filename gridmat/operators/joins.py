@@ -192,7 +192,7 @@ def block_sizes(m: Matrix, row_edge: int, col_edge: int) -> DataFrame:
         .df.groupBy(
             block_of(F.col("i"), row_edge).alias("br"), block_of(F.col("j"), col_edge).alias("bc")
         )
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count("v").alias("n"))
     )
 
 

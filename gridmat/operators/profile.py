@@ -14,13 +14,14 @@ BYTES_PER_CELL = 10
 
 
 def nnz(m: Matrix) -> DataFrame:
-    return m.cells().df.agg(F.count(F.lit(1)).alias("nnz"))
+    """Cells of a matrix. Values are counted, not rows, because the check of the indices hangs on the value."""
+    return m.cells().df.agg(F.count("v").alias("nnz"))
 
 
 def observe_nnz(m: Matrix) -> tuple[DataFrame, Observation]:
     """The cells, and their count as a by-product of whatever job reads them."""
     seen = Observation()
-    return m.cells().df.observe(seen, F.count(F.lit(1)).alias("nnz")), seen
+    return m.cells().df.observe(seen, F.count("v").alias("nnz")), seen
 
 
 def matrix_profile(m: Matrix) -> DataFrame:
@@ -35,8 +36,8 @@ def matrix_profile(m: Matrix) -> DataFrame:
             F.struct(F.lit(1).alias("axis"), F.col("j").alias("id")),
         )
     )
-    counts = m.cells().df.select(lines.alias("l")).groupBy("l.axis", "l.id").agg(
-        F.count(F.lit(1)).alias("n")
+    counts = m.cells().df.select(lines.alias("l"), "v").groupBy("l.axis", "l.id").agg(
+        F.count("v").alias("n")
     )
     of_rows = F.when(F.col("axis") == 0, F.col("n"))
     of_cols = F.when(F.col("axis") == 1, F.col("n"))

@@ -19,6 +19,7 @@ from gridmat.operators.exact_sum import exact_sum
 from gridmat.plans.matmul import matmul
 from gridmat.plans.scratch import scratch_path
 from gridmat.plans.tables import Tables, exact_sql, with_matrices
+from gridmat.plans.text_product import multiply_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,15 +134,10 @@ def matmul_text_sparse(t: Tables) -> DataFrame:
     root = scratch_path(spark, "matmul_text_sparse")
     sinks.write_row_text(q, f"{root}/A")
     sinks.write_row_text(m, f"{root}/B")
-    a, b = sources.read_pair(
-        spark, f"{root}/A", f"{root}/B", (q.n_rows, q.n_cols), (m.n_rows, m.n_cols),
-        sources.read_dense_id, zero_test="literal",
-    )
-    csc, csr = sinks.write_sparse_pair(a, b, f"{root}/sparse", "OPB")
-    a = sources.read_csc(spark, csc, (q.n_rows, q.n_cols))
-    b = sources.read_csr(spark, csr, (m.n_rows, m.n_cols))
-    c = matmul(a, b, method="OPB", sparsity=50)
-    sinks.write_row_text(c, f"{root}/C")
+    multiply_text(
+        spark, f"{root}/A", f"{root}/B", f"{root}/C", (q.n_rows, q.n_cols), (m.n_rows, m.n_cols),
+        method="OPB", sparsity=50,
+    )
     line = F.col("value")
     return spark.read.text(f"{root}/C").select(
         F.element_at(text.tokens(line), 1).cast("bigint").alias("line_id"), line.alias("line")
@@ -163,11 +159,9 @@ def matmul_text_dense(t: Tables) -> DataFrame:
     root = scratch_path(spark, "matmul_text_dense")
     sinks.write_dense_text(e.T, f"{root}/A")
     sinks.write_dense_text(e, f"{root}/B")
-    a, b = sources.read_pair(
-        spark, f"{root}/A", f"{root}/B", (e.n_cols, e.n_rows), (e.n_rows, e.n_cols)
+    multiply_text(
+        spark, f"{root}/A", f"{root}/B", f"{root}/C", (e.n_cols, e.n_rows), (e.n_rows, e.n_cols), method="OPB"
     )
-    c = matmul(a, b, method="OPB", sparsity=0)
-    sinks.write_dense_text(c, f"{root}/C")
     return sources.numbered_lines(spark, f"{root}/C")
 
 

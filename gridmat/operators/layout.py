@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmat.functions.coords import block_of, cyclic_group, n_blocks, within_block
@@ -16,7 +16,6 @@ LINE_SPAN = 1_000_000
 
 # Text of one dense line must stay below the 2 GiB limit of a string.
 _MAX_LINE_BYTES = 2**31 - 1
-_MAX_NUMBER_BYTES = 25
 
 
 def drop_zeros(m: Matrix) -> CellMatrix:
@@ -168,10 +167,10 @@ def row_lines(m: Matrix, all_rows: bool = False, span: int = LINE_SPAN) -> DataF
     """``rowId v v 0 v `` with missing cells as ``0``: ``(id, line)``.
 
     Pieces of a row are turned into text first, spread over the cluster; only
-    the finished texts of one row meet to form its line.
+    the finished texts of one row meet to form its line. Stretches of missing
+    cells stay counts until then: a row costs its text, not its width in
+    numbers. A line that does not fit into one string (2 GiB) fails the job.
     """
-    if m.n_cols * _MAX_NUMBER_BYTES > _MAX_LINE_BYTES:
-        raise ValueError(f"a line of {m.n_cols} values does not fit into one string")
     cells = m.cells().df
     pieces = _collect(cells, "i", "j", span, cells.sparkSession.range(m.n_rows) if all_rows else None)
     entries = F.col("entries")
@@ -207,18 +206,75 @@ def row_lines(m: Matrix, all_rows: bool = False, span: int = LINE_SPAN) -> DataF
         line = F.concat(F.col("id").cast("string"), F.lit(SEPARATOR), F.col("text"))
         return piece.select("id", line.alias("line"))
     # Pieces with no cell at all are filled in from their width alone.
-    have = F.map_from_entries(F.collect_list(F.struct("part", "text")))
-    assembled = piece.groupBy("id").agg(have.alias("have"))
-    full = F.repeat(gap_text, F.lit(span))
-    rest = F.repeat(gap_text, F.lit(m.n_cols - (n_parts - 1) * span))
-    parts = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.lit(n_parts - 1).cast("bigint")),
-        lambda p: F.coalesce(
-            F.try_element_at("have", p), F.when(p == n_parts - 1, rest).otherwise(full)
-        ),
+    found = F.sort_array(F.collect_list(F.struct("part", "text")))
+    assembled = piece.groupBy("id").agg(found.alias("found"), F.sum(F.octet_length("text")).alias("bytes"))
+    # The pieces found cover their span each; between them, missing cells take two bytes.
+    covered = F.aggregate("found", F.lit(0).cast("bigint"), lambda n, p: n + _part_width(p["part"], m.n_cols, span))
+    length = F.col("bytes") + (F.lit(m.n_cols).cast("bigint") - covered) * len(MISSING + SEPARATOR)
+    too_long = F.raise_error(F.concat(F.lit("line too long for one string: id "), F.col("id").cast("string")))
+    # Each piece with the missing cells before it, and those after the last one.
+    texts = F.transform(
+        "found",
+        lambda p, n: F.concat(_missing_parts(F.when(n == 0, -1).otherwise(F.get(F.col("found"), n - 1)["part"]), p["part"], m.n_cols, span), p["text"]),
     )
-    line = F.concat(F.col("id").cast("string"), F.lit(SEPARATOR), F.array_join(parts, ""))
-    return assembled.select("id", line.alias("line"))
+    end = _missing_parts(F.element_at("found", -1)["part"], F.lit(n_parts).cast("bigint"), m.n_cols, span)
+    id_text = F.concat(F.col("id").cast("string"), F.lit(SEPARATOR))
+    line = F.array_join(F.concat(F.array(id_text), texts, F.array(end)), "")
+    fits = F.when(length < _MAX_LINE_BYTES - 32, line).otherwise(too_long.cast("string"))
+    return assembled.select("id", fits.alias("line"))
+
+
+def _part_width(part: Column, n_along: int, span: int) -> Column:
+    """Positions of a part; the last one may be shorter."""
+    first = part * F.lit(span).cast("bigint")
+    return F.least(F.lit(span).cast("bigint"), F.lit(n_along).cast("bigint") - first)
+
+
+def _missing_parts(after: Column, until: Column, n_along: int, span: int) -> Column:
+    """Text of all the missing cells of the parts strictly between two parts."""
+    n = F.least(until * F.lit(span).cast("bigint"), F.lit(n_along).cast("bigint")) - (after + 1) * F.lit(span).cast("bigint")
+    return F.repeat(F.lit(MISSING + SEPARATOR), n.cast("int"))
+
+
+def row_runs(m: Matrix, span: int = LINE_SPAN, all_rows: bool = False) -> DataFrame:
+    """Rows as runs: ``(id, part, gaps, vals, tail)``.
+
+    ``gaps`` are the missing cells before each value, counted from the value
+    before it or the start of the part, ``tail`` those after the last one. A
+    part covers ``span`` columns, and only parts with a value are there, so a
+    row takes the room of its values however wide it is.
+    """
+    cells = m.cells().df
+    pieces = _collect(cells, "i", "j", span, cells.sparkSession.range(m.n_rows) if all_rows else None)
+    first = F.col("part") * F.lit(span).cast("bigint")
+    entries = F.col("entries")
+    before = lambda p: F.when(p == 0, first - 1).otherwise(F.get(entries, p - 1)["idx"])
+    gaps = F.transform(entries, lambda e, p: e["idx"] - before(p) - 1)
+    last = F.when(F.size(entries) > 0, F.element_at(entries, -1)["idx"]).otherwise(first - 1)
+    tail = first + _part_width(F.col("part"), m.n_cols, span) - last - 1
+    return pieces.select("id", "part", gaps.alias("gaps"), F.col("entries.v").alias("vals"), tail.alias("tail"))
+
+
+def from_runs(runs: DataFrame, shape: tuple[int, int], span: int = LINE_SPAN) -> CellMatrix:
+    """Cells of rows kept as runs."""
+    spread = runs.select("id", "part", F.posexplode(F.arrays_zip("gaps", "vals")).alias("p", "e"))
+    until = Window.partitionBy("id", "part").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.col("part") * F.lit(span).cast("bigint")
+    j = first + F.sum(F.col("e.gaps") + 1).over(until) - 1
+    return CellMatrix(spread.select(F.col("id").alias("i"), j.alias("j"), F.col("e.vals").alias("v")), *shape)
+
+
+def densify_bands(m: Matrix, width: int) -> DataFrame:
+    """Rows with a cell in bands of ``width`` columns, dense inside a band: ``(i, band, vec)``.
+
+    A band is made by itself, so a task holds one band of one row, however wide
+    the row is. Bands without a value are left out.
+    """
+    runs = row_runs(m, span=width)
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    filled = F.flatten(F.transform("gaps", lambda g, p: F.concat(zeros(g), F.array(F.get(F.col("vals"), p)))))
+    vec = F.concat(filled, zeros(F.col("tail")))
+    return runs.select(F.col("id").alias("i"), F.col("part").alias("band"), vec.alias("vec"))
 
 
 def band_regroup(m: BandMatrix) -> VectorMatrix:

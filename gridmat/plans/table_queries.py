@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gridmat import sinks, sources
 from gridmat.functions import arrays, maps, text
 from gridmat.operators import algebra, blocks, dense_product, joins, layout, ordering, profile
-from gridmat.operators import row_product, sparse_product
+from gridmat.operators import estimate, row_product, sparse_product
 from gridmat.operators.exact_sum import exact_sum
 from gridmat.plans.matmul import matmul
 from gridmat.plans.scratch import scratch_path
@@ -279,6 +279,45 @@ def row_records(t: Tables) -> DataFrame:
     return cells.groupBy("i").agg(lists.alias("l")).select("i", F.col("l.j").alias("js"), F.col("l.v").alias("vs"))
 
 
+@_query(
+    with_matrices(
+        "QM",
+        "select cast(sum(p) as bigint) as products, count(*)::double as cells, count(distinct i) as rows from "
+        "(select a.i, b.j, count(*) as p from Q a join M b on a.j = b.i group by 1, 2)",
+    )
+)
+def product_size(t: Tables) -> DataFrame:
+    """Rows of twelve columns, which a sketch counts exactly."""
+    return estimate.product_size(t.quantities(), t.months())
+
+
+@_query(
+    with_matrices(
+        "H",
+        "select id, part, list(gap order by j) as gaps, list(v order by j) as vals, "
+        "least(300, (select max(p_partkey) + 1 from part) - part * 300) - 1 - max(j - part * 300) as tail from "
+        "(select i as id, j // 300 as part, j, v, "
+        "j - coalesce(lag(j) over (partition by i, j // 300 order by j), j // 300 * 300 - 1) - 1 as gap from H) group by 1, 2",
+    )
+)
+def row_runs(t: Tables) -> DataFrame:
+    return layout.row_runs(t.high_quantities(), span=300)
+
+
+@_query(
+    with_matrices(
+        "H",
+        "select b.i, b.band, c.j, coalesce(H.v, 0) as v from (select distinct i, j // 300 as band from H) b join "
+        "(select range as j from range((select max(p_partkey) + 1 from part))) c on c.j // 300 = b.band "
+        "left join H on H.i = b.i and H.j = c.j",
+    )
+)
+def densify_bands(t: Tables) -> DataFrame:
+    bands = layout.densify_bands(t.high_quantities(), 300)
+    spread = bands.select("i", "band", F.posexplode("vec").alias("pos", "v"))
+    return spread.select("i", "band", (F.col("band") * 300 + F.col("pos")).alias("j"), "v")
+
+
 # ------------------------------------------------------------------ pairings
 
 

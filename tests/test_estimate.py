@@ -1,0 +1,51 @@
+"""Sizes of products without forming them."""
+
+import numpy as np
+import pytest
+
+from gridmat.operators.estimate import matmul_by_size, product_size, row_reach
+from gridmat.plans.tables import Tables
+from helpers import array_of, cells_of, places_of, random_pair, structural
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+def _exact(spark, a, b):
+    left = a.cells().df.selectExpr("i", "j as k")
+    return left.join(b.cells().df.selectExpr("i as k", "j"), "k").select("i", "j").distinct().count()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_small_rows_are_exact(spark, seed):
+    a, b = random_pair(seed)
+    A, B = cells_of(spark, a), cells_of(spark, b)
+    want = structural(a, b)
+    size = product_size(A, B).first()
+    assert (size.cells, size.rows) == (len(want), len({i for i, _ in want}))
+    assert size.products == int(((a != 0).astype(int) @ (b != 0).astype(int)).sum())
+    assert {r.i: r.cells for r in row_reach(A, B).collect()} == {i: sum(1 for x, _ in want if x == i) for i, _ in want}
+
+
+def test_estimate_is_within_ten_percent(spark):
+    t = Tables(spark, FOLDER)
+    h, q, m = t.high_quantities(), t.quantities(), t.months()
+    # The last product has 2,000 columns, more than a sketch keeps.
+    for a, b in ((h, h.T), (q, m), (q.T, q)):
+        size = product_size(a, b).first()
+        true = _exact(spark, a, b)
+        assert abs(size.cells - true) <= 0.1 * true
+
+
+def test_both_ways_give_the_same_cells(spark):
+    for a, b in ((np.ones((9, 9)), np.ones((9, 9))), (np.eye(9), np.eye(9))):
+        c = matmul_by_size(cells_of(spark, a), cells_of(spark, b))
+        assert np.array_equal(array_of(c), a @ b) and places_of(c) == structural(a, b)
+    plans = [matmul_by_size(cells_of(spark, a), cells_of(spark, a)).df._jdf.queryExecution().executedPlan().toString() for a in (np.ones((9, 9)), np.eye(9))]
+    assert "multiply_runs" in plans[0] and "multiply_runs" not in plans[1]
+
+
+def test_empty_products(spark):
+    a, b = np.zeros((3, 3)), np.eye(3)
+    size = product_size(cells_of(spark, a), cells_of(spark, b)).first()
+    assert tuple(size) == (0, 0.0, 0)
+    assert matmul_by_size(cells_of(spark, a), cells_of(spark, b)).df.count() == 0

@@ -1,4 +1,4 @@
-from gridmat.sources.generate import generate_on, matrix_generate
+from gridmat.sources.generate import generate_on, generate_sparse, matrix_generate
 from gridmat.sources.tables import from_table, from_vectors, shape_of
 from gridmat.sources.text import (
     line_profile,
@@ -14,6 +14,7 @@ __all__ = [
     "from_table",
     "from_vectors",
     "generate_on",
+    "generate_sparse",
     "line_profile",
     "matrix_generate",
     "numbered_lines",

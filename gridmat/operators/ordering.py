@@ -64,24 +64,23 @@ def _cuts_below(cuts: Column, key: Column, n: int) -> Column:
     return F.when(cuts.isNull(), F.lit(0)).otherwise(found)
 
 
-def sort_into_files(
-    df: DataFrame, key: str, n_keys: int, *then: str, files: int | None = None, weight: Column | None = None
-) -> DataFrame:
-    """Sorted, and cut so that file n holds smaller keys than file n+1.
-
-    Without ``weight`` the keys are taken to be 0..n_keys-1, all there and all
-    alike, so each goes straight to its file. With it, such as the bytes of a
-    line, a sketch of the weight by key says where to cut, so that files are
-    equally long however keys and weights are spread; it is part of the same
-    plan and reads the shuffle that the rows come from. A range partitioning
-    would run the whole input once more to sample it, and count rows alike.
-    ``files`` is the number of files; left out, one per slot, but with
+def with_file(
+    df: DataFrame, key: str, n_keys: int, files: int | None = None, weight: Column | None = None
+) -> tuple[DataFrame, int]:
+    """Rows with the number ``_file`` of the file they belong to, and how many files there are at most.
+
+    File n holds smaller keys than file n+1. Without ``weight`` the keys are
+    taken to be 0..n_keys-1, all there and all alike, so each goes straight to
+    its file. With it, such as the bytes of a line, a sketch of the weight by key
+    says where to cut, so that files are equally long however keys and weights
+    are spread; it is part of the same plan and reads the shuffle that the rows
+    come from. ``files`` is the number of files; left out, one per slot, but with
     ``weight`` not more than the bytes are worth.
     """
     n_files = max(1, min(files or slots(df), n_keys))
     if weight is None:
-        file = block_of(F.col(key), n_blocks(max(1, n_keys), n_files)).cast("int")
-        return df.repartitionById(n_files, file).sortWithinPartitions(key, *then)
+        file = block_of(F.col(key), n_blocks(max(1, n_keys), n_files))
+        return df.withColumn("_file", file.cast("int")), n_files
     known = file_cuts(df, key, weight, n_files).select(F.struct("cuts", "total").alias("known"))
     placed = df.withColumn("_known", known.scalar())
     file = _cuts_below(F.col("_known.cuts"), F.col(key), n_files - 1)
@@ -89,7 +88,19 @@ def sort_into_files(
         # Fewer files for little text: neighbouring runs share one.
         used = F.greatest(F.lit(1), F.least(F.lit(n_files), F.ceil(F.col("_known.total") / F.lit(LEAST_FILE_BYTES)).cast("int")))
         file = F.call_function("div", file * used, F.lit(n_files)).cast("int")
-    return placed.withColumn("_file", file).drop("_known").repartitionById(n_files, "_file").sortWithinPartitions(key, *then).drop("_file")
+    return placed.withColumn("_file", file).drop("_known"), n_files
+
+
+def sort_into_files(
+    df: DataFrame, key: str, n_keys: int, *then: str, files: int | None = None, weight: Column | None = None
+) -> DataFrame:
+    """Sorted, one partition for each file of ``with_file``.
+
+    A range partitioning would run the whole input once more to sample it, and
+    would count rows alike.
+    """
+    placed, n_files = with_file(df, key, n_keys, files, weight)
+    return placed.repartitionById(n_files, "_file").sortWithinPartitions(key, *then).drop("_file")
 
 
 def sort_rows(df: DataFrame, key: str = "i") -> DataFrame:

@@ -41,9 +41,12 @@ def discard(m: Matrix) -> int:
     """
     spark = m.df.sparkSession
     folders = {f.rsplit("/", 1)[0] for f in m.df.inputFiles()}
-    gone = 0
-    for folder in folders:
-        if "/gridmat/" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
-    return gone
+    return sum(remove(spark, folder) for folder in folders)
+
+
+def remove(spark: SparkSession, folder: str) -> bool:
+    """Remove a folder of ``scratch_path``; any other is left alone."""
+    if "/gridmat/" not in folder:
+        return False
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))

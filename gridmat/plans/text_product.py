@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 from gridmat import sinks, sources
 from gridmat.matrix import Matrix, check_product_shape
 from gridmat.plans.matmul import METHODS, matmul
-from gridmat.plans.scratch import discard, scratch_path
+from gridmat.plans.scratch import remove, scratch_path
 
 
 def _sparse_operands(spark: SparkSession, a: Matrix, b: Matrix, method: str, work: str) -> tuple[Matrix, Matrix]:
@@ -57,11 +57,11 @@ def multiply_text(
         spark, path_a, path_b, shape_a, shape_b, sources.read_dense_id, zero_test="literal", mode=mode
     )
     check_product_shape(a, b)
-    a, b = _sparse_operands(spark, a, b, method, scratch_path(spark, "sparse-text"))
+    work = scratch_path(spark, "sparse-text")
+    a, b = _sparse_operands(spark, a, b, method, work)
     c = matmul(a, b, method=method, sparsity=sparsity, **options)
     sinks.write_row_text(c, path_out, compression=compression, files=files)
-    for m in (a, b):
-        discard(m)
+    remove(spark, work)
     return sources.read_dense_id(spark, path_out, (c.n_rows, c.n_cols), zero_test="literal")
 
 

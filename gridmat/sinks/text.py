@@ -15,11 +15,15 @@ from pyspark.sql import functions as F
 from gridmat.functions.text import dense_line
 from gridmat.matrix import BandMatrix, Matrix, VectorMatrix
 from gridmat.operators.layout import densify_rows, row_lines, to_csc, to_csr, whole_lines
-from gridmat.operators.ordering import sort_into_files
+from gridmat.operators.ordering import sort_into_files, with_file
 
 
-def _save(lines: DataFrame, path: str, compression: str | None, mode: str) -> None:
-    writer = lines.select("line").write.mode(mode)
+def _save(
+    lines: DataFrame, path: str, compression: str | None, mode: str, by: list[str] | None = None
+) -> None:
+    writer = lines.select(*(by or []), "line").write.mode(mode)
+    if by:
+        writer = writer.partitionBy(*by)
     if compression:
         writer = writer.option("compression", compression)
     writer.text(path)
@@ -96,23 +100,53 @@ def write_csc(
     _save(_in_files(whole_lines(to_csc(m), m.n_rows), m.n_cols, files), path, compression, mode)
 
 
-def write_sparse_pair(a: Matrix, b: Matrix, path: str, method: str, **options) -> tuple[str, str]:
-    """Operands as sparse text in the layouts a method reads; returns both paths."""
-    csr, csc = f"{path}/CSR", f"{path}/CSC"
+def sparse_pair_lines(a: Matrix, b: Matrix, method: str) -> list[tuple[str, DataFrame, int]]:
+    """The form, the lines ``(id, line)`` and the number of ids of both operands, in the layouts that a method reads."""
+    csr = lambda m: ("CSR", whole_lines(to_csr(m), m.n_cols), m.n_rows)
+    csc = lambda m: ("CSC", whole_lines(to_csc(m), m.n_rows), m.n_cols)
     if method == "OPB":
-        write_csc(a, csc, **options)
-        write_csr(b, csr, **options)
-        return csc, csr
+        return [csc(a), csr(b)]
     if method in ("IPB", "naive"):
-        write_csr(a, csr, **options)
-        write_csc(b, csc, **options)
-        return csr, csc
+        return [csr(a), csc(b)]
     raise ValueError(f"unknown method {method!r}")
 
 
+def write_sparse_pair(
+    a: Matrix,
+    b: Matrix,
+    path: str,
+    method: str,
+    compression: str | None = None,
+    mode: str = "overwrite",
+    files: int | None = None,
+) -> tuple[str, str]:
+    """Operands as sparse text in the layouts a method reads; returns the folders of A and B.
+
+    One plan writes both: lines of either form are routed to partitions of their
+    own, and each form to a folder below ``path``. Neither operand waits for the
+    other, and each is read once.
+    """
+    routed, first, folders = None, 0, []
+    for form, lines, n_ids in sparse_pair_lines(a, b, method):
+        placed, n_files = with_file(lines, "id", n_ids, files, F.octet_length("line"))
+        part = placed.select(F.lit(form).alias("form"), "id", "line", (F.col("_file") + first).alias("_file"))
+        routed = part if routed is None else routed.unionByName(part)
+        first += n_files
+        folders.append(f"{path}/form={form}")
+    # In the order that writing by folder asks for, so that it sorts nothing again.
+    sorted_lines = routed.repartitionById(first, "_file").sortWithinPartitions("form", "id")
+    _save(sorted_lines, path, compression, mode, by=["form"])
+    spark = a.df.sparkSession
+    for folder in folders:  # an operand without any line has a folder too
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+    return folders[0], folders[1]
+
+
 __all__ = [
     "as_rows",
     "dense_lines",
+    "sparse_pair_lines",
     "write_csc",
     "write_csr",
     "write_dense_text",

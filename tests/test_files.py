@@ -90,3 +90,35 @@ def test_the_sketch_reads_the_shuffle_of_the_rows(spark):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan and "ReusedExchange" in plan
+
+
+@pytest.mark.parametrize("method", ["OPB", "IPB"])
+def test_both_forms_are_one_write(spark, tmp_path, method):
+    rng = np.random.default_rng(2)
+    a, b = ((rng.random((40, 30)) < 0.2) * rng.integers(1, 9, (40, 30)).astype(float) for _ in range(2))
+    b = b.T
+    A, B = cells_of(spark, a), cells_of(spark, b)
+    paths = sinks.write_sparse_pair(A, B, str(tmp_path / "pair"), method, files=4)
+    read = {"OPB": (sources.read_csc, sources.read_csr), "IPB": (sources.read_csr, sources.read_csc)}[method]
+    singly = {"OPB": (sinks.write_csc, sinks.write_csr), "IPB": (sinks.write_csr, sinks.write_csc)}[method]
+    for m, array, path, reader, write in zip((A, B), (a, b), paths, read, singly):
+        assert np.array_equal(array_of(reader(spark, path, array.shape)), array)
+        write(m, str(tmp_path / write.__name__), files=4)
+        text = lambda p: "".join(open(x).read() for x in sorted(glob.glob(f"{p}/part-*")))
+        assert text(path) == text(tmp_path / write.__name__)
+    assert os.listdir(tmp_path / "pair").count("_SUCCESS") == 1
+
+
+def test_an_operand_without_cells_can_be_read_back(spark, tmp_path):
+    none, some = cells_of(spark, np.zeros((3, 4))), cells_of(spark, np.ones((4, 2)))
+    csc, csr = sinks.write_sparse_pair(none, some, str(tmp_path / "pair"), "OPB", compression="gzip")
+    assert sources.read_csc(spark, csc, (3, 4)).df.count() == 0
+    assert sources.read_csr(spark, csr, (4, 2)).df.count() == 8
+
+
+def test_a_pair_is_one_commit(spark, tmp_path):
+    """One write for both forms: one mark of success above the two folders, none inside them."""
+    A = cells_of(spark, np.eye(6))
+    sinks.write_sparse_pair(A, A, str(tmp_path / "one"), "OPB")
+    assert {p.name for p in (tmp_path / "one").iterdir() if not p.name.startswith(".")} == {"_SUCCESS", "form=CSC", "form=CSR"}
+    assert not any((tmp_path / "one" / f / "_SUCCESS").exists() for f in ("form=CSC", "form=CSR"))

@@ -28,28 +28,30 @@ def _power(exponent: Column) -> Column:
     return F.pow(F.lit(2.0), exponent.cast("double"))
 
 
-def digits(v: Column) -> Column:
-    """A finite double as ``array<struct<place, digit>>``: v = sum of digit * 2**(26 * place). Zero has one digit, 0."""
+def with_digits(df: DataFrame, value: str, name: str = "digits") -> DataFrame:
+    """Adds a finite double as ``array<struct<place, digit>>``: v = sum of digit * 2**(26 * place). Zero has one digit, 0.
+
+    Step by step in columns, which the engine compiles and computes once each.
+    """
+    v = F.col(value)
     lifted = F.abs(v) < F.lit(2.0**TINY)
-    x = F.when(lifted, v * F.lit(2.0 ** (BASE_BITS * LIFT))).otherwise(v)
-    size = F.abs(x)
-    guess = F.when(size > 0, F.floor(F.log2(size) / F.lit(float(BASE_BITS)))).otherwise(F.lit(0)).cast("int")
+    guess = F.when(F.col("_size") > 0, F.floor(F.log2("_size") / F.lit(float(BASE_BITS)))).otherwise(F.lit(0)).cast("int")
     # The logarithm is rounded: one comparison each way makes the place exact.
-    high = F.when(size >= _power((guess + 1) * BASE_BITS), guess + 1).when((size > 0) & (size < _power(guess * BASE_BITS)), guess - 1).otherwise(guess)
-    state = F.struct(x.alias("rest"), high.alias("high"), F.when(lifted, F.lit(LIFT)).otherwise(F.lit(0)).alias("lift"))
-
-    def split(s: Column) -> Column:
-        out, rest = [], s["rest"]
-        for n in range(3):
-            unit = _power((s["high"] - n) * BASE_BITS)
-            digit = (rest / unit).cast("bigint")
-            out.append(F.struct((s["high"] - n - s["lift"]).alias("place"), digit.alias("digit")))
-            rest = rest - digit.cast("double") * unit
-        return F.array(*out)
-
-    # Through an array, so that the state is computed once.
-    listed = F.flatten(F.transform(F.array(state), split))
-    return F.filter(listed, lambda d, n: (n == 0) | (d["digit"] != 0))
+    place = F.when(F.col("_size") >= _power((F.col("_high") + 1) * BASE_BITS), F.col("_high") + 1)
+    place = place.when((F.col("_size") > 0) & (F.col("_size") < F.col("_unit")), F.col("_high") - 1).otherwise(F.col("_high"))
+    out = df.withColumn("_rest", F.when(lifted, v * F.lit(2.0 ** (BASE_BITS * LIFT))).otherwise(v)).withColumn("_size", F.abs("_rest"))
+    out = out.withColumn("_high", guess).withColumn("_unit", _power(F.col("_high") * BASE_BITS)).withColumn("_high", place)
+    out = out.withColumn("_unit", _power(F.col("_high") * BASE_BITS))
+    low = F.lit(2.0**-BASE_BITS)
+    for n in range(3):
+        out = out.withColumn(f"_d{n}", (F.col("_rest") / F.col("_unit")).cast("bigint"))
+        out = out.withColumn("_rest", F.col("_rest") - F.col(f"_d{n}").cast("double") * F.col("_unit")).withColumn("_unit", F.col("_unit") * low)
+    lift = F.when(lifted, F.lit(LIFT)).otherwise(F.lit(0))
+    listed = [F.struct((F.col("_high") - n - lift).alias("place"), F.col(f"_d{n}").alias("digit")) for n in range(3)]
+    # Most doubles of everyday size have two digits or three; an array that holds no more is not filtered.
+    two, one = F.col("_d2") == 0, F.col("_d1") == 0
+    kept = F.when(~two, F.array(*listed)).when(one, F.array(listed[0])).otherwise(F.array(*listed[:2]))
+    return out.withColumn(name, kept).drop("_rest", "_size", "_high", "_unit", "_d0", "_d1", "_d2")
 
 
 def exact_sum(df: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
@@ -62,7 +64,9 @@ def exact_sum(df: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
     rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).cast("double").alias("_v"))
     wild = F.isnan("_v") | (F.abs("_v") == F.lit(float("inf")))
     none = F.lit(None).cast("array<struct<place:int,digit:bigint>>")
-    spread = rows.select(*names, F.when(wild, F.col("_v")).alias("_wild"), F.explode_outer(F.when(wild | F.isnull("_v"), none).otherwise(digits(F.col("_v")))).alias("_d"))
+    tame = rows.select(*names, F.when(wild, F.col("_v")).alias("_wild"), (wild | F.isnull("_v")).alias("_not"), F.when(~wild, F.col("_v")).alias("_v"))
+    split = with_digits(tame, "_v", "_d")
+    spread = split.select(*names, "_wild", F.explode_outer(F.when(F.col("_not"), none).otherwise(F.col("_d"))).alias("_d"))
     # Partial sums in the tasks; one row for each key and place leaves them.
     places = spread.groupBy(*names, F.col("_d.place").alias("place")).agg(F.sum("_d.digit").alias("digit"), F.sum("_wild").alias("_wild"))
     gathered = places.groupBy(*names).agg(
@@ -74,4 +78,4 @@ def exact_sum(df: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
     return rounded.select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], F.col("v").alias(value))
 
 
-__all__ = ["digits", "exact_sum"]
+__all__ = ["exact_sum", "with_digits"]

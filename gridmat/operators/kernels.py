@@ -29,6 +29,25 @@ def fill(block: np.ndarray, pieces: pa.Table) -> None:
     block[np.repeat(at, sizes), place] = flat
 
 
+def block_checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lists ``a`` and ``b`` of pieces replaced by the sum of their values, each times its place: (at + 1) * (pos + 1)."""
+    for batch in batches:
+        columns = {n: batch.column(n) for n in batch.schema.names if n not in ("a", "b")}
+        for name in "ab":
+            blocks = batch.column(name)
+            pieces = blocks.flatten()
+            vals = pieces.field("vals")
+            sizes = vals.value_lengths().to_numpy()
+            flat = vals.flatten().to_numpy(zero_copy_only=False)
+            idx = pieces.field("idx")
+            ends = np.cumsum(sizes)
+            pos = np.arange(len(flat)) - np.repeat(ends - sizes, sizes) if idx.null_count else idx.flatten().to_numpy()
+            weighted = flat * (pos + 1.0) * np.repeat(pieces.field("at").to_numpy() + 1.0, sizes)
+            row = np.repeat(np.arange(batch.num_rows), blocks.value_lengths().to_numpy())
+            columns[f"sum_{name}"] = pa.array(np.bincount(np.repeat(row, sizes), weighted, batch.num_rows))
+        yield pa.RecordBatch.from_pydict(columns)
+
+
 def block_multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """One block product."""
     return a @ b

@@ -31,7 +31,7 @@ def slots(df: DataFrame) -> int:
 
 
 def file_cuts(df: DataFrame, key: str, weight: Column, files: int) -> DataFrame:
-    """One row: the ``files - 1`` keys that cut the rows into runs of equal weight, and the whole weight: ``(cuts, total)``.
+    """One row: the ``files - 1`` keys that cut the rows of ``df`` into runs of equal weight, and the whole weight: ``(cuts, total)``.
 
     A mergeable quantile sketch of the keys, one entry for every ENTRY_BYTES of
     a row's weight: summed up in the tasks, a few kilobytes leave each. What is
@@ -65,7 +65,12 @@ def _cuts_below(cuts: Column, key: Column, n: int) -> Column:
 
 
 def with_file(
-    df: DataFrame, key: str, n_keys: int, files: int | None = None, weight: Column | None = None
+    df: DataFrame,
+    key: str,
+    n_keys: int,
+    files: int | None = None,
+    weight: Column | None = None,
+    weigh: DataFrame | None = None,
 ) -> tuple[DataFrame, int]:
     """Rows with the number ``_file`` of the file they belong to, and how many files there are at most.
 
@@ -74,14 +79,16 @@ def with_file(
     its file. With it, such as the bytes of a line, a sketch of the weight by key
     says where to cut, so that files are equally long however keys and weights
     are spread; it is part of the same plan and reads the shuffle that the rows
-    come from. ``files`` is the number of files; left out, one per slot, but with
+    come from. Another table with the key, ``weigh``, may be weighed instead, such
+    as the lists that lines are made of, so that no line is made twice.
+    ``files`` is the number of files; left out, one per slot, but with
     ``weight`` not more than the bytes are worth.
     """
     n_files = max(1, min(files or slots(df), n_keys))
     if weight is None:
         file = block_of(F.col(key), n_blocks(max(1, n_keys), n_files))
         return df.withColumn("_file", file.cast("int")), n_files
-    known = file_cuts(df, key, weight, n_files).select(F.struct("cuts", "total").alias("known"))
+    known = file_cuts(weigh or df, key, weight, n_files).select(F.struct("cuts", "total").alias("known"))
     placed = df.withColumn("_known", known.scalar())
     file = _cuts_below(F.col("_known.cuts"), F.col(key), n_files - 1)
     if files is None:
@@ -92,14 +99,20 @@ def with_file(
 
 
 def sort_into_files(
-    df: DataFrame, key: str, n_keys: int, *then: str, files: int | None = None, weight: Column | None = None
+    df: DataFrame,
+    key: str,
+    n_keys: int,
+    *then: str,
+    files: int | None = None,
+    weight: Column | None = None,
+    weigh: DataFrame | None = None,
 ) -> DataFrame:
     """Sorted, one partition for each file of ``with_file``.
 
     A range partitioning would run the whole input once more to sample it, and
     would count rows alike.
     """
-    placed, n_files = with_file(df, key, n_keys, files, weight)
+    placed, n_files = with_file(df, key, n_keys, files, weight, weigh)
     return placed.repartitionById(n_files, "_file").sortWithinPartitions(key, *then).drop("_file")
 
 

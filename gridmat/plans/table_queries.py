@@ -380,7 +380,7 @@ _BLOCKS_OF_Q_AND_M = (
 def block_join_k(t: Tables) -> DataFrame:
     """Every pair of blocks with a checksum over the values and places of both."""
     pairs = blocks.block_join_k(t.quantities(), t.months(), 16, 150, 5)
-    return pairs.select("bi", "bk", "bj", "n_a", "n_b", blocks.block_checksum("a").alias("sum_a"), blocks.block_checksum("b").alias("sum_b"))
+    return blocks.block_checksums(pairs).drop("unit")
 
 
 @_query(
@@ -393,9 +393,9 @@ def block_join_k(t: Tables) -> DataFrame:
 def block_join_cross(t: Tables) -> DataFrame:
     """Output blocks, summed up where their chunks lie."""
     pairs = blocks.block_join_cross(t.quantities(), t.months(), 16, 150, 5)
-    sums = [F.sum(blocks.block_checksum(x) * (F.col("bk") + 1)).alias(f"sum_{x}") for x in "ab"]
+    sums = [F.sum(F.col(f"sum_{x}") * (F.col("bk") + 1)).alias(f"sum_{x}") for x in "ab"]
     counts = [F.count(F.lit(1)).alias("n_chunks"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b")]
-    return pairs.groupBy("unit", "bi", "bj").agg(*counts, *sums).drop("unit")
+    return blocks.block_checksums(pairs).groupBy("bi", "bj").agg(*counts, *sums)
 
 
 @_query(with_matrices("QM", "select Q.i // 16 as bi, bj, Q.j // 150 as bk, cast(Q.i % 16 as integer) as at, cast(Q.j % 150 as integer) as pos, Q.v from Q join (select distinct i // 150 as bk, j // 5 as bj from M) m on Q.j // 150 = m.bk"))

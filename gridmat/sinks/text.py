@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridmat.functions.text import dense_line
 from gridmat.matrix import BandMatrix, Matrix, VectorMatrix
-from gridmat.operators.layout import densify_rows, row_lines, to_csc, to_csr, whole_lines
+from gridmat.operators.layout import LINE_SPAN, densify_rows, row_lines, to_csc, to_csr, whole_lines
 from gridmat.operators.ordering import sort_into_files, with_file
 
 
@@ -29,9 +29,18 @@ def _save(
     writer.text(path)
 
 
-def _in_files(lines: DataFrame, n_ids: int, files: int | None) -> DataFrame:
-    """Lines ``(id, line)`` in files of about equal length, whatever the lengths of lines and the gaps between ids."""
-    return sort_into_files(lines, "id", n_ids, files=files, weight=F.octet_length("line"))
+# Bytes that an entry of a sparse line takes, and one of a row with its missing cells written out, about.
+_PAIR_BYTES, _VALUE_BYTES = 10, 4
+
+
+def _sparse(lists: DataFrame, n_along: int, n_ids: int, files: int | None) -> tuple[DataFrame, int]:
+    """Sparse lines with their file: files are about equally long, whatever the lengths of lines and the gaps between ids."""
+    weight = F.size("entries") * _PAIR_BYTES + 8
+    return with_file(whole_lines(lists, n_along), "id", n_ids, files, weight, lists)
+
+
+def _sorted_files(placed: DataFrame, n_files: int) -> DataFrame:
+    return placed.repartitionById(n_files, "_file").sortWithinPartitions("id")
 
 
 def as_rows(m: Matrix) -> VectorMatrix:
@@ -77,7 +86,11 @@ def write_row_text(
     files: int | None = None,
 ) -> None:
     """``rowId v v 0 v `` per row, values unrounded, missing cells as ``0``."""
-    _save(_in_files(row_lines(m, all_rows=all_rows), m.n_rows, files), path, compression, mode)
+    lists = to_csr(m, empty_rows=all_rows)
+    # Every column takes two bytes at least.
+    weight = F.size("entries") * _VALUE_BYTES + min(2 * m.n_cols, 2 * LINE_SPAN)
+    placed = with_file(row_lines(m, all_rows=all_rows), "id", m.n_rows, files, weight, lists)
+    _save(_sorted_files(*placed), path, compression, mode)
 
 
 def write_csr(
@@ -87,7 +100,7 @@ def write_csr(
     mode: str = "overwrite",
     files: int | None = None,
 ) -> None:
-    _save(_in_files(whole_lines(to_csr(m), m.n_cols), m.n_rows, files), path, compression, mode)
+    _save(_sorted_files(*_sparse(to_csr(m), m.n_cols, m.n_rows, files)), path, compression, mode)
 
 
 def write_csc(
@@ -97,13 +110,13 @@ def write_csc(
     mode: str = "overwrite",
     files: int | None = None,
 ) -> None:
-    _save(_in_files(whole_lines(to_csc(m), m.n_rows), m.n_cols, files), path, compression, mode)
+    _save(_sorted_files(*_sparse(to_csc(m), m.n_rows, m.n_cols, files)), path, compression, mode)
 
 
-def sparse_pair_lines(a: Matrix, b: Matrix, method: str) -> list[tuple[str, DataFrame, int]]:
-    """The form, the lines ``(id, line)`` and the number of ids of both operands, in the layouts that a method reads."""
-    csr = lambda m: ("CSR", whole_lines(to_csr(m), m.n_cols), m.n_rows)
-    csc = lambda m: ("CSC", whole_lines(to_csc(m), m.n_rows), m.n_cols)
+def _sparse_pair(a: Matrix, b: Matrix, method: str) -> list[tuple[str, DataFrame, int, int]]:
+    """The form, the lists and the shape of both operands, in the layouts that a method reads."""
+    csr = lambda m: ("CSR", to_csr(m), m.n_cols, m.n_rows)
+    csc = lambda m: ("CSC", to_csc(m), m.n_rows, m.n_cols)
     if method == "OPB":
         return [csc(a), csr(b)]
     if method in ("IPB", "naive"):
@@ -127,8 +140,8 @@ def write_sparse_pair(
     other, and each is read once.
     """
     routed, first, folders = None, 0, []
-    for form, lines, n_ids in sparse_pair_lines(a, b, method):
-        placed, n_files = with_file(lines, "id", n_ids, files, F.octet_length("line"))
+    for form, lists, n_along, n_ids in _sparse_pair(a, b, method):
+        placed, n_files = _sparse(lists, n_along, n_ids, files)
         part = placed.select(F.lit(form).alias("form"), "id", "line", (F.col("_file") + first).alias("_file"))
         routed = part if routed is None else routed.unionByName(part)
         first += n_files
@@ -146,7 +159,6 @@ def write_sparse_pair(
 __all__ = [
     "as_rows",
     "dense_lines",
-    "sparse_pair_lines",
     "write_csc",
     "write_csr",
     "write_dense_text",

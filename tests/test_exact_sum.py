@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridmat.operators import algebra, exact_kernels
-from gridmat.operators.exact_sum import digits, exact_sum
+from gridmat.operators.exact_sum import exact_sum, with_digits
 from gridmat.operators.sparse_product import matmul_ipb_sparse, matmul_naive_sparse, matmul_opb_sparse
 from helpers import cells_of
 
@@ -49,7 +49,8 @@ def test_sums_are_the_nearest_doubles_in_any_partitioning(spark):
 
 def test_digits_lose_nothing(spark):
     values = [x for g in _groups(5) for x in g]
-    df = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", digits(F.col("v")).alias("d"))
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    df = with_digits(df, "v", "d")
     for r in df.collect():
         assert sum(Fraction(d.digit) * Fraction(2) ** (26 * d.place) for d in r.d) == Fraction(r.v)
         assert all(abs(d.digit) < 2**26 for d in r.d) and 1 <= len(r.d) <= 3

@@ -85,8 +85,8 @@ def test_the_sketch_reads_the_shuffle_of_the_rows(spark):
     from gridmat.operators import layout
     from gridmat.plans.tables import Tables
 
-    lines = layout.whole_lines(layout.to_csc(Tables(spark, "/root/testdata/sf0.001").quantities()), 10)
-    df = sort_into_files(lines, "id", 200, weight=F.octet_length("line"))
+    lists = layout.to_csc(Tables(spark, "/root/testdata/sf0.001").quantities())
+    df = sort_into_files(layout.whole_lines(lists, 10), "id", 200, weight=F.size("entries"), weigh=lists)
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan and "ReusedExchange" in plan

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridmat.llm import word_model
+from gridmat.llm import hash_arrays, word_model
 from gridmat.llm.common import SPACE, byte_prefix, chunks, owner_of, stored, stretch_hash, word_edges
 
 WINDOW = 8
@@ -29,7 +29,7 @@ BROADCAST_ROWS = 1_000_000
 
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_key long"
+FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, text_key long, log_perplexity double"
 
 
 def _per_text(flags: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -99,12 +99,12 @@ def _per_word_lines(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.
     return run[end] > run[start]
 
 
-def _features(keep: list[str], names: list[str]):
+def _features(keep: list[str], names: list[str], levels: list[hash_arrays.Level]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, edges in chunks(batches, "text"):
+        for part, data, edges, mean in hash_arrays.mean_logs(batches, levels):
             got = base_counts(data, edges)
             new = [pa.array(got[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-            new.append(word_model.text_keys(data, edges))
+            new += [word_model.text_keys(data, edges), pa.array(-mean, mask=np.isnan(mean))]
             yield pa.RecordBatch.from_arrays([part.column(names.index(c)) for c in keep] + new, names=keep + [f.split()[0] for f in FEATURES.split(", ")])
 
     return run
@@ -122,11 +122,11 @@ def _ddl(df: DataFrame, columns: list[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
-def features(docs: DataFrame, keep: list[str]) -> DataFrame:
+def features(docs: DataFrame, keep: list[str], order: int = hash_arrays.ORDER) -> DataFrame:
     """The columns ``keep`` of each document with its counts and log perplexity (null for a text without words)."""
     names = list(dict.fromkeys([*keep, "text"]))
-    counted = docs.select(*names).mapInArrow(_features(keep, names), f"{_ddl(docs, keep)}, {FEATURES}")
-    return counted.join(word_model.mean_logs(docs), "text_key", "left").withColumn("log_perplexity", -F.col("mean_log")).drop("mean_log")
+    read = docs.select(*names)
+    return read.mapInArrow(_features(keep, names, hash_arrays.fit(read, order)), f"{_ddl(docs, keep)}, {FEATURES}")
 
 
 def base_failed() -> Column:

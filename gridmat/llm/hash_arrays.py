@@ -2,7 +2,7 @@
 
 Words, folds and discounts are those of ``word_model``. Documents are read in
 blocks of whole texts. For n = order down to 1, a block sends its different
-n-grams once, as sorted 56-bit hashes coded by their differences, in slices by
+n-grams once, as sorted hashes coded by their differences, in slices by
 hash range; a task adds up one range over all blocks and answers every block,
 in the order in which it asked, with the totals. The first block that asks for
 an n-gram owns it: owners alone pass totals on to the next level, so every
@@ -11,8 +11,9 @@ first n - 1, in whichever block it is found. The last reading of a block finds
 all levels there and writes a mean log probability for each text.
 
 Nothing is pruned, and no key gathers rows: hashes spread evenly, and a block
-sends an n-gram once however often it occurs. Keys take 4 to 5 bytes on their
-way. A block is told by its partition and its place in it, so the documents
+sends an n-gram once however often it occurs. Keys have so many bits that about
+one n-gram in ten million shares its key with another; differences take 3 to 4 of
+their bytes, and the statistics of an n-gram are a number in a dictionary. A block is told by its partition and its place in it, so the documents
 must come in the same order at each reading, as those of a table do; a block
 that meets the answers of another fails the job.
 """
@@ -39,22 +40,26 @@ from gridmat.llm.word_model import word_grams
 ORDER = 3
 #: Texts are dealt into folds by n-grams of this order, whatever the order of the model.
 FOLD_ORDER = 3
-KEY_BITS = 56
+#: Bits of a key beyond those that number all bytes of text.
+SPARE_BITS = 20
+#: Frees the shuffle of a level once its answers are stored.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A block ends with the text that fills so many words.
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 3 << 19
 #: Bytes of text for each range of hashes.
 RANGE_BYTES = 1 << 25
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BLOCKS = 1 << 24
-ASKED = "part int, block long, n int, check long, keys binary, stats binary"
-ANSWERED = "block long, part int, n int, check long, stats binary, own binary, tally array<bigint>"
+ASKED = "part int, block long, n int, check long, keys binary, kinds int, dictionary binary, codes binary"
+ANSWERED = "block long, part int, n int, check long, kinds int, dictionary binary, codes binary, own binary, tally array<bigint>"
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
 
 
 class Level(NamedTuple):
-    """A finished level: folder of its answers; by fold the discounts (of counts 0, 1, 2, 3 or more), the sum of all counts and what is taken from them; number of different n-grams."""
+    """A finished level: folder of its answers; bits of a key; by fold the discounts (of counts 0, 1, 2, 3 or more), the sum of all counts and what is taken from them; number of different n-grams."""
 
     path: str
+    bits: int
     discounts: np.ndarray
     total: np.ndarray
     taken: np.ndarray
@@ -86,6 +91,34 @@ def unpacked_keys(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(unpacked(data, n), dtype=np.uint64)
 
 
+def columns(stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different columns of a table of statistics, and the number of each column among them."""
+    h = np.zeros(stats.shape[1], np.uint64)
+    for row in stats:
+        h = mixed(h * _STEP + row.view(np.uint64))
+    ranked = np.sort(h)
+    ranked = ranked[np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]]
+    number = np.searchsorted(ranked, h)
+    where = np.empty(len(ranked), np.int64)
+    where[number] = np.arange(len(h))
+    return stats[:, where], number
+
+
+def packed_columns(different: np.ndarray, number: np.ndarray) -> tuple[int, bytes, bytes]:
+    """Columns as a dictionary of those that occur, most frequent first, and numbers there: size, dictionary, numbers."""
+    often = np.bincount(number, minlength=different.shape[1])
+    ranked = np.argsort(-often, kind="stable")[: np.count_nonzero(often)]
+    code = np.empty(len(often), np.uint64)
+    code[ranked] = np.arange(len(ranked), dtype=np.uint64)
+    return len(ranked), packed(different[:, ranked]), packed(code[number])
+
+
+def unpacked_columns(row: dict, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The dictionary and the numbers of a row's statistics."""
+    size = row["kinds"]
+    return unpacked(row["dictionary"], size * width).reshape(width, size).view(np.int64), unpacked(row["codes"], row["n"]).view(np.int64)
+
+
 # ---------------------------------------------------------------- blocks of documents
 
 
@@ -99,7 +132,7 @@ class Block:
         self.fold = np.concatenate([fold for _, _, fold in parts])
         self.starts = np.append(True, self.text[1:] != self.text[:-1])[: len(self.text)]
 
-    def level(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def level(self, n: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted keys of the different n-grams, the first position of each, and the number of each position's key.
 
         The position after the last one stands for the n-gram before any text.
@@ -107,7 +140,7 @@ class Block:
         h = np.zeros(len(self.text) + 1, np.uint64)
         for words in self.words[len(self.words) - n :]:
             h = mixed(h * _STEP + np.append(words, np.uint64(0)))
-        return np.unique(h >> np.uint64(64 - KEY_BITS), return_index=True, return_inverse=True)
+        return np.unique(h >> np.uint64(64 - bits), return_index=True, return_inverse=True)
 
     def contexts(self, number: np.ndarray) -> np.ndarray:
         """From the numbers of the n-grams, the number of the one before each position."""
@@ -137,9 +170,9 @@ def _answers(level: Level, width: int, block: int, keys: np.ndarray) -> tuple[np
     rows = sorted((row for path in found for row in pq.read_table(path, filesystem=system, partitioning=None).to_pylist()), key=lambda row: row["part"])
     if sum(row["n"] for row in rows) != len(keys) or any(row["check"] != zlib.crc32(keys) for row in rows):
         raise RuntimeError("the documents came in another order than before; write them to a table first")
-    totals = np.concatenate([unpacked(row["stats"], width * row["n"]).reshape(width, -1) for row in rows], axis=1)
+    totals = np.concatenate([different[:, number] for different, number in (unpacked_columns(row, width) for row in rows)], axis=1)
     own = np.concatenate([np.unpackbits(np.frombuffer(row["own"], np.uint8), count=row["n"]) for row in rows])
-    return totals.view(np.int64), own.astype(bool)
+    return totals, own.astype(bool)
 
 
 def _width(n: int, order: int) -> int:
@@ -147,16 +180,16 @@ def _width(n: int, order: int) -> int:
     return 2 if n == order else 10
 
 
-def _statistics(block: Block, number: int, n: int, order: int, above: Level | None) -> tuple[np.ndarray, np.ndarray]:
+def _statistics(block: Block, number: int, n: int, order: int, bits: int, above: Level | None) -> tuple[np.ndarray, np.ndarray]:
     """What a block adds to the counts of its n-grams: keys and statistics."""
-    keys, _, place = block.level(n)
+    keys, _, place = block.level(n, bits)
     out = np.zeros((_width(n, order), len(keys)), np.int64)
     if n == order:
         second = block.fold[block.text]
         for m in (0, 1):
             out[m] = np.bincount(place[:-1][second == bool(m)], minlength=len(keys))
         return keys, out
-    longer, first, _ = block.level(n + 1)
+    longer, first, _ = block.level(n + 1, bits)
     totals, own = _answers(above, _width(n + 1, order), number, longer)
     own &= first < len(block.text)
     at, before = first[own], block.contexts(place)
@@ -171,16 +204,16 @@ def _statistics(block: Block, number: int, n: int, order: int, above: Level | No
     return keys, out
 
 
-def _asked(n: int, order: int, above: Level | None, ranges: int):
-    cuts = np.array([-(-p * (1 << KEY_BITS) // ranges) for p in range(ranges + 1)], np.uint64)
+def _asked(n: int, order: int, bits: int, above: Level | None, ranges: int):
+    cuts = np.array([-(-p * (1 << bits) // ranges) for p in range(ranges + 1)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, _, block in _blocks(batches):
-            keys, stats = _statistics(block, number, n, order, above)
+            keys, stats = _statistics(block, number, n, order, bits, above)
             at, check = np.searchsorted(keys, cuts), zlib.crc32(keys)
             for p in np.flatnonzero(np.diff(at)):
                 mine = slice(at[p], at[p + 1])
-                yield _row(ASKED, int(p), number, int(at[p + 1] - at[p]), check, packed_keys(keys[mine]), packed(stats[:, mine]))
+                yield _row(ASKED, int(p), number, int(at[p + 1] - at[p]), check, packed_keys(keys[mine]), *packed_columns(*columns(stats[:, mine])))
 
     return run
 
@@ -204,17 +237,19 @@ def _added(width: int):
         if not rows:
             return
         keys = np.concatenate([unpacked_keys(row["keys"], row["n"]) for row in rows])
-        stats = np.concatenate([unpacked(row["stats"], width * row["n"]).reshape(width, -1) for row in rows], axis=1)
+        coded = [unpacked_columns(row, width) for row in rows]
         order = np.argsort(keys, kind="stable")
         new = np.append(True, np.diff(keys[order]) > 0)
-        totals = np.add.reduceat(stats[:, order], np.flatnonzero(new), axis=1)
+        at = np.flatnonzero(new)
+        totals = np.array([np.add.reduceat(np.concatenate([different[i][number] for different, number in coded])[order], at) for i in range(width)])
         group, own = np.empty(len(keys), np.int64), np.empty(len(keys), bool)
         group[order], own[order] = np.cumsum(new) - 1, new
-        yield _row(ANSWERED, -1, rows[0]["part"], 0, 0, None, None, _tally(totals[:2].view(np.int64)))
+        yield _row(ANSWERED, -1, rows[0]["part"], 0, 0, 0, None, None, None, _tally(totals[:2]))
+        different, kind = columns(totals)
         hi = 0
         for row in rows:
             lo, hi = hi, hi + row["n"]
-            yield _row(ANSWERED, row["block"], row["part"], row["n"], row["check"], packed(totals[:, group[lo:hi]]), np.packbits(own[lo:hi]).tobytes(), None)
+            yield _row(ANSWERED, row["block"], row["part"], row["n"], row["check"], *packed_columns(different, kind[group[lo:hi]]), np.packbits(own[lo:hi]).tobytes(), None)
         release_memory()
 
     return run
@@ -229,20 +264,31 @@ def fit(docs: DataFrame, order: int = ORDER) -> list[Level]:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
     if not size:
         return []
-    ranges = max(partitions(spark), -(-size // RANGE_BYTES))
-    levels: list[Level] = []
-    for n in range(order, 0, -1):
-        path = _qualified(spark, scratch_path(spark, f"{n}-grams"))
-        asked = docs.mapInArrow(_asked(n, order, levels[0] if levels else None, ranges), ASKED)
-        answered = asked.repartitionById(ranges, F.col("part")).mapInArrow(_added(_width(n, order)), ANSWERED)
-        answered.repartition("block").write.mode("append").partitionBy("block").parquet(path)
-        tally = spark.read.schema("tally array<bigint>").parquet(f"{path}/block=-1").agg(*[F.sum(F.col("tally")[i]) for i in range(13)]).first()
-        folds = [tally[:6], tally[6:12]]
-        taken = np.array([np.append(0.0, discounts([float(x) for x in t[:4]])) for t in folds])
-        levels.insert(0, Level(path, taken, np.array([float(t[5]) for t in folds]), np.array([d[1] * t[0] + d[2] * t[1] + d[3] * t[4] for d, t in zip(taken, folds)]), int(tally[12])))
+    ranges, bits = max(partitions(spark), -(-size // RANGE_BYTES)), min(size.bit_length() + SPARE_BITS, 63)
+    before = spark.conf.get(_FREE, "false")
+    spark.conf.set(_FREE, "true")
+    try:
+        levels: list[Level] = []
+        for n in range(order, 0, -1):
+            levels.insert(0, _fitted(docs, n, order, bits, levels[0] if levels else None, ranges))
+    finally:
+        spark.conf.set(_FREE, before)
     return levels
 
 
+def _fitted(docs: DataFrame, n: int, order: int, bits: int, above: Level | None, ranges: int) -> Level:
+    spark = docs.sparkSession
+    path = _qualified(spark, scratch_path(spark, f"{n}-grams"))
+    asked = docs.mapInArrow(_asked(n, order, bits, above, ranges), ASKED)
+    answered = asked.repartitionById(ranges, F.col("part")).mapInArrow(_added(_width(n, order)), ANSWERED)
+    answered.repartition("block").write.mode("append").partitionBy("block").parquet(path)
+    tally = spark.read.schema("tally array<bigint>").parquet(f"{path}/block=-1").agg(*[F.sum(F.col("tally")[i]) for i in range(13)]).first()
+    folds = [tally[:6], tally[6:12]]
+    taken = np.array([np.append(0.0, discounts([float(x) for x in t[:4]])) for t in folds])
+    sums = np.array([d[1] * t[0] + d[2] * t[1] + d[3] * t[4] for d, t in zip(taken, folds)])
+    return Level(path, bits, taken, np.array([float(t[5]) for t in folds]), sums, int(tally[12]))
+
+
 def mean_logs(batches: Iterator[pa.RecordBatch], levels: list[Level]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """In a task: slices of the table with their bytes and offsets, and the mean log probability of each text's words by the counts of the other fold (NaN without words)."""
     order = len(levels)
@@ -252,7 +298,7 @@ def mean_logs(batches: Iterator[pa.RecordBatch], levels: list[Level]) -> Iterato
         share = np.full(len(block.text), 1.0 / (levels[0].grams + 1) if levels else 1.0)
         other = np.where(block.fold[block.text], 0, 1)
         for n, level in enumerate(levels, 1):
-            keys, _, place = block.level(n)
+            keys, _, place = block.level(n, level.bits)
             totals, _ = _answers(level, _width(n, order), number, keys)
             count = totals[other, place[:-1]]
             if n == 1:

@@ -4,7 +4,7 @@ Words, folds and discounts are those of ``word_model``. Documents are read in
 blocks of whole texts. For n = order down to 1, a block sends its different
 n-grams once, as sorted hashes coded by their differences, in slices by
 hash range; a task adds up one range over all blocks and answers every block,
-in the order in which it asked, with the totals. The first block that asks for
+in the order in which it asked, with the totals that its texts need. The first block that asks for
 an n-gram owns it: owners alone pass totals on to the next level, so every
 n-gram adds one to the count of its last n - 1 words and to the sums of its
 first n - 1, in whichever block it is found. The last reading of a block finds
@@ -50,7 +50,7 @@ BLOCK_WORDS = 3 << 19
 RANGE_BYTES = 1 << 25
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BLOCKS = 1 << 24
-ASKED = "part int, block long, n int, check long, keys binary, kinds int, dictionary binary, codes binary"
+ASKED = "part int, block long, n int, check long, keys binary, kinds int, dictionary binary, codes binary, folds binary"
 ANSWERED = "block long, part int, n int, check long, kinds int, dictionary binary, codes binary, own binary, tally array<bigint>"
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
 
@@ -180,15 +180,19 @@ def _width(n: int, order: int) -> int:
     return 2 if n == order else 10
 
 
-def _statistics(block: Block, number: int, n: int, order: int, bits: int, above: Level | None) -> tuple[np.ndarray, np.ndarray]:
-    """What a block adds to the counts of its n-grams: keys and statistics."""
+def _statistics(block: Block, number: int, n: int, order: int, bits: int, above: Level | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a block adds to the counts of its n-grams: keys, statistics, and whether texts of each fold have them."""
     keys, _, place = block.level(n, bits)
+    second = block.fold[block.text]
+    folds = np.zeros((2, len(keys)), bool)
+    for m in (0, 1):
+        folds[m, place[:-1][second == bool(m)]] = True
+    folds[:, place[-1]] = True
     out = np.zeros((_width(n, order), len(keys)), np.int64)
     if n == order:
-        second = block.fold[block.text]
         for m in (0, 1):
             out[m] = np.bincount(place[:-1][second == bool(m)], minlength=len(keys))
-        return keys, out
+        return keys, out, folds
     longer, first, _ = block.level(n + 1, bits)
     totals, own = _answers(above, _width(n + 1, order), number, longer)
     own &= first < len(block.text)
@@ -201,7 +205,7 @@ def _statistics(block: Block, number: int, n: int, order: int, bits: int, above:
         np.add.at(out[2 + m], context, count)
         for k in (1, 2, 3):
             out[4 + 3 * m + k - 1] = np.bincount(context[np.minimum(count, 3) == k], minlength=len(keys))
-    return keys, out
+    return keys, out, folds
 
 
 def _asked(n: int, order: int, bits: int, above: Level | None, ranges: int):
@@ -209,11 +213,11 @@ def _asked(n: int, order: int, bits: int, above: Level | None, ranges: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, _, block in _blocks(batches):
-            keys, stats = _statistics(block, number, n, order, bits, above)
+            keys, stats, folds = _statistics(block, number, n, order, bits, above)
             at, check = np.searchsorted(keys, cuts), zlib.crc32(keys)
             for p in np.flatnonzero(np.diff(at)):
                 mine = slice(at[p], at[p + 1])
-                yield _row(ASKED, int(p), number, int(at[p + 1] - at[p]), check, packed_keys(keys[mine]), *packed_columns(*columns(stats[:, mine])))
+                yield _row(ASKED, int(p), number, int(at[p + 1] - at[p]), check, packed_keys(keys[mine]), *packed_columns(*columns(stats[:, mine])), np.packbits(folds[:, mine]).tobytes())
 
     return run
 
@@ -245,11 +249,17 @@ def _added(width: int):
         group, own = np.empty(len(keys), np.int64), np.empty(len(keys), bool)
         group[order], own[order] = np.cumsum(new) - 1, new
         yield _row(ANSWERED, -1, rows[0]["part"], 0, 0, 0, None, None, None, _tally(totals[:2]))
-        different, kind = columns(totals)
         hi = 0
         for row in rows:
             lo, hi = hi, hi + row["n"]
-            yield _row(ANSWERED, row["block"], row["part"], row["n"], row["check"], *packed_columns(different, kind[group[lo:hi]]), np.packbits(own[lo:hi]).tobytes(), None)
+            mine, got = own[lo:hi], totals[:, group[lo:hi]]
+            # A text is judged by the other fold, and owners pass on the counts of both.
+            asked = np.unpackbits(np.frombuffer(row["folds"], np.uint8), count=2 * row["n"]).reshape(2, -1).astype(bool)[::-1]
+            got[:2] *= asked | mine
+            if width > 2:
+                got[2:4] *= asked
+                got[4:] *= np.repeat(asked, 3, axis=0)
+            yield _row(ANSWERED, row["block"], row["part"], row["n"], row["check"], *packed_columns(*columns(got)), np.packbits(mine).tobytes(), None)
         release_memory()
 
     return run

@@ -133,14 +133,20 @@ class Block:
         self.starts = np.append(True, self.text[1:] != self.text[:-1])[: len(self.text)]
 
     def level(self, n: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted keys of the different n-grams, the first position of each, and the number of each position's key.
+        """Sorted keys of the different n-grams, a position of each, and the number of each position's key.
 
         The position after the last one stands for the n-gram before any text.
         """
         h = np.zeros(len(self.text) + 1, np.uint64)
         for words in self.words[len(self.words) - n :]:
             h = mixed(h * _STEP + np.append(words, np.uint64(0)))
-        return np.unique(h >> np.uint64(64 - bits), return_index=True, return_inverse=True)
+        h >>= np.uint64(64 - bits)
+        order = np.argsort(h)
+        keys = h[order]
+        new = np.append(True, keys[1:] != keys[:-1])
+        number = np.empty(len(h), np.int64)
+        number[order] = np.cumsum(new) - 1
+        return keys[new], order[new], number
 
     def contexts(self, number: np.ndarray) -> np.ndarray:
         """From the numbers of the n-grams, the number of the one before each position."""
@@ -193,10 +199,10 @@ def _statistics(block: Block, number: int, n: int, order: int, bits: int, above:
         for m in (0, 1):
             out[m] = np.bincount(place[:-1][second == bool(m)], minlength=len(keys))
         return keys, out, folds
-    longer, first, _ = block.level(n + 1, bits)
+    longer, at, _ = block.level(n + 1, bits)
     totals, own = _answers(above, _width(n + 1, order), number, longer)
-    own &= first < len(block.text)
-    at, before = first[own], block.contexts(place)
+    own &= at < len(block.text)
+    at, before = at[own], block.contexts(place)
     for m in (0, 1):
         count = totals[m, own]
         some = count > 0

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gridmat.llm import kneser_ney, quality_rules, word_model
+from gridmat.llm import hash_arrays, kneser_ney, quality_rules, word_model
 from gridmat.llm.common import text_buffers
 
 
@@ -75,3 +75,46 @@ def test_shuffled_words_and_gibberish_of_other_scripts_fail(spark):
         share = {k: np.mean([kept[i] for i, v in kind.items() if v == (k, lang)]) for k in ("clean", "shuffled", "gibberish")}
         assert share["clean"] > 0.95 and share["shuffled"] == share["gibberish"] == 0, (lang, share)
     assert not math.isnan(sum(kept.values()))
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_hash_arrays_match_a_plain_model(spark, order, monkeypatch):
+    """Mean logs by blocks and ranges against dictionaries; several blocks, repeated, empty and null texts."""
+    monkeypatch.setattr(hash_arrays, "BLOCK_WORDS", 100)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(list("abcdefgh"), rng.integers(1, 30))) for _ in range(60)]
+    texts += [*texts[:3], "", None, " \n"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(2)
+    got = {r.doc_id: r.log_perplexity for r in quality_rules.features(rows, ["doc_id"], order).collect()}
+    text, grams, fold = _split(texts)
+    grams = [g[3 - order :] for g in grams]
+    words = len({g[-1] for g in grams})
+    logs = {}
+    for m in (0, 1):
+        levels = {order: Counter(g for t, g in zip(text, grams) if fold[t] == bool(m))}
+        for n in range(order - 1, 0, -1):
+            levels[n] = Counter(g[1:] for g in levels[n + 1])
+        taken = {n: kneser_ney.discounts([float(sum(v == k for v in level.values())) for k in (1, 2, 3, 4)]) for n, level in levels.items()}
+
+        def prob(gram):
+            if not gram:
+                return 1 / (words + 1)
+            level, d = levels[len(gram)], taken[len(gram)]
+            same = [v for g, v in level.items() if g[:-1] == gram[:-1]]
+            if not same:
+                return prob(gram[1:])
+            own = level.get(gram, 0)
+            return ((own - d[min(own, 3) - 1] if own else 0) + sum(d[min(v, 3) - 1] for v in same) * prob(gram[1:])) / sum(same)
+
+        for t, g in zip(text, grams):
+            if fold[t] != bool(m):
+                logs.setdefault(int(t), []).append(math.log(prob(g)))
+    assert {i: x for i, x in got.items() if x is not None} == pytest.approx({i: -np.mean(x) for i, x in logs.items()}, rel=1e-9)
+    assert [got[i] for i in range(63, 66)] == [None] * 3 and len(got) == len(texts)
+
+
+def test_a_block_meets_only_its_own_answers(spark):
+    rows = spark.createDataFrame([("a b c d",), ("b c d e f",)], "text string").coalesce(1)
+    levels = hash_arrays.fit(rows)
+    with pytest.raises(Exception, match="another order"):
+        rows.where("text like 'b%'").mapInArrow(quality_rules._features([], ["text"], levels), quality_rules.FEATURES).collect()

@@ -45,7 +45,7 @@ SPARE_BITS = 20
 #: Frees the shuffle of a level once its answers are stored.
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A block ends with the text that fills so many words.
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 19
 #: Bytes of text for each range of hashes.
 RANGE_BYTES = 1 << 25
 _STEP = np.uint64(0x9E3779B97F4A7C15)

@@ -28,7 +28,7 @@ for name in {names!r}:
     rows = QUERIES[name](spark, "/root/testdata/sf0.001").count()
     print("ROWS", name, rows, flush=True)
 """
-NAMES = ["op1_dom_trees", "op4_viterbi_language", "op8_soft_mix", "op10_random_indexing", "op11_index_warc", "op12_lyndon_runs"]
+NAMES = ["op1_dom_trees", "op4_viterbi_language", "op5_perplexity_rules", "op8_soft_mix", "op10_random_indexing", "op11_index_warc", "op12_lyndon_runs"]
 
 
 @pytest.mark.skipif(not os.path.exists("/opt/tokenizers"), reason="needs the box's files")

@@ -457,6 +457,11 @@ def _lines_sql(matrix: str, line: str, along: str) -> str:
     )
 
 
+def _whole(lists: DataFrame, n_along: int) -> DataFrame:
+    """Whole lines, which are part 0 of their id."""
+    return layout.whole_lines(lists, n_along).select("id", F.lit(0).cast("bigint").alias("part"), "line")
+
+
 @_query(
     with_matrices(
         "Q",
@@ -464,7 +469,9 @@ def _lines_sql(matrix: str, line: str, along: str) -> str:
     )
 )
 def to_csr(t: Tables) -> DataFrame:
-    return layout.sparse_lines(layout.to_csr(t.quantities(), empty_rows=False))
+    """One line for every row, however many columns there are."""
+    q = t.quantities()
+    return _whole(layout.to_csr(q, empty_rows=False), q.n_cols)
 
 
 @_query(
@@ -474,7 +481,9 @@ def to_csr(t: Tables) -> DataFrame:
     )
 )
 def to_csc(t: Tables) -> DataFrame:
-    return layout.sparse_lines(layout.to_csc(t.quantities()))
+    """One line for every column, however many rows there are."""
+    q = t.quantities()
+    return _whole(layout.to_csc(q), q.n_rows)
 
 
 @_query(
@@ -499,10 +508,11 @@ def to_csr_parts(t: Tables) -> DataFrame:
 )
 def to_sparse_pair(t: Tables) -> DataFrame:
     """Columns of A and rows of B, the pair that outer products read."""
-    a, b = layout.to_sparse_pair(t.quantities(), t.months(), "OPB")
+    q, m = t.quantities(), t.months()
+    a, b = layout.to_sparse_pair(q, m, "OPB")
     lines = [
-        layout.sparse_lines(side).select(F.lit(name).alias("side"), "id", "line")
-        for name, side in (("A", a), ("B", b))
+        layout.whole_lines(side, n_along).select(F.lit(name).alias("side"), "id", "line")
+        for name, side, n_along in (("A", a, q.n_rows), ("B", b, m.n_cols))
     ]
     return lines[0].unionByName(lines[1])
 

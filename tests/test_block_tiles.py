@@ -1,0 +1,50 @@
+"""Pairs of blocks where there are many more of them than tasks: formed in tiles, from blocks that are sent once."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gridmat.matrix import CellMatrix
+from gridmat.operators import blocks
+from helpers import cells_of, random_pair
+from test_blocks import _padded, _rebuilt
+from test_plans import plan_of
+
+
+@pytest.mark.parametrize("numbers, most", [(4_000_000, 1 << 16), (6, 1 << 16), (4_000_000, 3)])
+def test_tiles_give_every_pair_once(spark, monkeypatch, numbers, most):
+    monkeypatch.setattr(blocks, "TILE_NUMBERS", numbers)
+    monkeypatch.setattr(blocks, "TILE_PAIRS", most)
+    a, b = random_pair(3, n=21, k=7, m=19)
+    A, B = cells_of(spark, a), cells_of(spark, b)
+    wide_a, wide_b = _padded(a, 2, 3), _padded(b, 3, 2)
+    want = {
+        (i, k, j)
+        for i in range(11) for k in range(3) for j in range(10)
+        if wide_a[2 * i : 2 * i + 2, 3 * k : 3 * k + 3].any() and wide_b[3 * k : 3 * k + 3, 2 * j : 2 * j + 2].any()
+    }
+    for join in (blocks.block_join_k, blocks.block_join_cross):
+        pairs = join(A, B, 2, 3, 2).withColumn("at", F.spark_partition_id()).collect()
+        assert len(pairs) == len(want) and {(p.bi, p.bk, p.bj) for p in pairs} == want
+        for p in pairs:
+            assert np.array_equal(_rebuilt(p.a, 2, 3), wide_a[2 * p.bi : 2 * p.bi + 2, 3 * p.bk : 3 * p.bk + 3])
+            assert np.array_equal(_rebuilt(p.b, 3, 2), wide_b[3 * p.bk : 3 * p.bk + 3, 2 * p.bj : 2 * p.bj + 2])
+    # the chunks of an output block lie in one partition, in order of k
+    chunks = {}
+    for p in pairs:
+        chunks.setdefault(p.unit, []).append((p.at, p.bk))
+    assert all(c == sorted(c) and len({at for at, _ in c}) == 1 for c in chunks.values())
+
+
+def test_blocks_of_a_strip_are_sent_once(spark):
+    """With as many strips as slots no block is copied, however many partners it has."""
+    a = cells_of(spark, np.ones((40, 40)))
+    assert "Join" not in plan_of(blocks.block_join_k(a, a, 2, 2, 2))
+
+
+def test_pairs_beyond_the_numbers_of_partitions(spark):
+    """Units of 2**60 pairs have numbers; only their tiles are partitions."""
+    n = 1 << 20
+    a = CellMatrix(spark.createDataFrame([(n - 1, n - 1, 2.0)], "i bigint, j bigint, v double"), n, n)
+    [pair] = blocks.block_join_k(a, a, 1, 1, 1).collect()
+    assert (pair.bi, pair.bk, pair.bj, pair.unit) == (n - 1, n - 1, n - 1, n**3 - 1)

@@ -66,7 +66,8 @@ def round_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.full(batch.num_rows, np.nan)
         lowest = int(place.min()) if len(place) else 0
         wide = np.zeros((batch.num_rows, int(place.max()) - lowest + 1 if len(place) else 1), np.int64)
-        wide[np.repeat(np.arange(batch.num_rows), sizes), place - lowest] = digit
+        # Values with different highest places share the places below.
+        np.add.at(wide, (np.repeat(np.arange(batch.num_rows), sizes), place - lowest), digit)
         out = nearest(wide, lowest)
         wild = batch.column("_wild")
         is_wild = ~np.asarray(wild.is_null())

@@ -6,6 +6,7 @@ are whole numbers, so adding them is exact in any order, before the shuffle and
 after it; a place holds 2**37 terms. The places of a sum are then put together
 and rounded once, to the nearest double. The result is the double next to the
 true sum (what ``math.fsum`` gives), the same on any number of partitions.
+The three digits of a value are added side by side, by the highest place.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ def _power(exponent: Column) -> Column:
     return F.pow(F.lit(2.0), exponent.cast("double"))
 
 
-def with_digits(df: DataFrame, value: str, name: str = "digits") -> DataFrame:
-    """Adds a finite double as ``array<struct<place, digit>>``: v = sum of digit * 2**(26 * place). Zero has one digit, 0.
+def _with_three_digits(df: DataFrame, value: str) -> DataFrame:
+    """Adds a finite double as three whole digits ``_d0, _d1, _d2`` at the places ``_high``, ``_high - 1`` and ``_high - 2``.
 
     Step by step in columns, which the engine compiles and computes once each.
     """
@@ -46,12 +47,17 @@ def with_digits(df: DataFrame, value: str, name: str = "digits") -> DataFrame:
     for n in range(3):
         out = out.withColumn(f"_d{n}", (F.col("_rest") / F.col("_unit")).cast("bigint"))
         out = out.withColumn("_rest", F.col("_rest") - F.col(f"_d{n}").cast("double") * F.col("_unit")).withColumn("_unit", F.col("_unit") * low)
-    lift = F.when(lifted, F.lit(LIFT)).otherwise(F.lit(0))
-    listed = [F.struct((F.col("_high") - n - lift).alias("place"), F.col(f"_d{n}").alias("digit")) for n in range(3)]
+    return out.withColumn("_high", F.col("_high") - F.when(lifted, F.lit(LIFT)).otherwise(F.lit(0))).drop("_rest", "_size", "_unit")
+
+
+def with_digits(df: DataFrame, value: str, name: str = "digits") -> DataFrame:
+    """Adds a finite double as ``array<struct<place, digit>>``: v = sum of digit * 2**(26 * place). Zero has one digit, 0."""
+    out = _with_three_digits(df, value)
+    listed = [F.struct((F.col("_high") - n).alias("place"), F.col(f"_d{n}").alias("digit")) for n in range(3)]
     # Most doubles of everyday size have two digits or three; an array that holds no more is not filtered.
     two, one = F.col("_d2") == 0, F.col("_d1") == 0
     kept = F.when(~two, F.array(*listed)).when(one, F.array(listed[0])).otherwise(F.array(*listed[:2]))
-    return out.withColumn(name, kept).drop("_rest", "_size", "_high", "_unit", "_d0", "_d1", "_d2")
+    return out.withColumn(name, kept).drop("_high", "_d0", "_d1", "_d2")
 
 
 def exact_sum(df: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
@@ -65,13 +71,14 @@ def exact_sum(df: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
     wild = F.isnan("_v") | (F.abs("_v") == F.lit(float("inf")))
     none = F.lit(None).cast("array<struct<place:int,digit:bigint>>")
     tame = rows.select(*names, F.when(wild, F.col("_v")).alias("_wild"), (wild | F.isnull("_v")).alias("_not"), F.when(~wild, F.col("_v")).alias("_v"))
-    split = with_digits(tame, "_v", "_d")
-    spread = split.select(*names, "_wild", F.explode_outer(F.when(F.col("_not"), none).otherwise(F.col("_d"))).alias("_d"))
-    # Partial sums in the tasks; one row for each key and place leaves them.
-    places = spread.groupBy(*names, F.col("_d.place").alias("place")).agg(F.sum("_d.digit").alias("digit"), F.sum("_wild").alias("_wild"))
-    gathered = places.groupBy(*names).agg(
-        F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "digit"))).alias("_d"), F.sum("_wild").alias("_wild")
-    )
+    split = _with_three_digits(tame, "_v")
+    # Partial sums in the tasks, of all three digits of the values with one highest place; one row for each such place leaves them.
+    digits = [F.when(~F.col("_not"), F.col(f"_d{n}")) for n in range(3)]
+    high = F.when(~F.col("_not"), F.col("_high")).alias("_high")
+    places = split.groupBy(*names, high).agg(*[F.sum(d).alias(f"_d{n}") for n, d in enumerate(digits)], F.sum("_wild").alias("_wild"))
+    there = F.col("_high").isNotNull()
+    listed = [F.struct((F.col("_high") - n).alias("place"), F.col(f"_d{n}").alias("digit")) for n in range(3)]
+    gathered = places.groupBy(*names).agg(F.flatten(F.collect_list(F.when(there, F.array(*listed)))).alias("_d"), F.sum("_wild").alias("_wild"))
     lists = gathered.select(*names, F.col("_d.place").alias("places"), F.col("_d.digit").alias("digits"), "_wild")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lists.schema.fields[: len(names)])
     rounded = lists.mapInArrow(exact_kernels.round_sums, f"{fields}{', ' if names else ''}v double")

@@ -112,7 +112,7 @@ def _features(keep: list[str], names: list[str], levels: list[hash_arrays.Level]
 
 def _keyed(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, edges in chunks(batches, "text"):
+        for part, data, edges in chunks(batches, "text", hash_arrays.TEXT_AT_ONCE):
             yield pa.RecordBatch.from_arrays([*part.columns, word_model.text_keys(data, edges)], names=[*names, "text_key"])
 
     return run

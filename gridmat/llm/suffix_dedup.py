@@ -40,6 +40,8 @@ LENGTH = 200
 K = 80
 #: Anchors that a task sums up at once.
 ANCHORS_AT_ONCE = 2_000_000
+#: Bytes of text whose windows a task looks at at once; it holds some 15 numbers for each.
+TEXT_AT_ONCE = 1 << 18
 #: Text of contexts that a task sorts at once (whole anchors; a larger one alone).
 SHARD_BYTES = 2 << 20
 #: A task that sees so many different contexts of an anchor deals them out by context instead of by anchor.
@@ -121,7 +123,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch([marks, zero, zero, zero, zero, zero, ~yes, yes, ~yes], _NAMES)
 
     # A single text beyond 2**24 bytes would not fit the place bits; it is cut into overlapping parts.
-    for _, data, edges in chunks(batches, "text"):
+    for _, data, edges in chunks(batches, "text", TEXT_AT_ONCE):
         for h, ctx, th, nb, lo, n in _parts(data, edges):
             if len(h):
                 held.append((h, ctx, th, nb, lo, n))
@@ -272,7 +274,7 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Append the text key and the byte length."""
-    for part, data, edges in chunks(batches, "text"):
+    for part, data, edges in chunks(batches, "text", TEXT_AT_ONCE):
         yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text_keys(byte_prefix(data), edges)), pa.array(np.diff(edges))], names=[*part.schema.names, "_th", "_nb"])
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridmat.llm.common import LOWER, SPACE, byte_prefix, chunks, mixed, owner_of, stored, stretch_hash, word_edges
+from gridmat.llm.common import LOWER, SPACE, byte_prefix, chunks, mixed, stored, stretch_hash, word_edges
 from gridmat.llm.kneser_ney import discounts
 
 ORDER = 3
@@ -43,10 +43,16 @@ def units(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a, b = data[lead], data[np.minimum(lead + 1, len(data) - 1)]
     alone = (a >= 0xE3) & (a <= 0xE9) | (a == 0xE0) & (b >= 0xB8) & (b <= 0xBB) | (a == 0xE1) & ((b <= 0x82) | (b == 0x9E) | (b == 0x9F)) | (a == 0xEF) & (b >= 0xA4) & (b <= 0xAB) | (a == 0xF0) & (b >= 0xA0)
     at = lead[alone]
+    if not len(at):
+        return start, end
     after = at + np.where(data[at] >= 0xF0, 4, 3)
     follows = after[after < len(data)]
-    new_start, new_end = np.concatenate([at, follows[~SPACE[data[follows]]]]), np.concatenate([after, at[~np.isin(at, start)]])
-    return np.union1d(start, new_start), np.union1d(end, new_end)
+    # Edges are marked by place, which keeps them sorted and without repeats.
+    starts, ends = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 4, bool)
+    starts[start], ends[end] = True, True
+    ends[after], ends[at[~starts[at]]] = True, True
+    starts[at], starts[follows[~SPACE[data[follows]]]] = True, True
+    return np.flatnonzero(starts), np.flatnonzero(ends)
 
 
 def word_grams(data: np.ndarray, edges: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,18 +60,20 @@ def word_grams(data: np.ndarray, edges: np.ndarray, order: int) -> tuple[np.ndar
     low = LOWER[data]
     start, end = units(low, edges)
     words = stretch_hash(byte_prefix(low), start, end) if len(start) else np.zeros(0, np.uint64)
-    text = owner_of(start, edges)
-    first = np.searchsorted(text, np.arange(len(edges)))
-    place = np.arange(len(words)) - first[text]
+    first = np.searchsorted(start, edges)
+    text = np.repeat(np.arange(len(edges) - 1), np.diff(first))
+    some = np.flatnonzero(np.diff(first) > 0)
     grams = np.zeros((order, len(words)), np.uint64)
     for back in range(order):
         grams[order - 1 - back, back:] = words[: len(words) - back]
-        grams[order - 1 - back, place < back] = 0
+        for k in range(back):
+            # The k-th word of a text has no word so far back.
+            at = first[some] + k
+            grams[order - 1 - back, at[at < first[some + 1]]] = 0
     h = np.zeros(len(words), np.uint64)
     for g in grams:
         h = mixed(h * _STEP + g)
     fold = np.zeros(len(edges) - 1, bool)
-    some = np.flatnonzero(np.diff(first) > 0)
     if len(some):
         fold[some] = mixed(np.minimum.reduceat(h, first[some]) + _STEP) & np.uint64(1) == 1
     return text, grams, fold

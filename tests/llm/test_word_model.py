@@ -2,6 +2,7 @@
 
 import math
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -118,3 +119,41 @@ def test_a_block_meets_only_its_own_answers(spark):
     levels = hash_arrays.fit(rows)
     with pytest.raises(Exception, match="another order"):
         rows.where("text like 'b%'").mapInArrow(quality_rules._features([], ["text"], levels), quality_rules.FEATURES).collect()
+
+
+def test_order_of_keys_is_stable():
+    """Keys too wide to stand beside their places, some of them different in low bits alone, and equal ones."""
+    rng = np.random.default_rng(6)
+    for keys in (rng.integers(0, 1 << 63, 1000), rng.integers(0, 40, 1000), (1 << 62) + rng.integers(0, 64, 1000) - (1 << 62) * rng.integers(0, 2, 1000), np.zeros(1), np.zeros(0)):
+        keys = keys.astype(np.uint64)
+        assert np.array_equal(hash_arrays.ordered(keys), np.argsort(keys, kind="stable"))
+
+
+def test_columns_of_small_and_large_numbers():
+    stats = np.random.default_rng(7).integers(0, 3, (10, 500))
+    stats[3, ::7], stats[9, ::5], stats[0, ::11] = 1 << 40, 64, 63
+    different, number = hash_arrays.columns(stats)
+    assert np.array_equal(different[:, number], stats) and len(np.unique(different, axis=1).T) == different.shape[1]
+
+
+def test_what_was_asked_is_freed_before_answers_are_dealt_out(spark, monkeypatch):
+    """A level between takes turns with parts of the ranges; no answers are left behind but those of the blocks."""
+    asked, added = [], hash_arrays._asked
+    monkeypatch.setattr(hash_arrays, "_asked", lambda n, order, bits, above, ranges, turn: asked.append((n, turn)) or added(n, order, bits, above, ranges, turn))
+    rows = spark.createDataFrame([("a b c d",), ("b c d e f",)], "text string").coalesce(1)
+    levels = hash_arrays.fit(rows)
+    assert [n for n, _ in asked] == [3, *[2] * hash_arrays.TURNS, 1]
+    assert sorted(p for n, turn in asked if n == 2 for p in turn) == list(asked[0][1])
+    # Each n-gram is counted once, in whichever turn, with those that reach before a text.
+    assert [level.grams for level in levels] == [6, 7, 8]
+    scratch = Path(levels[0].path.removeprefix("file:")).parent
+    assert Path(levels[1].path.removeprefix("file:")).is_dir() and not list(scratch.glob("*-answers-*"))
+
+
+@pytest.mark.parametrize("text", ["日本a語 ab日 한국 thaiไท x", "€ a… b", "語", "a"])
+def test_units_in_scripts_without_spaces(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    start, end = word_model.units(data, np.array([0, len(data)]))
+    alone = lambda c: "぀" <= c <= "鿿" or "฀" <= c <= "໿"
+    expected = [w for run in text.split() for w in "".join(f" {c} " if alone(c) else c for c in run).split()]
+    assert [bytes(data[a:b]).decode() for a, b in zip(start, end)] == expected

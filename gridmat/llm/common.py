@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import pickle
 import sys
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 CHUNK_BYTES = 1 << 20
+#: Rows reach the workers in batches of so many bytes: a batch is held by the executor and by its worker, beside what the task works on.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 22)}
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -34,6 +37,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def set_for(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """The settings hold for the actions inside."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Remove a folder of ``scratch_path`` that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -81,7 +97,8 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def release_memory() -> None:
-    """Give freed memory back to the system: a worker process lives on after its task, beside the executor's other one."""
+    """Give freed memory back to the system: a worker process lives on after its task, beside the executor's other ones."""
+    process_cache().pop("powers", None)
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -138,14 +155,20 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_hash(values: np.ndarray) -> np.ndarray:
     """n + 1 running sums of value * base**i, from which the hash of any stretch follows."""
-    up, _ = powers(len(values) + 1)
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=out[1:])
+    return _running(values * powers(len(values) + 1)[0][: len(values)])
+
+
+def _running(values: np.ndarray) -> np.ndarray:
+    out = np.empty(len(values) + 1, np.uint64)
+    out[0] = 0
+    np.cumsum(values, out=out[1:])
     return out
 
 
 def byte_prefix(data: np.ndarray) -> np.ndarray:
-    return prefix_hash(_BYTE_VALUES[data])
+    values = _BYTE_VALUES.take(data)
+    values *= powers(len(data) + 1)[0][: len(data)]
+    return _running(values)
 
 
 def stretch_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -167,7 +190,7 @@ def word_edges(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndar
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~SPACE[data]
+    inside = (data - np.uint8(9) > 4) & (data != 32)
     first = np.empty(n, bool)
     first[0] = True
     np.logical_not(inside[:-1], out=first[1:])

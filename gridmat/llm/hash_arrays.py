@@ -34,18 +34,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmat.llm.common import chunks, dropped, mixed, partitions, release_memory, scratch_path
+from gridmat.llm.common import SMALL_BATCHES, chunks, dropped, mixed, partitions, process_cache, release_memory, scratch_path, set_for
 from gridmat.llm.kneser_ney import discounts
 from gridmat.llm.warc import _filesystem, _qualified
-from gridmat.llm.word_model import word_grams
+from gridmat.llm.word_model import hashed_grams
 
 ORDER = 3
 #: Texts are dealt into folds by n-grams of this order, whatever the order of the model.
 FOLD_ORDER = 3
 #: Bits of a key beyond those that number all bytes of text.
 SPARE_BITS = 20
-#: Frees the shuffle of a level once its answers are stored.
-_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The shuffle of a level is freed once its answers are stored.
+_FREE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 #: A block ends with the text that fills so many words.
 BLOCK_WORDS = 1 << 19
 #: Levels between the words and the order ask about the most: so many parts of the ranges are taken one after the other, each with a reading of the documents, so that less lies on the disk at once.
@@ -59,6 +59,8 @@ _BLOCKS = 1 << 24
 #: Bytes of text, and words, that are worked on at once: their arrays stay in the processor's cache.
 TEXT_AT_ONCE = 1 << 18
 _AT_ONCE = 1 << 15
+#: Rows of packed arrays that leave a task together.
+ROWS = 64
 ASKED = "part int, block long, n int, check long, keys binary, kinds int, dictionary binary, codes binary, folds binary"
 ANSWERED = "block long, part int, n int, check long, kinds int, dictionary binary, codes binary, own binary, tally array<bigint>"
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
@@ -79,16 +81,19 @@ class Level(NamedTuple):
 
 
 def packed(values: np.ndarray) -> bytes:
-    """64-bit numbers by planes of bytes, compressed; the planes of zeros of small numbers take no room."""
-    planes = np.ascontiguousarray(np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(-1, 8).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    """64-bit numbers by planes of bytes, compressed; a first byte says how many planes the largest number needs."""
+    values = np.ascontiguousarray(values, np.uint64).ravel()
+    size = -(-int(values.max(initial=0)).bit_length() // 8)
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :size].T)
+    return bytes([size]) + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def unpacked(data: bytes, n: int) -> np.ndarray:
-    if not n:
-        return np.zeros(0, np.uint64)
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd"), np.uint8).reshape(8, n)
-    return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+    out = np.zeros((n, 8), np.uint8)
+    if n and data[0]:
+        planes = pa.decompress(pa.py_buffer(data)[1:], decompressed_size=data[0] * n, codec="zstd")
+        out[:, : data[0]] = np.frombuffer(planes, np.uint8).reshape(-1, n).T
+    return out.view(np.uint64).ravel()
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
@@ -107,9 +112,13 @@ def ordered(keys: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     low, place = keys.min(), np.uint64((n - 1).bit_length())
     drop = np.uint64(max(0, int(keys.max() - low).bit_length() + int(place) - 64))
-    both = ((keys - low) >> drop) << place | np.arange(n, dtype=np.uint64)
+    both = keys - low
+    both >>= drop
+    both <<= place
+    both |= np.arange(n, dtype=np.uint64)
     both.sort()
-    order = (both & np.uint64((1 << int(place)) - 1)).view(np.int64)
+    both &= np.uint64((1 << int(place)) - 1)
+    order = both.view(np.int64)
     if drop:
         found = keys[order]
         if (found[1:] < found[:-1]).any():
@@ -124,7 +133,7 @@ def columns(stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for row in stats:
         h = h << np.uint64(bits) | row.view(np.uint64)
     # Small numbers stand side by side; columns with a larger one are told by a hash.
-    large = np.flatnonzero((stats >> bits).any(axis=0))
+    large = np.flatnonzero(np.bitwise_or.reduce(stats, axis=0) >> bits)
     if len(large):
         rest = np.zeros(len(large), np.uint64)
         for row in stats:
@@ -141,16 +150,23 @@ def columns(stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def packed_columns(different: np.ndarray, number: np.ndarray) -> tuple[int, bytes, bytes]:
     """Columns as a dictionary of those that occur, most frequent first, and numbers there: size, dictionary, numbers."""
     often = np.bincount(number, minlength=different.shape[1])
-    ranked = np.argsort(-often, kind="stable")[: np.count_nonzero(often)]
+    used = np.flatnonzero(often)
+    ranked = used[np.argsort(-often[used], kind="stable")]
     code = np.empty(len(often), np.uint64)
     code[ranked] = np.arange(len(ranked), dtype=np.uint64)
     return len(ranked), packed(different[:, ranked]), packed(code[number])
 
 
-def unpacked_columns(row: dict, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The dictionary and the numbers of a row's statistics."""
-    size = row["kinds"]
-    return unpacked(row["dictionary"], size * width).reshape(width, size).view(np.int64), unpacked(row["codes"], row["n"]).view(np.int64)
+def unpacked_columns(rows: list[dict], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The dictionaries of the rows' statistics side by side, and the numbers there."""
+    different, number, before = [np.zeros((width, 0), np.int64)], [np.zeros(0, np.int32)], 0
+    for row in rows:
+        size = row["kinds"]
+        different.append(unpacked(row["dictionary"], size * width).reshape(width, size).view(np.int64))
+        number.append(unpacked(row["codes"], row["n"]).astype(np.int32))
+        number[-1] += before
+        before += size
+    return np.concatenate(different, axis=1), np.concatenate(number)
 
 
 # ---------------------------------------------------------------- blocks of documents
@@ -159,19 +175,21 @@ def unpacked_columns(row: dict, width: int) -> tuple[np.ndarray, np.ndarray]:
 class Block:
     """The words of whole texts, and their n-grams as sorted arrays of keys without repeats."""
 
-    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        before = np.cumsum([0] + [len(fold) for _, _, fold in parts])
-        self.text = np.concatenate([text + b for (text, _, _), b in zip(parts, before)])
-        self.words = np.concatenate([words for _, words, _ in parts], axis=1)
-        self.fold = np.concatenate([fold for _, _, fold in parts])
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
+        before = np.cumsum([0] + [len(fold) for _, _, fold, _ in parts])
+        self.text = np.concatenate([text + b for (text, _, _, _), b in zip(parts, before)])
+        self.words = np.concatenate([words for _, words, _, _ in parts], axis=1)
+        self.fold = np.concatenate([fold for _, _, fold, _ in parts])
+        self.full = np.concatenate([h for _, _, _, h in parts])
         self.starts = np.append(True, self.text[1:] != self.text[:-1])[: len(self.text)]
+        self.second = self.fold[self.text]
 
-    def level(self, n: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted keys of the different n-grams, a position of each, and the number of each position's key.
-
-        The position after the last one stands for the n-gram before any text.
-        """
+    def hashes(self, n: int, bits: int) -> np.ndarray:
+        """The key of the n-gram at each position; the position after the last one stands for the n-gram before any text."""
         h = np.zeros(len(self.text) + 1, np.uint64)
+        if n == FOLD_ORDER:
+            np.right_shift(self.full, np.uint64(64 - bits), out=h[:-1])
+            return h
         for lo in range(0, len(h), _AT_ONCE):
             part = h[lo : lo + _AT_ONCE]
             for words in self.words[len(self.words) - n :]:
@@ -179,10 +197,21 @@ class Block:
                 part[: len(words) - lo] += words[lo : lo + _AT_ONCE]
                 part[:] = mixed(part)
         h >>= np.uint64(64 - bits)
-        order = ordered(h)
+        return h
+
+    @staticmethod
+    def level(h: np.ndarray, bounds: tuple[int, int] | None = None, numbered: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Sorted keys of the different n-grams (within the bounds), a position of each, and the number of each position's key (the number of keys, for one outside)."""
+        if bounds is None:
+            order = ordered(h)
+        else:
+            inside = np.flatnonzero((h >= np.uint64(bounds[0])) & (h < np.uint64(bounds[1])))
+            order = inside[ordered(h[inside])]
         keys = h[order]
-        new = np.append(True, keys[1:] != keys[:-1])
-        number = np.empty(len(h), np.int64)
+        new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+        if not numbered:
+            return keys[new], order[new], None
+        number = np.full(len(h), np.count_nonzero(new))
         number[order] = np.cumsum(new) - 1
         return keys[new], order[new], number
 
@@ -192,32 +221,39 @@ class Block:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, Block]]:
-    """Number of each block, its slices of the table with their bytes and offsets, and its words."""
+    """Number of each block, its slices of the table with their bytes and offsets, and its words. Blocks depend on the order of the texts, not on how they come in batches."""
     number = TaskContext.get().partitionId() * _BLOCKS
+    process_cache().clear()  # what other operators left in this worker
     rows, parts, size = [], [], 0
-    for row in chunks(batches, "text", TEXT_AT_ONCE):
-        parts.append(word_grams(row[1], row[2], FOLD_ORDER))
-        rows.append(row)
-        size += len(parts[-1][0])
-        if size >= BLOCK_WORDS:
-            yield number, rows, Block(parts)
-            number, rows, parts, size = number + 1, [], [], 0
+    for row, data, edges in chunks(batches, "text", TEXT_AT_ONCE):
+        text, words, fold, h = hashed_grams(data, edges, FOLD_ORDER)
+        upto = np.append(0, np.cumsum(np.bincount(text, minlength=len(fold))))
+        lo = 0
+        while lo < len(fold):
+            hi = min(len(fold), int(np.searchsorted(upto, upto[lo] + BLOCK_WORDS - size)))
+            mine = slice(upto[lo], upto[hi])
+            parts.append((text[mine] - lo, words[:, mine], fold[lo:hi], h[mine]))
+            rows.append((row.slice(lo, hi - lo), data[edges[lo] : edges[hi]], edges[lo : hi + 1] - edges[lo]))
+            size += int(upto[hi] - upto[lo])
+            lo = hi
+            if size >= BLOCK_WORDS:
+                block, parts = Block(parts), []
+                yield number, rows, block
+                number, rows, size, block = number + 1, [], 0, None
     if rows:
         yield number, rows, Block(parts)
     release_memory()
 
 
-def _answers(level: Level, width: int, block: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Totals of the keys that a block asked for, one row for each statistic, and whether the block owns them."""
+def _answers(level: Level, width: int, block: int, keys: int, check: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Totals of the keys that a block asked for, as a dictionary with one row for each statistic and the number of each key there, and whether the block owns them."""
     system, folder = _filesystem(f"{level.path}/block={block}")
     found = [f.path for f in system.get_file_info(fs.FileSelector(folder)) if f.base_name.endswith(".parquet")]
     rows = sorted((row for path in found for row in pq.read_table(path, filesystem=system, partitioning=None).to_pylist()), key=lambda row: row["part"])
-    check = zlib.crc32(keys)
-    if sum(row["n"] for row in rows) != len(keys) or any(row["check"] != check for row in rows):
+    if sum(row["n"] for row in rows) != keys or any(row["check"] != check for row in rows):
         raise RuntimeError("the documents came in another order than before; write them to a table first")
-    totals = np.concatenate([different[:, number] for different, number in (unpacked_columns(row, width) for row in rows)], axis=1)
     own = np.concatenate([np.unpackbits(np.frombuffer(row["own"], np.uint8), count=row["n"]) for row in rows])
-    return totals, own.astype(bool)
+    return *unpacked_columns(rows, width), own.astype(bool)
 
 
 def _width(n: int, order: int) -> int:
@@ -225,56 +261,69 @@ def _width(n: int, order: int) -> int:
     return 2 if n == order else 10
 
 
-def _statistics(block: Block, number: int, n: int, order: int, bits: int, above: Level | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """What a block adds to the counts of its n-grams: keys, statistics, and whether texts of each fold have them (None at the order, where the counts tell)."""
-    keys, _, place = block.level(n, bits)
-    second = block.fold[block.text]
-    counts = np.array([np.bincount(place[:-1][second == bool(m)], minlength=len(keys)) for m in (0, 1)])
+def _statistics(block: Block, number: int, n: int, order: int, bits: int, above: Level | None, h: np.ndarray, bounds: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """What a block adds to the counts of its n-grams with keys h within the bounds: keys, statistics, and whether texts of each fold have them (None at the order, where the counts tell)."""
+    keys, _, place = block.level(h, bounds)
+    size = len(keys) + 1
+    mine = 2 * place[:-1] + block.second
     if n == order:
-        return keys, counts, None
-    folds = counts > 0
-    folds[:, place[-1]] = True
-    out = np.zeros((_width(n, order), len(keys)), np.int64)
-    longer, at, _ = block.level(n + 1, bits)
-    totals, own = _answers(above, _width(n + 1, order), number, longer)
+        return keys, np.bincount(mine, minlength=2 * size).reshape(size, 2)[:-1].T, None
+    folds = np.zeros((size, 2), bool)
+    folds.reshape(-1)[mine] = True
+    folds[place[-1]] = True
+    out = np.zeros((_width(n, order), size), np.int64)
+    longer = block.hashes(n + 1, bits)
+    check = zlib.crc32(longer)
+    longer, at, _ = block.level(longer, numbered=False)
+    totals, code, own = _answers(above, _width(n + 1, order), number, len(longer), check)
     own &= at < len(block.text)
-    at, before = at[own], block.contexts(place)
+    at, code = at[own], code[own]
+    last, context = place[at], block.contexts(place)[at]
     for m in (0, 1):
-        count = totals[m, own]
-        some = count > 0
-        out[m] = np.bincount(place[at[some]], minlength=len(keys))
-        context = before[at]
-        np.add.at(out[2 + m], context, count)
-        for k in (1, 2, 3):
-            out[4 + 3 * m + k - 1] = np.bincount(context[np.minimum(count, 3) == k], minlength=len(keys))
-    return keys, out, folds
+        some = np.flatnonzero((totals[m] > 0)[code])
+        of, count = context[some], totals[m][code[some]]
+        out[m] = np.bincount(last[some], minlength=size)
+        out[4 + 3 * m : 7 + 3 * m] = np.bincount(4 * of + np.minimum(count, 3), minlength=4 * size).reshape(size, 4)[:, 1:].T
+        large = np.flatnonzero(count > 2)
+        np.add.at(out[2 + m], of[large], count[large])
+        out[2 + m] += out[4 + 3 * m] + 2 * out[5 + 3 * m]
+    return keys, out[:, :-1], folds[:-1].T
 
 
 def _asked(n: int, order: int, bits: int, above: Level | None, ranges: int, turn: range):
-    cuts = np.array([-(-p * (1 << bits) // ranges) for p in range(ranges + 1)], np.uint64)
+    cuts = [-(-p * (1 << bits) // ranges) for p in range(ranges + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, _, block in _blocks(batches):
-            keys, stats, folds = _statistics(block, number, n, order, bits, above)
-            at, check = np.searchsorted(keys, cuts), zlib.crc32(keys)
-            for p in turn.start + np.flatnonzero(np.diff(at[turn.start : turn.stop + 1])):
-                mine = slice(at[p], at[p + 1])
-                yield _row(ASKED, int(p), number, int(at[p + 1] - at[p]), check, packed_keys(keys[mine]), *packed_columns(*columns(stats[:, mine])), None if folds is None else np.packbits(folds[:, mine]).tobytes())
+            h = block.hashes(n, bits)
+            check = zlib.crc32(h)
+            keys, stats, folds = _statistics(block, number, n, order, bits, above, h, (cuts[turn.start], cuts[turn.stop]))
+            different, kind = columns(stats)
+            at = np.searchsorted(keys, np.array(cuts[turn.start : turn.stop + 1], np.uint64))
+            out = []
+            for k in np.flatnonzero(np.diff(at)):
+                mine = slice(at[k], at[k + 1])
+                out.append((int(turn.start + k), number, int(at[k + 1] - at[k]), check, packed_keys(keys[mine]), *packed_columns(different, kind[mine]), None if folds is None else np.packbits(folds[:, mine]).tobytes()))
+                if len(out) == ROWS:
+                    yield _rows(ASKED, out)
+                    out = []
+            if out:
+                yield _rows(ASKED, out)
 
     return run
 
 
-def _row(ddl: str, *values: object) -> pa.RecordBatch:
+def _rows(ddl: str, rows: list[tuple]) -> pa.RecordBatch:
     fields = [f.split() for f in ddl.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([x], _ARROW[kind]) for x, (_, kind) in zip(values, fields)], names=[name for name, _ in fields])
+    return pa.RecordBatch.from_arrays([pa.array(column, _ARROW[kind]) for column, (_, kind) in zip(zip(*rows), fields)], names=[name for name, _ in fields])
 
 
-def _tally(counts: np.ndarray) -> list[int]:
-    """By fold how many n-grams have count 1, 2, 3, 4, 3 or more, and the sum of counts; then the different n-grams."""
+def _tally(counts: np.ndarray, often: np.ndarray) -> list[int]:
+    """By fold how many n-grams have count 1, 2, 3, 4, 3 or more, and the sum of counts; then the different n-grams. Column i of the counts is there often[i] times."""
     out = []
     for count in counts:
-        out += [int((count == k).sum()) for k in (1, 2, 3, 4)] + [int((count >= 3).sum()), int(count.sum())]
-    return out + [int((counts.sum(axis=0) > 0).sum())]
+        out += [int(often[count == k].sum()) for k in (1, 2, 3, 4)] + [int(often[count >= 3].sum()), int((often * count).sum())]
+    return out + [int(often[counts.sum(axis=0) > 0].sum())]
 
 
 def _added(width: int):
@@ -283,28 +332,55 @@ def _added(width: int):
         if not rows:
             return
         keys = np.concatenate([unpacked_keys(row["keys"], row["n"]) for row in rows])
-        coded = [unpacked_columns(row, width) for row in rows]
         order = ordered(keys)
-        new = np.append(True, np.diff(keys[order]) > 0)
-        at = np.flatnonzero(new)
-        totals = np.empty((width, len(at)), np.int64)
+        keys = keys[order]
+        new = np.append(True, keys[1:] != keys[:-1])
+        del keys
+        own = np.empty(len(order), bool)
+        own[order] = new
+        stats, code = unpacked_columns(rows, width)
+        # Only n-grams that several blocks ask for are added up; others keep their column. From here on a column is told by its number.
+        shared = np.flatnonzero(~(new & np.append(new[1:], True)))
+        heads = np.flatnonzero(new[shared])
+        several = order[shared]
+        del order
+        sums = np.empty((width, len(heads)), np.int64)
         for i in range(width):
-            np.add.reduceat(np.concatenate([different[i][number] for different, number in coded])[order], at, out=totals[i])
-        group, own = np.empty(len(keys), np.int64), np.empty(len(keys), bool)
-        group[order], own[order] = np.cumsum(new) - 1, new
-        yield _row(ANSWERED, -1, rows[0]["part"], 0, 0, 0, None, None, None, _tally(totals[:2]))
+            sums[i] = np.add.reduceat(stats[i][code[several]], heads) if len(heads) else 0
+        different, kind = columns(np.concatenate([stats, sums], axis=1))
+        kind = kind.astype(np.int32)
+        asked = kind[code]
+        total = asked.copy()
+        total[several] = np.repeat(kind[stats.shape[1] :], np.diff(np.append(heads, len(several))))
+        out = [(-1, rows[0]["part"], 0, 0, 0, None, None, None, _tally(different[:2], np.bincount(total[own], minlength=different.shape[1])))]
+        # A text is judged by the other fold, and owners pass on the counts of both.
+        if rows[0]["folds"] is None:
+            in_first, in_second = (different[:2] > 0)[:, asked]
+        else:
+            in_first, in_second = np.concatenate([np.unpackbits(np.frombuffer(row["folds"], np.uint8), count=2 * row["n"]).reshape(2, -1) for row in rows], axis=1).astype(bool)
+        variant = total
+        for flag in (own, in_second, in_first):
+            variant *= 2
+            variant += flag
+        often = np.flatnonzero(np.bincount(variant, minlength=8 * different.shape[1]))
+        got, mine, wanted = different[:, often >> 3], often & 4 > 0, np.array([often & 2 > 0, often & 1 > 0])
+        got[:2] *= wanted | mine
+        if width > 2:
+            got[2:4] *= wanted
+            got[4:] *= np.repeat(wanted, 3, axis=0)
+        different, kind = columns(got)
+        answer = np.zeros(often[-1] + 1, np.int32)
+        answer[often] = kind
+        answer = answer[variant]
         hi = 0
-        for row, (different, number) in zip(rows, coded):
+        for row in rows:
             lo, hi = hi, hi + row["n"]
-            mine, got = own[lo:hi], totals[:, group[lo:hi]]
-            # A text is judged by the other fold, and owners pass on the counts of both.
-            asked = (different > 0)[:, number] if row["folds"] is None else np.unpackbits(np.frombuffer(row["folds"], np.uint8), count=2 * row["n"]).reshape(2, -1).astype(bool)
-            asked = asked[::-1]
-            got[:2] *= asked | mine
-            if width > 2:
-                got[2:4] *= asked
-                got[4:] *= np.repeat(asked, 3, axis=0)
-            yield _row(ANSWERED, row["block"], row["part"], row["n"], row["check"], *packed_columns(*columns(got)), np.packbits(mine).tobytes(), None)
+            out.append((row["block"], row["part"], row["n"], row["check"], *packed_columns(different, answer[lo:hi]), np.packbits(own[lo:hi]).tobytes(), None))
+            if len(out) == ROWS:
+                yield _rows(ANSWERED, out)
+                out = []
+        if out:
+            yield _rows(ANSWERED, out)
         release_memory()
 
     return run
@@ -320,14 +396,10 @@ def fit(docs: DataFrame, order: int = ORDER) -> list[Level]:
     if not size:
         return []
     ranges, bits = max(partitions(spark), -(-size // RANGE_BYTES)), min(size.bit_length() + SPARE_BITS, 63)
-    before = spark.conf.get(_FREE, "false")
-    spark.conf.set(_FREE, "true")
-    try:
+    with set_for(spark, _FREE | SMALL_BATCHES):
         levels: list[Level] = []
         for n in range(order, 0, -1):
             levels.insert(0, _fitted(docs, n, order, bits, levels[0] if levels else None, ranges))
-    finally:
-        spark.conf.set(_FREE, before)
     return levels
 
 
@@ -363,23 +435,27 @@ def mean_logs(batches: Iterator[pa.RecordBatch], levels: list[Level]) -> Iterato
         texts = len(block.fold)
         found = np.bincount(block.text, minlength=texts)
         share = np.full(len(block.text), 1.0 / (levels[0].grams + 1) if levels else 1.0)
-        other = np.where(block.fold[block.text], 0, 1)
+        other = np.where(block.second, 0, 1)
         context = None
         for n, level in enumerate(levels, 1):
-            keys, _, place = block.level(n, level.bits)
-            totals, _ = _answers(level, _width(n, order), number, keys)
-            count = totals[:2].take(other * len(keys) + place[:-1])
+            h = block.hashes(n, level.bits)
+            check = zlib.crc32(h)
+            keys, _, place = block.level(h)
+            totals, code, _ = _answers(level, _width(n, order), number, len(keys), check)
+            kinds = totals.shape[1]
             if context is None:
                 total, taken = level.total[other], level.taken[other]
             else:
                 total, taken = sums.take(context), shares.take(context)
-            mine = count - level.discounts.take(other * 4 + np.minimum(count, 3))
+            # What an n-gram adds and takes is worked out for each column of the dictionary.
+            rest = totals[:2] - np.take_along_axis(level.discounts, np.minimum(totals[:2], 3), axis=1)
+            mine = rest.take(other * kinds + code[place[:-1]])
             share = np.where(total > 0, (mine + taken * share) / np.maximum(total, 1), share)
             if n < order:
                 # What the next level takes from each n-gram as a context, by fold.
                 d = levels[n].discounts
                 sums, shares = totals[2:4].astype(float), np.array([sum(d[m, k] * totals[4 + 3 * m + k - 1] for k in (1, 2, 3)) for m in (0, 1)])
-                context = other * len(keys) + block.contexts(place)
+                context = other * kinds + code[block.contexts(place)]
         with np.errstate(invalid="ignore"):
             mean = np.bincount(block.text, np.log(share), minlength=texts) / found
         lo = 0

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridmat.llm.common import LOWER, SPACE, byte_prefix, chunks, mixed, stored, stretch_hash, word_edges
+from gridmat.llm.common import SPACE, byte_prefix, chunks, mixed, stored, stretch_hash, word_edges
 from gridmat.llm.kneser_ney import discounts
 
 ORDER = 3
@@ -29,9 +29,9 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ROWS = 1 << 16
 
 
-def text_keys(data: np.ndarray, edges: np.ndarray) -> pa.Array:
-    """A 64-bit hash of each text; null for an empty one."""
-    return pa.array(stretch_hash(byte_prefix(data), edges[:-1], edges[1:]).view(np.int64), mask=np.diff(edges) == 0)
+def text_keys(edges: np.ndarray, prefix: np.ndarray) -> pa.Array:
+    """A 64-bit hash of each text, from the ``byte_prefix`` of all; null for an empty one."""
+    return pa.array(stretch_hash(prefix, edges[:-1], edges[1:]).view(np.int64), mask=np.diff(edges) == 0)
 
 
 def units(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +57,12 @@ def units(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def word_grams(data: np.ndarray, edges: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The text of each word, the words of the n-gram that ends there (0 before a text), and the fold of each text."""
-    low = LOWER[data]
+    return hashed_grams(data, edges, order)[:3]
+
+
+def hashed_grams(data: np.ndarray, edges: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``word_grams`` gives, and a hash of each n-gram."""
+    low = data | ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
     start, end = units(low, edges)
     words = stretch_hash(byte_prefix(low), start, end) if len(start) else np.zeros(0, np.uint64)
     first = np.searchsorted(start, edges)
@@ -76,14 +81,14 @@ def word_grams(data: np.ndarray, edges: np.ndarray, order: int) -> tuple[np.ndar
     fold = np.zeros(len(edges) - 1, bool)
     if len(some):
         fold[some] = mixed(np.minimum.reduceat(h, first[some]) + _STEP) & np.uint64(1) == 1
-    return text, grams, fold
+    return text, grams, fold, h
 
 
 def _rows(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, edges in chunks(batches, "text"):
             text, grams, fold = word_grams(data, edges, order)
-            keys = text_keys(data, edges).fill_null(0).to_numpy()
+            keys = text_keys(edges, byte_prefix(data)).fill_null(0).to_numpy()
             for lo in range(0, len(text), _ROWS):
                 t = text[lo : lo + _ROWS]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[t]), pa.array(fold[t]), *[pa.array(g[lo : lo + _ROWS].view(np.int64)) for g in grams]], names=["text_key", "fold", *_words(order)])

@@ -1,0 +1,63 @@
+"""Blocks of texts, and what reaches a worker at once."""
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from gridmat.llm import common, hash_arrays
+
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def test_blocks_do_not_depend_on_batches(monkeypatch):
+    monkeypatch.setattr(hash_arrays, "BLOCK_WORDS", 100)
+    monkeypatch.setattr(hash_arrays, "TaskContext", type("Task", (), {"get": lambda: type("Task", (), {"partitionId": lambda: 0})}))
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(list("abcdefgh"), rng.integers(0, 60))) for _ in range(80)] + [None, "", "a " * 250, "b"]
+    table = pa.table({"text": texts})
+    found = []
+    for rows in (len(texts), 7, 1):
+        blocks = [(number, sum(part.num_rows for part, _, _ in held), block) for number, held, block in hash_arrays._blocks(iter(table.to_batches(rows)))]
+        found.append([(number, n, len(block.text), block.text[-1], block.fold.tolist(), block.hashes(2, 60).tolist()) for number, n, block in blocks])
+        # A block ends with the text that fills it.
+        assert all(len(block.text) >= 100 and len(block.text) - np.sum(block.text == block.text[-1]) < 100 for _, _, block in blocks[:-1])
+        assert sum(n for _, n, _ in blocks) == len(texts) and len(blocks) > 10
+    assert found[0] == found[1] == found[2]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_a_turn_counts_its_own_ngrams_alone(n):
+    """Keys of two halves of the hashes, their positions and numbers, against those of all."""
+    rng = np.random.default_rng(n)
+    h = rng.integers(0, 64, 500).astype(np.uint64)
+    keys, at, number = hash_arrays.Block.level(h)
+    cut = 20 * n
+    parts = [hash_arrays.Block.level(h, bounds) for bounds in ((0, cut), (cut, 64))]
+    assert np.array_equal(np.concatenate([p[0] for p in parts]), keys) and np.array_equal(np.concatenate([p[1] for p in parts]), at)
+    low, high = parts[0][2], parts[1][2]
+    assert np.array_equal(np.where(h < cut, low, len(parts[0][0]) + high), number)
+    assert (low[h >= cut] == len(parts[0][0])).all() and (high[h < cut] == len(parts[1][0])).all()
+
+
+@pytest.mark.parametrize("values", [[], [0, 0], [1, 255, 0], [256, 3], [(1 << 63) + 5, 1]])
+def test_numbers_are_packed_by_the_planes_they_need(values):
+    values = np.array(values, np.uint64)
+    data = hash_arrays.packed(values)
+    assert np.array_equal(hash_arrays.unpacked(data, len(values)), values)
+    assert data[0] == -(-max([int(v).bit_length() for v in values], default=0) // 8)
+
+
+def test_texts_reach_the_model_in_small_batches(spark, monkeypatch):
+    seen, asked = [], hash_arrays._asked
+    monkeypatch.setattr(hash_arrays, "_asked", lambda *args: seen.append(spark.conf.get(BATCH)) or asked(*args))
+    before = spark.conf.get(BATCH)
+    rows = spark.createDataFrame([("a b c d",), ("b c d e f",)], "text string")
+    hash_arrays.fit(rows)
+    assert seen == [common.SMALL_BATCHES[BATCH]] * (2 + hash_arrays.TURNS) and spark.conf.get(BATCH) == before
+
+
+def test_a_worker_keeps_no_tables_of_powers():
+    common.byte_prefix(np.zeros(1000, np.uint8))
+    assert "powers" in common.process_cache()
+    common.release_memory()
+    assert "powers" not in common.process_cache()

@@ -373,7 +373,8 @@ def removed(docs: DataFrame) -> DataFrame:
 
 def _rewritten(names: list[str], index: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # Slices, so that neither side holds a second copy of a whole batch.
+        for batch, _, _ in chunks(batches, "text", TEXT_AT_ONCE):
             texts = []
             for raw, spans in zip(batch.column(index).cast(pa.binary()), batch.column(len(names))):
                 raw, spans = raw.as_py(), spans.as_py()

@@ -4,7 +4,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gridmat.llm import common, hash_arrays
+import corpus_pipeline
+from gridmat.llm import common, hash_arrays, jaccard_join, mixing, quality_rules, suffix_dedup
 
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -56,8 +57,29 @@ def test_texts_reach_the_model_in_small_batches(spark, monkeypatch):
     assert seen == [common.SMALL_BATCHES[BATCH]] * (2 + hash_arrays.TURNS) and spark.conf.get(BATCH) == before
 
 
+def test_stages_work_on_small_batches(spark, monkeypatch):
+    """An executor holds the heap and the workers of the stages before; large batches came on top."""
+    seen, before = [], spark.conf.get(BATCH)
+    for module, name in ((quality_rules, "passing"), (jaccard_join, "one_of_each"), (suffix_dedup, "without_repeats"), (mixing, "mixed")):
+        monkeypatch.setattr(module, name, lambda docs, *_: seen.append(spark.conf.get(BATCH)) or docs)
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: None)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, None, "")
+    assert seen == [common.SMALL_BATCHES[BATCH]] * 4 and spark.conf.get(BATCH) == before
+
+
 def test_a_worker_keeps_no_tables_of_powers():
     common.byte_prefix(np.zeros(1000, np.uint8))
     assert "powers" in common.process_cache()
     common.release_memory()
     assert "powers" not in common.process_cache()
+
+
+def test_texts_are_rewritten_slice_by_slice(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "TEXT_AT_ONCE", 100)
+    texts = ["x" * 60, None, "", "y" * 60, "z" * 300]
+    spans = [[{"lo": 0, "hi": 10}], None, None, [], None]
+    rows = pa.table({"text": pa.array(texts), "spans": pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))})
+    got = list(suffix_dedup._rewritten(["text"], 0)(iter(rows.to_batches())))
+    assert [len(t) if t is not None else None for b in got for t in b.column(0).to_pylist()] == [50, None, 0, 60, 300]
+    assert len(got) > 1

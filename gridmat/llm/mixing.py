@@ -59,7 +59,11 @@ def _terms_once(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def share_of(text: np.ndarray, count: np.ndarray, texts: int) -> np.ndarray:
     """Root of the share that a term has of its text."""
-    return np.sqrt(count / np.maximum(np.bincount(text, weights=count, minlength=texts), 1)[text])
+    return _root_share(text, count, np.bincount(text, weights=count, minlength=texts))
+
+
+def _root_share(text: np.ndarray, count: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.sqrt(count / np.maximum(size, 1)[text])
 
 
 class Softmax:
@@ -72,10 +76,10 @@ class Softmax:
         self.temperature = 1.0
 
     def logits(self, text: np.ndarray, bucket: np.ndarray, share: np.ndarray, texts: int) -> np.ndarray:
-        values = self.present[bucket] + share[:, None] * self.share[bucket]
         out = np.tile(self.bias, (texts, 1))
+        # One domain after the other, as there are far more terms than texts.
         for d in range(out.shape[1]):
-            out[:, d] += np.bincount(text, weights=values[:, d], minlength=texts)
+            out[:, d] += np.bincount(text, weights=self.present[bucket, d] + share * self.share[bucket, d], minlength=texts)
         return out
 
     def posterior(self, *args) -> np.ndarray:
@@ -95,9 +99,11 @@ class Softmax:
         used &= telling
         rest = np.arange(texts) % 5 == 0
         weight = np.where(rest, 0.0, 1.0) / max((~rest).sum(), 1)
-        share = share_of(text, count, texts)
+        # Only terms that count are kept beyond here.
         known = used[bucket]
-        text, bucket, share = text[known], bucket[known], share[known]
+        size = np.bincount(text, weights=count, minlength=texts)
+        text, bucket, count = text[known].astype(np.int64), bucket[known].astype(np.int64), count[known]
+        share = _root_share(text, count, size)
         target = np.eye(domains)[y]
         params = [self.present, self.share, self.bias]
         mean, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -139,9 +145,11 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: int, sample: i
     got = rows.limit(sample).mapInArrow(sparse, "domain int, bucket binary, count binary").toPandas()
     model = Softmax(domains)
     if len(got):
-        sizes = got["bucket"].map(len).to_numpy() // 4
-        text = np.repeat(np.arange(len(got)), sizes)
-        model.fit(text, np.frombuffer(b"".join(got["bucket"]), np.int32).astype(np.int64), np.frombuffer(b"".join(got["count"]), np.int32).astype(np.int64), got["domain"].to_numpy(np.int64))
+        text = np.repeat(np.arange(len(got), dtype=np.int32), got["bucket"].map(len).to_numpy() // 4)
+        bucket, count = (np.frombuffer(b"".join(got[c]), np.int32) for c in ("bucket", "count"))
+        y = got["domain"].to_numpy(np.int64)
+        del got
+        model.fit(text, bucket, count, y)
     return model
 
 
@@ -309,6 +317,23 @@ def _rated(gradients: list[np.ndarray], domains: int, names: list[str]):
     return run
 
 
+def _rated_texts(model: Broadcast, gradients: list[np.ndarray], names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        softmax = received(model)
+        for part, data, edges in chunks(batches, "text", _SMALL):
+            text, bucket, count = _terms_once(data, edges)
+            p = softmax.posterior(text, bucket, share_of(text, count, part.num_rows), part.num_rows)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rates_after(p, gradients))], names=[*names, "rate"])
+
+    return run
+
+
+def scored_with_rates(docs: DataFrame, model: Broadcast, gradients: list[np.ndarray]) -> DataFrame:
+    """All columns of the documents with their rate. One worker does both, so that a task holds no second one and no second copy of its texts."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(_rated_texts(model, gradients, docs.columns), f"{fields}, rate double")
+
+
 def with_rates(rows: DataFrame, gradients: list[np.ndarray], domains: int) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(_rated(gradients, domains, rows.columns), f"{fields}, rate double")
@@ -349,12 +374,14 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGH
     A rate of 1 or more keeps a document for sure; the others are drawn by a hash
     of id and text, so rows without an id are drawn one by one. The rates are fitted on a
     table of posteriors; the documents are then scored again beside their
-    columns, so that no text is shuffled.
+    columns, so that no text is shuffled. What is drawn is stored, so that the
+    settings of the caller hold for it too.
     """
     model = classifier(docs, labels)
     rows = stored(posteriors(docs, model, ["doc_id"]), "posteriors")
     gradients, _, _ = meet_targets(rows, list(weights), exact)
     names = [c if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)]
-    rated = with_rates(posteriors(docs.toDF(*names), model, names), gradients, len(weights))
+    rated = scored_with_rates(docs.toDF(*names), model, gradients)
     key = names[docs.columns.index("doc_id")]
-    return rated.where(copies(F.col("rate"), F.col(key), F.col("text")) > 0).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    drawn = rated.where(copies(F.col("rate"), F.col(key), F.col("text")) > 0)
+    return stored(drawn.select(*names), "mixed").toDF(*docs.columns)

@@ -90,10 +90,6 @@ def anchors(data: np.ndarray, edges: np.ndarray, length: int = LENGTH, k: int =
     return hashes[place[first]], stretch_hash(prefix, lo, hi + length), text, lo - edges[text], hi - edges[text], prefix
 
 
-def text_keys(prefix: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    return stretch_hash(prefix, edges[:-1], edges[1:]).view(np.int64)
-
-
 def _batch(columns: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
@@ -123,10 +119,11 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch([marks, zero, zero, zero, zero, zero, ~yes, yes, ~yes], _NAMES)
 
     # A single text beyond 2**24 bytes would not fit the place bits; it is cut into overlapping parts.
-    for _, data, edges in chunks(batches, "text", TEXT_AT_ONCE):
-        for h, ctx, th, nb, lo, n in _parts(data, edges):
+    for part, data, edges in chunks(batches, "text", TEXT_AT_ONCE):
+        keys = part.column("th").to_numpy()
+        for h, ctx, text, nb, lo, n in _parts(data, edges):
             if len(h):
-                held.append((h, ctx, th, nb, lo, n))
+                held.append((h, ctx, keys[text], nb, lo, n))
                 count += len(h)
         if count >= ANCHORS_AT_ONCE:
             yield from summed()
@@ -136,17 +133,16 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _parts(data: np.ndarray, edges: np.ndarray, most: int = 1 << 23):
-    """Anchor rows of a chunk; one very long text is taken in stretches whose windows do not overlap."""
-    keys = text_keys(byte_prefix(data), edges)
+    """Anchor rows of a chunk, with the number of the text; one very long text is taken in stretches whose windows do not overlap."""
     size = np.diff(edges)
     if len(data) <= most:
         h, ctx, text, lo, hi, _ = anchors(data, edges)
-        yield h, ctx, keys[text], size[text], lo, hi - lo + 1
+        yield h, ctx, text, size[text], lo, hi - lo + 1
         return
     for at in range(0, len(data) - LENGTH + 1, most):
         piece = data[at : at + most + LENGTH - 1]
         h, ctx, text, lo, hi, _ = anchors(piece, np.array([0, len(piece)]))
-        yield h, ctx, np.full(len(h), keys[0]), np.full(len(h), size[0]), lo + at, hi - lo + 1
+        yield h, ctx, text, np.full(len(h), size[0]), lo + at, hi - lo + 1
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,12 +268,6 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], reach[np.append(np.flatnonzero(first)[1:] - 1, len(spans) - 1)]], axis=1)
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Append the text key and the byte length."""
-    for part, data, edges in chunks(batches, "text", TEXT_AT_ONCE):
-        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text_keys(byte_prefix(data), edges)), pa.array(np.diff(edges))], names=[*part.schema.names, "_th", "_nb"])
-
-
 class Repeats:
     """The repeated stretches of a table with a text column."""
 
@@ -289,12 +279,12 @@ class Repeats:
         return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
     def keyed(self, columns: list[str]) -> DataFrame:
-        fields = ", ".join(f"`{c}` {self.docs.schema[c].dataType.simpleString()}" for c in columns)
-        return self.docs.select(*columns).mapInArrow(_keyed, f"{fields}, _th long, _nb long")
+        """The columns with the text key and the byte length. Spark's own expressions: a worker for them would stand beside the one that cuts the texts."""
+        return self.docs.select(*columns, F.xxhash64("text").alias("_th"), F.octet_length("text").cast("long").alias("_nb"))
 
     def stretches(self) -> DataFrame:
         """(th, nb, lo, hi): bytes lo..hi of the text are repeated; stretches may overlap."""
-        rows = self.docs.select("text").mapInArrow(_anchor_rows, _ROW)
+        rows = self.docs.select("text", F.xxhash64("text").alias("th")).mapInArrow(_anchor_rows, _ROW)
         # What a task has already found repeated need not meet the others, but for one row. Contexts of a frequent anchor are spread.
         key = F.when(F.col("one") & F.col("often"), F.xxhash64("h", "ctx")).when(F.col("one"), F.col("h")).otherwise(F.col("th"))
         dealt = rows.repartition(partitions(self.spark), key)

@@ -1,0 +1,50 @@
+"""A task of the pipeline's stages holds one worker at most: a second one holds the same texts once more, and an executor keeps it for the stages that follow."""
+
+import numpy as np
+import pytest
+
+from gridmat.llm import mixing, quality_rules, suffix_dedup
+from gridmat.llm.common import shipped
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rng = np.random.default_rng(2)
+    passage = "a passage of plain words that two documents share, long enough to be found as a repeat. " * 4
+    texts = [passage + "first end", passage + "second end", None, "", "xäöü日本 " * 50, "x" * 250] + [" ".join(f"word{j}" for j in rng.permutation(90)[:40]) for _ in range(20)]
+    return spark.createDataFrame([(i, t, "en" if i % 3 else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(2).cache()
+
+
+def workers(df, capsys) -> int:
+    capsys.readouterr()
+    df.explain()
+    return capsys.readouterr().out.count("MapInArrow")
+
+
+def test_passing_texts_go_to_no_worker(docs, capsys):
+    kept = quality_rules.passing(docs)
+    assert workers(kept, capsys) == 0
+    want = {r.doc_id for r in quality_rules.score(docs).where("kept").collect()}
+    assert want and {r.doc_id for r in kept.collect()} == want
+
+
+def test_texts_are_cut_by_one_worker(docs, capsys):
+    cut = suffix_dedup.without_repeats(docs)
+    assert workers(cut, capsys) == 1
+    text = {r.doc_id: r.text for r in cut.collect()}
+    assert text[0] == "first end" and text[1] == "second end" and 2 not in text and 3 not in text
+    assert {i: t for i, t in text.items() if i > 5} == {r.doc_id: r.text for r in docs.where("doc_id > 5").collect()}
+
+
+def test_texts_are_scored_and_rated_by_one_worker(spark, docs, capsys):
+    softmax = mixing.Softmax(3)
+    rng = np.random.default_rng(3)
+    softmax.present, softmax.share, softmax.bias = rng.normal(size=softmax.present.shape), rng.normal(size=softmax.share.shape), rng.normal(size=3)
+    model, gradients = shipped(spark, softmax), [np.array([-0.2, 0.6, 0.4]), np.array([0.1, 0.3, -0.5])]
+    rated = mixing.scored_with_rates(docs, model, gradients)
+    assert workers(rated, capsys) == 1 and rated.columns == [*docs.columns, "rate"]
+    apart = mixing.with_rates(mixing.posteriors(docs, model, docs.columns), gradients, 3)
+    rows = lambda df: sorted(tuple(r) for r in df.select("doc_id", "rate").collect())
+    assert rows(rated) == rows(apart) and len({r for _, r in rows(rated)}) > 3
+    drawn = mixing.mixed(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert workers(drawn, capsys) == 0 and drawn.columns == docs.columns

@@ -13,6 +13,8 @@ from gridmat.matrix import BandMatrix, CellMatrix, Matrix, VectorMatrix
 # builds it is bounded whatever the skew. Writers put the texts of the lists of
 # one row or column together to one line.
 LINE_SPAN = 1_000_000
+# Rows of at most so many columns are put together as entries, 32 bytes each, before they become text.
+GATHERED_COLUMNS = 16_000_000
 
 # Text of one dense line must stay below the 2 GiB limit of a string.
 _MAX_LINE_BYTES = 2**31 - 1
@@ -171,57 +173,60 @@ def row_lines(m: Matrix, all_rows: bool = False, span: int = LINE_SPAN) -> DataF
     cells stay counts until then: a row costs its text, not its width in
     numbers. A line that does not fit into one string (2 GiB) fails the job.
     """
-    cells = m.cells().df
-    pieces = _collect(cells, "i", "j", span, cells.sparkSession.range(m.n_rows) if all_rows else None)
-    entries = F.col("entries")
-    first = F.col("part") * F.lit(span).cast("bigint")
-    in_piece = F.transform(
-        entries, lambda e: F.struct((e["idx"] - first).alias("idx"), e["v"].alias("v"))
-    )
+    pieces = to_csr(m, span, all_rows)
+    piece = pieces.select("id", "part", _piece_text(F.col("part"), F.col("entries"), m.n_cols, span).alias("text"))
+    if n_blocks(m.n_cols, span) == 1:
+        return piece.select("id", _one_piece_line(F.col("text")).alias("line"))
+    assembled = piece.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("part", "text"))).alias("found"))
+    return assembled.select("id", _line_of_pieces(m.n_cols, span).alias("line"))
+
+
+def lines_in_place(lists: DataFrame, n_cols: int, span: int = LINE_SPAN) -> DataFrame:
+    """``row_lines`` of lists that lie, whole rows together, in the partitions of ``_file``: ``(id, line)``, sorted by id there.
+
+    Lists are put together and sorted as entries, and become text last: the text, mostly missing
+    cells, is neither sent nor sorted. A row's entries must fit one task, GATHERED_COLUMNS at most.
+    """
+    if n_blocks(n_cols, span) == 1:
+        rows = lists.sortWithinPartitions("id")
+        return rows.select("id", _one_piece_line(_piece_text(F.col("part"), F.col("entries"), n_cols, span)).alias("line"))
+    rows = lists.groupBy("_file", "id").agg(F.sort_array(F.collect_list(F.struct("part", "entries"))).alias("pieces"))
+    text = F.transform("pieces", lambda p: F.struct(p["part"].alias("part"), _piece_text(p["part"], p["entries"], n_cols, span).alias("text")))
+    found = rows.sortWithinPartitions("id").select("id", text.alias("found"))
+    return found.select("id", _line_of_pieces(n_cols, span).alias("line"))
+
+
+def _one_piece_line(text: Column) -> Column:
+    return F.concat(F.col("id").cast("string"), F.lit(SEPARATOR), text)
+
+
+def _piece_text(part: Column, entries: Column, n_cols: int, span: int) -> Column:
+    """Text of a piece of a row, its missing cells included."""
     gap_text = F.lit(MISSING + SEPARATOR)
-    written = F.array_join(
-        F.transform(
-            F.col("local"),
-            lambda e, p: F.concat(
-                F.repeat(gap_text, _gap(e, p, F.col("local"))),
-                e["v"].cast("string"),
-                F.lit(SEPARATOR),
-            ),
-        ),
-        "",
-    )
-    last = F.when(F.size("local") > 0, F.element_at("local", -1)["idx"]).otherwise(F.lit(-1))
-    texts = (
-        pieces.select("id", "part", in_piece.alias("local"))
-        .select("id", "part", written.alias("text"), (last + 1).cast("bigint").alias("covered"))
-    )
-    n_parts = n_blocks(m.n_cols, span)
-    width = F.least(F.lit(span).cast("bigint"), F.lit(m.n_cols) - F.col("part") * F.lit(span).cast("bigint"))
-    piece = texts.select(
-        "id",
-        "part",
-        F.concat("text", F.repeat(gap_text, (width - F.col("covered")).cast("int"))).alias("text"),
-    )
-    if n_parts == 1:
-        line = F.concat(F.col("id").cast("string"), F.lit(SEPARATOR), F.col("text"))
-        return piece.select("id", line.alias("line"))
-    # Pieces with no cell at all are filled in from their width alone.
-    found = F.sort_array(F.collect_list(F.struct("part", "text")))
-    assembled = piece.groupBy("id").agg(found.alias("found"), F.sum(F.octet_length("text")).alias("bytes"))
+    first = part * F.lit(span).cast("bigint")
+    before = lambda p: F.when(p == 0, first - 1).otherwise(F.get(entries, p - 1)["idx"])
+    written = F.transform(entries, lambda e, p: F.concat(F.repeat(gap_text, (e["idx"] - before(p) - 1).cast("int")), e["v"].cast("string"), F.lit(SEPARATOR)))
+    last = F.when(F.size(entries) > 0, F.element_at(entries, -1)["idx"]).otherwise(first - 1)
+    tail = first + _part_width(part, n_cols, span) - last - 1
+    return F.concat(F.array_join(written, ""), F.repeat(gap_text, tail.cast("int")))
+
+
+def _line_of_pieces(n_cols: int, span: int) -> Column:
+    """The line of the row ``id`` from its pieces ``found``, in order; a piece with no cell at all is filled in from its width alone."""
+    size = F.aggregate("found", F.lit(0).cast("bigint"), lambda n, p: n + F.octet_length(p["text"]))
     # The pieces found cover their span each; between them, missing cells take two bytes.
-    covered = F.aggregate("found", F.lit(0).cast("bigint"), lambda n, p: n + _part_width(p["part"], m.n_cols, span))
-    length = F.col("bytes") + (F.lit(m.n_cols).cast("bigint") - covered) * len(MISSING + SEPARATOR)
+    covered = F.aggregate("found", F.lit(0).cast("bigint"), lambda n, p: n + _part_width(p["part"], n_cols, span))
+    length = size + (F.lit(n_cols).cast("bigint") - covered) * len(MISSING + SEPARATOR)
     too_long = F.raise_error(F.concat(F.lit("line too long for one string: id "), F.col("id").cast("string")))
     # Each piece with the missing cells before it, and those after the last one.
     texts = F.transform(
         "found",
-        lambda p, n: F.concat(_missing_parts(F.when(n == 0, -1).otherwise(F.get(F.col("found"), n - 1)["part"]), p["part"], m.n_cols, span), p["text"]),
+        lambda p, n: F.concat(_missing_parts(F.when(n == 0, -1).otherwise(F.get(F.col("found"), n - 1)["part"]), p["part"], n_cols, span), p["text"]),
     )
-    end = _missing_parts(F.element_at("found", -1)["part"], F.lit(n_parts).cast("bigint"), m.n_cols, span)
+    end = _missing_parts(F.element_at("found", -1)["part"], F.lit(n_blocks(n_cols, span)).cast("bigint"), n_cols, span)
     id_text = F.concat(F.col("id").cast("string"), F.lit(SEPARATOR))
     line = F.array_join(F.concat(F.array(id_text), texts, F.array(end)), "")
-    fits = F.when(length < _MAX_LINE_BYTES - 32, line).otherwise(too_long.cast("string"))
-    return assembled.select("id", fits.alias("line"))
+    return F.when(length < _MAX_LINE_BYTES - 32, line).otherwise(too_long.cast("string"))
 
 
 def _part_width(part: Column, n_along: int, span: int) -> Column:

@@ -133,8 +133,8 @@ def matmul_text_sparse(t: Tables) -> DataFrame:
     q, m = t.quantities(), t.months()
     root = scratch_path(spark, "matmul_text_sparse")
     # The text has every missing cell, rows times columns of them; packed, they take next to nothing.
-    sinks.write_row_text(q, f"{root}/A", compression="gzip")
-    sinks.write_row_text(m, f"{root}/B", compression="gzip")
+    sinks.write_row_text(q, f"{root}/A", compression="gzip", level="BEST_SPEED")
+    sinks.write_row_text(m, f"{root}/B", compression="gzip", level="BEST_SPEED")
     multiply_text(
         spark, f"{root}/A", f"{root}/B", f"{root}/C", (q.n_rows, q.n_cols), (m.n_rows, m.n_cols),
         method="OPB", sparsity=50,
@@ -572,7 +572,7 @@ def drop_zeros_literal(t: Tables) -> DataFrame:
     """Only the token ``0`` is dropped; a cell that holds ``0.0`` stays."""
     d = t.discounts()
     path = scratch_path(t.spark, "drop_zeros_literal")
-    sinks.write_row_text(d, path, compression="gzip")  # the missing cells are most of the text
+    sinks.write_row_text(d, path, compression="gzip", level="BEST_SPEED")  # the missing cells are most of the text
     return sources.read_dense_id(
         t.spark, path, (d.n_rows, d.n_cols), zero_test="literal"
     ).df

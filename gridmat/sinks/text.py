@@ -14,18 +14,20 @@ from pyspark.sql import functions as F
 
 from gridmat.functions.text import dense_line
 from gridmat.matrix import BandMatrix, Matrix, VectorMatrix
-from gridmat.operators.layout import LINE_SPAN, densify_rows, row_lines, to_csc, to_csr, whole_lines
+from gridmat.operators.layout import GATHERED_COLUMNS, LINE_SPAN, densify_rows, lines_in_place, row_lines, to_csc, to_csr, whole_lines
 from gridmat.operators.ordering import sort_into_files, with_file
 
 
 def _save(
-    lines: DataFrame, path: str, compression: str | None, mode: str, by: list[str] | None = None
+    lines: DataFrame, path: str, compression: str | None, mode: str, by: list[str] | None = None, level: str | None = None
 ) -> None:
     writer = lines.select(*(by or []), "line").write.mode(mode)
     if by:
         writer = writer.partitionBy(*by)
     if compression:
         writer = writer.option("compression", compression)
+    if level:
+        writer = writer.option("zlib.compress.level", level)
     writer.text(path)
 
 
@@ -84,13 +86,23 @@ def write_row_text(
     compression: str | None = None,
     mode: str = "overwrite",
     files: int | None = None,
+    level: str | None = None,
 ) -> None:
-    """``rowId v v 0 v `` per row, values unrounded, missing cells as ``0``."""
+    """``rowId v v 0 v `` per row, values unrounded, missing cells as ``0``.
+
+    Rows go to their file as lists of entries and become text there. ``level`` is
+    that of gzip, such as ``"BEST_SPEED"``.
+    """
     lists = to_csr(m, empty_rows=all_rows)
     # Every column takes two bytes at least.
     weight = F.size("entries") * _VALUE_BYTES + min(2 * m.n_cols, 2 * LINE_SPAN)
-    placed = with_file(row_lines(m, all_rows=all_rows), "id", m.n_rows, files, weight, lists)
-    _save(_sorted_files(*placed), path, compression, mode)
+    if m.n_cols > GATHERED_COLUMNS:
+        placed = with_file(row_lines(m, all_rows=all_rows), "id", m.n_rows, files, weight, lists)
+        lines = _sorted_files(*placed)
+    else:
+        placed, n_files = with_file(lists, "id", m.n_rows, files, weight, lists)
+        lines = lines_in_place(placed.repartitionById(n_files, "_file"), m.n_cols)
+    _save(lines, path, compression, mode, level=level)
 
 
 def write_csr(

@@ -16,14 +16,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridmat.functions import arrays
-from gridmat.functions.text import MISSING, check_mode, parse_double, tokens
+from gridmat.functions.text import check_mode, parse_double, tokens
 from gridmat.matrix import CellMatrix, Matrix, VectorMatrix, inside
+from gridmat.sources import text_kernels
 
+# Tasks get the kernels' code with the job; executors need no copy of this package.
+cloudpickle.register_pickle_by_value(text_kernels)
 
 # Tasks of a scan up to which the line numbers of its splits are sent to all of them.
 SENT_TASKS = 50_000
@@ -116,12 +120,13 @@ def read_dense_id(
     equal to zero, ``"literal"`` only tokens that are exactly ``0``.
     """
     check_mode(mode)
-    numbered = F.transform("rest", lambda t, p: F.struct(p.alias("pos"), t.alias("token")))
-    if zero_test == "literal":  # before the line is spread into rows
-        numbered = F.filter(numbered, lambda e: e["token"] != MISSING)
-    cells = _id_and_rest(spark, path).select("id", F.inline(numbered))
+    if zero_test == "literal":  # before the line is spread into tokens, which are zeros nearly all
+        cells = spark.read.text(path).mapInArrow(text_kernels.present_tokens, "id STRING, pos BIGINT, token STRING")
+    else:
+        numbered = F.transform("rest", lambda t, p: F.struct(p.alias("pos"), t.alias("token")))
+        cells = _id_and_rest(spark, path).select("id", F.inline(numbered))
     cells = cells.select(
-        F.col("id").alias("i"),
+        F.col("id").cast("bigint").alias("i"),
         F.col("pos").cast("bigint").alias("j"),
         parse_double(F.col("token"), mode).alias("v"),
     )
